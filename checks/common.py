@@ -1,0 +1,29 @@
+"""Reading the test tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+TABLES = (
+    "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
+    "conversations"
+).split()
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def with_views(spark: SparkSession, sf_dir: str, *names: str) -> None:
+    for name in names:
+        table(spark, sf_dir, name).createOrReplaceTempView(name)
+
+
+def run_sql(text: str, *names: str):
+    """A query that runs ``text`` over the named tables."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        with_views(spark, sf_dir, *names)
+        return spark.sql(text)
+
+    return query

@@ -1,0 +1,33 @@
+"""All registered queries."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from functools import wraps
+
+from pyspark.sql import DataFrame, SparkSession
+
+from checks import clauses
+
+MODULES = [clauses]
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def _in_utc(query: Query) -> Query:
+    """Times are compared as UTC."""
+
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        return query(spark, sf_dir)
+
+    return run
+
+
+def queries() -> dict[str, Query]:
+    return {name: _in_utc(query) for module in MODULES for name, query in module.QUERIES.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for module in MODULES for name, sql in module.ORACLE.items()}
