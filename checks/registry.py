@@ -7,9 +7,9 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from checks import clauses
+from checks import clauses, dates, functions, views
 
-MODULES = [clauses]
+MODULES = [clauses, functions, views, dates]
 
 Query = Callable[[SparkSession, str], DataFrame]
 

@@ -39,7 +39,7 @@ class Field:
 
     @property
     def data_type(self) -> T.DataType:
-        return self.type if isinstance(self.type, T.DataType) else T._parse_datatype_string(self.type)
+        return self.type if isinstance(self.type, T.DataType) else T.DataType.fromDDL(self.type)
 
     def struct_field(self) -> T.StructField:
         metadata = {"privacy": self.privacy, "weight": self.weight}
