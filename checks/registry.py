@@ -7,9 +7,9 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from checks import clauses, dates, functions, views
+from checks import catalog, clauses, dates, exports, functions, pipelines, state, views
 
-MODULES = [clauses, functions, views, dates]
+MODULES = [pipelines, clauses, functions, views, dates, state, exports, catalog]
 
 Query = Callable[[SparkSession, str], DataFrame]
 

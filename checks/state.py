@@ -1,0 +1,266 @@
+"""Partition state and staleness over partitions derived from customers, suppliers and orders.
+
+Four views build on each other: one partition per customer, per nation, per
+region, and one in total. A customer's partition time is its newest order.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from checks.common import table
+from viewforge.functions.digests import digest
+from viewforge.operators import state as st
+
+NOW = 1_000_000
+
+
+def _customers(spark, sf_dir):
+    """``c_custkey, c_nationkey, ts``; customers without orders never ran."""
+    newest = (
+        table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_orderkey").alias("ts"))
+    )
+    return (
+        table(spark, sf_dir, "customer")
+        .select("c_custkey", "c_nationkey", "c_acctbal")
+        .join(newest, "c_custkey", "left")
+        .withColumn("ts", F.coalesce("ts", F.lit(0)))
+    )
+
+
+def _upper(spark, sf_dir):
+    """Partitions of the nation, region and total views; every fifth nation ran last."""
+    nations = table(spark, sf_dir, "nation")
+    nation_rows = nations.select(
+        F.lit("by_nation").alias("view"),
+        F.col("n_nationkey").cast("string").alias("partition"),
+        F.when(F.col("n_nationkey") % 5 == 0, F.lit(NOW - 1)).otherwise(F.col("n_nationkey") * 10).cast("long").alias("ts"),
+        (F.col("n_nationkey") == 10).alias("materialize_once"),
+    )
+    region_rows = table(spark, sf_dir, "region").select(
+        F.lit("by_region").alias("view"),
+        F.col("r_regionkey").cast("string").alias("partition"),
+        F.lit(NOW - 1).cast("long").alias("ts"),
+        F.lit(False).alias("materialize_once"),
+    )
+    total = region_rows.groupBy().agg(F.max("ts").alias("ts")).select(
+        F.lit("total").alias("view"), F.lit("all").alias("partition"), "ts", F.lit(True).alias("materialize_once")
+    )
+    return nation_rows.unionByName(region_rows).unionByName(total)
+
+
+def state_rows(spark, sf_dir):
+    """Every tenth customer was computed with another query."""
+    customers = _customers(spark, sf_dir).select(
+        F.lit("by_customer").alias("view"),
+        F.col("c_custkey").cast("string").alias("partition"),
+        F.col("ts"),
+        F.lit(False).alias("materialize_once"),
+        F.when(F.col("c_custkey") % 10 == 3, "old").otherwise("q1").alias("checksum"),
+        (F.col("c_custkey") % 7 != 1).alias("has_data"),
+        (F.col("c_custkey") % 30 == 23).alias("failed"),
+    )
+    upper = _upper(spark, sf_dir).withColumns(
+        {"checksum": F.lit("q1"), "has_data": F.lit(True), "failed": F.lit(False)}
+    )
+    return customers.unionByName(upper)
+
+
+def dep_rows(spark, sf_dir):
+    nations = table(spark, sf_dir, "nation")
+    customers = table(spark, sf_dir, "customer")
+
+    def edges(df, view, partition, dep_view, dep):
+        return df.select(
+            F.lit(view).alias("view"),
+            F.col(partition).cast("string").alias("partition") if partition else F.lit("all").alias("partition"),
+            F.lit(dep_view).alias("dep_view"),
+            F.col(dep).cast("string").alias("dep_partition"),
+        )
+
+    return (
+        edges(customers, "by_nation", "c_nationkey", "by_customer", "c_custkey")
+        .unionByName(edges(nations, "by_region", "n_regionkey", "by_nation", "n_nationkey"))
+        .unionByName(edges(table(spark, sf_dir, "region"), "total", None, "by_region", "r_regionkey"))
+    )
+
+
+def current_rows(spark, sf_dir):
+    """The checksum each view has now: one row per view."""
+    return state_rows(spark, sf_dir).select("view").distinct().withColumn("checksum", F.lit("q1"))
+
+
+def _run(mode):
+    def query(spark, sf_dir):
+        result = st.materialization(
+            state_rows(spark, sf_dir), dep_rows(spark, sf_dir), current_rows(spark, sf_dir), NOW, mode
+        )
+        return result.select("view", "partition", "status", "recompute", "new_checksum", "new_ts")
+
+    return query
+
+
+def stale(spark, sf_dir):
+    return st.stale_partitions(state_rows(spark, sf_dir), dep_rows(spark, sf_dir), current_rows(spark, sf_dir), NOW)
+
+
+def materialize_once(spark, sf_dir):
+    result = st.materialization(
+        state_rows(spark, sf_dir), dep_rows(spark, sf_dir), current_rows(spark, sf_dir), NOW
+    )
+    once = state_rows(spark, sf_dir).where("materialize_once").select("view", "partition")
+    return result.join(once, ["view", "partition"], "left_semi").select("view", "partition", "recompute", "new_ts")
+
+
+def flags(spark, sf_dir):
+    return st.propagate_flags(state_rows(spark, sf_dir), dep_rows(spark, sf_dir), current_rows(spark, sf_dir), NOW)
+
+
+def metadata(spark, sf_dir):
+    state = state_rows(spark, sf_dir).where("ts % 2 = 0")
+    return st.partition_metadata(state, state_rows(spark, sf_dir).select("view", "partition"))
+
+
+def invalidate(spark, sf_dir):
+    rows = state_rows(spark, sf_dir)
+    return st.invalidate(rows, rows.where("ts < 5000").select("view", "partition"))
+
+
+def commit(spark, sf_dir):
+    rows = state_rows(spark, sf_dir)
+    updates = rows.where("checksum = 'old'").select("view", "partition", F.lit("q1").alias("checksum"))
+    return st.commit_state(rows, updates, NOW)
+
+
+def schema_changes(spark, sf_dir):
+    """One table per customer: declared before with one text, now with another for some, gone for others."""
+    customers = table(spark, sf_dir, "customer").select(
+        F.concat(F.lit("t_"), F.col("c_custkey")).alias("table_name"), "c_custkey", "c_mktsegment"
+    )
+    key = F.col("c_custkey")
+    text = F.concat(F.lit("CREATE TABLE "), "table_name", F.lit(" "), "c_mktsegment")
+    old = customers.where(key % 11 != 0).select(
+        "table_name", F.when(key % 13 != 0, digest(F.array(text))).alias("checksum")
+    )
+    changed = F.when(key % 5 == 0, F.concat(text, F.lit(" v2"))).otherwise(text)
+    new = customers.where(key % 17 != 0).select("table_name", digest(F.array(changed)).alias("checksum"))
+    return st.schema_changes(old, new)
+
+
+def transformation_changes(spark, sf_dir):
+    """Every document is the query of a view; half the stored checksums are those of the same text in another layout."""
+    documents = table(spark, sf_dir, "documents").select(
+        F.concat(F.lit("v_"), F.col("doc_id")).alias("view"), "doc_id", "text"
+    )
+    now = documents.select(
+        "view", F.concat(F.lit("SET a=b;\n-- note\n"), F.regexp_replace("text", "\n", "\n\n  ")).alias("sql")
+    )
+    stored_text = F.when(F.col("doc_id") % 2 == 0, F.col("text")).otherwise(F.concat("text", F.lit(" LIMIT 1")))
+    stored = st.transformation_checksums(documents.select("view", stored_text.alias("sql"))).select(
+        "view", F.lit("all").alias("partition"), "checksum"
+    )
+    return st.transformation_changes(stored, now).select("view", "partition")
+
+
+QUERIES = {
+    "stale_partitions": stale,
+    "materialization_default": _run("default"),
+    "stale_mode_reset_checksums": _run("reset_checksums"),
+    "stale_mode_dry_run": _run("reset_checksums_and_timestamps"),
+    "stale_mode_transform_only": _run("transform_only"),
+    "stale_mode_set_only": _run("set_only"),
+    "materialize_once": materialize_once,
+    "propagate_flags": flags,
+    "partition_metadata": metadata,
+    "invalidate_partitions": invalidate,
+    "commit_state": commit,
+    "schema_changes": schema_changes,
+    "transformation_changes": transformation_changes,
+}
+
+# The same four levels, written out one after the other.
+STATE_SQL = f"""
+state AS (
+  SELECT 'by_customer' AS view, CAST(c_custkey AS VARCHAR) AS partition, COALESCE(m, 0) AS ts, false AS once,
+         CASE WHEN c_custkey % 10 = 3 THEN 'old' ELSE 'q1' END AS checksum, c_custkey % 7 <> 1 AS has_data,
+         c_custkey % 30 = 23 AS failed, CAST(c_nationkey AS VARCHAR) AS parent
+  FROM customer LEFT JOIN (SELECT o_custkey, MAX(o_orderkey) AS m FROM orders GROUP BY 1) o ON o_custkey = c_custkey
+  UNION ALL
+  SELECT 'by_nation', CAST(n_nationkey AS VARCHAR), CASE WHEN n_nationkey % 5 = 0 THEN {NOW - 1} ELSE n_nationkey * 10 END,
+         n_nationkey = 10, 'q1', true, false, CAST(n_regionkey AS VARCHAR) FROM nation
+  UNION ALL
+  SELECT 'by_region', CAST(r_regionkey AS VARCHAR), {NOW - 1}, false, 'q1', true, false, 'all' FROM region
+  UNION ALL
+  SELECT 'total', 'all', {NOW - 1}, true, 'q1', true, false, NULL
+)"""
+
+
+def _levels(use_checksum: bool, dry: bool, writes_checksum: bool) -> str:
+    """Outcome per level from the outcomes of the level below."""
+
+    def outcome(source: str) -> str:
+        stale = "ts < freshness" + (" OR checksum <> 'q1'" if use_checksum else "")
+        due = f"(NOT (once AND ts > 0) AND any_data AND ({stale}))"
+        recompute = "false" if dry else due
+        status = (
+            f"CASE WHEN NOT (once AND ts > 0) AND NOT any_data THEN 'no_data' WHEN {recompute} AND failed THEN 'failed' "
+            f"WHEN {recompute} AND NOT has_data THEN 'no_data' ELSE 'materialized' END"
+        )
+        takes = "status = 'materialized'" + ("" if writes_checksum else " AND due")
+        return (
+            f"SELECT view, partition, parent, status, recompute, "
+            f"CASE WHEN {takes} THEN 'q1' ELSE checksum END AS new_checksum, "
+            f"CASE WHEN status = 'materialized' AND due THEN {NOW} ELSE ts END AS new_ts, "
+            f"status = 'materialized' AND dep_errors AS with_errors, status = 'materialized' AND dep_incomplete AS incomplete "
+            f"FROM (SELECT *, {due} AS due, {recompute} AS recompute, {status} AS status FROM {source}) x"
+        )
+
+    def above(view: str, below: str) -> str:
+        return (
+            f"(SELECT s.*, CASE WHEN s.once AND s.ts > 0 THEN 1 ELSE COALESCE(f, 0) END AS freshness, "
+            f"(s.once AND s.ts > 0) OR COALESCE(d, false) AS any_data, "
+            f"NOT (s.once AND s.ts > 0) AND COALESCE(i, false) AS dep_incomplete, "
+            f"NOT (s.once AND s.ts > 0) AND COALESCE(e, false) AS dep_errors "
+            f"FROM state s LEFT JOIN (SELECT parent AS p, MAX(new_ts) FILTER (status = 'materialized') AS f, "
+            f"bool_or(status = 'materialized') AS d, bool_or(status <> 'materialized' OR incomplete) AS i, "
+            f"bool_or(status = 'failed' OR with_errors) AS e FROM {below} GROUP BY parent) r ON r.p = s.partition "
+            f"WHERE s.view = '{view}') a"
+        )
+
+    leaf = "(SELECT *, 1 AS freshness, true AS any_data, false AS dep_incomplete, false AS dep_errors FROM state WHERE view = 'by_customer') a"
+    return (
+        f"WITH {STATE_SQL}, c AS ({outcome(leaf)}), n AS ({outcome(above('by_nation', 'c'))}), "
+        f"r AS ({outcome(above('by_region', 'n'))}), t AS ({outcome(above('total', 'r'))}), "
+        "outcome AS (SELECT * FROM c UNION ALL SELECT * FROM n UNION ALL SELECT * FROM r UNION ALL SELECT * FROM t) "
+    )
+
+
+RESULT = "SELECT view, partition, status, recompute, new_checksum, CAST(new_ts AS BIGINT) AS new_ts FROM outcome"
+DEFAULT = _levels(use_checksum=True, dry=False, writes_checksum=False)
+
+ORACLE = {
+    "stale_partitions": DEFAULT + "SELECT view, partition FROM outcome WHERE recompute",
+    "materialization_default": DEFAULT + RESULT,
+    "stale_mode_reset_checksums": _levels(use_checksum=False, dry=False, writes_checksum=True) + RESULT,
+    "stale_mode_dry_run": _levels(use_checksum=True, dry=True, writes_checksum=False) + RESULT,
+    "stale_mode_transform_only": f"WITH {STATE_SQL}, due AS (SELECT *, NOT (once AND ts > 0) AND (ts < 1 OR checksum <> 'q1') AS due "
+    "FROM state), s AS (SELECT *, CASE WHEN due AND failed THEN 'failed' WHEN due AND NOT has_data THEN 'no_data' "
+    "ELSE 'materialized' END AS status FROM due) SELECT view, partition, status, due AS recompute, "
+    f"CASE WHEN due AND status = 'materialized' THEN 'q1' ELSE checksum END AS new_checksum, "
+    f"CAST(CASE WHEN due AND status = 'materialized' THEN {NOW} ELSE ts END AS BIGINT) AS new_ts FROM s",
+    "stale_mode_set_only": f"WITH {STATE_SQL} SELECT view, partition, 'materialized' AS status, false AS recompute, "
+    f"'q1' AS new_checksum, CAST({NOW} AS BIGINT) AS new_ts FROM state",
+    "materialize_once": DEFAULT + "SELECT view, partition, recompute, CAST(new_ts AS BIGINT) AS new_ts FROM outcome "
+    "WHERE view = 'total' OR (view = 'by_nation' AND partition = '10')",
+    "propagate_flags": DEFAULT + "SELECT view, partition, status, status = 'no_data' AS no_data, incomplete, with_errors FROM outcome",
+    "partition_metadata": f"WITH {STATE_SQL} SELECT view, partition, CASE WHEN ts % 2 = 0 THEN checksum ELSE '0' END AS checksum, "
+    "CAST(CASE WHEN ts % 2 = 0 THEN ts ELSE 0 END AS BIGINT) AS ts FROM state",
+    "invalidate_partitions": f"WITH {STATE_SQL} SELECT view, partition, CASE WHEN ts < 5000 THEN '0' ELSE checksum END AS checksum, "
+    "CAST(CASE WHEN ts < 5000 THEN 0 ELSE ts END AS BIGINT) AS ts FROM state",
+    "commit_state": f"WITH {STATE_SQL} SELECT view, partition, 'q1' AS checksum, "
+    f"CAST(CASE WHEN checksum = 'old' THEN {NOW} ELSE ts END AS BIGINT) AS ts FROM state",
+    "schema_changes": "SELECT 't_' || c_custkey AS table_name, CASE WHEN c_custkey % 17 = 0 THEN 'dropped' "
+    "WHEN c_custkey % 11 = 0 OR c_custkey % 13 = 0 OR c_custkey % 5 = 0 THEN 'recreate' ELSE 'keep' END AS change "
+    "FROM customer WHERE NOT (c_custkey % 17 = 0 AND c_custkey % 11 = 0)",
+    "transformation_changes": "SELECT 'v_' || doc_id AS view, 'all' AS partition FROM documents WHERE doc_id % 2 = 1",
+}

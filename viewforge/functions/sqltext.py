@@ -18,7 +18,7 @@ def normalize_sql(text: Column) -> Column:
 
     Blanks inside quotes count: each becomes one ``;``.
     """
-    trimmed = F.regexp_replace(F.trim(F.lit(" \t\r\n\x0b\x0c"), text), LINE_EDGES, "\n")
+    trimmed = F.regexp_replace(F.trim(text, F.lit(" \t\r\n\x0b\x0c")), LINE_EDGES, "\n")
     lines = F.filter(
         F.split(F.regexp_replace(trimmed, COMMENT_LINE, ""), "\n"), lambda line: F.length(line) > 0
     )

@@ -86,7 +86,10 @@ def _copy_one(source: str, target: str) -> int:
     target_fs.create_dir(target_path.rsplit("/", 1)[0], recursive=True)
     partial = f"{target_path}.{uuid.uuid4().hex}.part"
     copied = 0
-    with source_fs.open_input_stream(source_path) as reader, target_fs.open_output_stream(partial) as writer:
+    with (
+        source_fs.open_input_stream(source_path, compression=None) as reader,
+        target_fs.open_output_stream(partial, compression=None) as writer,
+    ):
         while chunk := reader.read(8 << 20):
             writer.write(chunk)
             copied += len(chunk)
