@@ -6,7 +6,10 @@ text of an entry is the comparison.
 
 from __future__ import annotations
 
-from checks.common import run_sql, with_views
+from pyspark.sql import functions as F
+
+from checks.common import run_sql, table, with_views
+from viewforge.operators.joins import not_in
 from viewforge.session import scratch_path
 
 # Monthly sums per priority: a small, bounded input for window functions, so a
@@ -33,14 +36,6 @@ CLAUSES: dict[str, tuple] = {
         "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_orderstatus IN ('O', 'F') AND o_custkey IN "
         "(SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')",
     ),
-    # Both sides are known not to be null, so this runs as an ordinary anti join
-    # instead of a null-aware one, which would have to broadcast its right side.
-    "q_not_in": (
-        ["orders", "customer"],
-        "SELECT c_custkey, c_name FROM customer WHERE c_mktsegment NOT IN ('MACHINERY', 'FURNITURE') "
-        "AND c_custkey IS NOT NULL AND c_custkey NOT IN "
-        "(SELECT o_custkey FROM orders WHERE o_totalprice > 400000 AND o_custkey IS NOT NULL)",
-    ),
     "q_between": (
         ["lineitem"],
         "SELECT l_orderkey, l_linenumber, l_quantity, l_discount FROM lineitem "
@@ -283,6 +278,21 @@ CLAUSES: dict[str, tuple] = {
 }
 
 
+def not_in_query(spark, sf_dir):
+    """NOT IN a list and NOT IN a subquery whose column may be null."""
+    customers = table(spark, sf_dir, "customer").where(~F.col("c_mktsegment").isin("MACHINERY", "FURNITURE"))
+    large = table(spark, sf_dir, "orders").where("o_totalprice > 400000").select("o_custkey")
+    return not_in(customers, "c_custkey", large).select("c_custkey", "c_name")
+
+
+def not_in_with_null(spark, sf_dir):
+    """One null among the values: no row at all passes; counted so that the result is not empty."""
+    orders = table(spark, sf_dir, "orders")
+    values = orders.select(F.nullif("o_custkey", F.lit(7)).alias("o_custkey"))
+    left = not_in(table(spark, sf_dir, "customer"), "c_custkey", values)
+    return left.agg(F.count(F.lit(1)).alias("n_left"))
+
+
 def tablesample(spark, sf_dir):
     with_views(spark, sf_dir, "orders")
     return spark.sql("SELECT o_orderkey, o_totalprice FROM orders TABLESAMPLE (10 PERCENT) REPEATABLE (7)")
@@ -314,10 +324,19 @@ def insert(spark, sf_dir):
 
 
 QUERIES = {name: run_sql(entry[1], *entry[0]) for name, entry in CLAUSES.items()}
+QUERIES["q_not_in"] = not_in_query
+QUERIES["q_not_in_null"] = not_in_with_null
 QUERIES["q_tablesample"] = tablesample
 QUERIES["q_insert"] = insert
 
 ORACLE = {name: entry[2] if len(entry) > 2 else entry[1] for name, entry in CLAUSES.items()}
+ORACLE["q_not_in"] = (
+    "SELECT c_custkey, c_name FROM customer WHERE c_mktsegment NOT IN ('MACHINERY', 'FURNITURE') "
+    "AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)"
+)
+ORACLE["q_not_in_null"] = (
+    "SELECT COUNT(*) AS n_left FROM customer WHERE c_custkey NOT IN (SELECT NULLIF(o_custkey, 7) FROM orders)"
+)
 ORACLE["q_insert"] = (
     "SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN -o_totalprice ELSE o_totalprice END AS o_totalprice, "
     "o_orderstatus AS status FROM orders WHERE o_orderstatus IN ('O', 'F', 'P')"

@@ -15,9 +15,8 @@ EMPTY_DIGEST = "0"
 
 def digest(texts: Column) -> Column:
     """Upper-case MD5 of the sorted, joined texts of one row; ``"0"`` without any."""
-    present = F.filter(texts, lambda t: t.isNotNull())
-    joined = F.array_join(F.sort_array(present), "")
-    return F.when(F.size(present) > 0, F.upper(F.md5(joined))).otherwise(F.lit(EMPTY_DIGEST))
+    joined = F.array_join(F.sort_array(texts), "")
+    return F.when(F.size(texts) > 0, F.upper(F.md5(joined))).otherwise(F.lit(EMPTY_DIGEST))
 
 
 def digest_groups(df: DataFrame, group_columns: Sequence[str], text_column: str) -> DataFrame:

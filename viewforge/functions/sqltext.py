@@ -6,10 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # What does not count as part of a query.
-COMMENT_LINE = r"(?m)^--.*$"
-LINE_EDGES = r"[ \t\x0B\f\r]*\n[ \t\x0B\f\r]*"
+COMMENT_START = "--"
+BLANKS = " \t\r\x0b\x0c"
 SETTING = r"(?i)( |^)SET [^;]+;"
-TOKEN = r"""("(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])*'|\\.|\s+|[^\s"'\\]+|["'\\])"""
+PIECE = r"""("[^"\\]*+(?:\\.[^"\\]*+)*+"|'[^'\\]*+(?:\\.[^'\\]*+)*+'|[^"'\\]++|\\.|["'\\])"""
 BLANK_IN_QUOTES = ";"
 
 
@@ -18,16 +18,14 @@ def normalize_sql(text: Column) -> Column:
 
     Blanks inside quotes count: each becomes one ``;``.
     """
-    trimmed = F.regexp_replace(F.trim(text, F.lit(" \t\r\n\x0b\x0c")), LINE_EDGES, "\n")
-    lines = F.filter(
-        F.split(F.regexp_replace(trimmed, COMMENT_LINE, ""), "\n"), lambda line: F.length(line) > 0
-    )
-    without_settings = F.regexp_replace(F.array_join(lines, " "), SETTING, "")
-    tokens = F.regexp_extract_all(without_settings, F.lit(TOKEN), F.lit(1))
+    lines = F.transform(F.split(text, "\n"), lambda line: F.trim(line, F.lit(BLANKS)))
+    kept = F.filter(lines, lambda line: (F.length(line) > 0) & ~line.startswith(COMMENT_START))
+    without_settings = F.regexp_replace(F.array_join(kept, " "), SETTING, "")
+    pieces = F.regexp_extract_all(without_settings, F.lit(PIECE), F.lit(1))
     squeezed = F.transform(
-        tokens,
-        lambda t: F.when((F.length(t) > 1) & t.rlike("^[\"']"), F.regexp_replace(t, r"\s", BLANK_IN_QUOTES))
-        .when(t.rlike(r"^\s+$"), F.lit(" "))
-        .otherwise(t),
+        pieces,
+        lambda p: F.when(p.rlike("(?s)^[\"'].*[\"']$"), F.regexp_replace(p, r"\s", BLANK_IN_QUOTES)).otherwise(
+            F.regexp_replace(p, r"\s+", " ")
+        ),
     )
     return F.trim(F.array_join(squeezed, ""))

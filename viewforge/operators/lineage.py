@@ -14,17 +14,31 @@ from pyspark.sql import functions as F
 from viewforge.session import checkpointed
 
 
+# Rounds after which the found nodes are stored as one table again.
+COMPACT_EVERY = 10
+
+
 def reachable(edges: DataFrame, start: DataFrame, source: str, target: str) -> DataFrame:
-    """Every ``id`` reached from the start ids along ``source -> target``, start included."""
-    edges = checkpointed(edges.select(source, target).distinct())
-    seen = checkpointed(start.select(F.col("id")).distinct())
-    frontier = seen
+    """Every ``id`` reached from the start ids along ``source -> target``, start included.
+
+    Each round stores only the nodes it found.
+    """
+    frontier = seen = checkpointed(start.select("id").distinct())
+    rounds = 0
     while True:
         step = edges.join(frontier, F.col(source) == F.col("id"), "left_semi").select(F.col(target).alias("id"))
         frontier = checkpointed(step.distinct().join(seen, "id", "left_anti"))
         if frontier.isEmpty():
             return seen
-        seen = checkpointed(seen.unionByName(frontier))
+        seen = seen.unionByName(frontier)
+        rounds += 1
+        if rounds % COMPACT_EVERY == 0:
+            seen = checkpointed(seen)
+
+
+def stored_edges(edges: DataFrame) -> DataFrame:
+    """Distinct ``node, dep`` rows, stored because every round reads them."""
+    return checkpointed(edges.select("node", "dep").distinct())
 
 
 def upstream(edges: DataFrame, start: DataFrame) -> DataFrame:
@@ -41,7 +55,7 @@ def _touching(edges: DataFrame, nodes: DataFrame, column: str) -> DataFrame:
 
 def table_lineage(edges: DataFrame, start: DataFrame) -> DataFrame:
     """Edges on the way to and from the start tables, as ``from_table, to_table``."""
-    edges = edges.select("node", "dep").distinct()
+    edges = stored_edges(edges)
     backward = _touching(edges, upstream(edges, start), "node")
     forward = _touching(edges, downstream(edges, start), "dep")
     return (
@@ -53,7 +67,7 @@ def table_lineage(edges: DataFrame, start: DataFrame) -> DataFrame:
 
 def field_lineage(edges: DataFrame, start: DataFrame) -> DataFrame:
     """``direction, from_field, to_field``; in both directions edges lead away from the start."""
-    edges = edges.select("node", "dep").distinct()
+    edges = stored_edges(edges)
     backward = _touching(edges, upstream(edges, start), "node").select(
         F.lit("backward").alias("direction"), F.col("node").alias("from_field"), F.col("dep").alias("to_field")
     )
@@ -65,11 +79,11 @@ def field_lineage(edges: DataFrame, start: DataFrame) -> DataFrame:
 
 def transitive_dependencies(edges: DataFrame, start: DataFrame) -> DataFrame:
     """Everything the start depends on, without the start."""
-    return upstream(edges, start).join(start.select("id"), "id", "left_anti")
+    return upstream(stored_edges(edges), start).join(start.select("id"), "id", "left_anti")
 
 
 def transitive_successors(edges: DataFrame, start: DataFrame) -> DataFrame:
-    return downstream(edges, start).join(start.select("id"), "id", "left_anti")
+    return downstream(stored_edges(edges), start).join(start.select("id"), "id", "left_anti")
 
 
 def declared_lineage(field_edges: DataFrame, fields: DataFrame) -> DataFrame:

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from viewforge.functions.digests import digest
+from viewforge.functions.sqltext import normalize_sql
 from viewforge.session import checkpointed
 
 KEY = ["view", "partition"]
@@ -79,8 +81,8 @@ def materialization(
     ``now`` for the partitions that depend on it.
 
     Partitions are settled one dependency level per round. A round joins only
-    the partitions settled last against the edges, so its cost follows that
-    level, and the settled table is checkpointed.
+    the partitions settled last against the edges and folds their reports into
+    the waiting ones; the table of partitions is checkpointed after each round.
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
@@ -97,100 +99,102 @@ def materialization(
         )
 
     if mode == "transform_only":
-        nodes = rows.withColumn("n_deps", F.lit(0).cast("long"))
-    else:
-        done_once = rows.where(F.col("once") & (F.col("ts") > 0)).select(*KEY)
-        edges = checkpointed(
-            deps.select(*KEY, "dep_view", "dep_partition").distinct().join(done_once, KEY, "left_anti")
-        )
-        n_deps = edges.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_deps"))
-        nodes = rows.join(n_deps, KEY, "left").withColumn("n_deps", F.coalesce("n_deps", F.lit(0)))
-    is_leaf = F.col("n_deps") == 0
-    nodes = nodes.withColumns(
-        {
-            "n_done": F.lit(0).cast("long"),
-            "freshness": F.when(is_leaf, F.lit(1)).otherwise(F.lit(0)).cast("long"),
-            "any_data": is_leaf,
-            "dep_incomplete": F.lit(False),
-            "dep_errors": F.lit(False),
-            "round": F.when(is_leaf, F.lit(0)),
-        }
+        return _outcome(rows.selectExpr("*", "0L AS n_deps", *LEAF_START), now, mode)
+
+    done_once = rows.where("once AND ts > 0").select(*KEY)
+    edges = checkpointed(deps.select(*KEY, "dep_view", "dep_partition").distinct().join(done_once, KEY, "left_anti"))
+    n_deps = edges.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_deps"))
+    counted = rows.join(n_deps, KEY, "left").withColumn("n_deps", F.coalesce("n_deps", F.lit(0)))
+    nodes = checkpointed(
+        counted.where("n_deps = 0")
+        .selectExpr("*", *LEAF_START)
+        .unionByName(counted.where("n_deps > 0").selectExpr("*", *WAITING_START))
     )
-    if mode == "transform_only":
-        return _outcome(nodes, now, mode)
-
-    nodes = checkpointed(nodes)
     level = 0
     while True:
-        settled = _outcome(nodes.where(F.col("round") == level), now, mode).select(
-            F.col("view").alias("dep_view"),
-            F.col("partition").alias("dep_partition"),
-            (F.col("status") == "materialized").alias("gives_data"),
-            F.col("new_ts"),
-            ((F.col("status") != "materialized") | F.col("incomplete")).alias("gives_incomplete"),
-            ((F.col("status") == "failed") | F.col("with_errors")).alias("gives_errors"),
+        settled = _outcome(nodes.where(F.col("round") == level), now, mode).selectExpr(
+            "view AS dep_view",
+            "partition AS dep_partition",
+            "status = 'materialized' AS any_data",
+            "CASE WHEN status = 'materialized' THEN new_ts ELSE 0 END AS freshness",
+            "status <> 'materialized' OR incomplete AS dep_incomplete",
+            "status = 'failed' OR with_errors AS dep_errors",
         )
-        reports = (
-            edges.join(settled, ["dep_view", "dep_partition"])
+        reports = edges.join(settled, ["dep_view", "dep_partition"]).selectExpr(
+            *KEY, "1L AS n_done", "any_data", "freshness", "dep_incomplete", "dep_errors"
+        )
+        # Node rows and reports meet in one aggregation: reports of a partition
+        # with very many dependencies shrink to one row per task beforehand.
+        described = [F.max(c).alias(c) for c in DESCRIPTION]
+        merged = (
+            nodes.unionByName(reports, allowMissingColumns=True)
             .groupBy(*KEY)
             .agg(
-                F.count(F.lit(1)).alias("r_done"),
-                F.max(F.when(F.col("gives_data"), F.col("new_ts"))).alias("r_ts"),
-                F.bool_or("gives_data").alias("r_data"),
-                F.bool_or("gives_incomplete").alias("r_incomplete"),
-                F.bool_or("gives_errors").alias("r_errors"),
+                *described,
+                F.max("round").alias("round"),
+                F.sum("n_done").alias("n_done"),
+                F.max("freshness").alias("freshness"),
+                F.bool_or("any_data").alias("any_data"),
+                F.bool_or("dep_incomplete").alias("dep_incomplete"),
+                F.bool_or("dep_errors").alias("dep_errors"),
             )
+            .where("n_deps IS NOT NULL")
+            .withColumn("round", F.expr(f"coalesce(round, CASE WHEN n_done = n_deps THEN {level + 1} END)"))
         )
-        merged = nodes.join(reports, KEY, "left").select(
-            *[c for c in nodes.columns if c not in _ACCUMULATED],
-            (F.col("n_done") + F.coalesce("r_done", F.lit(0))).alias("n_done"),
-            F.greatest("freshness", F.coalesce("r_ts", F.lit(0))).alias("freshness"),
-            (F.col("any_data") | F.coalesce("r_data", F.lit(False))).alias("any_data"),
-            (F.col("dep_incomplete") | F.coalesce("r_incomplete", F.lit(False))).alias("dep_incomplete"),
-            (F.col("dep_errors") | F.coalesce("r_errors", F.lit(False))).alias("dep_errors"),
-            F.when(F.col("round").isNotNull(), F.col("round"))
-            .when(F.coalesce("r_done", F.lit(0)) + F.col("n_done") == F.col("n_deps"), F.lit(level + 1))
-            .alias("round"),
-        )
-        merged = checkpointed(merged)
+        nodes = checkpointed(merged)
         level += 1
-        if merged.where(F.col("round") == level).isEmpty():
-            return _outcome(merged, now, mode)
-        nodes = merged
-
-
-_ACCUMULATED = ("n_done", "freshness", "any_data", "dep_incomplete", "dep_errors", "round")
+        if nodes.where(F.col("round") == level).isEmpty():
+            return _outcome(nodes, now, mode)
+
+
+# What a partition starts with: leaves count as fresh since time 1.
+LEAF_START = [
+    "0 AS round",
+    "0L AS n_done",
+    "1L AS freshness",
+    "true AS any_data",
+    "false AS dep_incomplete",
+    "false AS dep_errors",
+]
+WAITING_START = [
+    "CAST(NULL AS INT) AS round",
+    "0L AS n_done",
+    "0L AS freshness",
+    "false AS any_data",
+    "false AS dep_incomplete",
+    "false AS dep_errors",
+]
+DESCRIPTION = ("checksum", "ts", "current_checksum", "has_data", "failed", "once", "n_deps")
 
 
 def _outcome(nodes: DataFrame, now: int, mode: str) -> DataFrame:
-    once_done = F.col("once") & (F.col("ts") > 0)
-    changed = F.col("checksum") != F.col("current_checksum")
-    older = F.col("ts") < F.col("freshness")
-    due = older if mode == "reset_checksums" else older | changed
-    due = ~once_done & F.col("any_data") & due
+    """What becomes of partitions whose dependencies have all reported."""
+    changed = "false" if mode == "reset_checksums" else "checksum <> current_checksum"
     dry = mode == "reset_checksums_and_timestamps"
-    recompute = F.lit(False) if dry else due
-    settled = F.col("round").isNotNull()
-    no_input = ~once_done & ~F.col("any_data")
-    status = (
-        F.when(~settled, "cyclic")
-        .when(no_input, "no_data")
-        .when(recompute & F.col("failed"), "failed")
-        .when(recompute & ~F.col("has_data"), "no_data")
-        .otherwise("materialized")
+    always = "true" if mode == "reset_checksums" else "false"
+    decided = nodes.selectExpr(
+        *nodes.columns,
+        "once AND ts > 0 AS done_once",
+        f"NOT (once AND ts > 0) AND any_data AND (ts < freshness OR {changed}) AS due",
+    )
+    status = decided.selectExpr(
+        *decided.columns,
+        f"due AND round IS NOT NULL AND {str(not dry).lower()} AS recompute",
+        f"""CASE WHEN round IS NULL THEN 'cyclic'
+                 WHEN NOT done_once AND NOT any_data THEN 'no_data'
+                 WHEN due AND failed AND {str(not dry).lower()} THEN 'failed'
+                 WHEN due AND NOT has_data AND {str(not dry).lower()} THEN 'no_data'
+                 ELSE 'materialized' END AS status""",
     )
-    with_status = nodes.select(*nodes.columns, status.alias("status"), due.alias("due"), recompute.alias("recompute_"))
-    done = F.col("status") == "materialized"
-    rewritten = done & F.col("due")
-    takes_checksum = rewritten | (done & F.lit(mode == "reset_checksums"))
-    return with_status.select(
+    return status.selectExpr(
         *KEY,
         "status",
-        (F.col("recompute_") & (F.col("status") != "cyclic")).alias("recompute"),
-        F.when(takes_checksum, F.col("current_checksum")).otherwise(F.col("checksum")).alias("new_checksum"),
-        F.when(rewritten, F.lit(now).cast("long")).otherwise(F.col("ts")).alias("new_ts"),
-        (F.col("dep_errors") & done).alias("with_errors"),
-        (F.col("dep_incomplete") & done).alias("incomplete"),
+        "recompute",
+        f"""CASE WHEN status = 'materialized' AND (due OR {always}) THEN current_checksum
+                 ELSE checksum END AS new_checksum""",
+        f"CASE WHEN status = 'materialized' AND due THEN {int(now)}L ELSE ts END AS new_ts",
+        "status = 'materialized' AND dep_errors AS with_errors",
+        "status = 'materialized' AND dep_incomplete AS incomplete",
     )
 
 
@@ -276,23 +280,19 @@ def schema_changes(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def transformation_checksums(transformations: DataFrame) -> DataFrame:
-    """``view, checksum`` from rows of ``view, sql, resources, version``.
+    """``view, checksum`` from rows of ``view, sql`` and, where given, ``resources, version``.
 
     An explicit version stands for the query; otherwise the normalised text and
     the digests of its resources count together.
     """
-    from viewforge.functions.digests import digest
-    from viewforge.functions.sqltext import normalize_sql
-
-    resources = (
-        F.coalesce(F.col("resources"), F.array().cast("array<string>"))
-        if "resources" in transformations.columns
-        else F.array().cast("array<string>")
-    )
-    texts = F.concat(F.array(normalize_sql(F.col("sql"))), resources)
-    if "version" in transformations.columns:
+    given = transformations.columns
+    normalized = transformations.withColumn("sql", normalize_sql(F.col("sql")))
+    texts = F.array("sql")
+    if "resources" in given:
+        texts = F.concat(texts, F.coalesce(F.col("resources"), F.array().cast("array<string>")))
+    if "version" in given:
         texts = F.when(F.col("version").isNotNull(), F.array("version")).otherwise(texts)
-    return transformations.select("view", digest(texts).alias("checksum"))
+    return normalized.select("view", texts.alias("texts")).select("view", digest(F.col("texts")).alias("checksum"))
 
 
 def transformation_changes(state: DataFrame, transformations: DataFrame) -> DataFrame:
