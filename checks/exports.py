@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from checks.common import table
 from viewforge.exports import files, jdbc, kv, message, warehouse
-from viewforge.exports.common import export_counters, partition_filter_column, partition_filter_text
+from viewforge.exports.common import FILE_WRITERS, export_counters, partition_filter_column, partition_filter_text
 from viewforge.functions.dates import date_id, month_id, month_text, year_text
 from viewforge.functions.digests import anonymize, complex_to_json
 from viewforge.session import scratch_path
@@ -70,6 +70,36 @@ def kv_encode_string(spark, sf_dir):
     return kv.kv_encode_string(rows, "c_custkey", "segment", prefix="segment", private=["segment"], salt=SALT)
 
 
+def _exported(spark, sf_dir, path, rows, filter_text):
+    """Rows of one export as its temporary table holds them, with one task's rows inserted twice."""
+
+    def write(numbered, url, name):
+        numbered.write.parquet(path)
+        numbered.where(F.col("export_row") % 3 == 0).write.mode("append").parquet(path)
+
+    jdbc.jdbc_export(rows, "jdbc:derby:memory:none", "db", "t", lambda s: None, lambda t: False, filter_text, write=write)
+    return spark.read.parquet(path)
+
+
+def jdbc_write_query(spark, sf_dir):
+    """Encoded, numbered and stored; the repeated rows count once."""
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    staged = _exported(spark, sf_dir, scratch_path(spark, "jdbc_write"), rows, "status = 'all'")
+    return jdbc.merged_rows(None, staged, "status = 'all'")
+
+
+def jdbc_merge_commit(spark, sf_dir):
+    """Two partitions are in the target; one of them is exported again."""
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    target = None
+    for status, factor in (("O", 1), ("F", 1), ("F", -1)):
+        text = f"status = '{status}'"
+        part = rows.where(F.col("o_orderstatus") == status).withColumn("o_totalprice", F.col("o_totalprice") * factor)
+        staged = _exported(spark, sf_dir, scratch_path(spark, "jdbc_merge"), part, text)
+        target = jdbc.merged_rows(target, staged, text)
+    return target
+
+
 def _map_text(column):
     return F.array_join(F.transform(F.array_sort(F.map_entries(column)), lambda e: F.concat_ws("=", e["key"], e["value"])), ",")
 
@@ -188,6 +218,7 @@ def upload_files_query(spark, sf_dir):
         lambda: FolderUploader(remote),
         files.remote_prefix("db", "customer"),
         datetime(2024, 5, 1, 10),
+        writers=FILE_WRITERS,
         header=False,
     )
     return spark.read.schema("c_custkey long, c_mktsegment string").csv(remote, sep="\t")
@@ -267,6 +298,8 @@ QUERIES = {
     "complex_to_json": complex_to_json_query,
     "export_counters": export_counters_query,
     "jdbc_encode": jdbc_encode_query,
+    "jdbc_write": jdbc_write_query,
+    "jdbc_merge_commit": jdbc_merge_commit,
     "kv_encode_string": kv_encode_string,
     "kv_encode_hash": kv_encode_hash,
     "kv_encode_list": kv_encode_list,
@@ -318,6 +351,9 @@ ORACLE = {
     "jdbc_encode": f"SELECT o_orderkey, md5(o_custkey || '{SALT}') AS customer, "
     "'[\"' || o_orderstatus || '\",\"' || o_orderpriority || '\"]' AS marks, strftime(o_orderdate, '%Y') AS data_year, "
     "strftime(o_orderdate, '%m') AS data_month, 'source=ordersandrun=202405' AS used_filter FROM orders",
+    "jdbc_write": "SELECT o_orderkey, o_orderstatus, 'status=all' AS used_filter FROM orders",
+    "jdbc_merge_commit": "SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderstatus = 'F' THEN -o_totalprice ELSE o_totalprice END "
+    "AS o_totalprice, 'status=' || o_orderstatus AS used_filter FROM orders WHERE o_orderstatus IN ('O', 'F')",
     "kv_encode_string": STRING_SQL,
     "kv_write": STRING_SQL,
     "kv_encode_hash": f"SELECT 'map_' || id AS key, 'k=' || k || ',none=null' AS value FROM {EVENTS_SQL} e UNION ALL "

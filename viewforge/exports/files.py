@@ -9,7 +9,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from viewforge.exports.common import FILE_WRITERS
 from viewforge.exports.message import message_encode
 from viewforge.functions.digests import DEFAULT_SALT, anonymize, complex_to_json
 
@@ -32,9 +31,12 @@ def export_csv(
     codec: str = "gzip",
     private: Sequence[str] = (),
     salt: str = DEFAULT_SALT,
-    writers: int | None = FILE_WRITERS,
+    writers: int | None = None,
 ) -> None:
-    """Quoted delimited files; an inner quote is doubled."""
+    """Quoted delimited files; an inner quote is doubled.
+
+    One file per partition of the frame, or ``writers`` files after a shuffle.
+    """
     if len(delimiter) != 1:
         raise ValueError("the delimiter has to be one character")
     if codec not in CODEC_ENDINGS:
@@ -56,13 +58,17 @@ def export_json_lines(
     codec: str = "gzip",
     private: Sequence[str] = (),
     salt: str = DEFAULT_SALT,
-    writers: int | None = FILE_WRITERS,
+    writers: int | None = None,
 ) -> None:
     rows = json_lines_encode(df, private, salt)
     rows = rows.repartition(writers) if writers else rows
     rows.write.mode("overwrite").option("compression", codec).text(path)
 
 
+def _spread(files: DataFrame, writers: int | None) -> DataFrame:
+    return files.repartition(writers, "source") if writers else files.repartition("source")
+
+
 def remote_prefix(database: str, table: str) -> str:
     return f"{database}-{table}"
 
@@ -75,10 +81,10 @@ def upload_files(
     at: datetime,
     kind: str = "csv",
     codec: str = "gzip",
-    writers: int = FILE_WRITERS,
+    writers: int | None = None,
     **options,
 ) -> DataFrame:
-    """Write one file per writer under ``scratch``, then send each from a task of its own.
+    """Write files under ``scratch``, one per partition or per writer, then send each once.
 
     ``uploader_factory()`` gives a function ``(local uri, remote name)``. Remote
     names are ``<prefix>-<UTC time>-<task>-<n><ending>`` and depend only on the
@@ -111,7 +117,7 @@ def upload_files(
                 uploader(source, remote)
             yield pd.DataFrame(part)
 
-    sent = checkpointed(files.repartition(writers, "source").mapInPandas(send, "source string, remote string"))
+    sent = checkpointed(_spread(files, writers).mapInPandas(send, "source string, remote string"))
     folder = spark._jvm.org.apache.hadoop.fs.Path(scratch)
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
     return sent

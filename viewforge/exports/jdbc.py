@@ -154,7 +154,7 @@ def merge_statements(
     if not table_exists:
         statements.append(create_statement(table, schema, dialect, **options))
     elif filter_text is not None:
-        compact = filter_text.translate(str.maketrans("", "", " '\";"))
+        compact = filter_text.translate(str.maketrans("", "", " '\""))
         statements.append(f"DELETE FROM {table} WHERE {FILTER_COLUMN} = '{compact}'")
     names = ", ".join(f.name for f in schema)
     statements.append(
@@ -165,6 +165,19 @@ def merge_statements(
     return statements
 
 
+def merged_rows(target: DataFrame | None, staged: DataFrame, filter_text: str | None = None) -> DataFrame:
+    """What :func:`merge_statements` leaves in the target, as a frame over copies of both tables.
+
+    Serves to check a target after an export, and to merge where the target is a
+    table Spark itself keeps.
+    """
+    new = staged.dropDuplicates([ROW_COLUMN]).drop(ROW_COLUMN)
+    if target is None or filter_text is None:
+        return new
+    replaced = compact_filter(filter_text)
+    return target.where(~F.col(FILTER_COLUMN).eqNullSafe(replaced)).unionByName(new)
+
+
 def numbered(encoded: DataFrame) -> DataFrame:
     """Rows with a fixed number each, kept in the shared folder so that retries see the same numbers."""
     return checkpointed(encoded.withColumn(ROW_COLUMN, F.monotonically_increasing_id()))

@@ -7,6 +7,7 @@ from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from viewforge.functions.dates import date_id, day_text, month_id, month_text, year_text
 from viewforge.model import ViewDef, escape_path_value
@@ -86,9 +87,22 @@ def select_all(spark: SparkSession, view: ViewDef, path: str, params: Mapping[st
 def select_all_ordered(
     spark: SparkSession, view: ViewDef, path: str, params: Mapping[str, object], order_by: str
 ) -> DataFrame:
-    """Like :func:`select_all`, sorted by the text of one column with null as empty text."""
+    """Like :func:`select_all`, sorted by the text of one column with null as empty text.
+
+    The other columns break ties, so that many equal values do not end up in one
+    sort task and the order is always the same.
+    """
     rows = select_all(spark, view, path, params)
-    return rows.orderBy(F.coalesce(F.col(order_by).cast("string"), F.lit("")))
+    ties = [f.column for f in view.ordered_fields if f.column != order_by and _orderable(f.data_type)]
+    return rows.orderBy(F.coalesce(F.col(order_by).cast("string"), F.lit("")), *ties)
+
+
+def _orderable(data_type: T.DataType) -> bool:
+    if isinstance(data_type, T.StructType):
+        return all(_orderable(f.dataType) for f in data_type)
+    if isinstance(data_type, T.ArrayType):
+        return _orderable(data_type.elementType)
+    return not isinstance(data_type, T.MapType)
 
 
 def write_suffix_tables(df: DataFrame, view: ViewDef, root: str) -> DataFrame:

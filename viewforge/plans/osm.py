@@ -103,11 +103,13 @@ def nodes_with_geohash(nodes: DataFrame) -> DataFrame:
 def tagged_nodes(nodes: DataFrame, node_tags: DataFrame) -> DataFrame:
     """Nodes that have tags, each with its tag map.
 
-    Tags are folded to one row per node before the join, which then moves every
-    node once. Repeated node rows collapse on the partitioning the join uses.
+    Both sides shrink before the join: tags are folded to one row per node and
+    repeated node rows collapse, each with partial results on the map side.
+    Nothing after the join needs its partitioning, so adaptive execution may
+    split a node id that still has very many rows.
     """
     tags = collect_map(node_tags, ["node_id"], "key", "value")
-    single = nodes.repartition("id").groupBy(*NODE_COLUMNS).agg(F.lit(1).alias("_one")).drop("_one")
+    single = nodes.select(*NODE_COLUMNS).distinct()
     return single.join(tags, single["id"] == tags["node_id"]).drop("node_id")
 
 
