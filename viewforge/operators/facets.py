@@ -116,7 +116,8 @@ def facet_page(df: DataFrame, key: str, page: int, size: int) -> DataFrame:
         df.orderBy(key)
         .offset(page * size)
         .limit(size)
-        .withColumns({"total": total, "pages": F.ceil(total / F.lit(size)).cast("long")})
+        .withColumn("total", total)
+        .withColumn("pages", F.ceil(F.col("total") / F.lit(size)).cast("long"))
     )
 
 

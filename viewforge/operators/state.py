@@ -143,7 +143,10 @@ def materialization(
         )
         nodes = checkpointed(merged)
         level += 1
-        if nodes.where(F.col("round") == level).isEmpty():
+        progress = nodes.agg(
+            F.count_if(F.col("round").isNull()).alias("waiting"), F.count_if(F.col("round") == level).alias("settled")
+        ).first()
+        if not progress.waiting or not progress.settled:
             return _outcome(nodes, now, mode)
 
 
