@@ -9,6 +9,7 @@ from checks.common import table
 from viewforge.functions.dates import month_id, month_text, year_text
 from viewforge.operators import facets, fixtures, lineage, partitions, profile
 from viewforge.operators.facets import Facet
+from viewforge.session import scratch_path
 
 # ---------------------------------------------------------------- profiles
 
@@ -86,7 +87,16 @@ def sample_partition(spark, sf_dir):
 
 
 def partition_stats(spark, sf_dir):
-    return profile.partition_stats(_orders(spark, sf_dir), ["year", "month"], "o_orderdate")
+    stats = profile.partition_stats(_orders(spark, sf_dir), ["year", "month"], "o_orderdate")
+    return stats.withColumn("last_change", F.date_format("last_change", "yyyy-MM-dd HH:mm:ss"))
+
+
+def partition_sizes(spark, sf_dir):
+    """File listings of a table written by year; sizes depend on the codec, so only their presence is compared."""
+    path = scratch_path(spark, "partition_sizes")
+    _orders(spark, sf_dir).select("o_orderkey", "o_custkey", "year").write.partitionBy("year").parquet(path)
+    sizes = profile.partition_sizes(spark, path, ["year"])
+    return sizes.select("year", (F.col("n_bytes") > 0).alias("has_bytes"), (F.col("n_files") > 0).alias("has_files"))
 
 
 def table_last_transformation(spark, sf_dir):
@@ -124,7 +134,8 @@ def top_tables(spark, sf_dir):
 
 def latest_activities(spark, sf_dir):
     events = table(spark, sf_dir, "events").select(F.col("event_id").alias("activity_id"), "ts", "event_type")
-    return profile.latest_activities(events)
+    latest = profile.latest_activities(events)
+    return latest.withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
 
 
 def partition_page(spark, sf_dir):
@@ -383,6 +394,7 @@ QUERIES = {
     "profile_long": profile_long,
     "sample_partition": sample_partition,
     "partition_stats": partition_stats,
+    "partition_sizes": partition_sizes,
     "table_last_transformation": table_last_transformation,
     "parameter_values": parameter_values,
     "distinct_parameters": distinct_parameters,
@@ -477,7 +489,8 @@ ORACLE = {
     "sample_partition": "SELECT o_orderkey, o_custkey, '1997' AS year, '05' AS month FROM orders "
     "WHERE strftime(o_orderdate, '%Y%m') = '199705' ORDER BY o_orderkey LIMIT 10",
     "partition_stats": "SELECT strftime(o_orderdate, '%Y') AS year, strftime(o_orderdate, '%m') AS month, COUNT(*) AS n_rows, "
-    "MAX(o_orderdate) AS last_change FROM orders GROUP BY 1, 2",
+    "strftime(MAX(o_orderdate), '%Y-%m-%d %H:%M:%S') AS last_change FROM orders GROUP BY 1, 2",
+    "partition_sizes": "SELECT DISTINCT strftime(o_orderdate, '%Y') AS year, true AS has_bytes, true AS has_files FROM orders",
     "table_last_transformation": "SELECT 't' || c_custkey AS table_name, CAST(COALESCE(m, -c_nationkey) AS BIGINT) AS last_transformation "
     "FROM customer LEFT JOIN (SELECT o_custkey, MAX(o_orderkey) AS m FROM orders GROUP BY 1) o ON o_custkey = c_custkey",
     "parameter_values": "SELECT parameter, string_agg(v, ',' ORDER BY first_text, v) AS vals FROM (SELECT parameter, v, "
@@ -487,7 +500,8 @@ ORACLE = {
     f"AS name, UNNEST([0, 1, 2]) AS position FROM {PARTITIONS_SQL} p) x GROUP BY name",
     "distinct_owners": "SELECT DISTINCT source AS owner FROM documents WHERE source <> 'src3'",
     "top_tables": "SELECT source AS table_name, COUNT(*) AS view_count FROM documents GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5",
-    "latest_activities": "SELECT event_id AS activity_id, ts, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 10",
+    "latest_activities": "SELECT activity_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, event_type FROM "
+    "(SELECT event_id AS activity_id, ts, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 10) e",
     "partition_page": f"SELECT partition, view, ts FROM {PARTITIONS_SQL} p ORDER BY partition LIMIT 15 OFFSET 30",
     "partition_position": f"SELECT COUNT(*) AS position FROM {PARTITIONS_SQL} p WHERE partition < 'year=1998/month=03/status=O'",
     "status_overview": f"SELECT state AS status, COUNT(*) AS n_partitions FROM {PARTITIONS_SQL} p GROUP BY state",

@@ -173,7 +173,7 @@ CLAUSES: dict[str, tuple] = {
     "q_agg": (
         ["lineitem"],
         "SELECT l_returnflag, COUNT(*) AS n, COUNT(l_tax) AS n_tax, "
-        "CAST(SUM(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS total, MIN(l_shipdate) AS first_ship, "
+        "CAST(SUM(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS total, CAST(CAST(MIN(l_shipdate) AS DATE) AS VARCHAR(10)) AS first_ship, "
         "MAX(l_extendedprice) AS highest, ROUND(AVG(l_quantity), 4) AS average, "
         "ROUND(STDDEV_POP(l_quantity), 4) AS deviation, COUNT(DISTINCT l_orderkey) AS n_orders "
         "FROM lineitem GROUP BY l_returnflag",

@@ -30,11 +30,11 @@ def _range(build):
     def query(spark, sf_dir):
         ranged = _days(spark, sf_dir).withColumn("r", build(F.col("day")))
         return ranged.select(
-            "day",
+            F.col("day").cast("string").alias("day"),
             "n",
             F.size("r").alias("length"),
-            F.get("r", 0).alias("newest"),
-            F.try_element_at("r", F.lit(-1)).alias("oldest"),
+            F.get("r", 0).cast("string").alias("newest"),
+            F.try_element_at("r", F.lit(-1)).cast("string").alias("oldest"),
         )
 
     return query
@@ -45,7 +45,7 @@ def _exploded(build):
 
     def query(spark, sf_dir):
         rows = _days(spark, sf_dir).select("n", F.explode(build(F.col("day"))).alias("d"))
-        return rows.groupBy("d").agg(F.sum("n").alias("n_orders"))
+        return rows.groupBy(F.col("d").cast("string").alias("d")).agg(F.sum("n").alias("n_orders"))
 
     return query
 
@@ -53,7 +53,7 @@ def _exploded(build):
 def _prev(function):
     def query(spark, sf_dir):
         orders = table(spark, sf_dir, "orders")
-        return orders.select("o_orderkey", function(F.col("o_orderdate"), EARLIEST).alias("before"))
+        return orders.select("o_orderkey", function(F.col("o_orderdate"), EARLIEST).cast("string").alias("before"))
 
     return query
 
@@ -61,7 +61,8 @@ def _prev(function):
 def _per_month(build):
     def query(spark, sf_dir):
         months = _days(spark, sf_dir).groupBy(F.trunc("day", "month").alias("month")).agg(F.sum("n").alias("n"))
-        return months.select("n", "month", F.explode(build(F.col("month"))).alias("d"))
+        rows = months.select("n", "month", F.explode(build(F.col("month"))).alias("d"))
+        return rows.withColumns({"month": F.col("month").cast("string"), "d": F.col("d").cast("string")})
 
     return query
 
@@ -102,7 +103,8 @@ E = f"DATE '{EARLIEST}'"
 
 def _range_sql(low: str, high: str, step: str) -> str:
     return (
-        "SELECT day, n, CAST(LEN(r) AS INT) AS length, CAST(r[LEN(r)] AS DATE) AS newest, CAST(r[1] AS DATE) AS oldest "
+        "SELECT CAST(day AS VARCHAR) AS day, n, CAST(LEN(r) AS INT) AS length, CAST(CAST(r[LEN(r)] AS DATE) AS VARCHAR) AS newest, "
+        "CAST(CAST(r[1] AS DATE) AS VARCHAR) AS oldest "
         f"FROM (SELECT day, n, generate_series(CAST({low} AS TIMESTAMP), CAST({high} AS TIMESTAMP), INTERVAL 1 {step}) AS r "
         f"FROM {DAYS} d) x"
     )
@@ -110,16 +112,16 @@ def _range_sql(low: str, high: str, step: str) -> str:
 
 def _exploded_sql(low: str, high: str, step: str) -> str:
     return (
-        "SELECT CAST(d AS DATE) AS d, CAST(SUM(n) AS BIGINT) AS n_orders FROM (SELECT n, "
+        "SELECT CAST(CAST(d AS DATE) AS VARCHAR) AS d, CAST(SUM(n) AS BIGINT) AS n_orders FROM (SELECT n, "
         f"UNNEST(generate_series(CAST({low} AS TIMESTAMP), CAST({high} AS TIMESTAMP), INTERVAL 1 {step})) AS d "
         f"FROM {DAYS} x) y GROUP BY 1"
     )
 
 
 ORACLE = {
-    "prev_day": f"SELECT o_orderkey, CASE WHEN o_orderdate > {E} THEN CAST(o_orderdate AS DATE) - 1 END AS before FROM orders",
-    "prev_month": f"SELECT o_orderkey, CASE WHEN date_trunc('month', o_orderdate) > {E} THEN "
-    "CAST(date_trunc('month', o_orderdate) - INTERVAL 1 MONTH AS DATE) END AS before FROM orders",
+    "prev_day": f"SELECT o_orderkey, CAST(CASE WHEN o_orderdate > {E} THEN CAST(o_orderdate AS DATE) - 1 END AS VARCHAR) AS before FROM orders",
+    "prev_month": f"SELECT o_orderkey, CAST(CASE WHEN date_trunc('month', o_orderdate) > {E} THEN "
+    "CAST(date_trunc('month', o_orderdate) - INTERVAL 1 MONTH AS DATE) END AS VARCHAR) AS before FROM orders",
     "day_range": _exploded_sql(f"GREATEST(day - 20, {E})", "day", "DAY"),
     "month_range": _range_sql(f"date_trunc('month', GREATEST(day, {E}))", f"date_trunc('month', DATE '{LATEST}')", "MONTH"),
     "this_and_prev_days": _range_sql(E, "day", "DAY"),
@@ -127,8 +129,8 @@ ORACLE = {
     "this_and_prev_months": _exploded_sql(f"date_trunc('month', {E})", "date_trunc('month', day)", "MONTH"),
     "all_days": _range_sql("day", f"DATE '{LATEST}'", "DAY"),
     "all_months": _range_sql("date_trunc('month', day)", f"date_trunc('month', DATE '{LATEST}')", "MONTH"),
-    "all_days_of_month": "SELECT CAST(n AS BIGINT) AS n, month, CAST(UNNEST(generate_series(CAST(month AS TIMESTAMP), "
-    "CAST(last_day(month) AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS d FROM "
+    "all_days_of_month": "SELECT CAST(n AS BIGINT) AS n, CAST(month AS VARCHAR) AS month, CAST(CAST(UNNEST(generate_series(CAST(month AS TIMESTAMP), "
+    "CAST(last_day(month) AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS VARCHAR) AS d FROM "
     f"(SELECT CAST(date_trunc('month', day) AS DATE) AS month, SUM(n) AS n FROM {DAYS} d GROUP BY 1) m",
     "last_days": _exploded_sql(f"GREATEST(day - 7, {E})", "day", "DAY"),
     "last_months": _exploded_sql(

@@ -31,12 +31,13 @@ FUNCTIONS: dict[str, tuple] = {
         ["events"],
         "SELECT event_id, YEAR(ts) AS y, MONTH(ts) AS m, EXTRACT(DAY FROM ts) AS d, EXTRACT(HOUR FROM ts) AS h, "
         "UNIX_TIMESTAMP(ts) AS seconds, ts >= TIMESTAMP '2024-01-15 12:00:00' AS late, "
-        "CAST(ts AS DATE) + INTERVAL 3 DAY AS three_on, DATE '2024-02-01' > CAST(ts AS DATE) AS in_january, "
-        "ts + INTERVAL 90 MINUTE AS later FROM events",
+        "CAST(CAST(ts AS DATE) + INTERVAL 3 DAY AS STRING) AS three_on, DATE '2024-02-01' > CAST(ts AS DATE) AS in_january, "
+        "DATE_FORMAT(ts + INTERVAL 90 MINUTE, 'yyyy-MM-dd HH:mm:ss.SSSSSS') AS later FROM events",
         "SELECT event_id, CAST(YEAR(ts) AS INT) AS y, CAST(MONTH(ts) AS INT) AS m, CAST(EXTRACT(DAY FROM ts) AS INT) AS d, "
         "CAST(EXTRACT(HOUR FROM ts) AS INT) AS h, CAST(FLOOR(EPOCH(ts)) AS BIGINT) AS seconds, "
-        "ts >= TIMESTAMP '2024-01-15 12:00:00' AS late, CAST(CAST(ts AS DATE) + INTERVAL 3 DAY AS DATE) AS three_on, "
-        "DATE '2024-02-01' > CAST(ts AS DATE) AS in_january, ts + INTERVAL 90 MINUTE AS later FROM events",
+        "ts >= TIMESTAMP '2024-01-15 12:00:00' AS late, CAST(CAST(CAST(ts AS DATE) + INTERVAL 3 DAY AS DATE) AS VARCHAR) AS three_on, "
+        "DATE '2024-02-01' > CAST(ts AS DATE) AS in_january, "
+        "strftime(ts + INTERVAL 90 MINUTE, '%Y-%m-%d %H:%M:%S.%f') AS later FROM events",
     ),
     "f_math": (
         ["lineitem"],

@@ -11,6 +11,7 @@ from viewforge.functions.dates import month_id, month_text, year_text
 from viewforge.model import (
     Csv,
     Field,
+    InOutputFormat,
     Json,
     Orc,
     Parquet,
@@ -121,26 +122,26 @@ def text_regex(spark, sf_dir):
     return read_view(spark, URLS, path)
 
 
-def sequence(spark, sf_dir):
-    view = replace(
-        CUSTOMERS,
-        fields=[*CUSTOMERS.fields, *CUSTOMERS.partitions],
-        partitions=(),
-        storage=SequenceFile(TextFile()),
-    )
-    path = scratch_path(spark, "sequence")
-    write_view(table(spark, sf_dir, "customer"), view, path)
-    return read_view(spark, view, path)
+FLAT_CUSTOMERS = replace(CUSTOMERS, fields=[*CUSTOMERS.fields, *CUSTOMERS.partitions], partitions=())
+
+
+def _flat_round_trip(storage, label):
+    def query(spark, sf_dir):
+        view = replace(FLAT_CUSTOMERS, storage=storage)
+        path = scratch_path(spark, label)
+        write_view(table(spark, sf_dir, "customer"), view, path)
+        return read_view(spark, view, path)
+
+    return query
 
 
 def ingest(spark, sf_dir):
     """Tab separated files in nested folders become one Parquet view."""
     source, target = scratch_path(spark, "ingest"), scratch_path(spark, "ingested")
-    flat = replace(CUSTOMERS, fields=[*CUSTOMERS.fields, *CUSTOMERS.partitions], partitions=())
-    rows = conform(table(spark, sf_dir, "customer"), flat)
+    rows = conform(table(spark, sf_dir, "customer"), FLAT_CUSTOMERS)
     for folder, condition in (("low/a", F.col("c_acctbal") < 1000), ("high", F.col("c_acctbal") >= 1000)):
         rows.where(condition).write.csv(f"{source}/{folder}", sep="\t", nullValue="\\N")
-    return ingest_files(spark, source, flat, target, recursive=True)
+    return ingest_files(spark, source, FLAT_CUSTOMERS, target, recursive=True)
 
 
 # ---------------------------------------------------------------- partitions
@@ -284,7 +285,11 @@ QUERIES = {
     "fmt_text_opencsv": _round_trip(Csv(separator="\t", quote='"', escape="\\"), "opencsv"),
     "fmt_text_delimited": text_delimited,
     "fmt_text_regex": text_regex,
-    "fmt_sequence": sequence,
+    "fmt_sequence": _flat_round_trip(SequenceFile(TextFile()), "sequence"),
+    "fmt_in_out_format": _flat_round_trip(
+        InOutputFormat("org.apache.hadoop.mapred.TextInputFormat", "org.apache.hadoop.mapred.TextOutputFormat"),
+        "in_out_format",
+    ),
     "ingest_files": ingest,
     "conform_to_view": conform_to_view,
     "with_job_metadata": job_metadata,
@@ -299,7 +304,7 @@ QUERIES = {
 }
 
 ORACLE = {
-    **{f"fmt_{f}": CUSTOMER_SQL for f in ("parquet", "orc", "json", "csv", "text_opencsv", "sequence")},
+    **{f"fmt_{f}": CUSTOMER_SQL for f in ("parquet", "orc", "json", "csv", "text_opencsv", "sequence", "in_out_format")},
     "fmt_text_delimited": "SELECT event_id AS id, event_type || '+e' AS kinds, CAST(props->>'$.k' AS INT) * 2 AS twice, "
     "user_id AS place_user, value AS place_value, CAST(props->>'$.k' AS INT) AS step_b, "
     "NULLIF(event_type, 'click') AS note FROM events",

@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
+from py4j.protocol import Py4JJavaError
+from pyspark import RDD
 from pyspark.sql import Column, DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -132,8 +134,30 @@ def _csv_options(storage: Csv) -> dict[str, str]:
     }
 
 
-def _needs_hive(view: ViewDef) -> bool:
-    return isinstance(view.storage, (RecordColumnarFile, InOutputFormat, Avro))
+# Key and value classes of Hadoop files of text lines.
+LINE_KEY = "org.apache.hadoop.io.LongWritable"
+NULL_KEY = "org.apache.hadoop.io.NullWritable"
+LINE_VALUE = "org.apache.hadoop.io.Text"
+
+
+def _has_avro_source(spark: SparkSession) -> bool:
+    try:
+        spark._jvm.java.lang.Class.forName("org.apache.spark.sql.avro.AvroFileFormat")
+    except Py4JJavaError:
+        return False
+    return True
+
+
+def _needs_hive(spark: SparkSession, view: ViewDef) -> bool:
+    """Input/output formats with a serde, RCFile, and Avro where Spark's own Avro source is missing."""
+    match view.storage:
+        case RecordColumnarFile():
+            return True
+        case InOutputFormat(serde=serde):
+            return serde is not None
+        case Avro():
+            return not _has_avro_source(spark)
+    return False
 
 
 def _require_hive(spark: SparkSession, view: ViewDef) -> None:
@@ -169,14 +193,11 @@ def write_view(
         rows = rows.hint("rebalance", *(F.col(c) for c in partitions))
 
     storage = view.storage
-    if _needs_hive(view):
+    if _needs_hive(df.sparkSession, view):
         _write_hive_table(rows, view, path, mode)
         return
-    if isinstance(storage, SequenceFile):
-        if partitions:
-            raise ValueError("partitioned sequence files need a session with Hive support")
-        lines = rows.select(encode_line(view, storage.text).alias("value"))
-        lines.rdd.map(lambda r: (None, r.value)).saveAsSequenceFile(path)
+    if isinstance(storage, (SequenceFile, InOutputFormat)):
+        _write_hadoop_lines(rows, view, path, mode)
         return
 
     options: dict[str, str] = dict(view.write_options)
@@ -187,6 +208,9 @@ def write_view(
             source = "parquet"
         case Orc():
             source = "orc"
+        case Avro(schema_path):
+            source = "avro"
+            options = {"avroSchemaUrl": schema_path, **options}
         case Json():
             source = "json"
             options.setdefault("ignoreNullFields", "false")
@@ -231,12 +255,36 @@ def read_view(spark: SparkSession, view: ViewDef, path: str) -> DataFrame:
             lines = reader.format("text").load(path)
             return lines.select(*regex_columns(F.col("value"), view, storage.pattern), *_partition_columns(view))
         case SequenceFile(text):
-            lines = spark.sparkContext.sequenceFile(path).map(lambda kv: (kv[1],)).toDF("value string")
-            return lines.select(*decode_line(F.col("value"), view, text))
+            lines = spark.sparkContext.sequenceFile(path)
+            return _lines_frame(spark, lines).select(*decode_line(F.col("value"), view, text))
+        case InOutputFormat(input=input_class, serde=None):
+            lines = spark.sparkContext.hadoopFile(path, input_class, LINE_KEY, LINE_VALUE)
+            return _lines_frame(spark, lines).select(*decode_line(F.col("value"), view, TextFile()))
+        case Avro(schema_path) if _has_avro_source(spark):
+            return spark.read.format("avro").option("avroSchemaUrl", schema_path).load(path)
     _require_hive(spark, view)
     return spark.table(view.table_name())
 
 
+def _lines_frame(spark: SparkSession, keyed_lines: RDD) -> DataFrame:
+    return spark.createDataFrame(keyed_lines.map(lambda kv: (kv[1],)), "value string", verifySchema=False)
+
+
+def _write_hadoop_lines(rows: DataFrame, view: ViewDef, path: str, mode: str) -> None:
+    """Delimited lines in a sequence file or a custom Hadoop format; Spark has no DataFrame sink for them."""
+    if view.partitions:
+        raise ValueError(f"partitioned {type(view.storage).__name__} tables need a session with Hive support")
+    text = view.storage.text if isinstance(view.storage, SequenceFile) else TextFile()
+    lines = rows.select(encode_line(view, text).alias("value")).rdd.map(lambda r: (None, r.value))
+    if mode == "overwrite":
+        target = rows.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(rows.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
+    if isinstance(view.storage, SequenceFile):
+        lines.saveAsSequenceFile(path)
+    else:
+        lines.saveAsHadoopFile(path, view.storage.output, keyClass=NULL_KEY, valueClass=LINE_VALUE)
+
+
 def regex_columns(line: Column, view: ViewDef, pattern: str) -> list[Column]:
     """One capture group per column. The whole line has to match, else all are null."""
     anchored = f"^(?:{pattern})$"
