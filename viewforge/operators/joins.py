@@ -2,10 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 
+SPREAD = "_spread"
+
+
+def spread_hash(columns: Sequence[str]) -> Column:
+    return F.xxhash64(*columns).alias(SPREAD)
+
+
+def group_for_join(df: DataFrame, columns: Sequence[str]) -> GroupedData:
+    """``df.groupBy(columns)`` for a result that is then joined on the same columns.
+
+    Adaptive execution splits a hot key only where both sides of a join come
+    straight from a shuffle. An aggregate on the join columns would lend the join
+    its own partitioning instead and leave the other side's hot key in one task.
+    Grouping by a hash of the columns as well gives the same groups but another
+    partitioning, so the join shuffles the small aggregate once more and may be
+    split. Drop :data:`SPREAD` from the result.
+    """
+    return df.groupBy(*columns, spread_hash(columns))
+
+
 def not_in(df: DataFrame, column: str, values: DataFrame) -> DataFrame:
     """Rows with ``column NOT IN (values)``, nulls treated as SQL does.
 
@@ -17,7 +39,7 @@ def not_in(df: DataFrame, column: str, values: DataFrame) -> DataFrame:
     """
     name = values.columns[0]
     value = values.select(F.col(name).alias("_value"))
-    known = value.distinct()
+    known = group_for_join(value, ["_value"]).agg(F.lit(True).alias("_present")).select("_value")
     counts = value.agg(F.count(F.lit(1)).alias("n"), F.count("_value").alias("n_known"))
     n, n_known = counts.select("n").scalar(), counts.select("n_known").scalar()
     unmatched = df.join(known, F.col(column) == F.col("_value"), "left_anti")

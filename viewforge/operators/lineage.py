@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from viewforge.operators.joins import group_for_join
 from viewforge.session import checkpointed
 
 
@@ -100,17 +101,20 @@ def blackbox_lineage(fields: DataFrame, table_edges: DataFrame, explicit: DataFr
     each field depend on itself.
     """
     named = fields.select("view", "field")
-    edges = table_edges.select("view", "dep_view").distinct()
-    if explicit is not None:
-        declared_views = explicit.select("view").distinct()
-        named_open = named.join(declared_views, "view", "left_anti")
+    edges = table_edges.select("view", "dep_view")
+    if explicit is None:
+        open_edges, settled = edges, edges.select("view")
     else:
-        named_open = named
+        declared = explicit.select("view").distinct()
+        open_edges = edges.join(declared, "view", "left_anti")
+        settled = edges.select("view").unionByName(explicit.select("view"))
+    # Edges first meet the fields they come from: an edge to a view without fields
+    # ends there, instead of being repeated for every field of its own view.
     of_deps = named.select(F.col("view").alias("dep_view"), F.col("field").alias("dep_field"))
-    derived = (
-        named_open.join(edges, "view").join(of_deps, "dep_view").select("view", "field", "dep_view", "dep_field")
-    )
-    own = named_open.join(edges.select("view").distinct(), "view", "left_anti").select(
+    sources = open_edges.distinct().join(of_deps, "dep_view")
+    derived = named.join(sources, "view").select("view", "field", "dep_view", "dep_field")
+    with_lineage = group_for_join(settled, ["view"]).agg(F.lit(True).alias("_settled")).select("view")
+    own = named.join(with_lineage, "view", "left_anti").select(
         "view", "field", F.col("view").alias("dep_view"), F.col("field").alias("dep_field")
     )
     result = derived.unionByName(own)

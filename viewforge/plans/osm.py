@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from viewforge.functions.geo import geohash
 from viewforge.model import CREATED_AT, CREATED_BY, ID, MONTHLY, OCCURRED_AT, Csv, Field, ViewDef
 from viewforge.operators.collect import collect_map
+from viewforge.operators.joins import SPREAD, group_for_join
 from viewforge.operators.views import conform, with_job_metadata
 from viewforge.sources.files import read_tsv
 
@@ -182,11 +183,12 @@ def counts_by_area(shop_rows: DataFrame, restaurant_rows: DataFrame, station_row
         .unionByName(tagged(restaurant_rows, "restaurant"))
         .unionByName(tagged(station_rows, "station"))
     )
-    return stacked.where(F.col("area").isNotNull()).groupBy("area").agg(
+    counts = group_for_join(stacked.where(F.col("area").isNotNull()), ["area"]).agg(
         F.count_if(F.col("kind") == "shop").alias("n_shops"),
         F.count_if(F.col("kind") == "restaurant").alias("n_restaurants"),
         F.count_if(F.col("kind") == "station").alias("n_stations"),
     )
+    return counts.drop(SPREAD)
 
 
 def shop_profiles(
