@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
 import uuid
 from datetime import datetime
 
@@ -15,7 +14,7 @@ from viewforge.exports.common import FILE_WRITERS, export_counters, partition_fi
 from viewforge.functions.dates import date_id, month_id, month_text, year_text
 from viewforge.functions.digests import anonymize, complex_to_json
 from viewforge.session import scratch_path
-from viewforge.sources.files import distributed_copy
+from viewforge.sources.files import copy_file, distributed_copy, open_uri
 
 SALT = "vD75MqvaasIlCf7H"
 
@@ -131,20 +130,23 @@ class FileKeyValueClient:
     """Keeps what it is sent in one file per connection."""
 
     def __init__(self, folder: str):
-        os.makedirs(folder, exist_ok=True)
-        self.out = open(f"{folder}/{uuid.uuid4().hex}.json", "w")
+        system, path = open_uri(folder)
+        system.create_dir(path, recursive=True)
+        self.out = system.open_output_stream(f"{path}/{uuid.uuid4().hex}.json")
+
+    def _line(self, entry):
+        self.out.write(json.dumps(entry).encode() + b"\n")
 
     def delete(self, keys):
-        self.out.write(json.dumps({"op": "delete", "n": len(keys)}) + "\n")
+        self._line({"op": "delete", "n": len(keys)})
 
     def put(self, items):
         for key, value in items:
-            self.out.write(json.dumps({"op": "put", "key": key, "value": value}) + "\n")
+            self._line({"op": "put", "key": key, "value": value})
 
     def send(self, topic, items):
         for key, value in items:
-            text = bytes(value).hex() if isinstance(value, (bytes, bytearray)) else value
-            self.out.write(json.dumps({"topic": topic, "key": key, "value": text}) + "\n")
+            self._line({"topic": topic, "key": key, "value": value})
 
     def flush(self):
         self.out.flush()
@@ -199,13 +201,10 @@ def export_json_lines_query(spark, sf_dir):
 
 class FolderUploader:
     def __init__(self, folder: str):
-        os.makedirs(folder, exist_ok=True)
         self.folder = folder
 
     def __call__(self, source: str, remote: str) -> None:
-        import shutil
-
-        shutil.copyfile(source.replace("file:", "", 1), f"{self.folder}/{remote}")
+        copy_file(source, f"{self.folder}/{remote}")
 
 
 def upload_files_query(spark, sf_dir):

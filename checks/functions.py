@@ -114,7 +114,7 @@ FROM orders_of_year GROUP BY o_orderstatus
 def sql_transform_query(spark, sf_dir):
     with_views(spark, sf_dir, "orders")
     path = scratch_path(spark, "sql_transform")
-    insert_into(sql_transform(spark, TRANSFORM_TEXT, {"year": 1997}), TOTALS, path)
+    sql_transform(spark, TRANSFORM_TEXT, {"year": 1997}, write=lambda df: insert_into(df, TOTALS, path))
     return read_view(spark, TOTALS, path)
 
 

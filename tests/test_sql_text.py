@@ -131,6 +131,13 @@ def test_transform_stops_at_the_first_failure_and_restores_settings(spark):
     assert sql_transform(spark, "SELECT x + :n AS y FROM tv", args={"n": 4}).collect() == [(5,)]
 
 
+def test_settings_hold_while_the_result_is_written(spark):
+    def partitions(df):
+        return df.sparkSession.conf.get("spark.sql.shuffle.partitions")
+
+    assert sql_transform(spark, "SET spark.sql.shuffle.partitions=3; SELECT 1", write=partitions) == "3"
+
+
 def test_functions_are_registered_once(spark):
     assert register_functions(spark, {"twice_of": lambda s: s + s}) == ["twice_of"]
     assert register_functions(spark, {"twice_of": lambda s: s, "upper": lambda s: s}) == []

@@ -5,10 +5,13 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from contextlib import contextmanager
+from typing import TypeVar
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
+T = TypeVar("T")
+
 # How a semicolon inside a statement is written.
 ESCAPED_SEMICOLON = "\\;"
 
@@ -84,11 +87,14 @@ def sql_transform(
     args: Mapping[str, object] | None = None,
     settings: Mapping[str, str] | None = None,
     functions: Mapping[str, object] | None = None,
-) -> DataFrame:
-    """Run the statements in order and return the frame of the last one.
+    write: Callable[[DataFrame], T] | None = None,
+) -> DataFrame | T:
+    """Run the statements in order and hand the frame of the last one to ``write``.
 
     ``params`` are replaced in the text, ``args`` are bound as named parameters.
-    ``SET k=v`` statements and ``settings`` hold while the statements run. The
+    ``SET k=v`` statements and ``settings`` hold while the statements run and
+    while the result is written; without ``write`` the frame is returned, and a
+    setting that steers execution no longer holds when the caller runs it. The
     first statement that fails stops the rest.
     """
     register_functions(spark, functions or {})
@@ -105,8 +111,7 @@ def sql_transform(
     with scoped_settings(spark, scoped):
         for query in queries:
             frame = spark.sql(query, args=_used_args(query, args or {}))
-        frame.schema  # analysed while the settings hold
-    return frame
+        return frame if write is None else write(frame)
 
 
 def _used_args(query: str, args: Mapping[str, object]) -> dict[str, object]:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,18 +73,19 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
 
 
-def _open(uri: str):
-    from pyarrow import fs
+def open_uri(uri: str) -> tuple[fs.FileSystem, str]:
+    """File system and path of a URI, for use inside tasks; a plain path is a mounted folder."""
+    if uri.startswith("/"):
+        return fs.LocalFileSystem(), uri
+    if uri.startswith("file:/") and not uri.startswith("file://"):
+        return fs.LocalFileSystem(), uri.removeprefix("file:")
+    return fs.FileSystem.from_uri(uri)
 
-    return fs.FileSystem.from_uri(uri.replace("file:/", "file:///", 1) if not uri.startswith("file://") else uri)
 
-
-def _copy_one(source: str, target: str) -> int:
+def copy_file(source: str, target: str) -> int:
     """Stream one file to a temporary name, then rename: a repeated task is harmless."""
-    import uuid
-
-    source_fs, source_path = _open(source)
-    target_fs, target_path = _open(target)
+    source_fs, source_path = open_uri(source)
+    target_fs, target_path = open_uri(target)
     target_fs.create_dir(target_path.rsplit("/", 1)[0], recursive=True)
     partial = f"{target_path}.{uuid.uuid4().hex}.part"
     copied = 0
@@ -105,9 +108,9 @@ def _apply(ignore_failures: bool):
                 copied, error = 0, None
                 try:
                     if row.action == "copy":
-                        copied = _copy_one(row.source, row.target)
+                        copied = copy_file(row.source, row.target)
                     elif row.action == "delete":
-                        target_fs, target_path = _open(row.target)
+                        target_fs, target_path = open_uri(row.target)
                         target_fs.delete_file(target_path)
                 except (OSError, FileNotFoundError) as problem:
                     if not ignore_failures:
