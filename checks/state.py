@@ -10,7 +10,13 @@ from pyspark.sql import functions as F
 
 from checks.common import table
 from viewforge.functions.digests import digest
+from viewforge.functions.dates import month_text, year_text
+from viewforge.model import Field, ViewDef
 from viewforge.operators import state as st
+from viewforge.operators.partitions import select_partitions
+from viewforge.plans.refresh import partition_text, refresh_partitions
+from viewforge.session import scratch_path
+from viewforge.sources.formats import read_view, write_view
 
 NOW = 1_000_000
 
@@ -162,7 +168,52 @@ def transformation_changes(spark, sf_dir):
     return st.transformation_changes(stored, now).select("view", "partition")
 
 
+MONTHLY_ORDERS = ViewDef(
+    "MonthlyOrders",
+    [Field("id", "bigint"), Field("price", "double")],
+    package="checks.state",
+    partitions=[Field("year", "string"), Field("month", "string")],
+)
+
+
+def refresh(spark, sf_dir):
+    """A monthly table of which the even months are out of date; they are rebuilt with new prices.
+
+    Each month depends on a raw month that changed at time 5 or 1; the table was
+    last computed at time 3.
+    """
+    at = F.col("o_orderdate")
+    rows = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("price"), year_text(at).alias("year"), month_text(at).alias("month")
+    )
+    path, log = scratch_path(spark, "refresh"), scratch_path(spark, "refresh_state")
+    write_view(rows, MONTHLY_ORDERS, path)
+    name = MONTHLY_ORDERS.table_name()
+    months = rows.select(partition_text(["year", "month"]).alias("partition"), "month").distinct()
+    known = months.select(F.lit(name).alias("view"), "partition", F.lit("q").alias("checksum"), F.lit(3).cast("long").alias("ts"))
+    st.append_state(known, log, 1)
+    raw_ts = F.when(F.col("month").cast("int") % 2 == 0, 5).otherwise(1).cast("long")
+    raw = months.select(F.lit("raw").alias("view"), "partition", F.lit("q").alias("checksum"), raw_ts.alias("ts"))
+    deps = months.select(
+        F.lit(name).alias("view"), "partition", F.lit("raw").alias("dep_view"), F.col("partition").alias("dep_partition")
+    )
+    current = raw.select("view", "checksum").distinct().unionByName(known.select("view", "checksum").distinct())
+    stale_rows = st.stale_partitions(st.read_state(spark, log).unionByName(raw), deps, current, 9)
+    refresh_partitions(
+        MONTHLY_ORDERS,
+        lambda wanted: select_partitions(rows.withColumn("price", F.col("price") + 1), wanted),
+        stale_rows, path, log, "q", 9,
+    )
+    times = st.read_state(spark, log).select(
+        F.regexp_extract("partition", r"year=(\d+)", 1).alias("year"),
+        F.regexp_extract("partition", r"month=(\d+)", 1).alias("month"),
+        "ts",
+    )
+    return read_view(spark, MONTHLY_ORDERS, path).join(times, ["year", "month"])
+
+
 QUERIES = {
+    "refresh_partitions": refresh,
     "stale_partitions": stale,
     "materialization_default": _run("default"),
     "stale_mode_reset_checksums": _run("reset_checksums"),
@@ -239,6 +290,9 @@ RESULT = "SELECT view, partition, status, recompute, new_checksum, CAST(new_ts A
 DEFAULT = _levels(use_checksum=True, dry=False, writes_checksum=False)
 
 ORACLE = {
+    "refresh_partitions": "SELECT o_orderkey AS id, CASE WHEN even THEN o_totalprice + 1 ELSE o_totalprice END AS price, "
+    "strftime(o_orderdate, '%Y') AS year, strftime(o_orderdate, '%m') AS month, CAST(CASE WHEN even THEN 9 ELSE 3 END AS BIGINT) AS ts "
+    "FROM (SELECT *, MONTH(o_orderdate) % 2 = 0 AS even FROM orders) o",
     "stale_partitions": DEFAULT + "SELECT view, partition FROM outcome WHERE recompute",
     "materialization_default": DEFAULT + RESULT,
     "stale_mode_reset_checksums": _levels(use_checksum=False, dry=False, writes_checksum=True) + RESULT,

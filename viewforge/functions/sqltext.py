@@ -11,6 +11,7 @@ BLANKS = " \t\r\x0b\x0c"
 SETTING = r"(?i)( |^)SET [^;]+;"
 PIECE = r"""("[^"\\]*+(?:\\.[^"\\]*+)*+"|'[^'\\]*+(?:\\.[^'\\]*+)*+'|[^"'\\]++|\\.|["'\\])"""
 BLANK_IN_QUOTES = ";"
+BLANK_RUN = r"\s{2,}|[^\S ]"
 
 
 def normalize_sql(text: Column) -> Column:
@@ -25,7 +26,7 @@ def normalize_sql(text: Column) -> Column:
     squeezed = F.transform(
         pieces,
         lambda p: F.when(p.rlike("(?s)^[\"'].*[\"']$"), F.regexp_replace(p, r"\s", BLANK_IN_QUOTES)).otherwise(
-            F.regexp_replace(p, r"\s+", " ")
+            F.regexp_replace(p, BLANK_RUN, " ")
         ),
     )
     return F.trim(F.array_join(squeezed, ""))
