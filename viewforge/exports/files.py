@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from viewforge.exports.message import message_encode
 from viewforge.functions.digests import DEFAULT_SALT, anonymize, complex_to_json
+from viewforge.session import checkpointed
+from viewforge.sources.files import list_files
 
 # Codecs and the file endings they give.
 CODEC_ENDINGS = {"none": "", "gzip": ".gz", "bzip2": ".bz2"}
@@ -86,14 +88,11 @@ def upload_files(
 ) -> DataFrame:
     """Write files under ``scratch``, one per partition or per writer, then send each once.
 
-    ``uploader_factory()`` gives a function ``(local uri, remote name)``. Remote
+    ``uploader_factory()`` gives a function ``(file uri, remote name)``. Remote
     names are ``<prefix>-<UTC time>-<task>-<n><ending>`` and depend only on the
     file, so a repeated task overwrites its own upload. Returns one row per file:
     ``source, remote``. The scratch folder is removed afterwards.
     """
-    from viewforge.session import checkpointed
-    from viewforge.sources.files import list_files
-
     spark = df.sparkSession
     if kind == "csv":
         export_csv(df, scratch, codec=codec, writers=writers, **options)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -230,7 +230,7 @@ def jdbc_export(
         raise
 
 
-def jdbc_executor(spark, url: str, properties: dict[str, str] | None = None) -> Callable[[Sequence[str]], None]:
+def jdbc_executor(spark: SparkSession, url: str, properties: dict[str, str] | None = None) -> Callable[[Sequence[str]], None]:
     """Runs statements in one transaction through the driver's JVM."""
 
     def execute(statements: Sequence[str]) -> None:

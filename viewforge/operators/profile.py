@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from viewforge.operators.partitions import select_partitions
+from viewforge.sources.files import list_files
+
 
 def profile_aggregates(schema: T.StructType) -> list[Column]:
     """The metrics of every column that has any, named ``<column>__<metric>``."""
@@ -72,10 +75,8 @@ def partition_stats(df: DataFrame, partition_columns: Sequence[str], changed: st
     return df.groupBy(*partition_columns).agg(F.count(F.lit(1)).alias("n_rows"), last.alias("last_change"))
 
 
-def partition_sizes(spark, path: str, partition_columns: Sequence[str]) -> DataFrame:
+def partition_sizes(spark: SparkSession, path: str, partition_columns: Sequence[str]) -> DataFrame:
     """Bytes, files and last change per partition folder; only file listings are read."""
-    from viewforge.sources.files import list_files
-
     files = list_files(spark, path)
     values = [F.regexp_extract("relative", rf"(?:^|/){c}=([^/]*)/", 1).alias(c) for c in partition_columns]
     return (
@@ -180,8 +181,6 @@ def status_filter(
     """
     rows = partitions
     if wanted is not None:
-        from viewforge.operators.partitions import select_partitions
-
         rows = select_partitions(rows, wanted)
     if status is not None:
         rows = rows.where(F.col("status") == status)
