@@ -272,6 +272,13 @@ def test_csv_files(spark, tmp_path):
         files.export_csv(df, str(tmp_path / "x"), codec="zip")
 
 
+def test_json_lines_may_start_with_a_nested_column(spark):
+    df = spark.createDataFrame([([[1], [None, 2]], "x")], "n array<array<int>>, s string")
+    (row,) = files.json_lines_encode(df, private=["s"]).collect()
+    line = json.loads(row.value)
+    assert line["n"] == [1, 2] and len(line["s"]) == 32
+
+
 def test_upload(spark, tmp_path):
     remote = tmp_path / "remote"
     sent = files.upload_files(

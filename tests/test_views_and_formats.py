@@ -41,6 +41,7 @@ from viewforge.operators.views import (
     select_all_ordered,
     write_suffix_tables,
 )
+from viewforge.plans.transform import scoped_settings
 from viewforge.sources.files import copy_plan, distributed_copy, distributed_copy_to_view, ingest_files
 from viewforge.sources.formats import read_view, write_view
 
@@ -203,6 +204,14 @@ def test_dynamic_overwrite_keeps_other_partitions(spark, tmp_path):
     assert content(spark, path) == [(1, "2014", "01"), (7, "2014", "02"), (8, "2015", "01")]
 
 
+def test_a_whole_overwrite_does_not_depend_on_the_session(spark, tmp_path):
+    path = str(tmp_path / "sales")
+    with scoped_settings(spark, {"spark.sql.sources.partitionOverwriteMode": "dynamic"}):
+        insert_into(sales(spark, (1, "2014", "01")), SALES, path)
+        insert_into(sales(spark, (2, "2014", "02")), SALES, path)
+    assert content(spark, path) == [(2, "2014", "02")]
+
+
 def test_reading_partitions(spark, tmp_path):
     path = str(tmp_path / "sales")
     write_view(sales(spark, (10, "2014", "01"), (9, "2014", "01"), (None, "2014", "01"), (1, "2015", "1")), SALES, path)

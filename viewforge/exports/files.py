@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from viewforge.exports.message import message_encode
+from viewforge.exports.message import json_body, message_columns
 from viewforge.functions.digests import DEFAULT_SALT, anonymize, complex_to_json
 from viewforge.session import checkpointed
 from viewforge.sources.files import list_files
@@ -51,7 +51,7 @@ def export_csv(
 
 
 def json_lines_encode(df: DataFrame, private: Sequence[str] = (), salt: str = DEFAULT_SALT) -> DataFrame:
-    return message_encode(df, df.columns[0], private, salt).select("value")
+    return message_columns(df, private, salt).select(json_body(df.columns).alias("value"))
 
 
 def export_json_lines(

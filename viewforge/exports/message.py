@@ -115,22 +115,18 @@ def message_columns(
     return plain.select(*(compacted(F.col(f.name), f.dataType).alias(f.name) for f in plain.schema))
 
 
-def _encode(df: DataFrame, key: str, private: Sequence[str], salt: str, body: Callable[[DataFrame], Column]) -> DataFrame:
-    keyed = df.select(F.col(key).cast("string").alias("_key"), F.struct(*df.columns).alias("_row"))
-    rows = message_columns(keyed.select("_key", "_row.*"), private, salt)
-    return rows.select(F.col("_key").alias("key"), body(rows).alias("value"))
-
-
 def message_encode(
     df: DataFrame, key: str, private: Sequence[str] = (), salt: str = DEFAULT_SALT
 ) -> DataFrame:
     """``key, value`` with the row as JSON; null columns stay null. The key is not hashed."""
     check_key_and_value(df.schema, key)
+    rows = message_columns(df.withColumn("_key", F.col(key).cast("string")), private, salt)
+    return rows.select(F.col("_key").alias("key"), json_body(df.columns).alias("value"))
 
-    def body(rows: DataFrame) -> Column:
-        return F.to_json(F.struct(*[c for c in rows.columns if c != "_key"]), {"ignoreNullFields": "false"})
 
-    return _encode(df, key, private, salt, body)
+def json_body(columns: Sequence[str]) -> Column:
+    """The named columns as one JSON object, null members included."""
+    return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
 
 
 # ---------------------------------------------------------------- binary values

@@ -201,8 +201,7 @@ def write_view(
         return
 
     options: dict[str, str] = dict(view.write_options)
-    if dynamic:
-        options["partitionOverwriteMode"] = "dynamic"
+    options["partitionOverwriteMode"] = "dynamic" if dynamic else "static"
     match storage:
         case Parquet():
             source = "parquet"
