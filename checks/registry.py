@@ -7,18 +7,22 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
+import checks
+import viewforge
 from checks import catalog, clauses, dates, exports, functions, pipelines, state, views
+from viewforge.session import ship_packages
 
 MODULES = [pipelines, clauses, functions, views, dates, state, exports, catalog]
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def _in_utc(query: Query) -> Query:
-    """Times are compared as UTC."""
+def _prepared(query: Query) -> Query:
+    """Times are compared as UTC; workers need not have the packages installed."""
 
     @wraps(query)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship_packages(spark, viewforge, checks)
         spark.conf.set("spark.sql.session.timeZone", "UTC")
         return query(spark, sf_dir)
 
@@ -26,7 +30,7 @@ def _in_utc(query: Query) -> Query:
 
 
 def queries() -> dict[str, Query]:
-    return {name: _in_utc(query) for module in MODULES for name, query in module.QUERIES.items()}
+    return {name: _prepared(query) for module in MODULES for name, query in module.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:

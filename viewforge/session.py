@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from functools import cache
+from pathlib import Path
+from types import ModuleType
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,6 +32,33 @@ def build_session(app_name: str = "viewforge", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def ship_packages(spark: SparkSession, *packages: ModuleType) -> None:
+    """Give the Python workers these packages, once per Spark application.
+
+    Needed where they are not installed on the workers. The archive travels with
+    the application's files, as with ``--py-files``.
+    """
+    context = spark.sparkContext
+    archive = _archive(context.applicationId, *packages)
+    if archive not in _SHIPPED:
+        context.addPyFile(archive)
+        _SHIPPED.add(archive)
+
+
+_SHIPPED: set[str] = set()
+
+
+@cache
+def _archive(application: str, *packages: ModuleType) -> str:
+    path = Path(tempfile.mkdtemp(prefix="viewforge-code-")) / "viewforge_packages.zip"
+    with zipfile.ZipFile(path, "w") as archive:
+        for package in packages:
+            root = Path(package.__path__[0])
+            for source in sorted(root.rglob("*.py")):
+                archive.write(source, source.relative_to(root.parent))
+    return str(path)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and intermediate tables.
 
