@@ -14,7 +14,7 @@ ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 if ROOT not in sys.path:
     sys.path.insert(0, ROOT)
 
-from checks.common import TABLES  # noqa: E402
+from viewforge_queries.common import TABLES  # noqa: E402
 
 SAME_TYPES = {
     "tinyint": "TINYINT",

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from checks.exports import FileKeyValueClient, FolderUploader
+from viewforge_queries.exports import FileKeyValueClient, FolderUploader
 from viewforge.exports import files, jdbc, kv, message, warehouse
 from viewforge.exports.common import batches, check_key_and_value, export_counters, partition_filter_text
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from checks.common import table
+from viewforge_queries.common import table
 from viewforge.functions.dates import month_id, month_text, year_text
 from viewforge.operators import facets, fixtures, lineage, partitions, profile
 from viewforge.operators.facets import Facet

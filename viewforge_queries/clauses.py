@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.common import run_sql, table, with_views
+from viewforge_queries.common import run_sql, table, with_views
 from viewforge.operators.joins import not_in
 from viewforge.session import scratch_path
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.common import table
+from viewforge_queries.common import table
 from viewforge.functions import dates
 from viewforge.functions.dates import month_text, year_text
 from viewforge.operators.partitions import expand_partitions, select_partitions

@@ -8,7 +8,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from checks.common import table
+from viewforge_queries.common import table
 from viewforge.exports import files, jdbc, kv, message, warehouse
 from viewforge.exports.common import FILE_WRITERS, export_counters, partition_filter_column, partition_filter_text
 from viewforge.functions.dates import date_id, month_id, month_text, year_text

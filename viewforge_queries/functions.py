@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from checks.common import run_sql, table, with_views
+from viewforge_queries.common import run_sql, table, with_views
 from viewforge.operators.views import insert_into
 from viewforge.plans.transform import register_functions, row_mapper, run_then_export, sql_transform, substitute
 from viewforge.model import Field, ViewDef

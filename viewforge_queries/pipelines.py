@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.common import table
+from viewforge_queries.common import table
 from viewforge.functions.digests import digest, digest_groups
 from viewforge.functions.geo import geohash
 from viewforge.operators.collect import collect_map

@@ -7,9 +7,9 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-import checks
+import viewforge_queries
 import viewforge
-from checks import catalog, clauses, dates, exports, functions, pipelines, state, views
+from viewforge_queries import catalog, clauses, dates, exports, functions, pipelines, state, views
 from viewforge.session import ship_packages
 
 MODULES = [pipelines, clauses, functions, views, dates, state, exports, catalog]
@@ -22,7 +22,7 @@ def _prepared(query: Query) -> Query:
 
     @wraps(query)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        ship_packages(spark, viewforge, checks)
+        ship_packages(spark, viewforge, viewforge_queries)
         spark.conf.set("spark.sql.session.timeZone", "UTC")
         return query(spark, sf_dir)
 

@@ -6,7 +6,7 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
-from checks.common import table
+from viewforge_queries.common import table
 from viewforge.functions.dates import month_id, month_text, year_text
 from viewforge.model import (
     Csv,
