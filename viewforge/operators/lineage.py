@@ -98,7 +98,8 @@ def blackbox_lineage(fields: DataFrame, table_edges: DataFrame, explicit: DataFr
     """Every field of a view from every field of the views it depends on.
 
     Views with explicit edges use only those. A view without dependencies has
-    each field depend on itself.
+    each field depend on itself. The result is the product of two field lists per
+    edge by definition; a list is as long as a table is wide.
     """
     named = fields.select("view", "field")
     edges = table_edges.select("view", "dep_view")

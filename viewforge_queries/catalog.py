@@ -42,6 +42,11 @@ def profile_flags(spark, sf_dir):
     return profile.profile_table(rows)
 
 
+def profile_embeddings(spark, sf_dir):
+    """Sizes of the arrays beside the numbers."""
+    return _rounded(profile.profile_table(table(spark, sf_dir, "embeddings")))
+
+
 def profile_customer(spark, sf_dir):
     return _rounded(profile.profile_table(table(spark, sf_dir, "customer")))
 
@@ -241,7 +246,7 @@ def categories_grouped(spark, sf_dir):
 def part_edges(spark, sf_dir):
     """Part tables built from the parts with a third and a seventh of their number, and from one supplier table."""
     key = F.col("p_partkey")
-    parts = table(spark, sf_dir, "part").where(key > 0)
+    parts = table(spark, sf_dir, "part")
     part = lambda c: F.concat(F.lit("p"), c.cast("string"))
     return parts.select(
         part(key).alias("node"),
@@ -252,7 +257,7 @@ def part_edges(spark, sf_dir):
                 F.concat(F.lit("s"), (key % 10).cast("string")),
             )
         ).alias("dep"),
-    ).distinct()
+    ).where(F.col("node") != F.col("dep")).distinct()
 
 
 PART_START = "p20"
@@ -286,18 +291,21 @@ def _fields(spark, sf_dir):
 
 
 def _view_edges(spark, sf_dir):
-    """An order above 99 depends on the order with a fifth of its number."""
+    """An order depends on the order with a fifth of its number; finished orders depend on nothing."""
     key = F.col("o_orderkey")
-    return table(spark, sf_dir, "orders").where(key > 99).select(
-        key.alias("view"), F.floor(key / 5).alias("dep_view")
+    return (
+        table(spark, sf_dir, "orders")
+        .where(F.col("o_orderstatus") != "F")
+        .select(key.alias("view"), F.floor(key / 5).alias("dep_view"), "o_orderstatus")
+        .where(F.col("view") != F.col("dep_view"))
     )
 
 
 def _explicit(spark, sf_dir):
-    """Orders divisible by eight declare line 1 to come from line 2 of their dependency."""
+    """Partly filled orders declare line 1 to come from line 2 of their dependency."""
     return (
         _view_edges(spark, sf_dir)
-        .where(F.col("view") % 8 == 0)
+        .where(F.col("o_orderstatus") == "P")
         .select("view", F.lit(1).alias("field"), "dep_view", F.lit(2).alias("dep_field"))
     )
 
@@ -378,11 +386,14 @@ def table_diff(spark, sf_dir):
 
 
 def table_diff_by_key(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_custkey")
-    key = F.col("o_orderkey")
-    expected = orders.where(key % 50 != 7)
-    actual = orders.where(key % 50 != 9).withColumn(
-        "o_orderstatus", F.when(key % 50 == 11, "X").otherwise(F.col("o_orderstatus"))
+    """The second table lacks low priorities and has urgent orders, which the first lacks; large ones have a new status."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_custkey", "o_orderpriority")
+    large = table(spark, sf_dir, "orders").where("o_totalprice > 450000").select("o_orderkey", F.lit("X").alias("new_status"))
+    expected = orders.where(F.col("o_orderpriority") != "1-URGENT")
+    actual = (
+        orders.where(F.col("o_orderpriority") != "5-LOW")
+        .join(large, "o_orderkey", "left")
+        .withColumn("o_orderstatus", F.coalesce("new_status", "o_orderstatus"))
     )
     return fixtures.table_diff_by_key(expected, actual, ["o_orderkey"]).select("o_orderkey", "status")
 
@@ -391,6 +402,7 @@ QUERIES = {
     "profile_table": profile_lineitem,
     "profile_table_flags": profile_flags,
     "profile_table_customer": profile_customer,
+    "profile_table_embeddings": profile_embeddings,
     "profile_long": profile_long,
     "sample_partition": sample_partition,
     "partition_stats": partition_stats,
@@ -453,15 +465,16 @@ DOCUMENTS_SQL = (
     "(SELECT *, doc_id % 2 = 0 AS even, n_chars > 1000 AS long, doc_id % 3 = 0 AS third FROM documents)"
 )
 EDGES_SQL = (
-    "edges AS (SELECT DISTINCT 'p' || p_partkey AS node, UNNEST(['p' || (p_partkey // 3), 'p' || (p_partkey // 7), "
-    "'s' || (p_partkey % 10)]) AS dep FROM part WHERE p_partkey > 0)"
+    "edges AS (SELECT DISTINCT node, dep FROM (SELECT 'p' || p_partkey AS node, UNNEST(['p' || (p_partkey // 3), "
+    "'p' || (p_partkey // 7), 's' || (p_partkey % 10)]) AS dep FROM part) e WHERE node <> dep)"
 )
 UP_SQL = f"up AS (SELECT '{PART_START}' AS id UNION SELECT dep FROM edges JOIN up ON node = id)"
 DOWN_SQL = f"down AS (SELECT '{PART_START}' AS id UNION SELECT node FROM edges JOIN down ON dep = id)"
 FIELDS_SQL = (
     "fields AS (SELECT DISTINCT l_orderkey AS view, l_linenumber AS field FROM lineitem), "
-    "view_edges AS (SELECT o_orderkey AS view, o_orderkey // 5 AS dep_view FROM orders WHERE o_orderkey > 99), "
-    "explicit AS (SELECT view, 1 AS field, dep_view, 2 AS dep_field FROM view_edges WHERE view % 8 = 0)"
+    "view_edges AS (SELECT o_orderkey AS view, o_orderkey // 5 AS dep_view, o_orderstatus AS status FROM orders "
+    "WHERE o_orderstatus <> 'F' AND o_orderkey <> o_orderkey // 5), "
+    "explicit AS (SELECT view, 1 AS field, dep_view, 2 AS dep_field FROM view_edges WHERE status = 'P')"
 )
 FIELD_EDGES_SQL = (
     "(SELECT DISTINCT 't' || (l_suppkey % 7) AS node_table, 'f' || l_linenumber AS node_field, "
@@ -480,6 +493,9 @@ ORACLE = {
     "CASE WHEN event_type <> 'click' THEN value > 20 END AS high, string_split(props, ':') AS pieces, event_type FROM events) e",
     "profile_table_customer": f"SELECT COUNT(*) AS agg_rows, {_numeric_metrics('c_custkey', True)}, {_text_metrics('c_name')}, "
     f"{_numeric_metrics('c_nationkey', True)}, {_numeric_metrics('c_acctbal', False)}, {_text_metrics('c_mktsegment')} FROM customer",
+    "profile_table_embeddings": f"SELECT COUNT(*) AS agg_rows, {_numeric_metrics('vec_id', True)}, "
+    "CAST(MIN(LEN(embedding)) AS INT) AS embedding__min, CAST(MAX(LEN(embedding)) AS INT) AS embedding__max, "
+    f"{_numeric_metrics('label', True)} FROM embeddings",
     "profile_long": "SELECT 'db.lineitem.' || metric AS id, 'db.lineitem' AS fqdn, metric, value FROM ("
     "SELECT UNNEST(['agg_rows', 'l_partkey__min', 'l_partkey__max', 'l_partkey__sum', 'l_linenumber__min', "
     "'l_linenumber__max', 'l_linenumber__sum', 'l_returnflag__min', 'l_returnflag__max']) AS metric, "
@@ -564,6 +580,6 @@ ORACLE = {
     "COALESCE(b.n, 0) AS n_actual FROM (SELECT c_nationkey AS k, c_mktsegment AS s, COUNT(*) AS n FROM customer GROUP BY 1, 2) a "
     "FULL JOIN (SELECT s_nationkey AS k, 'BUILDING' AS s, COUNT(*) AS n FROM supplier GROUP BY 1, 2) b ON a.k = b.k AND a.s = b.s "
     "WHERE COALESCE(a.n, 0) <> COALESCE(b.n, 0)",
-    "table_diff_by_key": "SELECT o_orderkey, CASE o_orderkey % 50 WHEN 7 THEN 'unexpected' WHEN 9 THEN 'missing' ELSE 'changed' END "
-    "AS status FROM orders WHERE o_orderkey % 50 IN (7, 9, 11)",
+    "table_diff_by_key": "SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 'unexpected' WHEN '5-LOW' THEN 'missing' "
+    "ELSE 'changed' END AS status FROM orders WHERE o_orderpriority IN ('1-URGENT', '5-LOW') OR o_totalprice > 450000",
 }

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from viewforge_queries.common import run_sql, table, with_views
 from viewforge.operators.views import insert_into
+from viewforge.functions.sqltext import normalize_sql
 from viewforge.plans.transform import register_functions, row_mapper, run_then_export, sql_transform, substitute
 from viewforge.model import Field, ViewDef
 from viewforge.session import scratch_path
@@ -111,6 +112,14 @@ FROM orders_of_year GROUP BY o_orderstatus
 """
 
 
+def normalize_sql_query(spark, sf_dir):
+    """Whole documents as query texts, quotes, comment lines and settings added to each."""
+    text = F.concat(
+        F.lit("-- header\nSET a.b=c;  SELECT 'two  blanks' ,\t\"q\tq\"\n  -- note\n"), "text", F.lit("\n WHERE x = 'it\\'s  ' ")
+    )
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(normalize_sql(text)).alias("digest"))
+
+
 def sql_transform_query(spark, sf_dir):
     with_views(spark, sf_dir, "orders")
     path = scratch_path(spark, "sql_transform")
@@ -189,6 +198,7 @@ def run_then_export_query(spark, sf_dir):
 QUERIES = {name: run_sql(entry[1], *entry[0]) for name, entry in FUNCTIONS.items()}
 QUERIES.update(
     {
+        "normalize_sql": normalize_sql_query,
         "sql_transform": sql_transform_query,
         "sql_params": sql_params,
         "register_udf": register_udf,
@@ -204,6 +214,15 @@ ORACLE.update(
     {
         "f_soundex": "SELECT c_custkey, CASE c_mktsegment WHEN 'MACHINERY' THEN 'M256' WHEN 'BUILDING' THEN 'B435' "
         "WHEN 'AUTOMOBILE' THEN 'A351' WHEN 'FURNITURE' THEN 'F653' WHEN 'HOUSEHOLD' THEN 'H243' END AS code FROM customer",
+        "normalize_sql": r"""
+SELECT doc_id, md5(trim(array_to_string(list_transform(regexp_extract_all(regexp_replace(array_to_string(list_filter(
+  list_transform(string_split('-- header' || chr(10) || 'SET a.b=c;  SELECT ''two  blanks'' ,' || chr(9) || '"q' || chr(9) || 'q"'
+    || chr(10) || '  -- note' || chr(10) || text || chr(10) || ' WHERE x = ''it\''s  '' ', chr(10)),
+    lambda l: trim(l, ' ' || chr(9) || chr(13) || chr(11) || chr(12))),
+  lambda l: l <> '' AND NOT starts_with(l, '--')), ' '), '(?i)( |^)SET [^;]+;', '', 'g'),
+  '("[^"\\]*(?:\\.[^"\\]*)*"|''[^''\\]*(?:\\.[^''\\]*)*''|[^"''\\]+|\\.|["''\\])', 1),
+  lambda p: CASE WHEN regexp_full_match(p, '(?s)["''].*["'']') THEN regexp_replace(p, '\s', ';', 'g')
+                 ELSE regexp_replace(p, '\s+', ' ', 'g') END), ''))) AS digest FROM documents""",
         "sql_transform": "SELECT o_orderstatus AS status, COUNT(*) AS n, "
         "CAST(SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total FROM orders "
         "WHERE YEAR(o_orderdate) = 1997 GROUP BY o_orderstatus",

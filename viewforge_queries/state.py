@@ -123,13 +123,14 @@ def flags(spark, sf_dir):
 
 
 def metadata(spark, sf_dir):
-    state = state_rows(spark, sf_dir).where("ts % 2 = 0")
+    """The state of partitions with the current checksum is known; the others get defaults."""
+    state = state_rows(spark, sf_dir).where("checksum = 'q1'")
     return st.partition_metadata(state, state_rows(spark, sf_dir).select("view", "partition"))
 
 
 def invalidate(spark, sf_dir):
     rows = state_rows(spark, sf_dir)
-    return st.invalidate(rows, rows.where("ts < 5000").select("view", "partition"))
+    return st.invalidate(rows, rows.where("NOT has_data OR materialize_once").select("view", "partition"))
 
 
 def commit(spark, sf_dir):
@@ -139,17 +140,20 @@ def commit(spark, sf_dir):
 
 
 def schema_changes(spark, sf_dir):
-    """One table per customer: declared before with one text, now with another for some, gone for others."""
-    customers = table(spark, sf_dir, "customer").select(
-        F.concat(F.lit("t_"), F.col("c_custkey")).alias("table_name"), "c_custkey", "c_mktsegment"
-    )
-    key = F.col("c_custkey")
-    text = F.concat(F.lit("CREATE TABLE "), "table_name", F.lit(" "), "c_mktsegment")
-    old = customers.where(key % 11 != 0).select(
-        "table_name", F.when(key % 13 != 0, digest(F.array(text))).alias("checksum")
+    """One table per customer.
+
+    Customers in debt had no table before, those of one nation a table without a
+    checksum. Those of one segment have no table any more, those of another
+    segment a new declaration.
+    """
+    customers = table(spark, sf_dir, "customer").withColumn("table_name", F.concat(F.lit("t_"), F.col("c_custkey")))
+    segment = F.col("c_mktsegment")
+    text = F.concat(F.lit("CREATE TABLE "), "table_name", F.lit(" "), segment)
+    old = customers.where(F.col("c_acctbal") >= 0).select(
+        "table_name", F.when(F.col("c_nationkey") != 3, digest(F.array(text))).alias("checksum")
     )
-    changed = F.when(key % 5 == 0, F.concat(text, F.lit(" v2"))).otherwise(text)
-    new = customers.where(key % 17 != 0).select("table_name", digest(F.array(changed)).alias("checksum"))
+    changed = F.when(segment == "BUILDING", F.concat(text, F.lit(" v2"))).otherwise(text)
+    new = customers.where(segment != "MACHINERY").select("table_name", digest(F.array(changed)).alias("checksum"))
     return st.schema_changes(old, new)
 
 
@@ -307,14 +311,14 @@ ORACLE = {
     "materialize_once": DEFAULT + "SELECT view, partition, recompute, CAST(new_ts AS BIGINT) AS new_ts FROM outcome "
     "WHERE view = 'total' OR (view = 'by_nation' AND partition = '10')",
     "propagate_flags": DEFAULT + "SELECT view, partition, status, status = 'no_data' AS no_data, incomplete, with_errors FROM outcome",
-    "partition_metadata": f"WITH {STATE_SQL} SELECT view, partition, CASE WHEN ts % 2 = 0 THEN checksum ELSE '0' END AS checksum, "
-    "CAST(CASE WHEN ts % 2 = 0 THEN ts ELSE 0 END AS BIGINT) AS ts FROM state",
-    "invalidate_partitions": f"WITH {STATE_SQL} SELECT view, partition, CASE WHEN ts < 5000 THEN '0' ELSE checksum END AS checksum, "
-    "CAST(CASE WHEN ts < 5000 THEN 0 ELSE ts END AS BIGINT) AS ts FROM state",
+    "partition_metadata": f"WITH {STATE_SQL} SELECT view, partition, CASE WHEN checksum = 'q1' THEN checksum ELSE '0' END AS checksum, "
+    "CAST(CASE WHEN checksum = 'q1' THEN ts ELSE 0 END AS BIGINT) AS ts FROM state",
+    "invalidate_partitions": f"WITH {STATE_SQL} SELECT view, partition, CASE WHEN NOT has_data OR once THEN '0' ELSE checksum END AS checksum, "
+    "CAST(CASE WHEN NOT has_data OR once THEN 0 ELSE ts END AS BIGINT) AS ts FROM state",
     "commit_state": f"WITH {STATE_SQL} SELECT view, partition, 'q1' AS checksum, "
     f"CAST(CASE WHEN checksum = 'old' THEN {NOW} ELSE ts END AS BIGINT) AS ts FROM state",
-    "schema_changes": "SELECT 't_' || c_custkey AS table_name, CASE WHEN c_custkey % 17 = 0 THEN 'dropped' "
-    "WHEN c_custkey % 11 = 0 OR c_custkey % 13 = 0 OR c_custkey % 5 = 0 THEN 'recreate' ELSE 'keep' END AS change "
-    "FROM customer WHERE NOT (c_custkey % 17 = 0 AND c_custkey % 11 = 0)",
+    "schema_changes": "SELECT 't_' || c_custkey AS table_name, CASE WHEN c_mktsegment = 'MACHINERY' THEN 'dropped' "
+    "WHEN c_acctbal < 0 OR c_nationkey = 3 OR c_mktsegment = 'BUILDING' THEN 'recreate' ELSE 'keep' END AS change "
+    "FROM customer WHERE c_mktsegment <> 'MACHINERY' OR c_acctbal >= 0",
     "transformation_changes": "SELECT 'v_' || doc_id AS view, 'all' AS partition FROM documents WHERE doc_id % 2 = 1",
 }
