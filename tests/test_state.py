@@ -201,6 +201,16 @@ def test_random_graphs_against_brute_force(spark, mode):
         ), key
 
 
+def test_a_long_chain_settles_to_its_end(spark, monkeypatch):
+    """Each partition depends on the one before; only the first is out of date."""
+    monkeypatch.setattr(st, "COMPACT_EVERY", 3)
+    names = [f"{i:02d}" for i in range(9)]
+    state = [("v", n, "q", 0 if n == "00" else 5, True, False, False) for n in names]
+    deps = [("v", b, "v", a) for a, b in zip(names, names[1:])]
+    rows = run(spark, state, deps)
+    assert len(rows) == len(names) and all(r.recompute and r.new_ts == NOW for r in rows.values())
+
+
 def test_dependencies_without_state_are_added(spark):
     state = spark.createDataFrame([("up", "p", "q", 4)], "view string, partition string, checksum string, ts long")
     deps = spark.createDataFrame([("up", "p", "leaf", "x")], DEPS)

@@ -81,8 +81,8 @@ def materialization(
     ``now`` for the partitions that depend on it.
 
     Partitions are settled one dependency level per round. A round joins only
-    the partitions settled last against the edges and folds their reports into
-    the waiting ones; the table of partitions is checkpointed after each round.
+    the partitions settled last against the edges, folds their reports into the
+    waiting ones and checkpoints those; settled partitions are not touched again.
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
@@ -110,9 +110,11 @@ def materialization(
         .selectExpr("*", *LEAF_START)
         .unionByName(counted.where("n_deps > 0").selectExpr("*", *WAITING_START))
     )
-    level = 0
+    settled, waiting = nodes.where("n_done = n_deps"), nodes.where("n_done < n_deps")
+    finished = settled
+    rounds = 0
     while True:
-        settled = _outcome(nodes.where(F.col("round") == level), now, mode).selectExpr(
+        told = _outcome(settled, now, mode).selectExpr(
             "view AS dep_view",
             "partition AS dep_partition",
             "status = 'materialized' AS any_data",
@@ -120,18 +122,16 @@ def materialization(
             "status <> 'materialized' OR incomplete AS dep_incomplete",
             "status = 'failed' OR with_errors AS dep_errors",
         )
-        reports = edges.join(settled, ["dep_view", "dep_partition"]).selectExpr(
+        reports = edges.join(told, ["dep_view", "dep_partition"]).selectExpr(
             *KEY, "1L AS n_done", "any_data", "freshness", "dep_incomplete", "dep_errors"
         )
-        # Node rows and reports meet in one aggregation: reports of a partition
-        # with very many dependencies shrink to one row per task beforehand.
-        described = [F.max(c).alias(c) for c in DESCRIPTION]
+        # Waiting partitions and reports meet in one aggregation: the reports of a
+        # partition with very many dependencies shrink to one row per task beforehand.
         merged = (
-            nodes.unionByName(reports, allowMissingColumns=True)
+            waiting.unionByName(reports, allowMissingColumns=True)
             .groupBy(*KEY)
             .agg(
-                *described,
-                F.max("round").alias("round"),
+                *(F.max(c).alias(c) for c in DESCRIPTION),
                 F.sum("n_done").alias("n_done"),
                 F.max("freshness").alias("freshness"),
                 F.bool_or("any_data").alias("any_data"),
@@ -139,20 +139,26 @@ def materialization(
                 F.bool_or("dep_errors").alias("dep_errors"),
             )
             .where("n_deps IS NOT NULL")
-            .withColumn("round", F.expr(f"coalesce(round, CASE WHEN n_done = n_deps THEN {level + 1} END)"))
         )
-        nodes = checkpointed(merged)
-        level += 1
-        progress = nodes.agg(
-            F.count_if(F.col("round").isNull()).alias("waiting"), F.count_if(F.col("round") == level).alias("settled")
+        merged = checkpointed(merged)
+        settled, waiting = merged.where("n_done = n_deps"), merged.where("n_done < n_deps")
+        finished = finished.unionByName(settled)
+        progress = merged.agg(
+            F.count_if(F.col("n_done") < F.col("n_deps")).alias("waiting"),
+            F.count_if(F.col("n_done") == F.col("n_deps")).alias("settled"),
         ).first()
         if not progress.waiting or not progress.settled:
-            return _outcome(nodes, now, mode)
+            return _outcome(finished.unionByName(waiting), now, mode)
+        rounds += 1
+        if rounds % COMPACT_EVERY == 0:
+            finished = checkpointed(finished)
 
 
+# Rounds after which the settled partitions are stored as one table again.
+COMPACT_EVERY = 20
+
 # What a partition starts with: leaves count as fresh since time 1.
 LEAF_START = [
-    "0 AS round",
     "0L AS n_done",
     "1L AS freshness",
     "true AS any_data",
@@ -160,7 +166,6 @@ LEAF_START = [
     "false AS dep_errors",
 ]
 WAITING_START = [
-    "CAST(NULL AS INT) AS round",
     "0L AS n_done",
     "0L AS freshness",
     "false AS any_data",
@@ -182,8 +187,8 @@ def _outcome(nodes: DataFrame, now: int, mode: str) -> DataFrame:
     )
     status = decided.selectExpr(
         *decided.columns,
-        f"due AND round IS NOT NULL AND {str(not dry).lower()} AS recompute",
-        f"""CASE WHEN round IS NULL THEN 'cyclic'
+        f"due AND n_done = n_deps AND {str(not dry).lower()} AS recompute",
+        f"""CASE WHEN n_done < n_deps THEN 'cyclic'
                  WHEN NOT done_once AND NOT any_data THEN 'no_data'
                  WHEN due AND failed AND {str(not dry).lower()} THEN 'failed'
                  WHEN due AND NOT has_data AND {str(not dry).lower()} THEN 'no_data'
