@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from viewforge.exports.message import json_body, message_columns
 from viewforge.functions.digests import DEFAULT_SALT, anonymize, complex_to_json
-from viewforge.session import checkpointed
+from viewforge.session import checkpointed, remove_folder
 from viewforge.sources.files import list_files
 
 # Codecs and the file endings they give.
@@ -117,6 +117,5 @@ def upload_files(
             yield pd.DataFrame(part)
 
     sent = checkpointed(_spread(files, writers).mapInPandas(send, "source string, remote string"))
-    folder = spark._jvm.org.apache.hadoop.fs.Path(scratch)
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    remove_folder(spark, scratch)
     return sent

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from viewforge.exports.common import BATCH_ROWS, WRITERS, compact_filter
 from viewforge.functions.digests import DEFAULT_SALT, anonymize, is_complex, json_text
-from viewforge.session import checkpointed
+from viewforge.session import remove_folder, scratch_path, stored
 
 # Column types per database dialect.
 COLUMN_TYPES = {
@@ -178,9 +178,9 @@ def merged_rows(target: DataFrame | None, staged: DataFrame, filter_text: str |
     return target.where(~F.col(FILTER_COLUMN).eqNullSafe(replaced)).unionByName(new)
 
 
-def numbered(encoded: DataFrame) -> DataFrame:
-    """Rows with a fixed number each, kept in the shared folder so that retries see the same numbers."""
-    return checkpointed(encoded.withColumn(ROW_COLUMN, F.monotonically_increasing_id()))
+def numbered(encoded: DataFrame, path: str) -> DataFrame:
+    """Rows with a fixed number each, stored under ``path`` so that retries see the same numbers."""
+    return stored(encoded.withColumn(ROW_COLUMN, F.monotonically_increasing_id()), path)
 
 
 def jdbc_write(
@@ -217,17 +217,20 @@ def jdbc_export(
     dialect = dialect_of(url)
     target = output_table(database, table)
     temporary = f"tmp_{target}"
-    rows = numbered(jdbc_encode(df, filter_text, private, salt))
-    stored = T.StructType([f for f in rows.schema if f.name != ROW_COLUMN])
-    leftover = [f"DROP TABLE {temporary}"] if table_exists(temporary) else []
-    execute([*leftover, create_statement(temporary, rows.schema, dialect)])
+    encoded = jdbc_encode(df, filter_text, private, salt)
+    staging = scratch_path(df.sparkSession, "jdbc")
     try:
+        rows = numbered(encoded, staging)
+        leftover = [f"DROP TABLE {temporary}"] if table_exists(temporary) else []
+        execute([*leftover, create_statement(temporary, rows.schema, dialect)])
         write(rows, url, temporary)
-        execute(merge_statements(target, temporary, stored, dialect, table_exists(target), filter_text))
+        execute(merge_statements(target, temporary, encoded.schema, dialect, table_exists(target), filter_text))
     except Exception:
         if table_exists(temporary):
             execute([f"DROP TABLE {temporary}"])
         raise
+    finally:
+        remove_folder(df.sparkSession, staging)
 
 
 def jdbc_executor(spark: SparkSession, url: str, properties: dict[str, str] | None = None) -> Callable[[Sequence[str]], None]:

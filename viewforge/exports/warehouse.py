@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from viewforge.exports.common import WRITERS
 from viewforge.functions.digests import DEFAULT_SALT, anonymize, json_text
 
 # The filter column and the warehouse type names.
@@ -109,18 +108,19 @@ def warehouse_write(
     filter_text: str | None = None,
     private: Sequence[str] = (),
     salt: str = DEFAULT_SALT,
-    writers: int = WRITERS,
+    writers: int | None = None,
 ) -> None:
     """Store compressed JSON lines, replace the target partition by them, remove the files.
 
-    The files are complete before the target is touched. An error drops what was
+    One file per partition of the frame, or ``writers`` files after a shuffle. The
+    files are complete before the target is touched. An error drops what was
     loaded, so the partition is never half filled.
     """
     plain = anonymize(df, private, salt)
     try:
-        warehouse_encode(df, filter_text, private, salt).repartition(writers).write.mode("overwrite").option(
-            "compression", "gzip"
-        ).text(location)
+        lines = warehouse_encode(df, filter_text, private, salt)
+        lines = lines.repartition(writers) if writers else lines
+        lines.write.mode("overwrite").option("compression", "gzip").text(location)
         client.drop_partition(target)
         client.create_table(target, warehouse_schema(plain.schema))
         client.load(target, location)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -100,10 +102,21 @@ def expand_partitions(
 
 
 def select_partitions(data: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Rows of ``data`` in the wanted partitions (null-safe on the shared columns)."""
+    """Rows of ``data`` in the wanted partitions (null-safe on the shared columns).
+
+    Only a join on plain equality lets Spark skip the folders that are not wanted,
+    so the null-safe comparison is kept for wanted partitions that hold a null.
+    Spark prunes by the other side of a join when that is small and filtered; the
+    comparison with the empty text is true for every value and serves as the filter.
+    """
     names = wanted.columns
-    renamed = wanted.select(*(F.col(n).alias(f"_w_{n}") for n in names)).distinct()
-    condition = F.lit(True)
-    for n in names:
-        condition = condition & data[n].eqNullSafe(renamed[f"_w_{n}"])
-    return data.join(renamed, condition, "left_semi")
+    missing = reduce(or_, (F.col(n).isNull() for n in names))
+    with_nulls = any(f.nullable for f in wanted.schema) and not wanted.where(missing).isEmpty()
+    rows = wanted if with_nulls else wanted.where(reduce(and_, (F.col(n).cast("string") >= "" for n in names)))
+    renamed = rows.select(*(F.col(n).alias(f"_w_{n}") for n in names)).distinct()
+
+    def same(n: str) -> Column:
+        left, right = data[n], renamed[f"_w_{n}"]
+        return left.eqNullSafe(right) if with_nulls else left == right
+
+    return data.join(renamed, reduce(and_, (same(n) for n in names)), "left_semi")

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from viewforge.model import ViewDef
 from viewforge.operators.state import append_state
-from viewforge.operators.views import insert_dynamically_into, insert_into
-from viewforge.session import checkpointed
+from viewforge.operators.views import insert_dynamically_into
+from viewforge.session import checkpointed, file_system, hadoop_path, remove_folder, scratch_path, stored
 
 
 def partition_text(names: Sequence[str]) -> Column:
@@ -55,25 +55,31 @@ def refresh_partitions(
     partition for which no row came is emptied. The state is logged last, so a
     run that breaks off is repeated by the next one. Returns ``view, partition,
     has_data``.
+
+    The wanted partitions are kept as a table of their own: its size is known, so
+    a join with few of them skips the folders of all others.
     """
     names = view.partition_columns
-    wanted = checkpointed(partition_values(stale.where(F.col("view") == view.table_name()), view))
-    spark = wanted.sparkSession
+    spark = stale.sparkSession
+    due = partition_values(stale.where(F.col("view") == view.table_name()), view)
+    wanted = stored(due, scratch_path(spark, "wanted"))
     written = Observation()
     rows = build(wanted.select(*names))
     # As many texts as partitions were written, never as many as rows.
     observed = rows.observe(written, F.collect_set(partition_text(names)).alias("partitions"))
     insert_dynamically_into(observed, view, path)
-    filled = _written_partitions(written, rows, names)
-    missing = [r for r in wanted.collect() if r["partition"] not in filled]
-    empty = spark.createDataFrame([], view.schema)
-    for partition in missing:
-        insert_into(empty, view, path, {n: partition[n] for n in names})
-    outcome = wanted.select(
-        F.lit(view.table_name()).alias("view"),
-        "partition",
-        (~F.col("partition").isin([r["partition"] for r in missing])).alias("has_data"),
+    filled = spark.createDataFrame([(p,) for p in sorted(_written_partitions(written, rows, names))], "partition string")
+    outcome = checkpointed(
+        wanted.join(filled.withColumn("has_data", F.lit(True)), "partition", "left").withColumn(
+            "has_data", F.coalesce("has_data", F.lit(False))
+        )
     )
+    # Emptying a partition takes two calls on its folder and no job.
+    for partition in outcome.where("NOT has_data").toLocalIterator():
+        folder = path + view.partition_path({n: partition[n] for n in names})
+        remove_folder(spark, folder)
+        file_system(spark, folder).mkdirs(hadoop_path(spark, folder))
+    outcome = outcome.select(F.lit(view.table_name()).alias("view"), "partition", "has_data")
     append_state(
         outcome.where("has_data").withColumns({"checksum": F.lit(checksum), "ts": F.lit(now)}), state_path, now
     )

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import io
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Sequence
 from functools import cache
 from pathlib import Path
 from types import ModuleType
 
+from py4j.java_gateway import JavaObject
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -39,24 +42,41 @@ def ship_packages(spark: SparkSession, *packages: ModuleType) -> None:
     the application's files, as with ``--py-files``.
     """
     context = spark.sparkContext
-    archive = _archive(context.applicationId, *packages)
-    if archive not in _SHIPPED:
-        context.addPyFile(archive)
-        _SHIPPED.add(archive)
+    key = (context.applicationId, *(p.__name__ for p in packages))
+    if key not in _SHIPPED:
+        context.addPyFile(_archive(spark, packages))
+        _SHIPPED.add(key)
 
 
-_SHIPPED: set[str] = set()
+_SHIPPED: set[tuple[str, ...]] = set()
 
 
-@cache
-def _archive(application: str, *packages: ModuleType) -> str:
-    path = Path(tempfile.mkdtemp(prefix="viewforge-code-")) / "viewforge_packages.zip"
-    with zipfile.ZipFile(path, "w") as archive:
+def _archive(spark: SparkSession, packages: Sequence[ModuleType]) -> str:
+    """The packages as one archive in the shared folder."""
+    content = io.BytesIO()
+    with zipfile.ZipFile(content, "w") as archive:
         for package in packages:
             root = Path(package.__path__[0])
             for source in sorted(root.rglob("*.py")):
                 archive.write(source, source.relative_to(root.parent))
-    return str(path)
+    target = f"{scratch_path(spark, 'code')}/viewforge_packages.zip"
+    out = file_system(spark, target).create(hadoop_path(spark, target))
+    out.write(content.getvalue())
+    out.close()
+    return target
+
+
+def hadoop_path(spark: SparkSession, path: str) -> JavaObject:
+    return spark._jvm.org.apache.hadoop.fs.Path(path)
+
+
+def file_system(spark: SparkSession, path: str) -> JavaObject:
+    """The Hadoop file system that holds the path, for work on names alone."""
+    return hadoop_path(spark, path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    file_system(spark, path).delete(hadoop_path(spark, path), True)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -94,3 +114,9 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_dir(spark))
     return df.checkpoint()
+
+
+def stored(df: DataFrame, path: str) -> DataFrame:
+    """``df`` written as a table under ``path`` and read back: compressed, read by column, of known size."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

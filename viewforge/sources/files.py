@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from viewforge.model import ViewDef
-from viewforge.session import checkpointed
+from viewforge.session import checkpointed, file_system, hadoop_path
 from viewforge.sources.formats import read_view, write_view
 
 
@@ -62,15 +62,11 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
 
 def _normalised(spark: SparkSession, path: str) -> str:
     """The path as file listings spell it, scheme included."""
-    jvm = spark._jvm
-    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-    system = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    return system.makeQualified(hadoop_path).toString().rstrip("/")
+    return file_system(spark, path).makeQualified(hadoop_path(spark, path)).toString().rstrip("/")
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop_path)
+    return file_system(spark, path).exists(hadoop_path(spark, path))
 
 
 def open_uri(uri: str) -> tuple[fs.FileSystem, str]:

@@ -25,6 +25,7 @@ from viewforge.model import (
     ViewDef,
     create_table_statement,
 )
+from viewforge.session import remove_folder
 
 NULL_TEXT = "\\N"
 
@@ -276,8 +277,7 @@ def _write_hadoop_lines(rows: DataFrame, view: ViewDef, path: str, mode: str) ->
     text = view.storage.text if isinstance(view.storage, SequenceFile) else TextFile()
     lines = rows.select(encode_line(view, text).alias("value")).rdd.map(lambda r: (None, r.value))
     if mode == "overwrite":
-        target = rows.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(rows.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
+        remove_folder(rows.sparkSession, path)
     if isinstance(view.storage, SequenceFile):
         lines.saveAsSequenceFile(path)
     else:

@@ -45,9 +45,14 @@ CLAUSES: dict[str, tuple] = {
         ["part"],
         "SELECT p_partkey, p_name, p_type FROM part WHERE p_name LIKE '%ring%' AND p_type NOT LIKE 'STANDARD%'",
     ),
+    # The inner keys are made distinct on the map side: the right side of a semi
+    # join is not split, however many rows one key has.
     "q_exists": (
         ["customer", "orders"],
         "SELECT c_custkey, c_name FROM customer c WHERE EXISTS "
+        "(SELECT 1 FROM (SELECT DISTINCT o_custkey FROM orders WHERE o_totalprice > 300000) o "
+        "WHERE o.o_custkey = c.c_custkey)",
+        "SELECT c_custkey, c_name FROM customer c WHERE EXISTS "
         "(SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 300000)",
     ),
     "q_is": (
@@ -118,8 +123,8 @@ CLAUSES: dict[str, tuple] = {
     ),
     "q_semi_join": (
         ["orders", "customer"],
-        "SELECT c_custkey, c_name FROM customer c LEFT SEMI JOIN orders o "
-        "ON c.c_custkey = o.o_custkey AND o.o_orderpriority = '1-URGENT'",
+        "SELECT c_custkey, c_name FROM customer c LEFT SEMI JOIN "
+        "(SELECT DISTINCT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT') o ON c.c_custkey = o.o_custkey",
         "SELECT c_custkey, c_name FROM customer c SEMI JOIN orders o "
         "ON c.c_custkey = o.o_custkey AND o.o_orderpriority = '1-URGENT'",
     ),
@@ -235,6 +240,10 @@ CLAUSES: dict[str, tuple] = {
     "q_intersect": (
         ["orders", "customer"],
         "SELECT key, 'set' AS kind FROM (SELECT c_custkey AS key FROM customer INTERSECT "
+        "SELECT DISTINCT o_custkey AS key FROM orders WHERE o_orderstatus = 'P') a UNION ALL "
+        "SELECT key, 'all' AS kind FROM (SELECT l AS key FROM (SELECT o_custkey AS l FROM orders WHERE o_orderstatus = 'O') x "
+        "INTERSECT ALL SELECT o_custkey FROM orders WHERE o_orderstatus = 'F') b",
+        "SELECT key, 'set' AS kind FROM (SELECT c_custkey AS key FROM customer INTERSECT "
         "SELECT o_custkey AS key FROM orders WHERE o_orderstatus = 'P') a UNION ALL "
         "SELECT key, 'all' AS kind FROM (SELECT l AS key FROM (SELECT o_custkey AS l FROM orders WHERE o_orderstatus = 'O') x "
         "INTERSECT ALL SELECT o_custkey FROM orders WHERE o_orderstatus = 'F') b",
@@ -242,6 +251,10 @@ CLAUSES: dict[str, tuple] = {
     "q_except": (
         ["orders", "customer"],
         "SELECT key, 'set' AS kind FROM (SELECT c_custkey AS key FROM customer EXCEPT "
+        "SELECT DISTINCT o_custkey AS key FROM orders WHERE o_orderstatus = 'P') a UNION ALL "
+        "SELECT key, 'all' AS kind FROM (SELECT o_custkey AS key FROM orders WHERE o_orderstatus = 'O' "
+        "EXCEPT ALL SELECT o_custkey FROM orders WHERE o_orderstatus = 'F') b",
+        "SELECT key, 'set' AS kind FROM (SELECT c_custkey AS key FROM customer EXCEPT "
         "SELECT o_custkey AS key FROM orders WHERE o_orderstatus = 'P') a UNION ALL "
         "SELECT key, 'all' AS kind FROM (SELECT o_custkey AS key FROM orders WHERE o_orderstatus = 'O' "
         "EXCEPT ALL SELECT o_custkey FROM orders WHERE o_orderstatus = 'F') b",
@@ -253,9 +266,16 @@ CLAUSES: dict[str, tuple] = {
         "SELECT c.c_mktsegment, COUNT(*) AS n, CAST(SUM(b.total) AS DOUBLE) AS total "
         "FROM big b JOIN customer c ON b.o_custkey = c.c_custkey GROUP BY c.c_mktsegment",
     ),
+    # The inner average is joined by hand: grouping by a hash as well lets the join
+    # split a part with very many lines, see viewforge.operators.joins.group_for_join.
     "q_subquery": (
         ["lineitem", "orders"],
         "SELECT d.l_orderkey, d.l_linenumber, d.l_quantity FROM "
+        "(SELECT l_orderkey, l_linenumber, l_quantity, l_partkey FROM lineitem WHERE l_returnflag = 'R') d JOIN "
+        "(SELECT l_partkey, AVG(l_quantity) AS average FROM lineitem GROUP BY l_partkey, XXHASH64(l_partkey)) i "
+        "ON i.l_partkey = d.l_partkey WHERE d.l_quantity > i.average "
+        "AND d.l_orderkey < (SELECT MAX(o_orderkey) FROM orders WHERE o_orderstatus = 'P')",
+        "SELECT d.l_orderkey, d.l_linenumber, d.l_quantity FROM "
         "(SELECT l_orderkey, l_linenumber, l_quantity, l_partkey FROM lineitem WHERE l_returnflag = 'R') d "
         "WHERE d.l_quantity > (SELECT AVG(i.l_quantity) FROM lineitem i WHERE i.l_partkey = d.l_partkey) "
         "AND d.l_orderkey < (SELECT MAX(o_orderkey) FROM orders WHERE o_orderstatus = 'P')",
