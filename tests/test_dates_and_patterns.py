@@ -116,3 +116,22 @@ def test_select_partitions_matches_nulls(spark):
     data = spark.createDataFrame([("a", 1), (None, 2)], "p string, n int")
     wanted = expand_partitions(spark, ["null()"], ["p"])
     assert select_partitions(data, wanted).collect() == [(None, 2)]
+
+
+def test_select_partitions_skips_other_folders(spark, tmp_path):
+    """Two columns, four folders each, wanted partitions from a pattern and from a table."""
+    path = str(tmp_path / "t")
+    spark.range(400).select(
+        "id", (F.col("id") % 4).cast("string").alias("y"), (F.col("id") % 5).cast("string").alias("m")
+    ).write.partitionBy("y", "m").parquet(path)
+    data = spark.read.schema("id long, y string, m string").parquet(path)
+    stored = str(tmp_path / "wanted")
+    spark.createDataFrame([("1", "2"), ("3", "2")], "y string, m string").write.parquet(stored)
+    for wanted in (expand_partitions(spark, ["e(1,3)", "2"], ["y", "m"]), spark.read.parquet(stored)):
+        selected = select_partitions(data, wanted)
+        assert sorted(r.id for r in selected.collect()) == [i for i in range(400) if i % 4 in (1, 3) and i % 5 == 2]
+        plan = selected._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("dynamicpruning#") >= 2
+        assert selected.columns == data.columns
+    both = spark.createDataFrame([("1", "2"), (None, "2")], "y string, m string")
+    assert select_partitions(data, both).count() == 20

@@ -72,3 +72,37 @@ def test_nothing_stale(spark, tmp_path):
     )
     assert done.count() == 0
     assert read_view(spark, SALES, str(tmp_path / "t")).agg(F.sum("n")).first()[0] == 1
+
+
+def test_emptied_partitions_keep_their_folder(spark, tmp_path):
+    """Many partitions without rows are emptied; the others stay as they are."""
+    path = tmp_path / "t"
+    write_view(sales(spark, *((m, "2014", f"{m:02}") for m in range(1, 13))), SALES, str(path))
+    stale = spark.createDataFrame(
+        [(SALES.table_name(), f"year=2014/month={m:02}") for m in range(3, 13)], "view string, partition string"
+    )
+    source = sales(spark, (50, "2014", "05"))
+    done = refresh_partitions(
+        SALES, lambda w: select_partitions(source, w), stale, str(path), str(tmp_path / "s"), "q", 5
+    )
+    assert sorted(r.partition for r in done.where("has_data").collect()) == ["year=2014/month=05"]
+    assert done.count() == 10
+    assert sorted(r.n for r in read_view(spark, SALES, str(path)).collect()) == [1, 2, 50]
+    assert (path / "year=2014" / "month=07").is_dir()
+    assert not list((path / "year=2014" / "month=07").glob("*.parquet"))
+
+
+def test_a_refresh_reads_only_the_wanted_folders_of_its_source(spark, tmp_path):
+    source = str(tmp_path / "raw")
+    write_view(sales(spark, *((m, "2014", f"{m:02}") for m in range(1, 13))), SALES, source)
+    plans = []
+
+    def build(wanted):
+        rows = select_partitions(read_view(spark, SALES, source), wanted)
+        plans.append(rows._jdf.queryExecution().executedPlan().toString())
+        return rows
+
+    stale = spark.createDataFrame([(SALES.table_name(), "year=2014/month=03")], "view string, partition string")
+    refresh_partitions(SALES, build, stale, str(tmp_path / "t"), str(tmp_path / "s"), "q", 5)
+    assert "dynamicpruning#" in plans[0]
+    assert [r.n for r in read_view(spark, SALES, str(tmp_path / "t")).collect()] == [3]
