@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gzip
 import json
+import pathlib
 from datetime import datetime
 
 import pytest
@@ -13,6 +14,7 @@ from pyspark.sql import types as T
 from viewforge_queries.exports import FileKeyValueClient, FolderUploader
 from viewforge.exports import files, jdbc, kv, message, warehouse
 from viewforge.exports.common import batches, check_key_and_value, export_counters, partition_filter_text
+from viewforge.session import shared_dir
 
 SALT = "vD75MqvaasIlCf7H"
 
@@ -370,3 +372,26 @@ def test_warehouse_write(spark, tmp_path):
     with pytest.raises(OSError):
         warehouse.warehouse_write(spark.range(2), str(tmp_path / "v"), "t", failing)
     assert failing.calls == ["drop", "create", "load", "drop", "remove"]
+
+
+def test_uploads_are_spread_without_a_number_of_writers(spark):
+    names = spark.range(200).select(F.concat(F.lit("file:/x/part-"), "id").alias("source"), F.lit("r").alias("remote"))
+    spread = files._spread(names, None)
+    assert spread.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert files._spread(names, 3).rdd.getNumPartitions() == 3
+
+
+def test_a_failed_database_export_leaves_no_files(spark):
+    def write(rows, url, name):
+        raise OSError("connection lost")
+
+    def staged():
+        return sorted(p.name for p in pathlib.Path(shared_dir(spark)).glob("jdbc-*"))
+
+    before, done = staged(), []
+    with pytest.raises(OSError):
+        jdbc.jdbc_export(
+            spark.range(5), "jdbc:derby:memory:none", "db", "t", done.extend, lambda t: bool(done), None, write=write
+        )
+    assert staged() == before
+    assert done[-1] == "DROP TABLE tmp_db_t"

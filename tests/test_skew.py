@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from viewforge.model import Field, ViewDef
 from viewforge.operators import lineage
 from viewforge.operators.collect import collect_map
-from viewforge.operators.joins import not_in
+from viewforge.operators.joins import not_in, optional_join
 from viewforge.plans import osm, shop
 from viewforge.plans.transform import scoped_settings
 from viewforge.sources.formats import read_view, write_view
@@ -89,6 +89,30 @@ def test_not_in(small_thresholds, base):
     assert rows == ROWS // 3 and "skew=true" in plan
 
 
+def test_optional_join(small_thresholds, spark, base):
+    """The hot key is on the side that may be missing; two kept rows have no partner."""
+    kept = base.select("k").distinct().unionByName(spark.createDataFrame([(-1,), (None,)], "k long")).toDF("kept")
+    joined = optional_join(kept, base.select("k", "text"), "kept", "k")
+    rows, plan = final_plan(joined)
+    assert rows == ROWS + 2 and "skew=true" in plan
+    plain = kept.join(base.select("k", "text"), F.col("kept") == F.col("k"), "left")
+    assert joined.columns == plain.columns
+    assert joined.exceptAll(plain).isEmpty() and plain.exceptAll(joined).isEmpty()
+
+
+def test_semi_join_by_distinct_keys(small_thresholds, base):
+    """The right side of a semi join sends one row per key and task."""
+    base.createOrReplaceTempView("skewed")
+    rows, plan = final_plan(
+        base.sparkSession.sql(
+            "SELECT k FROM (SELECT DISTINCT k FROM skewed) a WHERE EXISTS "
+            "(SELECT 1 FROM (SELECT DISTINCT k AS hot FROM skewed WHERE v < '3') b WHERE b.hot = a.k)"
+        )
+    )
+    assert rows == base.where("v < '3'").select("k").distinct().count()
+    assert plan.count("HashAggregate") >= 4
+
+
 def test_blackbox_lineage(small_thresholds, spark, base):
     """A view with very many fields takes one field from each of two others; the rest stand for themselves."""
     fields = base.select(F.col("k").alias("view"), F.col("text").alias("field"))

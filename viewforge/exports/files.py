@@ -68,7 +68,8 @@ def export_json_lines(
 
 
 def _spread(files: DataFrame, writers: int | None) -> DataFrame:
-    return files.repartition(writers, "source") if writers else files.repartition("source")
+    """File names over many tasks. The number is given: adaptive execution would merge so few bytes into one task."""
+    return files.repartition(writers or files.sparkSession.sparkContext.defaultParallelism)
 
 
 def remote_prefix(database: str, table: str) -> str:

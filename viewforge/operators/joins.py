@@ -28,6 +28,20 @@ def group_for_join(df: DataFrame, columns: Sequence[str]) -> GroupedData:
     return df.groupBy(*columns, spread_hash(columns))
 
 
+def optional_join(df: DataFrame, other: DataFrame, column: str, other_column: str) -> DataFrame:
+    """``df LEFT JOIN other ON column = other_column`` for an ``other`` with hot keys.
+
+    Adaptive execution splits only the kept side of an outer join, so a hot key of
+    the other side would stay in one task. Both sides of an inner join are split;
+    rows without a partner come from an anti join with the distinct keys, which
+    are found on the map side. The frames share no column name.
+    """
+    on = F.col(column) == F.col(other_column)
+    matched = df.join(other, on)
+    keys = group_for_join(other, [other_column]).agg(F.lit(True).alias("_present")).select(other_column)
+    return matched.unionByName(df.join(keys, on, "left_anti"), allowMissingColumns=True)
+
+
 def not_in(df: DataFrame, column: str, values: DataFrame) -> DataFrame:
     """Rows with ``column NOT IN (values)``, nulls treated as SQL does.
 

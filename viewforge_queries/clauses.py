@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from viewforge_queries.common import run_sql, table, with_views
-from viewforge.operators.joins import not_in
+from viewforge.operators.joins import not_in, optional_join
 from viewforge.session import scratch_path
 
 # Monthly sums per priority: a small, bounded input for window functions, so a
@@ -103,16 +103,6 @@ CLAUSES: dict[str, tuple] = {
         "SELECT o.o_orderkey, c.c_name, c.c_mktsegment FROM orders o JOIN customer c "
         "ON o.o_custkey = c.c_custkey AND o.o_totalprice > c.c_acctbal * 10",
     ),
-    "q_left_join": (
-        ["orders", "customer"],
-        "SELECT c.c_custkey, o.o_orderkey FROM customer c LEFT OUTER JOIN orders o "
-        "ON c.c_custkey = o.o_custkey AND o.o_orderstatus = 'P'",
-    ),
-    "q_right_join": (
-        ["orders", "customer"],
-        "SELECT c.c_custkey, o.o_orderkey FROM orders o RIGHT OUTER JOIN customer c "
-        "ON c.c_custkey = o.o_custkey AND o.o_totalprice > 400000",
-    ),
     "q_full_join": (
         ["supplier", "customer"],
         "SELECT s.nation AS supplier_nation, c.nation AS customer_nation, s.n AS suppliers, c.n AS customers FROM "
@@ -298,6 +288,17 @@ CLAUSES: dict[str, tuple] = {
 }
 
 
+def _outer_join(condition):
+    """All customers with those of their orders that fulfil the condition; one customer may have most of them."""
+
+    def query(spark, sf_dir):
+        orders = table(spark, sf_dir, "orders").where(condition).select("o_custkey", "o_orderkey")
+        customers = table(spark, sf_dir, "customer").select("c_custkey")
+        return optional_join(customers, orders, "c_custkey", "o_custkey").select("c_custkey", "o_orderkey")
+
+    return query
+
+
 def not_in_query(spark, sf_dir):
     """NOT IN a list and NOT IN a subquery whose column may be null."""
     customers = table(spark, sf_dir, "customer").where(~F.col("c_mktsegment").isin("MACHINERY", "FURNITURE"))
@@ -344,12 +345,22 @@ def insert(spark, sf_dir):
 
 
 QUERIES = {name: run_sql(entry[1], *entry[0]) for name, entry in CLAUSES.items()}
+QUERIES["q_left_join"] = _outer_join("o_orderstatus = 'P'")
+QUERIES["q_right_join"] = _outer_join("o_totalprice > 400000")
 QUERIES["q_not_in"] = not_in_query
 QUERIES["q_not_in_null"] = not_in_with_null
 QUERIES["q_tablesample"] = tablesample
 QUERIES["q_insert"] = insert
 
 ORACLE = {name: entry[2] if len(entry) > 2 else entry[1] for name, entry in CLAUSES.items()}
+ORACLE["q_left_join"] = (
+    "SELECT c.c_custkey, o.o_orderkey FROM customer c LEFT OUTER JOIN orders o "
+    "ON c.c_custkey = o.o_custkey AND o.o_orderstatus = 'P'"
+)
+ORACLE["q_right_join"] = (
+    "SELECT c.c_custkey, o.o_orderkey FROM orders o RIGHT OUTER JOIN customer c "
+    "ON c.c_custkey = o.o_custkey AND o.o_totalprice > 400000"
+)
 ORACLE["q_not_in"] = (
     "SELECT c_custkey, c_name FROM customer WHERE c_mktsegment NOT IN ('MACHINERY', 'FURNITURE') "
     "AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)"
