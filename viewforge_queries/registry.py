@@ -29,8 +29,12 @@ def _prepared(query: Query) -> Query:
     return run
 
 
+def prepared(found: dict[str, Query]) -> dict[str, Query]:
+    return {name: _prepared(query) for name, query in found.items()}
+
+
 def queries() -> dict[str, Query]:
-    return {name: _prepared(query) for module in MODULES for name, query in module.QUERIES.items()}
+    return prepared({name: query for module in MODULES for name, query in module.QUERIES.items()})
 
 
 def oracle_sql() -> dict[str, str]:
