@@ -42,13 +42,13 @@ def ship_packages(spark: SparkSession, *packages: ModuleType) -> None:
     the application's files, as with ``--py-files``.
     """
     context = spark.sparkContext
-    key = (context.applicationId, *(p.__name__ for p in packages))
-    if key not in _SHIPPED:
-        context.addPyFile(_archive(spark, packages))
-        _SHIPPED.add(key)
+    missing = [p for p in packages if (context.applicationId, p.__name__) not in _SHIPPED]
+    if missing:
+        context.addPyFile(_archive(spark, missing))
+        _SHIPPED.update((context.applicationId, p.__name__) for p in missing)
 
 
-_SHIPPED: set[tuple[str, ...]] = set()
+_SHIPPED: set[tuple[str, str]] = set()
 
 
 def _archive(spark: SparkSession, packages: Sequence[ModuleType]) -> str:
@@ -59,7 +59,7 @@ def _archive(spark: SparkSession, packages: Sequence[ModuleType]) -> str:
             root = Path(package.__path__[0])
             for source in sorted(root.rglob("*.py")):
                 archive.write(source, source.relative_to(root.parent))
-    target = f"{scratch_path(spark, 'code')}/viewforge_packages.zip"
+    target = f"{scratch_path(spark, 'code')}/{'_'.join(p.__name__ for p in packages)}.zip"
     out = file_system(spark, target).create(hadoop_path(spark, target))
     out.write(content.getvalue())
     out.close()
