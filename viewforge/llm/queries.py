@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
+from viewforge.llm.packing import pack_along_curve
 from viewforge.llm.substrings import remove_repeats
+from viewforge.llm.token_files import read_token_files, write_token_files
+from viewforge.session import scratch_path
+
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
 def documents(spark, sf_dir):
@@ -16,5 +22,20 @@ def op8_substring_dedup(spark, sf_dir):
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES = {"op8_substring_dedup": op8_substring_dedup}
+def op6_packing(spark, sf_dir):
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return pack_along_curve(docs, TOKENIZER, end_id=2, length=4096, by_word=True).drop("ids")
+
+
+def op7_token_files(spark, sf_dir):
+    path = scratch_path(spark, "tokens")
+    write_token_files(documents(spark, sf_dir).select("doc_id", "text"), path, TOKENIZER, end_id=1, by_word=True)
+    return read_token_files(spark, path)
+
+
+QUERIES = {
+    "op6_packing": op6_packing,
+    "op7_token_files": op7_token_files,
+    "op8_substring_dedup": op8_substring_dedup,
+}
 ORACLE: dict[str, str] = {}
