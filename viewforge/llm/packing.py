@@ -124,7 +124,7 @@ def _stream(tokenizer: str, by_word: bool, end_id: int):
         encode, part, first = encoder(tokenizer, by_word), TaskContext.get().partitionId(), 0
         end = np.array([end_id], f"<u{encode.width}").tobytes()
         for batch in batches:
-            ids = [encode(text.as_py()) + end for text in batch.column(1)]
+            ids = [i + end for i in encode(batch.column(1).to_pylist())]
             n = np.array([len(i) // encode.width for i in ids], np.int64)
             at = first + np.cumsum(n) - n
             first += int(n.sum())

@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from viewforge.llm.packing import pack_along_curve
+from viewforge.llm.postings import decontaminate
 from viewforge.llm.substrings import remove_repeats
 from viewforge.llm.token_files import read_token_files, write_token_files
 from viewforge.session import scratch_path
@@ -33,9 +34,23 @@ def op7_token_files(spark, sf_dir):
     return read_token_files(spark, path)
 
 
+def op9_decontamination(spark, sf_dir):
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
+    found = decontaminate(documents(spark, sf_dir).select("doc_id", "text"), items, window=10)
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
 QUERIES = {
     "op6_packing": op6_packing,
     "op7_token_files": op7_token_files,
     "op8_substring_dedup": op8_substring_dedup,
+    "op9_decontamination": op9_decontamination,
 }
 ORACLE: dict[str, str] = {}

@@ -159,9 +159,9 @@ def _shards(tokenizer: str, by_word: bool, end_id: int):
 
         for batch in batches:
             id_type = batch.column(0).type
-            for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
+            for doc_id, encoded in zip(batch.column(0), encode(batch.column(1).to_pylist()), strict=True):
                 doc_ids.append(doc_id.as_py())
-                ids.append(encode(text.as_py()) + end)
+                ids.append(encoded + end)
                 size += len(ids[-1]) // encode.width
                 if size >= SHARD_TOKENS:
                     yield shard()

@@ -3,24 +3,37 @@
 from __future__ import annotations
 
 import os
+import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Sequence
 from functools import cache
 
 import numpy as np
-import pyarrow as pa
 from tokenizers import Tokenizer
 
 #: Words whose ids a worker remembers; the memory starts anew beyond that.
 REMEMBERED = 400_000
+#: Characters of text whose words are looked up together.
+BATCH_CHARS = 4_000_000
+
+
+#: A run of ASCII signs between blanks, ASCII letters or digits. Beside an apostrophe or anything beyond ASCII the
+#: vocabulary's own rules reach across, so such a run stays with its word.
+_SIGNS = rb"[\x00-\x08\x0e-\x1f!-&(-/:-@\[-`{-\x7f]"
+_RUN = re.compile(rb"(?<![\x00-\x08\x0e-\x1f!-/:-@\[-`{-\xff])(" + _SIGNS + rb"++)(?!['\x80-\xff])")
+#: Words that such a vocabulary takes as one unit.
+_UNIT = re.compile("[a-zA-ZÀ-ÖØ-öø-ÿ]+|[!-&(-/:-@\\[-`{-~]+")
+TOGETHER = 2_000
 
 
 class Encoder:
     """Ids of a text as little-endian unsigned integers of ``width`` bytes.
 
-    With ``by_word`` the text is cut at ASCII white space and each distinct word is
-    encoded once. That gives the same ids only for tokenizers that drop white space
-    and never look past it, such as the word-end vocabularies.
+    ``by_word`` is for vocabularies that lower-case, drop white space and keep letters
+    and signs apart, such as the word-end ones: texts are cut at ASCII white space and
+    around runs of ASCII signs, ASCII letters are lower-cased, and each distinct word is
+    encoded once. The ids are the same. A text that holds a special token is cut at white
+    space only.
     """
 
     def __init__(self, path: str, by_word: bool) -> None:
@@ -28,23 +41,57 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.by_word = by_word
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
+        self.special = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[bytes, bytes] = {}
 
-    def _encoded(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, f"<u{self.width}").tobytes()
+    def _packed(self, ids: Sequence[int]) -> bytes:
+        return np.array(ids, f"<u{self.width}").tobytes()
 
-    def __call__(self, text: str | None) -> bytes:
-        if not text:
-            return b""
+    def _encoded(self, text: str) -> bytes:
+        return self._packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def _words(self, text: str) -> list[bytes]:
+        raw = text.encode()
+        lower = raw.lower()
+        if any(s in lower for s in self.special):
+            return raw.split()
+        return _RUN.sub(rb" \1 ", lower).split()
+
+    def _learn(self, words: set[bytes]) -> None:
+        """Encode words that are not known; those of one unit many at a time."""
+        units = []
+        for word in words:
+            plain = word.decode()
+            if _UNIT.fullmatch(plain):
+                units.append((word, plain))
+            else:
+                self.known[word] = self._encoded(plain)
+        for i in range(0, len(units), TOGETHER):
+            some = units[i : i + TOGETHER]
+            got = self.tokenizer.encode(" ".join(plain for _, plain in some), add_special_tokens=False)
+            ids, unit = np.array(got.ids, f"<u{self.width}"), np.array(got.word_ids)
+            ends = np.append(np.flatnonzero(np.diff(unit)) + 1, len(ids))
+            if len(ends) != len(some):
+                self.known.update((word, self._encoded(plain)) for word, plain in some)
+                continue
+            raw, cuts = ids.tobytes(), [0, *(ends * self.width).tolist()]
+            self.known.update((word, raw[a:b]) for (word, _), a, b in zip(some, cuts, cuts[1:], strict=False))
+
+    def __call__(self, texts: Sequence[str | None]) -> list[bytes]:
         if not self.by_word:
-            return self._encoded(text)
-        words = text.encode().split()
-        known = self.known
-        for word in set(words).difference(known):
-            known[word] = self._encoded(word.decode())
-        out = b"".join(map(known.__getitem__, words))
-        if len(known) > REMEMBERED:
-            known.clear()
+            found = self.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)
+            return [self._packed(e.ids) for e in found]
+        known, out, at = self.known, [], 0
+        while at < len(texts):
+            words, size = [], 0
+            while at < len(texts) and size < BATCH_CHARS:
+                text = texts[at] or ""
+                words.append(self._words(text) if text else [])
+                size, at = size + len(text), at + 1
+            self._learn(set().union(*words).difference(known))
+            out += [b"".join(map(known.__getitem__, w)) for w in words]
+            if len(known) > REMEMBERED:
+                known.clear()
         return out
 
 
@@ -58,7 +105,3 @@ def crc32(ids: np.ndarray) -> int:
     """Unsigned CRC-32 of ids as little-endian unsigned 32-bit integers."""
     return zlib.crc32(ids.astype("<u4").tobytes())
 
-
-def texts(column: pa.Array) -> Iterator[str | None]:
-    for value in column:
-        yield value.as_py()
