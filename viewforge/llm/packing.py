@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -12,13 +13,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from viewforge.llm.frames import quoted, ready, shared_table, shuffle_width, unpacked
-from viewforge.llm.tokens import crc32, encoder
+from viewforge.llm.tokens import crc32, encoder, slices
 from viewforge.llm.words import word_blocks
 
 #: Length of the hashed document vectors, dimensions they are projected to, and bits of each on the curve.
 HASHED, DIMENSIONS, BITS = 256, 4, 12
 _PROJECTION = np.random.Generator(np.random.PCG64(7)).standard_normal((HASHED, DIMENSIONS))
-PIECE = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
+NUMBERS = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
 
 def curve_points(column: pa.Array) -> np.ndarray:
@@ -67,10 +68,6 @@ def hilbert_key(points: np.ndarray) -> np.ndarray:
     return key
 
 
-def curve_key(column: pa.Array) -> pa.Array:
-    return pa.array(hilbert_key(curve_points(column)), pa.int64())
-
-
 def pack_along_curve(
     docs: DataFrame, tokenizer: str, end_id: int, length: int = 4096, text: str = "text", by_word: bool = False
 ) -> DataFrame:
@@ -92,14 +89,10 @@ def pack_along_curve(
     spark = docs.sparkSession
     ready(spark)
     others = [c for c in docs.columns if c != text]
-    key = F.arrow_udf(curve_key, "long")(quoted(text))
-    rows = docs.select(
-        F.struct(*([quoted(c) for c in others] or [F.lit(0).alias("none")])).alias("row"),
-        quoted(text).alias("text"),
-        key.alias("key"),
-        F.monotonically_increasing_id().alias("number"),
-    )
-    ranged = rows.repartitionByRange(shuffle_width(spark), "key", "number").sortWithinPartitions("key", "number")
+    rows = docs.select(F.struct(*([quoted(c) for c in others] or [F.lit(0).alias("none")])).alias("row"), quoted(text).alias("text"))
+    keyed = T.StructType([*rows.schema.fields, T.StructField("key", T.LongType())])
+    numbered = rows.mapInArrow(_keyed, keyed).withColumn("number", F.monotonically_increasing_id())
+    ranged = numbered.repartitionByRange(shuffle_width(spark), "key", "number").sortWithinPartitions("key", "number")
     stream = T.StructType(
         [
             rows.schema["row"],
@@ -113,17 +106,22 @@ def pack_along_curve(
     totals = tokens.groupBy("part").agg(F.sum("n").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = tokens.join(F.broadcast(totals.select("part", before.alias("base"))), "part")
-    pieces = F.arrow_udf(_pieces(length), f"array<struct<{', '.join(p.replace(' ', ':', 1) for p in PIECE.split(', '))}>>")
-    cut = placed.select("row", pieces(F.expr("base + first"), F.col("ids"), F.col("n")).alias("pieces"))
-    new = [p.split()[0] for p in PIECE.split(", ")]
-    return unpacked(cut.select("row", F.explode("pieces").alias("piece")).select("row", "piece.*"), others, new)
+    piece = T.StructType([rows.schema["row"], *(T.StructField(n, T.LongType()) for n in NUMBERS), T.StructField("ids", T.BinaryType())])
+    cut = placed.select("row", F.expr("base + first").alias("place"), "n", "ids").mapInArrow(_pieces(length), piece)
+    return unpacked(cut, others, [*NUMBERS, "ids"])
+
+
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keys = pa.array(hilbert_key(curve_points(batch.column(1))), pa.int64())
+        yield pa.RecordBatch.from_arrays([*batch.columns, keys], ["row", "text", "key"])
 
 
 def _stream(tokenizer: str, by_word: bool, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part, first = encoder(tokenizer, by_word), TaskContext.get().partitionId(), 0
         end = np.array([end_id], f"<u{encode.width}").tobytes()
-        for batch in batches:
+        for batch in chain.from_iterable(map(slices, batches)):
             ids = [i + end for i in encode(batch.column(1).to_pylist())]
             n = np.array([len(i) // encode.width for i in ids], np.int64)
             at = first + np.cumsum(n) - n
@@ -137,19 +135,22 @@ def _stream(tokenizer: str, by_word: bool, end_id: int):
 
 
 def _pieces(length: int):
-    def cut(places: pa.Array, streams: pa.Array, counts: pa.Array) -> pa.Array:
-        out, bounds = [], [0]
-        for place, data, n in zip(places.to_pylist(), streams, counts.to_pylist(), strict=True):
-            raw = data.as_buffer()
-            ids, start = np.frombuffer(raw, f"<u{raw.size // n}").astype("<u4"), 0
-            while start < n:
-                sequence, offset = divmod(place + start, length)
-                piece = ids[start : start + length - offset]
-                out.append((start, len(piece), crc32(piece), n, sequence, offset, piece.tobytes()))
-                start += len(piece)
-            bounds.append(len(out))
-        columns = list(zip(*out, strict=True)) if out else [()] * 7
-        arrays = [pa.array(c, pa.int64()) for c in columns[:6]] + [pa.array(columns[6], pa.binary())]
-        return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.StructArray.from_arrays(arrays, [p.split()[0] for p in PIECE.split(", ")]))
-
-    return cut
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chain.from_iterable(map(slices, batches)):
+            rows, out = [], []
+            for row, (place, n, data) in enumerate(zip(*(c for c in batch.columns[1:]), strict=True)):
+                place, n, raw, start = place.as_py(), n.as_py(), data.as_buffer(), 0
+                ids = np.frombuffer(raw, f"<u{raw.size // n}").astype("<u4")
+                while start < n:
+                    sequence, offset = divmod(place + start, length)
+                    piece = ids[start : start + length - offset]
+                    rows.append(row)
+                    out.append((start, len(piece), crc32(piece), n, sequence, offset, piece.tobytes()))
+                    start += len(piece)
+            columns = list(zip(*out, strict=True))
+            numbers = [pa.array(c, pa.int64()) for c in columns[:-1]]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(rows)), *numbers, pa.array(columns[-1], pa.binary())], ["row", *NUMBERS, "ids"]
+            )
+
+    return run

@@ -9,6 +9,7 @@ the ids that continue, and a rank directory holds the number of marks before eac
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from viewforge.llm.frames import quoted, ready, shuffle_width
-from viewforge.llm.tokens import crc32, encoder
+from viewforge.llm.tokens import crc32, encoder, slices
 
 CHUNK_BITS = 8
 RANK_BITS = 512
@@ -157,7 +158,7 @@ def _shards(tokenizer: str, by_word: bool, end_id: int):
                 ["part", "first", "n_tokens", "doc_ids", "doc_tokens", "codes"],
             )
 
-        for batch in batches:
+        for batch in chain.from_iterable(map(slices, batches)):
             id_type = batch.column(0).type
             for doc_id, encoded in zip(batch.column(0), encode(batch.column(1).to_pylist()), strict=True):
                 doc_ids.append(doc_id.as_py())

@@ -5,16 +5,17 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 #: Words whose ids a worker remembers; the memory starts anew beyond that.
-REMEMBERED = 400_000
+REMEMBERED = 120_000
 #: Characters of text whose words are looked up together.
-BATCH_CHARS = 4_000_000
+BATCH_CHARS = 2_000_000
 
 
 #: A run of ASCII signs between blanks, ASCII letters or digits. Beside an apostrophe or anything beyond ASCII the
@@ -95,6 +96,15 @@ class Encoder:
         return out
 
 
+#: Rows whose texts a worker holds as Python strings at a time.
+ROWS = 512
+
+
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    for start in range(0, batch.num_rows, ROWS):
+        yield batch.slice(start, ROWS)
+
+
 @cache
 def encoder(path: str, by_word: bool) -> Encoder:
     """One encoder per worker process, so that its words are kept from task to task."""

@@ -9,7 +9,9 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are hashed at a time, so that the eight times larger arrays stay in cache. A longer document is taken whole.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
+#: Documents that are hashed at a time, for arrays with a row per document.
+BLOCK_ROWS = 1 << 12
 #: An odd multiplier of the rolling hashes and its inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -106,6 +108,7 @@ def word_blocks(column: pa.Array, inside: np.ndarray = NOT_BLANK, change: np.nda
     row = 0
     while row < len(column):
         end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + BLOCK_BYTES, "right")) - 1)
+        end = min(end, row + BLOCK_ROWS)
         text = data[offsets[row] : offsets[end]]
         bounds = offsets[row : end + 1] - offsets[row]
         yield _hashed(slice(row, end), text if change is None else change[text], bounds, inside)
