@@ -5,8 +5,12 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
+from viewforge.llm import lines
+from viewforge.llm.lines import drop_boilerplate
 from viewforge.llm.packing import pack_along_curve
 from viewforge.llm.postings import decontaminate
+from viewforge.llm.rule_ensemble import score_quality
+from viewforge.llm.rule_lists import judge_by_rules
 from viewforge.llm.substrings import remove_repeats
 from viewforge.llm.token_files import read_token_files, write_token_files
 from viewforge.session import scratch_path
@@ -23,6 +27,25 @@ def op8_substring_dedup(spark, sf_dir):
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def labels(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op1_quality_classifier(spark, sf_dir):
+    return score_quality(documents(spark, sf_dir).select("doc_id", "text"), labels(spark, sf_dir))
+
+
+def op2_quality_rules(spark, sf_dir):
+    judged = judge_by_rules(documents(spark, sf_dir).select("doc_id", "text"), labels(spark, sf_dir))
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return judged.select("doc_id", *counts, "base_failed", "kept", "rule")
+
+
+def op5_line_dedup(spark, sf_dir):
+    kept = drop_boilerplate(documents(spark, sf_dir).select("doc_id", "source", "text"), host="source", ratio=0.1, min_pages=3)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("text_sha256"))
+
+
 def op6_packing(spark, sf_dir):
     docs = documents(spark, sf_dir).select("doc_id", "text")
     return pack_along_curve(docs, TOKENIZER, end_id=2, length=4096, by_word=True).drop("ids")
@@ -48,9 +71,12 @@ def op9_decontamination(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_quality_classifier": op1_quality_classifier,
+    "op2_quality_rules": op2_quality_rules,
+    "op5_line_dedup": op5_line_dedup,
     "op6_packing": op6_packing,
     "op7_token_files": op7_token_files,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_decontamination": op9_decontamination,
 }
-ORACLE: dict[str, str] = {}
+ORACLE = {"op5_line_dedup": lines.ORACLE}
