@@ -64,7 +64,7 @@ boiler AS (
 kept AS (
   SELECT d.doc_id, len(string_split(d.text, chr(10))) AS n_lines,
     CASE WHEN b.found IS NULL THEN string_split(d.text, chr(10))
-      ELSE list_filter(string_split(d.text, chr(10)), x -> NOT list_contains(b.found, x)) END AS lines
+      ELSE list_filter(string_split(d.text, chr(10)), lambda x: NOT list_contains(b.found, x)) END AS lines
   FROM documents d LEFT JOIN boiler b ON b.source = d.source
 )
 SELECT doc_id, n_lines, n_lines - len(lines) AS n_dropped, sha256(array_to_string(lines, chr(10))) AS text_sha256 FROM kept

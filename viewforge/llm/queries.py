@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from viewforge.llm import lines
 from viewforge.llm.lines import drop_boilerplate
+from viewforge.llm.near_copies import near_duplicates
 from viewforge.llm.packing import pack_along_curve
 from viewforge.llm.postings import decontaminate
 from viewforge.llm.rule_ensemble import score_quality
@@ -41,6 +42,10 @@ def op2_quality_rules(spark, sf_dir):
     return judged.select("doc_id", *counts, "base_failed", "kept", "rule")
 
 
+def op3_near_dedup(spark, sf_dir):
+    return near_duplicates(documents(spark, sf_dir).select("doc_id", "text"), similarity=0.8).select("doc_id", "class_id", "class_size")
+
+
 def op5_line_dedup(spark, sf_dir):
     kept = drop_boilerplate(documents(spark, sf_dir).select("doc_id", "source", "text"), host="source", ratio=0.1, min_pages=3)
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("text_sha256"))
@@ -73,6 +78,7 @@ def op9_decontamination(spark, sf_dir):
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_quality_rules": op2_quality_rules,
+    "op3_near_dedup": op3_near_dedup,
     "op5_line_dedup": op5_line_dedup,
     "op6_packing": op6_packing,
     "op7_token_files": op7_token_files,

@@ -61,7 +61,13 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit_sample(statistics: DataFrame, labels: DataFrame, label: str, rows: int = FIT_ROWS) -> DataFrame:
-    """At most ``rows`` labelled rows that are not held out, as ``label`` and the statistics; the same ones every time."""
+    """At most ``rows`` labelled rows that are not held out, as ``label`` and the statistics.
+
+    Rows are chosen by a hash whose bound follows from their number, so each task sends
+    only its share; the same input gives the same rows.
+    """
     known = labels.select("doc_id", F.col(label).cast("double").alias("label")).where("label IS NOT NULL AND doc_id IS NOT NULL")
     joined = statistics.where(~F.col("held_out")).join(known, "doc_id")
-    return joined.orderBy(F.xxhash64("doc_id"), *[c for c in statistics.columns if c != "doc_id"], "label").limit(rows)
+    share = min(1.0, 0.95 * rows / max(1, joined.count()))
+    hashed = F.pmod(F.xxhash64(*statistics.columns, "label"), F.lit(1 << 30))
+    return joined.where(hashed < int(share * (1 << 30))).limit(rows)
