@@ -2,11 +2,55 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from viewforge.llm.frames import shared_table
+from viewforge.llm.frames import quoted, shared_table, text_key
+from viewforge.llm.lines import drop_boilerplate
+from viewforge.llm.near_copies import keep_one
+from viewforge.llm.packing import pack_along_curve
+from viewforge.llm.postings import decontaminate
+from viewforge.llm.rule_ensemble import score_quality
 
-STAGES: list = []
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier predicts to be good."""
+    columns = {f"kept_{i}": quoted(c) for i, c in enumerate(docs.columns)}
+    scored = score_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), **columns)
+    return scored.where("predicted = 1").select(*(F.col(k).alias(c) for k, c in zip(columns, docs.columns, strict=True)))
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without lines that their source repeats on more than a tenth of its pages; ``n_chars`` follows the text."""
+    cut = drop_boilerplate(docs, host="source", ratio=0.1, min_pages=3)
+    out = cut.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long"))
+    return out.select(docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies."""
+    return keep_one(docs, similarity=0.8)
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a window of ten consecutive benchmark words."""
+    keyed = docs.select(text_key(quoted("text")).alias("key"), "text")
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = decontaminate(keyed, items, window=10, carry=["key"]).where("contaminated").select("key").distinct()
+    dirty = shared_table(found, "contaminated")
+    key = text_key(quoted("text"))
+    return docs.withColumn("_key", key).join(dirty.withColumnRenamed("key", "_key"), "_key", "left_anti").select(docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of 4096 tokens, neighbours on the curve side by side."""
+    return pack_along_curve(docs.select("doc_id", "text"), TOKENIZER, end_id=2, length=4096, by_word=True).drop("ids")
+
+
+STAGES = [("quality", quality), ("lines", lines), ("near_copies", near_copies), ("benchmark", benchmark), ("pack", pack)]
 
 #: Tokenising cannot be written in SQL; the tests compare ``run`` with a brute-force version.
 ORACLE_SQL = None

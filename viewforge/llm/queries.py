@@ -12,7 +12,9 @@ from viewforge.llm.packing import pack_along_curve
 from viewforge.llm.postings import decontaminate
 from viewforge.llm.rule_ensemble import score_quality
 from viewforge.llm.rule_lists import judge_by_rules
+from viewforge.llm.secrets import scan_secrets
 from viewforge.llm.substrings import remove_repeats
+from viewforge.llm.surrogates import replace_personal_data
 from viewforge.llm.token_files import read_token_files, write_token_files
 from viewforge.session import scratch_path
 
@@ -46,6 +48,10 @@ def op3_near_dedup(spark, sf_dir):
     return near_duplicates(documents(spark, sf_dir).select("doc_id", "text"), similarity=0.8).select("doc_id", "class_id", "class_size")
 
 
+def op4_surrogates(spark, sf_dir):
+    return replace_personal_data(documents(spark, sf_dir).select("doc_id", "text"), key="surrogates of the registered query")
+
+
 def op5_line_dedup(spark, sf_dir):
     kept = drop_boilerplate(documents(spark, sf_dir).select("doc_id", "source", "text"), host="source", ratio=0.1, min_pages=3)
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("text_sha256"))
@@ -75,14 +81,28 @@ def op9_decontamination(spark, sf_dir):
     )
 
 
+def op10_secrets(spark, sf_dir):
+    found = scan_secrets(documents(spark, sf_dir).select("doc_id", "text"))
+    written = F.transform("secrets", lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string")))
+    count = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id",
+        *map(count, ("assign", "access", "hex")),
+        F.sha2(F.array_join(F.filter(written, lambda s: ~s.startswith("named:")), ","), 256).alias("base_sha256"),
+        F.array_join(written, ",").alias("spans"),
+    )
+
+
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_quality_rules": op2_quality_rules,
     "op3_near_dedup": op3_near_dedup,
+    "op4_surrogates": op4_surrogates,
     "op5_line_dedup": op5_line_dedup,
     "op6_packing": op6_packing,
     "op7_token_files": op7_token_files,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_decontamination": op9_decontamination,
+    "op10_secrets": op10_secrets,
 }
 ORACLE = {"op5_line_dedup": lines.ORACLE}
