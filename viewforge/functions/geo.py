@@ -34,11 +34,12 @@ def cell_number(value: Column, low: float, high: float) -> Column:
     """Which of 2**30 equal slices of the axis holds the value."""
     slices = 1 << BITS
     position = F.floor((value - F.lit(low)) / F.lit(high - low) * F.lit(float(slices))).cast("long")
-    return F.greatest(F.least(position, F.lit(slices - 1).cast("long")), F.lit(0).cast("long"))
+    inside = F.greatest(F.least(position, F.lit(slices - 1).cast("long")), F.lit(0).cast("long"))
+    return F.when(value.isNotNull(), inside)  # least and greatest pass over a null
 
 
 def geohash(latitude: Column, longitude: Column, precision: int = 12) -> Column:
-    """Geohash of up to 12 characters.
+    """Geohash of up to 12 characters; null if a coordinate is null.
 
     The map example hands its coordinates over in the opposite order; callers
     that need those results pass longitude as ``latitude`` on purpose.
