@@ -174,6 +174,15 @@ def test_key_value_write(spark, tmp_path):
     assert sum(deletes) == 50 and max(deletes) <= 7
 
 
+@pytest.mark.parametrize(("writers", "batch_rows"), [(1, 1), (1, 2), (4, 1), (4, 10)])
+def test_replaced_keys_depend_on_neither_batches_nor_writers(spark, tmp_path, writers, batch_rows):
+    df = spark.createDataFrame([("k", ["a"]), ("k", ["c"]), ("k", ["b"]), ("l", ["d"])], "key string, value array<string>")
+    folder = tmp_path / "kv"
+    kv.kv_write(df, lambda: FileKeyValueClient(str(folder)), writers=writers, batch_rows=batch_rows)
+    lines = [json.loads(line) for p in folder.iterdir() for line in p.read_text().splitlines()]
+    assert sorted((x["key"], x["value"]) for x in lines if x["op"] == "put") == [("k", ["c"]), ("l", ["d"])]
+
+
 # ---------------------------------------------------------------- messages
 
 
@@ -299,6 +308,20 @@ def test_upload(spark, tmp_path):
     assert not (tmp_path / "scratch").exists()
 
 
+def test_upload_of_several_files_per_task(spark, tmp_path):
+    remote = tmp_path / "remote"
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", "10")
+    try:
+        sent = files.upload_files(
+            spark.range(100), str(tmp_path / "scratch"), lambda: FolderUploader(str(remote)), "p", datetime(2024, 5, 1), "json", writers=2
+        )
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    names = [r.remote for r in sent.collect()]
+    assert len(names) == len(set(names)) > 2
+    assert sorted(json.loads(x)["id"] for n in names for x in gzip.open(remote / n, "rt").read().splitlines()) == list(range(100))
+
+
 # ---------------------------------------------------------------- warehouse
 
 

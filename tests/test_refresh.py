@@ -106,3 +106,21 @@ def test_a_refresh_reads_only_the_wanted_folders_of_its_source(spark, tmp_path):
     refresh_partitions(SALES, build, stale, str(tmp_path / "t"), str(tmp_path / "s"), "q", 5)
     assert "dynamicpruning#" in plans[0]
     assert [r.n for r in read_view(spark, SALES, str(tmp_path / "t")).collect()] == [3]
+
+
+def test_no_partition_is_lost_to_its_name(spark, tmp_path):
+    """Numbers with leading zeros, null, empty and escaped values: rebuilt ones stay, emptied ones go, others are not touched."""
+    view = ViewDef("Odd", [Field("n", "int")], partitions=[Field("month", "int"), Field("tag", "string")])
+    tags = ["a/b", "a", "50%", "x y", "k=v:w", "1+1", None]
+    rows = [(i, 5, tag) for i, tag in enumerate(tags)] + [(90, 6, "a/b"), (91, None, "gone/x"), (92, None, "kept")]
+    source = spark.createDataFrame(rows, "n int, month int, tag string")
+    path = str(tmp_path / "t")
+    write_view(source, view, path)
+    texts = [f"month=05/tag={t}" for t in ("a%2Fb", "a", "50%25", "50%", "x y", "k%3Dv%3Aw", "1+1", "__HIVE_DEFAULT_PARTITION__")]
+    texts.append("month=__HIVE_DEFAULT_PARTITION__/tag=gone%2Fx")
+    stale = spark.createDataFrame([(view.table_name(), t) for t in texts], "view string, partition string")
+    fresh = source.where("tag IS NULL OR tag <> 'gone/x'").withColumn("n", F.col("n") + 100)
+    done = refresh_partitions(view, lambda w: select_partitions(fresh, w), stale, path, str(tmp_path / "s"), "q", 5)
+    assert {r.partition: r.has_data for r in done.collect()} == {t: "gone" not in t for t in texts}
+    expected = [(i + 100, 5, tag) for i, tag in enumerate(tags)] + [(90, 6, "a/b"), (92, None, "kept")]
+    assert sorted(map(tuple, read_view(spark, view, path).collect())) == sorted(expected)

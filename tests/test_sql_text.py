@@ -112,6 +112,7 @@ def test_group_digest_ignores_order_but_not_copies(spark):
     )
     got = {r.g: r.digest for r in digest_groups(df, ["g"], "t").collect()}
     assert got["a"] == got["b"] != got["c"]
+    assert got["d"] == "0"
 
 
 def test_anonymize_golden(spark):

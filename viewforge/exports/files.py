@@ -90,8 +90,8 @@ def upload_files(
     """Write files under ``scratch``, one per partition or per writer, then send each once.
 
     ``uploader_factory()`` gives a function ``(file uri, remote name)``. Remote
-    names are ``<prefix>-<UTC time>-<task>-<n><ending>`` and depend only on the
-    file, so a repeated task overwrites its own upload. Returns one row per file:
+    names are ``<prefix>-<UTC time>-<task>-<n><ending>``, where a task numbers its
+    files from 0, and depend only on the file, so a repeated task overwrites its own upload. Returns one row per file:
     ``source, remote``. The scratch folder is removed afterwards.
     """
     spark = df.sparkSession
@@ -106,7 +106,11 @@ def upload_files(
     files = list_files(spark, scratch).select(
         F.col("path").alias("source"),
         F.concat(
-            F.lit(f"{stem}-"), F.regexp_extract("path", r"part-(\d+)-", 1), F.lit(f"-0{ending}")
+            F.lit(f"{stem}-"),
+            F.regexp_extract("path", r"part-(\d+)-", 1),
+            F.lit("-"),
+            F.regexp_extract("path", r"-c(\d+)\.[^/]*$", 1).cast("int").cast("string"),
+            F.lit(ending),
         ).alias("remote"),
     )
 

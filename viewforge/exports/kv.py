@@ -105,9 +105,14 @@ def kv_write(
     """Send ``key, value`` rows in pipelined batches.
 
     Rows spread evenly over the writers, so a hot key does not slow one of them
-    down. With ``replace`` a repeated task leaves the same store; appended list
+    down. With ``replace`` one row of each key is sent, the one whose value is the
+    greatest as JSON text, so neither batches nor writers nor a repeated task change
+    the store. Without it, all rows are sent in no certain order, and appended list
     items may repeat when a task does.
     """
+    if replace:
+        order = F.to_json(F.struct("value"))
+        encoded = encoded.groupBy("key").agg(F.max_by("value", order).alias("value"))
     if flush is not None:
         flush()
 

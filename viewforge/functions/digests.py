@@ -26,22 +26,20 @@ def digest_groups(df: DataFrame, group_columns: Sequence[str], text_column: str)
     task. Instead every row is hashed where it lies and only the row count and
     two sums of hash halves travel, so partial aggregation leaves one small row
     per group and task. Equal multisets of texts give equal digests.
+    Null texts do not count; a group without any text has the empty digest.
     """
     row_hash = F.md5(F.col(text_column))
 
     def half(start: int) -> Column:
-        return F.conv(F.substring(row_hash, start, 15), 16, 10).cast("decimal(20,0)")
+        return F.conv(F.substring(row_hash, start, 16), 16, 10).cast("decimal(20,0)")
 
-    sums = df.where(F.col(text_column).isNotNull()).groupBy(*group_columns).agg(
-        F.count(F.lit(1)).alias("n_texts"),
+    sums = df.groupBy(*group_columns).agg(
+        F.count(text_column).alias("n_texts"),
         F.sum(half(1)).cast("string").alias("low"),
-        F.sum(half(16)).cast("string").alias("high"),
-    )
-    return sums.select(
-        *group_columns,
-        "n_texts",
-        F.upper(F.md5(F.concat_ws("-", F.col("n_texts").cast("string"), "low", "high"))).alias("digest"),
+        F.sum(half(17)).cast("string").alias("high"),
     )
+    whole = F.upper(F.md5(F.concat_ws("-", F.col("n_texts").cast("string"), "low", "high")))
+    return sums.select(*group_columns, "n_texts", F.when(F.col("n_texts") > 0, whole).otherwise(EMPTY_DIGEST).alias("digest"))
 
 
 def hashed(value: Column, salt: str = DEFAULT_SALT) -> Column:

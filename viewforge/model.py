@@ -204,13 +204,14 @@ class ViewDef:
         return replace(self, storage=storage)
 
 
-# Characters that may not stand in a partition directory name.
+# The directory name of a null, and characters that may not stand in such a name.
+NULL_PATH_VALUE = "__HIVE_DEFAULT_PARTITION__"
 ESCAPED_PATH_CHARACTERS = "\"#%'*/:=?\\\x7f{[]^"
 
 
 def escape_path_value(value: object) -> str:
     if value is None or value == "":
-        return "__HIVE_DEFAULT_PARTITION__"
+        return NULL_PATH_VALUE
     return "".join(f"%{ord(c):02X}" if c in ESCAPED_PATH_CHARACTERS or ord(c) < 32 else c for c in str(value))
 
 

@@ -2,40 +2,40 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 
-from py4j.protocol import Py4JJavaError
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from viewforge.model import ViewDef
 from viewforge.operators.state import append_state
-from viewforge.operators.views import insert_dynamically_into
+from viewforge.operators.views import insert_dynamically_into, path_value, value_of_path
 from viewforge.session import checkpointed, file_system, hadoop_path, remove_folder, scratch_path, stored
+from viewforge.sources.files import list_files
 
 
 def partition_text(names: Sequence[str]) -> Column:
-    """``year=2014/month=10`` from partition columns, as state tables name partitions."""
-    return F.concat_ws("/", *(F.concat(F.lit(f"{n}="), F.col(n).cast("string")) for n in names))
+    """``year=2014/month=10`` from partition columns: what state tables and folders call a partition."""
+    return F.concat_ws("/", *(F.concat(F.lit(f"{n}="), path_value(F.col(n))) for n in names))
 
 
 def partition_values(partitions: DataFrame, view: ViewDef, text: str = "partition") -> DataFrame:
-    """The partition columns of a view from partition texts, beside the text."""
+    """The typed partition columns of a view from partition texts, beside the text. Empty texts are null, as in folders."""
     values = [
-        F.regexp_extract(text, rf"(?:^|/){f.column}=([^/]*)", 1).cast(f.data_type).alias(f.column)
+        value_of_path(F.regexp_extract(text, rf"(?:^|/){re.escape(f.column)}=([^/]*)", 1)).cast(f.data_type).alias(f.column)
         for f in view.partitions
     ]
     return partitions.select(text, *values)
 
 
-def _written_partitions(written: Observation, rows: DataFrame, names: Sequence[str]) -> set[str]:
-    """What the write observed. A plan that turns out to be empty drops its
-    observation; only then the partitions are asked for in a pass of their own.
-    """
-    try:
-        return set(written.get["partitions"])
-    except Py4JJavaError:
-        return {r[0] for r in rows.select(partition_text(names)).distinct().collect()}
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    """``folder, file`` of every file of a table; the folder is relative and without the file name."""
+    if not file_system(spark, path).exists(hadoop_path(spark, path)):
+        return spark.createDataFrame([], "folder string, file string")
+    return list_files(spark, path).select(
+        F.regexp_extract("relative", "^(.*)/[^/]*$", 1).alias("folder"), F.regexp_extract("relative", "([^/]*)$", 1).alias("file")
+    )
 
 
 def refresh_partitions(
@@ -56,27 +56,29 @@ def refresh_partitions(
     run that breaks off is repeated by the next one. Returns ``view, partition,
     has_data``.
 
-    The wanted partitions are kept as a table of their own: its size is known, so
-    a join with few of them skips the folders of all others.
+    State texts are only read, never compared: ``month=05`` and ``month=5`` both name
+    the value 5 of a number, and escaped and null values are those of the folders. A
+    partition was written if its folder holds files that were not there before.
+
+    The wanted values are kept as a table of their own: its size is known, so a join
+    with few of them skips the folders of all others.
     """
     names = view.partition_columns
     spark = stale.sparkSession
-    due = partition_values(stale.where(F.col("view") == view.table_name()), view)
-    wanted = stored(due, scratch_path(spark, "wanted"))
-    written = Observation()
-    rows = build(wanted.select(*names))
-    # As many texts as partitions were written, never as many as rows.
-    observed = rows.observe(written, F.collect_set(partition_text(names)).alias("partitions"))
-    insert_dynamically_into(observed, view, path)
-    filled = spark.createDataFrame([(p,) for p in sorted(_written_partitions(written, rows, names))], "partition string")
+    due = partition_values(stale.where(F.col("view") == view.table_name()), view).withColumn("folder", partition_text(names))
+    due = stored(due, scratch_path(spark, "due"))
+    wanted = stored(due.select(*names).distinct(), scratch_path(spark, "wanted"))
+    before = stored(_files(spark, path), scratch_path(spark, "files"))
+    insert_dynamically_into(build(wanted), view, path)
+    filled = _files(spark, path).join(before, ["folder", "file"], "left_anti").select("folder").distinct()
     outcome = checkpointed(
-        wanted.join(filled.withColumn("has_data", F.lit(True)), "partition", "left").withColumn(
+        due.join(filled.withColumn("has_data", F.lit(True)), "folder", "left").withColumn(
             "has_data", F.coalesce("has_data", F.lit(False))
         )
     )
     # Emptying a partition takes two calls on its folder and no job.
-    for partition in outcome.where("NOT has_data").toLocalIterator():
-        folder = path + view.partition_path({n: partition[n] for n in names})
+    for partition in outcome.where("NOT has_data").select("folder").distinct().toLocalIterator():
+        folder = f"{path.rstrip('/')}/{partition.folder}"
         remove_folder(spark, folder)
         file_system(spark, folder).mkdirs(hadoop_path(spark, folder))
     outcome = outcome.select(F.lit(view.table_name()).alias("view"), "partition", "has_data")

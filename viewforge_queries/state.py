@@ -176,7 +176,7 @@ MONTHLY_ORDERS = ViewDef(
     "MonthlyOrders",
     [Field("id", "bigint"), Field("price", "double")],
     package="checks.state",
-    partitions=[Field("year", "string"), Field("month", "string")],
+    partitions=[Field("year", "string"), Field("month", "int"), Field("status", "string")],
 )
 
 
@@ -184,16 +184,19 @@ def refresh(spark, sf_dir):
     """A monthly table of which the even months are out of date; they are rebuilt with new prices.
 
     Each month depends on a raw month that changed at time 5 or 1; the table was
-    last computed at time 3.
+    last computed at time 3. Months are numbers that the state writes with two digits;
+    the status is null or holds characters that folder names escape.
     """
     at = F.col("o_orderdate")
     rows = table(spark, sf_dir, "orders").select(
-        F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("price"), year_text(at).alias("year"), month_text(at).alias("month")
+        F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("price"), year_text(at).alias("year"), F.month(at).alias("month"),
+        F.when(F.col("o_orderstatus") == "F", "F/1 %").when(F.col("o_orderstatus") == "P", "p q").alias("status"),
     )
     path, log = scratch_path(spark, "refresh"), scratch_path(spark, "refresh_state")
     write_view(rows, MONTHLY_ORDERS, path)
     name = MONTHLY_ORDERS.table_name()
-    months = rows.select(partition_text(["year", "month"]).alias("partition"), "month").distinct()
+    digits = rows.withColumn("month", F.lpad(F.col("month").cast("string"), 2, "0"))
+    months = digits.select(partition_text(["year", "month", "status"]).alias("partition"), "month").distinct()
     known = months.select(F.lit(name).alias("view"), "partition", F.lit("q").alias("checksum"), F.lit(3).cast("long").alias("ts"))
     st.append_state(known, log, 1)
     raw_ts = F.when(F.col("month").cast("int") % 2 == 0, 5).otherwise(1).cast("long")
@@ -210,9 +213,9 @@ def refresh(spark, sf_dir):
     )
     times = st.read_state(spark, log).select(
         F.regexp_extract("partition", r"year=(\d+)", 1).alias("year"),
-        F.regexp_extract("partition", r"month=(\d+)", 1).alias("month"),
+        F.regexp_extract("partition", r"month=(\d+)", 1).cast("int").alias("month"),
         "ts",
-    )
+    ).distinct()
     return read_view(spark, MONTHLY_ORDERS, path).join(times, ["year", "month"])
 
 
@@ -295,7 +298,8 @@ DEFAULT = _levels(use_checksum=True, dry=False, writes_checksum=False)
 
 ORACLE = {
     "refresh_partitions": "SELECT o_orderkey AS id, CASE WHEN even THEN o_totalprice + 1 ELSE o_totalprice END AS price, "
-    "strftime(o_orderdate, '%Y') AS year, strftime(o_orderdate, '%m') AS month, CAST(CASE WHEN even THEN 9 ELSE 3 END AS BIGINT) AS ts "
+    "strftime(o_orderdate, '%Y') AS year, CAST(MONTH(o_orderdate) AS INTEGER) AS month, "
+    "CASE o_orderstatus WHEN 'F' THEN 'F/1 %' WHEN 'P' THEN 'p q' END AS status, CAST(CASE WHEN even THEN 9 ELSE 3 END AS BIGINT) AS ts "
     "FROM (SELECT *, MONTH(o_orderdate) % 2 = 0 AS even FROM orders) o",
     "stale_partitions": DEFAULT + "SELECT view, partition FROM outcome WHERE recompute",
     "materialization_default": DEFAULT + RESULT,
