@@ -236,7 +236,9 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, id: str = "doc
     banded = shared_table(known.select("key", "text").mapInArrow(_banded(weights), "key binary, bands array<long>").dropDuplicates(["key"]), "bands")
     placed = banded.select("key", F.explode("bands").alias("band"))
     hubs = group_for_join(placed, ["band"]).agg(F.min("key").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").drop(SPREAD, "n")
-    stars = placed.join(hubs, "band").where("key <> hub").select(F.col("key").alias("a"), F.col("hub").alias("b")).distinct()
+    # All hubs of a text are linked to the smallest of them, so that a text adds one link to a family instead of one a band.
+    named = placed.join(hubs, "band").groupBy("key").agg(F.collect_set("hub").alias("hubs")).withColumn("b", F.array_min("hubs"))
+    stars = named.select(F.explode(F.array_union("hubs", F.array("key"))).alias("a"), "b").where("a <> b").distinct()
     families = components(stars)
 
     family = families.join(sizes(families), "root").select(
