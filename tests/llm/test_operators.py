@@ -15,7 +15,7 @@ from tokenizers import Tokenizer
 from viewforge.llm import queries
 from viewforge.llm.components import components
 from viewforge.llm.lines import drop_boilerplate
-from viewforge.llm.near_copies import keep_one, near_duplicates
+from viewforge.llm.near_copies import _linked, keep_one, near_duplicates
 from viewforge.llm.packing import pack_along_curve
 from viewforge.llm.postings import decontaminate
 from viewforge.llm.rule_ensemble import score_quality
@@ -215,6 +215,45 @@ def test_near_copies_of_a_large_family(spark, monkeypatch):
                 assert got[i] == got[j]
 
 
+def test_links_between_parts_of_a_family(monkeypatch, spark):
+    """Two clusters joined by one pair alone: what the leaders do not link is found by the second pass."""
+    monkeypatch.setattr("viewforge.llm.near_copies.FAMILY", 8)
+    monkeypatch.setattr("viewforge.llm.near_copies.LEADERS", 1)
+    words = [f"term{i}" for i in range(300)]
+    texts = []
+    for n in range(40):  # a chain: each text differs from the next in a few words only
+        words = [f"new{n}" if i == 7 * n % 300 else w for i, w in enumerate(words)]
+        texts.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.class_id for r in near_duplicates(docs).collect()} == {0}
+
+
+def test_weighted_similarity_of_linked_texts():
+    random_ = np.random.default_rng(5)
+    texts = []
+    for _ in range(30):
+        keys = np.unique(random_.integers(0, 40, 30).astype(np.uint64))
+        texts.append((keys, random_.integers(1, 4, len(keys)).astype(np.float32)))
+    keys = [bytes([n]) * 16 for n in range(len(texts))]
+    columns = {"key": keys, "part": keys, "asks": [True] * len(texts)}
+    columns |= {"hashes": [h.tobytes() for h, _ in texts], "weights": [w.tobytes() for _, w in texts]}
+
+    def classes(links):
+        root = {k: k for k in keys}
+        for a, b in links:
+            root = {k: root[a] if r == root[b] else r for k, r in root.items()}
+        return {frozenset(k for k in keys if root[k] == r) for r in root.values()}
+
+    def similarity(a, b):
+        x, y = (dict(zip(h.tolist(), w.tolist(), strict=True)) for h, w in (a, b))
+        common = sum(min(x[k], y[k]) for k in x.keys() & y.keys())
+        return common / (sum(x.values()) + sum(y.values()) - common)
+
+    for least in (0.3, 0.4, 0.5):
+        links = [(keys[i], keys[j]) for i in range(30) for j in range(i) if similarity(texts[i], texts[j]) >= least]
+        assert classes(_linked(range(30), columns, least)) == classes(links)
+
+
 def test_components(spark):
     links = spark.createDataFrame([(b"%03d" % i, b"%03d" % (i + 1)) for i in range(40) if i != 20], "a binary, b binary")
     roots = {bytes(r.node): bytes(r.root) for r in components(links).collect()}

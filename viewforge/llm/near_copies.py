@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from viewforge.llm.components import components, sizes
@@ -22,10 +22,10 @@ SAMPLES = BANDS * ROWS
 #: Counters of the document-frequency sketch. Frequencies below about (shingles of a text / WIDTH) of all documents
 #: look alike, at every size of the corpus.
 DEPTH, WIDTH, CHUNK = 2, 1 << 21, 1 << 17
-#: Share of equal samples below which a pair is not compared: five standard deviations under the similarity.
-ESTIMATE = 0.6
-#: Texts of a family that are compared with each other in one task; larger families are compared chunk by chunk.
+#: Texts of a family that are compared with each other in one task; larger families are dealt out in chunks of about this many.
 FAMILY = 256
+#: About so many texts of a large family are compared with all its chunks.
+LEADERS = 32
 
 _RANDOM = np.random.Generator(np.random.PCG64(2_010))
 _BITS = 14
@@ -115,8 +115,8 @@ class Weights:
 def samples(found: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """``SAMPLES`` consistent weighted samples, each as a 64-bit value for the shingle and its quantised weight."""
     best, out = np.full(SAMPLES, np.inf, np.float32), np.zeros(SAMPLES, np.uint64)
-    for i in range(0, len(found), 2_048):
-        h, log = found[i : i + 2_048, None], np.log(weights[i : i + 2_048, None])
+    for i in range(0, len(found), 128):
+        h, log = found[i : i + 128, None], np.log(weights[i : i + 128, None])
         m = h * _FACTORS
         at = (m >> np.uint64(50)).astype(np.int64)
         beta = ((m >> np.uint64(12)) & np.uint64(0xFFFFFF)).astype(np.float32) * np.float32(2.0**-24)
@@ -154,68 +154,92 @@ def _banded(weights):
 def _payload(weights):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, hashes, heavy, signs = [], [], [], []
-            for row, found, times in shingles(batch.column(1)):
-                w = weights.value(found, times)
+            rows, hashes, heavy = [], [], []
+            for row, found, times in shingles(batch.column(0)):
                 rows.append(row)
                 hashes.append(found.tobytes())
-                heavy.append(w.tobytes())
-                signs.append(samples(found, w).astype(np.uint32).tobytes())
-            rows = pa.array(rows, pa.int64())
+                heavy.append(weights.value(found, times).tobytes())
+            kept = pa.array(rows, pa.int64())
+            columns = [batch.column(i).take(kept) for i in range(1, batch.num_columns)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(i).take(rows) for i in (0, 2, 3)] + [pa.array(x, pa.binary()) for x in (hashes, heavy, signs)],
-                ["key", "root", "chunks", "hashes", "weights", "signs"],
+                [*columns, pa.array(hashes, pa.binary()), pa.array(heavy, pa.binary())], [*batch.schema.names[1:], "hashes", "weights"]
             )
 
     return run
 
 
-def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    common = float(np.minimum(a[1][i], b[1][j]).sum(dtype=np.float64))
-    return common / (float(a[1].sum(dtype=np.float64)) + float(b[1].sum(dtype=np.float64)) - common)
-
-
 def _links(similarity: float):
     def run(table: pa.Table) -> pa.Table:
-        columns = {n: table[n].to_pylist() for n in ("key", "root", "side", "hashes", "weights", "signs", "crossed")}
+        columns = {n: table[n].to_pylist() for n in ("key", "family", "part", "asks", "hashes", "weights")}
         families: dict[bytes, list[int]] = {}
-        for i, root in enumerate(columns["root"]):
-            families.setdefault(root, []).append(i)
-        a, b = [], []
-        for rows in families.values():
-            _family(rows, columns, similarity, a, b)
-        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+        for i, family in enumerate(columns["family"]):
+            families.setdefault(family, []).append(i)
+        links = [link for rows in families.values() for link in _linked(rows, columns, similarity)]
+        return pa.table({n: pa.array([link[i] for link in links], pa.binary()) for i, n in enumerate("ab")})
 
     return run
 
 
-def _family(rows: list[int], columns: dict, similarity: float, a: list, b: list) -> None:
-    """Append links that connect, within these texts, whatever is similar enough. Pairs already connected are not compared."""
-    signs = np.stack([np.frombuffer(columns["signs"][i], np.uint32) for i in rows])
-    texts = [(np.frombuffer(columns["hashes"][i], np.uint64), np.frombuffer(columns["weights"][i], np.float32)) for i in rows]
-    side, crossed = np.array([columns["side"][i] for i in rows]), columns["crossed"][rows[0]]
-    parent = list(range(len(rows)))
-
-    def find(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    pairs = []
-    for i in range(len(rows) - 1):
-        alike = (signs[i + 1 :] == signs[i]).mean(1)
-        if crossed:
-            alike[side[i + 1 :] == side[i]] = 0
-        for j in np.flatnonzero(alike >= ESTIMATE):
-            pairs.append((-alike[j], i, i + 1 + int(j)))
-    for _, i, j in sorted(pairs):
-        x, y = find(i), find(j)
-        if x != y and weighted_jaccard(texts[i], texts[j]) >= similarity:
-            parent[x] = y
-            a.append(columns["key"][rows[i]])
-            b.append(columns["key"][rows[j]])
+def _linked(rows: list[int], columns: dict, similarity: float) -> Iterator[tuple[bytes, bytes]]:
+    """Links that connect every asking text with whatever is similar enough among these, where not yet connected."""
+    hashes = [np.frombuffer(columns["hashes"][i], np.uint64) for i in rows]
+    weights = np.concatenate([np.frombuffer(columns["weights"][i], np.float32) for i in rows]).astype(np.float64)
+    ends = np.cumsum([len(h) for h in hashes])
+    first = np.concatenate([[0], ends[:-1]])
+    names, at = np.unique(np.concatenate(hashes), return_inverse=True)
+    total, own = np.add.reduceat(weights, first), np.zeros(len(names))
+    numbers: dict[bytes, int] = {}
+    part = np.array([numbers.setdefault(columns["part"][i], len(numbers)) for i in rows])
+    for i, row in enumerate(rows):
+        if not columns["asks"][row] or (part == part[i]).all():
+            continue
+        mine = slice(first[i], ends[i])
+        own[at[mine]] = weights[mine]
+        common = np.add.reduceat(np.minimum(weights, own[at]), first)
+        own[at[mine]] = 0
+        for j in np.flatnonzero(common / (total + total[i] - common) >= similarity):
+            if part[j] != part[i]:
+                part[part == part[j]] = part[i]
+                yield columns["key"][row], columns["key"][rows[j]]
+
+
+def _compared(known: DataFrame, dealt: DataFrame, weights, similarity: float) -> DataFrame:
+    """Links between the texts of each task; ``dealt`` holds ``key, family, part`` and the tasks of a text."""
+    texts = known.select("key", "text").join(dealt, "key").dropDuplicates(["key"]).select("text", "key", "family", "part", "tasks")
+    tasks = "array<struct<task: bigint, chunk: int, asks: boolean>>"
+    payload = texts.mapInArrow(_payload(weights), f"key binary, family binary, part binary, tasks {tasks}, hashes binary, weights binary")
+    spread = payload.withColumn("at", F.explode("tasks")).select("*", "at.*").drop("tasks", "at")
+    return spread.groupBy("task", "chunk").applyInArrow(_links(similarity), "a binary, b binary")
+
+
+def _unsettled(large: DataFrame, placed: DataFrame, found: DataFrame) -> DataFrame:
+    """What is left to compare in large families.
+
+    Only texts in a bucket with texts of another part can have links that are not known
+    yet. Of each family, those outside its largest part ask all of these, in blocks.
+    """
+    part = F.coalesce("root", "key").alias("part")
+    parted = shared_table(large.join(found.withColumnRenamed("node", "key"), "key", "left").select("key", "family", part), "parts")
+    held = placed.join(parted, "key")
+    mixed_bands = group_for_join(held, ["band"]).agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").drop(SPREAD)
+    keys = held.join(mixed_bands.select("band"), "band", "left_semi").select("key").distinct()
+    counts = parted.groupBy("family", "part").agg(F.count(F.lit(1)).alias("n"))
+    largest = counts.groupBy("family").agg(F.max(F.struct("n", "part"))["part"].alias("largest"))
+    open_ = parted.join(keys, "key", "left_semi").join(largest, "family").select("key", "family", "part", (F.col("part") != F.col("largest")).alias("asks"))
+    open_ = shared_table(open_, "open")
+    blocks = open_.groupBy("family").agg(
+        F.ceil(F.count_if("asks") / FAMILY).cast("int").alias("blocks"), F.ceil(F.count(F.lit(1)) / FAMILY).cast("int").alias("chunks")
+    )
+
+    block, chunk = (F.pmod(F.xxhash64("key"), F.col(n)).cast("int") for n in ("blocks", "chunks"))
+    asking = F.transform(F.expr("sequence(0, chunks - 1)"), lambda c: _task(c, True, block))
+    asked = F.transform(F.expr("sequence(0, blocks - 1)"), lambda b: _task(chunk, False, b))
+    tasks = F.when(F.col("asks"), F.concat(asking, asked)).otherwise(asked).alias("tasks")
+    return open_.join(blocks, "family").select("key", "family", "part", tasks)
+
+
+def _task(chunk: Column, asks: bool, *block: Column) -> Column:
+    return F.struct(F.xxhash64("family", *block, chunk).alias("task"), chunk.alias("chunk"), F.lit(asks).alias("asks"))
 
 
 def near_classes(docs: DataFrame, similarity: float = SIMILARITY, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -241,25 +265,21 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, id: str = "doc
     stars = named.select(F.explode(F.array_union("hubs", F.array("key"))).alias("a"), "b").where("a <> b").distinct()
     families = components(stars)
 
-    family = families.join(sizes(families), "root").select(
-        F.col("node").alias("key"), "root", F.ceil(F.col("size") / FAMILY).cast("int").alias("chunks")
-    )
-    members = shared_table(family, "families")
-    texts = known.select("key", "text").join(members, "key").dropDuplicates(["key"]).select("key", "text", "root", "chunks")
-    kinds = "key binary, root binary, chunks int, hashes binary, weights binary, signs binary"
-    payload = texts.mapInArrow(_payload(weights), kinds)
-    own = F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int")
+    chunks = F.ceil(F.col("size") / FAMILY).cast("int").alias("chunks")
+    sized = families.join(sizes(families), "root").select(F.col("node").alias("key"), F.col("root").alias("family"), chunks)
+    members = shared_table(sized, "families")
     batches = max(1, members.count() // (2 * FAMILY))
-    spread = payload.withColumn("side", own).withColumn("other", F.explode(F.expr("sequence(0, chunks - 1)")))
-    spread = spread.withColumn(
-        "task",
-        F.when(F.col("chunks") == 1, F.pmod(F.xxhash64("root"), F.lit(batches))).otherwise(
-            F.xxhash64("root", F.least("side", "other"), F.greatest("side", "other"))
-        ),
-    ).withColumn("crossed", F.col("other") != F.col("side"))
-    # A task key of one chunk and one of a chunk pair may meet; they hold other families or other sides.
-    spread = spread.withColumn("pair", F.when(F.col("chunks") == 1, -1).otherwise(F.least("side", "other")))
-    found = spread.drop("other", "chunks").groupBy("task", "pair", "crossed").applyInArrow(_links(similarity), "a binary, b binary")
+    leads = F.pmod(F.xxhash64("key", "family"), F.col("chunks") * max(1, FAMILY // LEADERS)) == 0
+    own = F.array(F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int"))
+    alone = F.struct(F.pmod(F.xxhash64("family"), F.lit(batches)).alias("task"), F.lit(-1).alias("chunk"), F.lit(True).alias("asks"))
+    several = F.transform(F.when(leads, F.expr("sequence(0, chunks - 1)")).otherwise(own), lambda chunk: _task(chunk, True))
+    tasks = F.when(F.col("chunks") == 1, F.array(alone)).otherwise(several).alias("tasks")
+    dealt = members.select("key", "family", F.col("key").alias("part"), tasks)
+    found = shared_table(_compared(known, dealt, weights, similarity), "links")
+    large = members.where("chunks > 1").select("key", "family")
+    if not large.isEmpty():
+        again = _compared(known, _unsettled(large, placed, components(found)), weights, similarity)
+        found = shared_table(found.unionByName(again), "links")
     classes = components(found.distinct())
 
     copies = group_for_join(known, ["key"]).agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")).drop(SPREAD)
@@ -285,9 +305,11 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id: str = "
 
     Document frequencies come from a count-min sketch over all texts. Candidates
     share a band of samples; each bucket only names its smallest text, and the texts so
-    connected form a family. Within a family all pairs are estimated from the samples
-    and, where not yet connected, verified, in chunks of about ``FAMILY`` texts, so no
-    group is held by one task and only connecting links leave it.
+    connected form a family. Within a family all pairs not yet connected are verified, and
+    only connecting links leave a task. A family of more than ``FAMILY`` texts is dealt out
+    in chunks, each with the family's leaders; after that only texts that share a bucket
+    with a text of another part are compared further, block by block. So the work follows
+    the number of copies unless large parts of a family are candidates but not similar.
     """
     classes = near_classes(docs, similarity, id, text)
     rows = packed(docs, key=text_key(quoted(text))).join(classes, "key", "left")
