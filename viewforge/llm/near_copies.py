@@ -180,14 +180,17 @@ def _links(similarity: float):
     return run
 
 
-def _linked(rows: list[int], columns: dict, similarity: float) -> Iterator[tuple[bytes, bytes]]:
-    """Links that connect every asking text with whatever is similar enough among these, where not yet connected."""
+def _linked(rows: list[int], columns: dict, similarity: float) -> list[tuple[bytes, bytes]]:
+    """The parts that similar texts join, each linked to the smallest it is joined with.
+
+    Every asking text is compared with all others at once, unless all are joined already.
+    """
     hashes = [np.frombuffer(columns["hashes"][i], np.uint64) for i in rows]
     weights = np.concatenate([np.frombuffer(columns["weights"][i], np.float32) for i in rows]).astype(np.float64)
     ends = np.cumsum([len(h) for h in hashes])
     first = np.concatenate([[0], ends[:-1]])
-    names, at = np.unique(np.concatenate(hashes), return_inverse=True)
-    total, own = np.add.reduceat(weights, first), np.zeros(len(names))
+    known, at = np.unique(np.concatenate(hashes), return_inverse=True)
+    total, own = np.add.reduceat(weights, first), np.zeros(len(known))
     numbers: dict[bytes, int] = {}
     part = np.array([numbers.setdefault(columns["part"][i], len(numbers)) for i in rows])
     for i, row in enumerate(rows):
@@ -200,11 +203,15 @@ def _linked(rows: list[int], columns: dict, similarity: float) -> Iterator[tuple
         for j in np.flatnonzero(common / (total + total[i] - common) >= similarity):
             if part[j] != part[i]:
                 part[part == part[j]] = part[i]
-                yield columns["key"][row], columns["key"][rows[j]]
+    least: dict[int, bytes] = {}
+    names = {(columns["part"][i], int(p)) for i, p in zip(rows, part, strict=True)}
+    for name, p in names:
+        least[p] = min(name, least.get(p, name))
+    return [(name, least[p]) for name, p in names if name != least[p]]
 
 
 def _compared(known: DataFrame, dealt: DataFrame, weights, similarity: float) -> DataFrame:
-    """Links between the texts of each task; ``dealt`` holds ``key, family, part`` and the tasks of a text."""
+    """Links between the parts that meet in a task; ``dealt`` holds ``key, family, part`` and the tasks of a text."""
     texts = known.select("key", "text").join(dealt, "key").dropDuplicates(["key"]).select("text", "key", "family", "part", "tasks")
     tasks = "array<struct<task: bigint, chunk: int, asks: boolean>>"
     payload = texts.mapInArrow(_payload(weights), f"key binary, family binary, part binary, tasks {tasks}, hashes binary, weights binary")
@@ -238,6 +245,13 @@ def _unsettled(large: DataFrame, placed: DataFrame, found: DataFrame) -> DataFra
     return open_.join(blocks, "family").select("key", "family", "part", tasks)
 
 
+def _joined(classes: DataFrame, parts: DataFrame) -> DataFrame:
+    """``classes`` with the roots that ``parts`` joins."""
+    every = classes.unionByName(parts.select("node", F.col("node").alias("root"))).distinct()
+    whole = parts.select(F.col("node").alias("root"), F.col("root").alias("whole"))
+    return every.join(whole, "root", "left").select("node", F.coalesce("whole", "root").alias("root"))
+
+
 def _task(chunk: Column, asks: bool, *block: Column) -> Column:
     return F.struct(F.xxhash64("family", *block, chunk).alias("task"), chunk.alias("chunk"), F.lit(asks).alias("asks"))
 
@@ -263,7 +277,7 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, id: str = "doc
     # All hubs of a text are linked to the smallest of them, so that a text adds one link to a family instead of one a band.
     named = placed.join(hubs, "band").groupBy("key").agg(F.collect_set("hub").alias("hubs")).withColumn("b", F.array_min("hubs"))
     stars = named.select(F.explode(F.array_union("hubs", F.array("key"))).alias("a"), "b").where("a <> b").distinct()
-    families = components(stars)
+    families = components(shared_table(stars, "stars"))
 
     chunks = F.ceil(F.col("size") / FAMILY).cast("int").alias("chunks")
     sized = families.join(sizes(families), "root").select(F.col("node").alias("key"), F.col("root").alias("family"), chunks)
@@ -275,12 +289,12 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, id: str = "doc
     several = F.transform(F.when(leads, F.expr("sequence(0, chunks - 1)")).otherwise(own), lambda chunk: _task(chunk, True))
     tasks = F.when(F.col("chunks") == 1, F.array(alone)).otherwise(several).alias("tasks")
     dealt = members.select("key", "family", F.col("key").alias("part"), tasks)
-    found = shared_table(_compared(known, dealt, weights, similarity), "links")
+    classes = components(shared_table(_compared(known, dealt, weights, similarity), "links"))
     large = members.where("chunks > 1").select("key", "family")
     if not large.isEmpty():
-        again = _compared(known, _unsettled(large, placed, components(found)), weights, similarity)
-        found = shared_table(found.unionByName(again), "links")
-    classes = components(found.distinct())
+        again = shared_table(_compared(known, _unsettled(large, placed, classes), weights, similarity), "links")
+        if not again.isEmpty():
+            classes = _joined(classes, components(again))
 
     copies = group_for_join(known, ["key"]).agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")).drop(SPREAD)
     roots = classes.withColumnRenamed("node", "key")
