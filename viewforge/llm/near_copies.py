@@ -212,7 +212,8 @@ def _linked(rows: list[int], columns: dict, similarity: float) -> list[tuple[byt
 
 def _compared(known: DataFrame, dealt: DataFrame, weights, similarity: float) -> DataFrame:
     """Links between the parts that meet in a task; ``dealt`` holds ``key, family, part`` and the tasks of a text."""
-    texts = known.select("key", "text").join(dealt, "key").dropDuplicates(["key"]).select("text", "key", "family", "part", "tasks")
+    # Merged at every size, because the members grow with the corpus.
+    texts = known.select("key", "text").join(dealt.hint("merge"), "key").dropDuplicates(["key"]).select("text", "key", "family", "part", "tasks")
     tasks = "array<struct<task: bigint, chunk: int, asks: boolean>>"
     payload = texts.mapInArrow(_payload(weights), f"key binary, family binary, part binary, tasks {tasks}, hashes binary, weights binary")
     spread = payload.withColumn("at", F.explode("tasks")).select("*", "at.*").drop("tasks", "at")
