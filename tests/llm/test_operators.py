@@ -321,6 +321,35 @@ def test_secrets(odd):
     assert scan_secrets(odd.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize(
+    "text, literal",
+    [
+        ('api_token: str = "Zx81kQpL0mN3vR7t"', "Zx81kQpL0mN3vR7t"),
+        ('const apiKey: string = "Zx81kQpL0mN3vR7t";', "Zx81kQpL0mN3vR7t"),
+        ('token: str | None = "Zx81kQpL0mN3vR7t"', "Zx81kQpL0mN3vR7t"),
+        ('secret: Optional[str]="Zx81kQpL0mN3vR7t"', "Zx81kQpL0mN3vR7t"),
+        ("let api_secret: &'static str = \"Zx81kQpL0mN3vR7t\";", "Zx81kQpL0mN3vR7t"),
+        ('secret = b"Zx81kQpL0mN3"', "Zx81kQpL0mN3"),
+        ('secret = f"Zx81kQpL0mN3{x}"', "Zx81kQpL0mN3{x}"),
+        ("secret = r'Zx81kQpL0mN3'", "Zx81kQpL0mN3"),
+        ('password = """Zx81kQpL0mN3\nabcDEF"""', "Zx81kQpL0mN3\nabcDEF"),
+        ("password = '''Zx81kQpL0mN3'''", "Zx81kQpL0mN3"),
+        ("AWS_SECRET_ACCESS_KEY=wJal+XUtnFEMI/K7MDENGbPx", "wJal+XUtnFEMI/K7MDENGbPx"),
+        ('passphrase = "correct horse battery staple"', "correct horse battery staple"),
+        ('base = "x"\napi_token = base+"Zx81kQpL0mN3"', 'x"\napi_token = base+"Zx81kQpL0mN3'),
+        ('config: password="Zx81kQpL0mN3vR7t"', "Zx81kQpL0mN3vR7t"),
+        ("api_key: abc=def12345XYZ", "abc=def12345XYZ"),
+    ],
+)
+def test_forms_of_assigned_secrets(text, literal):
+    assert [text[s["start"] : s["end"]] for s in spans(text) if s["kind"] == "named"] == [literal]
+
+
+@pytest.mark.parametrize("text", ['token = f"{settings.api_token}"', 'password = ""', 'password = """', "token = first + second"])
+def test_assignments_without_a_secret(text):
+    assert [s for s in spans(text) if s["kind"] == "named"] == []
+
+
 def test_surrogates(spark, odd):
     names = "Mr John Smith met Mrs Jane Doe. Mr John Smith paid."
     card = "4111111111111111"

@@ -30,13 +30,26 @@ SPANS = T.ArrayType(
         ]
     )
 )
-#: A name, an assignment sign, and what follows: literals and names joined by plus signs.
+#: A name, its type if declared, an assignment sign, and what follows: literals and names joined by plus signs.
 _NAME = r"[A-Za-z_][A-Za-z0-9_.\-]*"
-_STRING = r'"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\.)*\''
+_PREFIX = r"(?:[bBfFrRuU]{1,2}|u8|[L@$])?"
+_STRING = (
+    rf'{_PREFIX}(?:"{{3}}(?:[^"\\]|\\[\s\S]|"(?!""))*"{{3}}|\'{{3}}(?:[^\'\\]|\\[\s\S]|\'(?!\'\'))*\'{{3}}'
+    r'|"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\.)*\')'
+)
+#: Names of types, with parameters, alternatives and marks of references; a declared value is a string or stands apart.
+_TYPE = r"(?:&(?:'\w+[ \t]+)?)?[A-Za-z_][\w.]*(?:\[[^\n=]{0,60}\]|<[^\n=]{0,60}>)?\??(?:[ \t]*\|[ \t]*[A-Za-z_][\w.]*){0,4}"
+_TYPED = rf"""(?:\[\d*\]|[?!]?[ \t]*:[ \t]*(?P<type>{_TYPE})|[ \t]+(?:string|String))(?:[ \t]*=[ \t]*(?={_PREFIX}["'])|[ \t]+=[ \t]+)"""
+#: Unquoted values; a plus sign is part of them unless a string follows it.
+_BARE = rf"""(?:[^\s"',;(){{}}\[\]+]|\+(?![ \t]*{_PREFIX}["']))+"""
 PAIR = re.compile(
-    rf"""(?P<name>{_NAME})["'\]]*[ \t]*(?::=|=>|=|:)[ \t]*(?P<value>(?:{_STRING}|[^\s"',;(){{}}\[\]]+)(?:[ \t]*\+[ \t]*(?:{_STRING}|{_NAME}))*)"""
+    rf"""(?P<name>{_NAME})["'\]]*(?:{_TYPED}|[ \t]*(?::=|=>|=|:))[ \t]*(?P<value>(?:{_STRING}|{_BARE})(?:[ \t]*\+[ \t]*(?:{_STRING}|{_NAME}))*)"""
 )
 TERM = re.compile(rf"{_STRING}|[^\s+\"']+")
+#: Prefix, quotes and body of a string.
+QUOTED = re.compile(r"""([A-Za-z0-9@$]*)("{3}|'{3}|"|')([\s\S]*)\2""")
+#: What format strings put in.
+FIELDS = re.compile(r"\{[^{}]*\}")
 #: Parts of sensitive names and how much each tells.
 SENSITIVE = {
     "password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 0.9, "secret": 1.0, "token": 0.9, "apikey": 1.0, "accesskey": 1.0,
@@ -44,7 +57,7 @@ SENSITIVE = {
 }
 #: Values that stand for no value.
 PLACEHOLDERS = re.compile(r"(?i)^(?:x+|\*+|\.+|none|null|true|false|example|changeme|todo|your.*|<.*>|\$\{?.*|%.*%)$")
-THRESHOLD, LEAST = 0.6, 8
+THRESHOLD, LEAST, BLANKS = 0.6, 8, 0.85
 
 
 def base_spans(text: str) -> list[tuple[int, str, int, str | None, float]]:
@@ -62,13 +75,14 @@ def name_score(name: str) -> float:
 
 
 def value_score(value: str) -> float:
-    """How much a literal looks like a secret: long enough, no placeholder, and with many different characters."""
-    if len(value) < LEAST or PLACEHOLDERS.match(value) or " " in value.strip():
+    """How much a literal looks like a secret: long enough, no placeholder, with many different characters, rather without blanks."""
+    if len(value.strip()) < LEAST or PLACEHOLDERS.match(value):
         return 0.0
     counts = Counter(value)
     entropy = -sum(n / len(value) * math.log2(n / len(value)) for n in counts.values())
     classes = sum(any(f(c) for c in value) for f in (str.islower, str.isupper, str.isdigit, lambda c: not c.isalnum()))
-    return min(1.0, entropy / 4) * (0.7 + 0.1 * classes)
+    blanks = BLANKS if any(map(str.isspace, value.strip())) else 1.0
+    return min(1.0, entropy / 4) * (0.7 + 0.1 * classes) * blanks
 
 
 def named_spans(text: str) -> Iterator[tuple[int, str, int, str | None, float]]:
@@ -78,11 +92,16 @@ def named_spans(text: str) -> Iterator[tuple[int, str, int, str | None, float]]:
     constants: dict[str, tuple[str, int, int]] = {}
     for m in PAIR.finditer(text):
         terms = [(t[0], m.start("value") + t.start(), m.start("value") + t.end()) for t in TERM.finditer(m["value"])]
+        quoted_terms = [QUOTED.fullmatch(term) for term, _, _ in terms]
+        if not any(quoted_terms) and not any(term in constants for term, _, _ in terms):
+            # Plus signs without a literal or a constant beside them belong to the value.
+            bare = re.match(r"\S+", m["value"])[0]
+            terms, quoted_terms = [(bare, m.start("value"), m.start("value") + len(bare))] if bare == m["value"] else [], [None]
         parts, places = [], []
-        for term, start, end in terms:
-            if term[0] in "\"'":
-                parts.append(term[1:-1])
-                places.append((start + 1, end - 1))
+        for (term, start, end), string in zip(terms, quoted_terms, strict=False):
+            if string:
+                parts.append(FIELDS.sub("", string[3]) if "f" in string[1].lower() else string[3])
+                places.append((start + string.start(3), start + string.end(3)))
             elif term in constants:
                 value, *place = constants[term]
                 parts.append(value)
@@ -97,9 +116,11 @@ def named_spans(text: str) -> Iterator[tuple[int, str, int, str | None, float]]:
         together = all(a[1] <= b[0] for a, b in zip(places, places[1:], strict=False))
         start, end = (places[0][0], places[-1][1]) if together else places[0]
         constants[m["name"]] = (value, start, end)
-        score = name_score(m["name"]) * value_score(value)
+        # ``a: b="..."`` declares ``a`` or sets ``b``: the name that tells more counts.
+        name = max(m["name"], m["type"] or "", key=name_score)
+        score = name_score(name) * value_score(value)
         if score >= THRESHOLD:
-            yield start, "named", end, m["name"], round(score, 4)
+            yield start, "named", end, name, round(score, 4)
 
 
 def spans(text: str | None) -> list[dict]:
