@@ -20,7 +20,7 @@ from viewforge.llm.packing import pack_along_curve
 from viewforge.llm.postings import decontaminate
 from viewforge.llm.rule_ensemble import score_quality
 from viewforge.llm.rule_lists import judge_by_rules
-from viewforge.llm.secrets import scan_secrets, spans
+from viewforge.llm.secrets import SENSITIVE, scan_secrets, spans
 from viewforge.llm.substrings import remove_repeats
 from viewforge.llm.surrogates import replace_personal_data
 from viewforge.llm.token_files import Codes, encode_codes, read_token_files, write_token_files
@@ -345,6 +345,18 @@ def test_forms_of_assigned_secrets(text, literal):
     assert [text[s["start"] : s["end"]] for s in spans(text) if s["kind"] == "named"] == [literal]
 
 
+@pytest.mark.parametrize("name", [*SENSITIVE, "encryption_key", "signing_key", "ssh_key", "master_key", "AccountKey"])
+@pytest.mark.parametrize("value", ["Zx81kQpL0mN3vR7t", "9f8e2c41d07b5a36e1c48f2093ad7b65", "3f1c9a7e-52b4-4d08-9e6f-a1b7c0d2e843"])
+def test_every_sensitive_name_can_pass(name, value):
+    found = [s for s in spans(f'{name} = "{value}"') if s["kind"] == "named"]
+    assert [(s["name"], s["end"] - s["start"]) for s in found] == [(name, len(value))]
+
+
+@pytest.mark.parametrize("value", ["customer_id", "application/json", "2024-01-25T12:00:00", "user.name.first", "en-US,en;q=0.9", "orderKeyColumn"])
+def test_weak_names_alone_tell_no_secret(value):
+    assert spans(f'key = "{value}"') == spans(f'"signature": "{value}"') == []
+
+
 @pytest.mark.parametrize("text", ['token = f"{settings.api_token}"', 'password = ""', 'password = """', "token = first + second"])
 def test_assignments_without_a_secret(text):
     assert [s for s in spans(text) if s["kind"] == "named"] == []

@@ -58,6 +58,8 @@ SENSITIVE = {
 #: Values that stand for no value.
 PLACEHOLDERS = re.compile(r"(?i)^(?:x+|\*+|\.+|none|null|true|false|example|changeme|todo|your.*|<.*>|\$\{?.*|%.*%)$")
 THRESHOLD, LEAST, BLANKS = 0.6, 8, 0.85
+#: The share of changes between classes, and the length, from which a literal looks random.
+MIXED, LONG = 0.35, 16
 
 
 def base_spans(text: str) -> list[tuple[int, str, int, str | None, float]]:
@@ -85,6 +87,22 @@ def value_score(value: str) -> float:
     return min(1.0, entropy / 4) * (0.7 + 0.1 * classes) * blanks
 
 
+def randomness(value: str) -> float:
+    """How often neighbouring letters and digits change their class, from 0 to 1; names, words and dates change seldom.
+
+    A capital before a small letter may begin a word and is no change.
+    """
+    kinds = "".join("a" if c.islower() else "A" if c.isupper() else "0" if c.isdigit() else " " for c in value)
+    changes = sum(a != b and " " not in (a, b) and (a, b) != ("A", "a") for a, b in zip(kinds, kinds[1:], strict=False))
+    return min(1.0, changes / len(value) / MIXED) * min(1.0, len(value) / LONG) if value else 0.0
+
+
+def pair_score(name: str, value: str) -> float:
+    """What name and literal tell together; a random-looking literal makes up for a name that tells little."""
+    told = name_score(name)
+    return (told + (1 - told) * randomness(value)) * value_score(value) if told else 0.0
+
+
 def named_spans(text: str) -> Iterator[tuple[int, str, int, str | None, float]]:
     """Literals assigned to sensitive names, directly or through names that hold constants."""
     if "=" not in text and ":" not in text:
@@ -118,7 +136,7 @@ def named_spans(text: str) -> Iterator[tuple[int, str, int, str | None, float]]:
         constants[m["name"]] = (value, start, end)
         # ``a: b="..."`` declares ``a`` or sets ``b``: the name that tells more counts.
         name = max(m["name"], m["type"] or "", key=name_score)
-        score = name_score(name) * value_score(value)
+        score = pair_score(name, value)
         if score >= THRESHOLD:
             yield start, "named", end, name, round(score, 4)
 
@@ -128,7 +146,7 @@ def spans(text: str | None) -> list[dict]:
     if not text:
         return []
     found = set(base_spans(text)) | set(named_spans(text))
-    ordered = sorted(found, key=lambda s: (s[0], KINDS.index(s[1]), s[2], s[3] or "", s[4]))
+    ordered = sorted(found, key=lambda s: (s[0], KINDS.index(s[1]), s[2], -s[4], s[3] or ""))
     kept = {(s[0], s[1], s[2]): s for s in reversed(ordered)}
     return [{"kind": k, "start": a, "end": b, "name": n, "score": v} for a, k, b, n, v in sorted(kept.values(), key=lambda s: (s[0], KINDS.index(s[1]), s[2]))]
 
