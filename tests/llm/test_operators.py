@@ -379,3 +379,29 @@ def test_surrogates(spark, odd):
     many = spark.range(3_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("Mr A"), F.translate(F.lpad("id", 4, "0"), "0123456789", "abcdefghij"), F.lit(".")).alias("text"))
     assert replace_personal_data(many, key="k").select("text").distinct().count() == 3_000
     assert replace_personal_data(odd, key="k").count() == len(ODD) and replace_personal_data(odd.limit(0), key="k").collect() == []
+
+
+def test_surrogates_of_one_entity_written_in_many_ways(spark):
+    texts = [
+        "Mr John Smith came. Mr Smith sat; John Smith ate, Smith paid and Smithers left. The John did not. Mrs Smith rang John Smith@x.",
+        "4111 1111 1111 1111, 4111-1111-1111-1111, 4111111111111111",
+        "+1 555 123 4567 +15551234567 +1 (555) 123-4567 +1.555.123.4567",
+        "DE89 3704 0044 0532 0130 00 or DE89370400440532013000",
+        "Anna.Lee@Example.com, anna.lee@example.com",
+        "Frau Maria Weber und Maria Weber, Herr Weber",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in replace_personal_data(docs, key="k").collect()}
+    told = re.fullmatch(r"Mr (\w+) (\w+) came\. Mr (\w+) sat; (\w+) (\w+) ate, (\w+) paid and Smithers left\. The (\w+) did not\. Mrs (\w+) rang (\w+) \w+@x\.", got[0])
+    given, last = told[1], told[2]
+    assert [*told.groups()] == [given, last, last, given, last, last, given, last, given] and given not in ("John", last) and last != "Smith"
+    for i, n in ((1, 3), (3, 2)):
+        numbers = re.split(", | or ", got[i])
+        assert len({re.sub(r"[ \-]", "", x) for x in numbers}) == 1 and len(set(numbers)) == n and texts[i] != got[i]
+    assert re.sub(r"\d", "0", got[2]) == re.sub(r"\d", "0", texts[2])
+    digits = re.sub(r"[^\d+]", "", got[2]).split("+")[1:]
+    assert len(set(digits)) == 1 and digits[0] != "15551234567" and digits[0].startswith("1")
+    one, two = got[4].split(", ")
+    assert one.lower() == two and one[0].isupper() and two != "anna.lee@example.com"
+    told = re.fullmatch(r"Frau (\w+) (\w+) und (\w+) (\w+), Herr (\w+)", got[5])
+    assert told[1] == told[3] and told[2] == told[4] == told[5] and told[1] != "Maria"

@@ -21,6 +21,15 @@ ALL = "|".join(f"(?<{n}>{p})" for n, p in PATTERNS.items()).replace(r"\1", r"\k<
 #: What every type needs; looked for first, because all patterns at every place of every text are slow.
 HINT = r"[0-9@]|\b(?:Mr|Mrs|Ms|Herr|Frau|Señor|Señora|Monsieur|Madame|Г-н|Г-жа)\b"
 MALE, FEMALE = ["Mr", "Herr", "Señor", "Monsieur", "Г-н"], ["Mrs", "Ms", "Frau", "Señora", "Madame", "Г-жа"]
+#: The titles before a name, and a title of women among them.
+TITLES = rf"^((?:(?:{'|'.join(MALE + FEMALE)})\.? )*)"
+OF_WOMEN = rf"^(?:\S+ )*(?:{'|'.join(FEMALE)})\.? "
+#: Capitalised words that stand for no person where they stand alone.
+COMMON = (
+    "The A An And But Or If In On At Of To For From With By He She It We You They I His Her This That There Then When Who What "
+    "Der Die Das Ein Eine Und Aber Er Sie Es Wir Ihr Im In Am Le La Les Un Une Et Mais Il Elle Nous Vous En Au El Los Las Una Y Pero "
+    "Он Она Оно Мы Вы Они И А Но В На Это"
+).split()
 #: Given names and surnames by script and gender.
 GIVEN = {
     ("latin", "male"): "Adam Boris Carl David Emil Felix Georg Hugo Ivan Jonas Karl Leon Martin Noel Oskar Paul".split(),
@@ -28,6 +37,8 @@ GIVEN = {
     ("cyrillic", "male"): "Антон Борис Виктор Глеб Денис Егор Иван Кирилл".split(),
     ("cyrillic", "female"): "Анна Вера Галина Дарья Елена Ирина Ольга Юлия".split(),
 }
+#: Calling codes of countries.
+CALLING = r"(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 SURNAMES = {
     "latin": "Abel Brandt Corvin Delmar Ebner Falk Garin Holm Iversen Jansen Keller Lorenz Moreau Novak Ortega Perrin".split(),
     "cyrillic": "Белов Громов Дубов Зимин Лесков Орлов Павлов Соколов".split(),
@@ -46,6 +57,61 @@ def type_of(entity: Column) -> Column:
     return out
 
 
+def name_words(entity: Column) -> Column:
+    """The words of a name without its titles."""
+    return F.split(F.regexp_replace(entity, TITLES, ""), " ")
+
+
+def parts_of(texts: DataFrame) -> DataFrame:
+    """``key, written, kind`` for what has a surrogate of its own in ``text``: the words of its names, and all other entities.
+
+    A word is a given name (``male`` or ``female``) if it stands before another word of a name and never last in a name
+    of several words, else a surname (``last``). Step by step, so that nothing is worked out once per word.
+    """
+    typed = F.transform("found", lambda e: F.struct(e.alias("written"), type_of(e).alias("kind")))
+    names = F.transform(
+        F.filter("typed", lambda e: e["kind"] == "name"),
+        lambda e: F.struct(name_words(e["written"]).alias("words"), e["written"].rlike(OF_WOMEN).alias("woman")),
+    )
+    given = lambda of: F.flatten(F.transform(of, lambda n: F.slice(n["words"], F.lit(1), F.size(n["words"]) - 1)))
+    steps = texts.select("key", F.array_distinct(entities(F.col("text"))).alias("found")).select("key", typed.alias("typed"))
+    steps = steps.select("key", "typed", names.alias("names")).select(
+        "key",
+        F.filter("typed", lambda e: e["kind"] != "name").alias("others"),
+        F.array_distinct(F.flatten(F.transform("names", lambda n: n["words"]))).alias("words"),
+        given(F.col("names")).alias("firsts"),
+        given(F.filter("names", lambda n: n["woman"])).alias("women"),
+        F.transform(F.filter("names", lambda n: F.size(n["words"]) > 1), lambda n: F.element_at(n["words"], -1)).alias("lasts"),
+    )
+    of_women = [n for (_, gender), names_ in GIVEN.items() if gender == "female" for n in names_]
+
+    def part(word: Column) -> Column:
+        gender = F.when(F.array_contains("women", word) | word.isin(of_women), "female").otherwise("male")
+        first = F.array_contains("firsts", word) & ~F.array_contains("lasts", word)
+        return F.struct(word.alias("written"), F.when(first, gender).otherwise("last").alias("kind"))
+
+    parts = F.explode(F.concat("others", F.transform("words", part))).alias("part")
+    return steps.select("key", parts).select("key", "part.*")
+
+
+def normal(entity: Column, kind: Column) -> Column:
+    """What is the same for all ways to write an entity: digits (and a plus sign) of numbers, small letters of addresses."""
+    written = F.regexp_replace(entity, r"[^A-Za-z0-9+]", "")
+    return F.when(kind == "email", F.lower(entity)).when(kind.isin("iban", "ssn", "card", "phone"), written).otherwise(entity)
+
+
+def written_like(entity: Column, kind: Column, surrogate: Column) -> Column:
+    """A surrogate of the normal form with the separators and capitals of an entity."""
+    signs = F.regexp_replace(surrogate, r"\+", "")
+    before = lambda i: F.length(F.regexp_replace(F.substring(entity, F.lit(1), i + 1), r"[^A-Za-z0-9]", ""))
+    number = F.transform(F.split(entity, ""), lambda c, i: F.when(c.rlike("[A-Za-z0-9]"), F.substring(signs, before(i), F.lit(1))).otherwise(c))
+    capital = lambda c, i: F.when(c.rlike("[A-Z]"), F.upper(F.substring(surrogate, i + 1, F.lit(1)))).otherwise(F.substring(surrogate, i + 1, F.lit(1)))
+    return (
+        F.when(kind == "email", F.array_join(F.transform(F.split(entity, ""), capital), ""))
+        .when(kind.isin("iban", "ssn", "card", "phone"), F.array_join(number, "")).otherwise(surrogate)
+    )
+
+
 def _digest(entity: Column, key: str, attempt: Column) -> Column:
     """Keyed bytes as hexadecimal text, 256 digits, nested so that the key cannot be appended to."""
     inner = lambda part: F.sha2(F.concat(F.lit(key), F.lit("\x00"), F.lit(str(part)), F.lit("\x00"), attempt.cast("string"), F.lit("\x00"), entity), 512)
@@ -77,8 +143,8 @@ def _luhn(number: Column) -> Column:
 
 
 def surrogate(entity: Column, kind: Column, key: str, attempt: Column) -> Column:
-    """What stands for an entity at an attempt: the same type, script, gender and format."""
-    digest = _digest(entity, key, attempt)
+    """What stands for the normal form of an entity at an attempt: the same type, script, gender and format."""
+    digest = _digest(F.concat(kind, F.lit("\x00"), entity), key, attempt)
     like = _like(entity, digest)
     domain = F.regexp_extract(entity, r"(\.[A-Za-z0-9\-]+)$", 1)
     email = F.concat(F.regexp_replace(like, r"\.[A-Za-z0-9\-]+$", ""), domain)
@@ -86,50 +152,47 @@ def surrogate(entity: Column, kind: Column, key: str, attempt: Column) -> Column
     checked = F.concat(without, F.pmod(F.lit(10) - _luhn(F.concat(without, F.lit("0"))) % 10, F.lit(10)).cast("string"))
     card = F.when(_luhn(entity) % 10 == 0, checked).otherwise(like)
     octets = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (_number(digest, i, 254) + 1).cast("string")), ".")
-    prefix = F.regexp_extract(entity, r"^(\+\d{1,3}[ .\-]?|[A-Z]{2})", 1)
+    prefix = F.regexp_extract(entity, rf"^(\+{CALLING}|[A-Z]{{2}})", 1)
     phone = F.concat(prefix, F.substring(like, F.length(prefix) + 1, F.length(like)))
     return (
         F.when(kind == "email", email).when(kind == "card", card).when(kind == "ip", octets)
-        .when(kind.isin("phone", "iban"), phone).when(kind == "name", _name(entity, digest, attempt)).otherwise(like)
+        .when(kind.isin("phone", "iban"), phone).when(kind.isin("male", "female", "last"), _word(entity, kind, digest, attempt)).otherwise(like)
     )
 
 
-def _name(entity: Column, digest: Column, attempt: Column) -> Column:
-    title = F.regexp_extract(entity, r"^([^ ]+ )", 1)
-    plain = F.regexp_replace(title, r"[. ]+$", "")
-    two, cyrillic = F.size(F.split(entity, " ")) > 2, entity.rlike(r"\p{IsCyrillic}")
+def _word(word: Column, kind: Column, digest: Column, attempt: Column) -> Column:
+    """A given name or surname of the same script."""
 
     def pick(words: list[str], place: int) -> Column:
         return F.element_at(F.array(*map(F.lit, words)), _number(digest, F.lit(place), len(words)) + 1)
 
     def built(script: str) -> Column:
-        given = F.when(plain.isin(*FEMALE), pick(GIVEN[script, "female"], 0)).otherwise(pick(GIVEN[script, "male"], 0))
-        last = pick(SURNAMES[script], 1)
-        # Lists are short: further attempts join a second surname and then letters to it.
+        plain = F.when(kind == "female", pick(GIVEN[script, "female"], 0)).when(kind == "male", pick(GIVEN[script, "male"], 0))
+        plain = plain.otherwise(pick(SURNAMES[script], 1))
+        # Lists are short: further attempts join a second surname and then letters.
         letters = F.when(attempt > 2, F.lower(F.translate(F.substring(digest, 41, 6), "0123456789", "ghijklmnop"))).otherwise("")
-        last = F.when(attempt > 0, F.concat(last, F.lower(pick(SURNAMES[script], 2)), letters)).otherwise(last)
-        return F.when(two, F.concat(given, F.lit(" "), last)).otherwise(last)
+        return F.when(attempt > 0, F.concat(plain, F.lower(pick(SURNAMES[script], 2)), letters)).otherwise(plain)
 
-    return F.concat(title, F.when(cyrillic, built("cyrillic")).otherwise(built("latin")))
+    return F.when(word.rlike(r"\p{IsCyrillic}"), built("cyrillic")).otherwise(built("latin"))
 
 
 def surrogates(found: DataFrame, key: str) -> DataFrame:
-    """``entity, kind, surrogate`` for each distinct entity, no two alike and none an entity itself.
+    """``entity, kind, surrogate`` for each distinct normal form, no two alike and none an entity itself.
 
     Each round gives the entities that are left a new attempt; of those with the same
     surrogate the smallest entity keeps it, unless it is taken or real.
     """
-    known = shared_table(found.select("entity").distinct().withColumn("kind", type_of(F.col("entity"))), "entities")
+    known = shared_table(found.select("entity", "kind").distinct(), "entities")
     done, left = None, known
     for attempt in range(64):
         tried = left.withColumn("surrogate", surrogate(F.col("entity"), F.col("kind"), key, F.lit(attempt)))
-        winners = tried.groupBy("surrogate").agg(F.min("entity").alias("entity"))
+        winners = tried.groupBy("surrogate").agg(F.min(F.struct("entity", "kind")).alias("first")).select("surrogate", "first.*")
         winners = winners.join(known.select(F.col("entity").alias("surrogate")), "surrogate", "left_anti")
         if done is not None:
             winners = winners.join(done.select("surrogate"), "surrogate", "left_anti")
-        new = shared_table(tried.join(winners, ["entity", "surrogate"]).select("entity", "kind", "surrogate"), "surrogates")
+        new = shared_table(winners.select("entity", "kind", "surrogate"), "surrogates")
         done = new if done is None else done.unionByName(new)
-        left = shared_table(left.join(new, "entity", "left_anti"), "left")
+        left = shared_table(left.join(new, ["entity", "kind"], "left_anti"), "left")
         if left.isEmpty():
             return done
     raise RuntimeError("more entities of one format than surrogates")
@@ -139,9 +202,12 @@ def replace_personal_data(docs: DataFrame, key: str, text: str = "text") -> Data
     """``docs`` with every entity in ``text`` replaced, and ``n_entities``.
 
     The same entity gets the same surrogate everywhere, for the same ``key``; different
-    entities get different ones. Types are those of ``PATTERNS``. E-mail addresses keep
-    their form and top-level domain, telephone numbers and account numbers their country, cards their
-    check digit, titled names their title, gender, script and number of words.
+    entities get different ones. Entities are the same if their normal forms are: numbers by
+    their digits, addresses in small letters, names word by word and without titles. The words
+    of a text's titled names are replaced where they stand without a title too. Types are those
+    of ``PATTERNS``. E-mail addresses keep their form and top-level domain, telephone numbers and
+    account numbers their country, cards their check digit, names their titles, gender, script and
+    number of words.
 
     Null and empty texts stay as they are with no entities; repeated rows are treated
     alike; a column named ``n_entities`` is replaced; an empty table stays empty.
@@ -151,18 +217,29 @@ def replace_personal_data(docs: DataFrame, key: str, text: str = "text") -> Data
     """
     body = quoted(text)
     some = F.coalesce(body.rlike(HINT) & body.rlike(ALL), F.lit(False))
-    matched = docs.where(some).select(text_key(body).alias("key"), F.explode(F.array_distinct(entities(body))).alias("entity"))
-    pairs = shared_table(matched, "matches")
+    matched = parts_of(docs.where(some).select(text_key(body).alias("key"), body.alias("text")))
+    pairs = shared_table(matched.withColumn("entity", normal(F.col("written"), F.col("kind"))), "matches")
     table = shared_table(surrogates(pairs, key), "surrogates")
-    maps = pairs.distinct().join(table, "entity").groupBy("key").agg(
-        F.map_from_entries(F.collect_list(F.struct("entity", "surrogate"))).alias("changes")
-    )
+    put = F.struct("written", written_like(F.col("written"), F.col("kind"), F.col("surrogate")))
+    maps = pairs.distinct().join(table, ["entity", "kind"]).groupBy("key").agg(F.map_from_entries(F.collect_list(put)).alias("changes"))
     maps = shared_table(maps, "changes")
-    rows = packed(docs.where(some), key=text_key(body)).join(maps, "key")
+    rows = packed(docs.where(some), key=text_key(body)).join(maps, "key").select("row", "changes", mentions(F.col("changes")).alias("mentions"))
     own = F.col("row").getField(text)
-    gaps, found = F.split(own, ALL, -1), entities(own)
+    gaps, found = F.split(own, F.col("mentions"), -1), F.regexp_extract_all(own, F.col("mentions"), F.lit(0))
     put = rows.select("row", "changes", gaps.alias("gaps"), found.alias("found"))
-    pieces = F.transform("gaps", lambda g, i: F.concat(g, F.coalesce(F.element_at("changes", F.get("found", i)), F.lit(""))))
+    one = lambda word: F.coalesce(F.element_at("changes", word), word)
+    name = lambda m: F.concat(F.regexp_extract(m, TITLES, 1), F.array_join(F.transform(name_words(m), one), " "))
+    changed = lambda m: F.coalesce(F.element_at("changes", m), name(m), F.lit(""))
+    pieces = F.transform("gaps", lambda g, i: F.concat(g, changed(F.get("found", i))))
     changed = put.select("row", F.array_join(pieces, "").alias(text), F.size("found").cast("long").alias("n_entities"))
     same = packed(docs.where(~some)).select("row", F.col("row").getField(text).alias(text), F.lit(0).cast("long").alias("n_entities"))
     return unpacked(changed.unionByName(same), docs.columns, [text, "n_entities"])
+
+
+def mentions(changes: Column) -> Column:
+    """The pattern for a text: all types, and its names' words without a title, one after another."""
+    words = F.filter(F.map_keys(changes), lambda w: ~w.rlike("[0-9@]") & ~w.isin(COMMON))
+    # Longer words first, so that none hides another that goes on.
+    words = F.transform(F.sort_array(F.transform(words, lambda w: F.struct(F.length(w).alias("n"), w.alias("word"))), False), lambda w: w["word"])
+    word = F.concat(F.lit(r"(?:\Q"), F.array_join(words, r"\E|\Q"), F.lit(r"\E)(?![\p{L}\p{N}]|[A-Za-z0-9._%+\-]*@)"))
+    return F.when(F.size(words) > 0, F.concat(F.lit(ALL + r"|(?<![\p{L}\p{N}])"), word, F.lit("(?: "), word, F.lit(")?"))).otherwise(ALL)
