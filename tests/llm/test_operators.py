@@ -405,3 +405,32 @@ def test_surrogates_of_one_entity_written_in_many_ways(spark):
     assert one.lower() == two and one[0].isupper() and two != "anna.lee@example.com"
     told = re.fullmatch(r"Frau (\w+) (\w+) und (\w+) (\w+), Herr (\w+)", got[5])
     assert told[1] == told[3] and told[2] == told[4] == told[5] and told[1] != "Maria"
+
+
+PERSONAL = [
+    *("3782 822463 10005", "3782-822463-10005", "378282246310005", "4222222222222", "4222 222 222 222", "6304000000000000000", "30569309025904"),
+    *("6304 0000 0000 0000 000", "555 123 4567", "020 7946 0958", "01632 960001", "01 23 45 67 89", "030/1234567", "2001:db8::8a2e:370:7334"),
+    *("2001:0db8:0000:0000:0000:8a2e:0370:7334", "fe80::1", "::1", "2001:DB8::1", "Dr Anna Berg", "Prof. Karl Stone", "Prof. Dr. Ida Stone"),
+    *("Miss Jane Poe", "M. Dupont", "Mme Claire Dupont", "Sr. Pablo Cruz", "Sra. Marta Cruz", "Herr Dr. Otto Kahn", "Mr O'Neil", "Ms McDonald", "Mrs Ann Smith-Jones"),
+]
+NOT_PERSONAL = ["at 12:30:45 sharp", "std::vector and abc::def", "1700000000000 ms", "King Sr. Then", "Elm Dr. The house", "on 2024-01-25", "M Smith", "1,000,000"]
+
+
+def test_every_listed_form_is_replaced(spark):
+    texts = [f"say {x}, please" for x in PERSONAL] + NOT_PERSONAL
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in replace_personal_data(docs, key="k").collect()}
+    shape = lambda x: re.sub(r"[0-9a-f]+", "0", x) if ":" in x else re.sub(r"\d", "0", x)
+    for i, x in enumerate(PERSONAL):
+        new = re.fullmatch("say (.*), please", got[i].text)[1]
+        assert got[i].n_entities == 1 and new != x
+        if x[0].isdigit() or ":" in x:
+            assert shape(new.lower()) == shape(x.lower())
+        else:
+            title, n = re.match(r"(?:(?:Herr|Prof\.|Dr\.?|M\.|\w+\.?) )+?(?=[A-Z])(?!Dr)", x)[0], len(x.split())
+            assert new.startswith(title) and len(new.split()) == n and not set(new.split()) & set(x[len(title) :].split())
+    for i, x in enumerate(NOT_PERSONAL, len(PERSONAL)):
+        assert (got[i].text, got[i].n_entities) == (x, 0)
+    short, long = (got[PERSONAL.index(x)].text[4:-8] for x in PERSONAL if x.endswith("7334"))
+    groups = long.split(":")
+    assert short.split("::") == [f"{groups[0]}:{groups[1]}", ":".join(groups[5:])]

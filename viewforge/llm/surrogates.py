@@ -7,22 +7,34 @@ from pyspark.sql import functions as F
 
 from viewforge.llm.frames import packed, quoted, shared_table, text_key, unpacked
 
-#: Types in the order in which they are tried at a place.
+#: Titles by gender; the last ones tell none.
+MALE = ["Mr", "Herr", "Señor", "Sr", "Monsieur", "Г-н"]
+FEMALE = ["Mrs", "Ms", "Miss", "Frau", "Señora", "Sra", "Madame", "Mme", "Г-жа"]
+NEUTRAL = ["Dr", "Prof"]
+#: One title and its blank; a lone M is one with its dot only, and Sr or Dr after a capitalised word is part of what is before.
+TITLE = rf"(?:(?:{'|'.join(t for t in MALE + FEMALE + NEUTRAL if t not in ('Sr', 'Dr'))})\.?|(?<!\p{{Lu}}\p{{Ll}}{{2,20}} )(?:Sr|Dr)\.?|(?<=\b(?:Herr|Frau|Prof|Prof\.) )Dr\.?|M\.) "
+_WORD = r"\p{Lu}(?:['’]\p{Lu})?\p{Ll}+(?:[\-'’]?\p{Lu}\p{Ll}+)*"
+_HEX = r"[0-9A-Fa-f]{1,4}"
+#: Types in the order in which they are tried at a place; each group name is used once.
 PATTERNS = {
     "email": r"[A-Za-z0-9][A-Za-z0-9._%+\-]*@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)+",
     "iban": r"\b[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){3,7}(?:[ ]?[A-Z0-9]{1,3})?\b",
     "ssn": r"\b\d{3}-\d{2}-\d{4}\b",
-    "card": r"\b\d{4}([ \-]?)\d{4}\1\d{4}\1\d{4}\b",
-    "ip": r"\b(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}\b",
-    "phone": r"(?:\+\d{1,3}[ .\-]?)?\(\d{2,4}\)[ .\-]?\d{3,4}[ .\-]\d{3,4}\b|\+\d{1,3}(?:[ .\-]?\d{2,4}){2,4}\b|\b\d{3}[.\-]\d{3}[.\-]\d{4}\b",
-    "name": r"\b(?:Mr|Mrs|Ms|Herr|Frau|Señor|Señora|Monsieur|Madame|Г-н|Г-жа)\.? \p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?",
+    # 19, 16, 15, 14 and 13 digits, then other lengths without gaps; all but 16 need the first digits of such cards.
+    "card": r"\b(?:[4-6]\d{3}(?<long>[ \-]?)\d{4}\k<long>\d{4}\k<long>\d{4}\k<long>\d{3}|\d{4}(?<gap>[ \-]?)\d{4}\k<gap>\d{4}\k<gap>\d{4}"
+    r"|3[47]\d{2}(?<amex>[ \-]?)\d{6}\k<amex>\d{5}|3[0689]\d{2}(?<diners>[ \-]?)\d{6}\k<diners>\d{4}"
+    r"|4\d{3}(?<short>[ \-]?)\d{3}\k<short>\d{3}\k<short>\d{3}|(?:5[06-9]|6\d)\d{11,17}|(?:2131|1800)\d{11})\b",
+    "ip": r"\b(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}\b"
+    rf"|(?<![\w:.])(?:(?:{_HEX}:){{7}}{_HEX}|(?=[0-9A-Fa-f:]*\d)(?:{_HEX}(?::{_HEX}){{0,6}})?::(?:{_HEX}(?::{_HEX}){{0,6}})?)(?![\w:]|\.\d)",
+    "phone": r"(?:\+\d{1,3}[ .\-]?)?\(\d{2,4}\)[ .\-]?\d{3,4}[ .\-]\d{3,4}\b|\+\d{1,3}(?:[ .\-]?\d{2,4}){2,4}\b|\b\d{3}[ .\-]\d{3}[ .\-]\d{4}\b"
+    r"|\b0\d{1,4}[ .\-]\d{3,4}[ .\-]\d{3,4}\b|\b0\d{1,4}[ \-/]\d{5,8}\b|\b0\d(?:[ .\-]\d{2}){4}\b",
+    "name": rf"\b(?:{TITLE})+{_WORD}(?: {_WORD})?",
 }
-ALL = "|".join(f"(?<{n}>{p})" for n, p in PATTERNS.items()).replace(r"\1", r"\k<gap>").replace(r"([ \-]?)", r"(?<gap>[ \-]?)")
+ALL = "|".join(f"(?<{n}>{p})" for n, p in PATTERNS.items())
 #: What every type needs; looked for first, because all patterns at every place of every text are slow.
-HINT = r"[0-9@]|\b(?:Mr|Mrs|Ms|Herr|Frau|Señor|Señora|Monsieur|Madame|Г-н|Г-жа)\b"
-MALE, FEMALE = ["Mr", "Herr", "Señor", "Monsieur", "Г-н"], ["Mrs", "Ms", "Frau", "Señora", "Madame", "Г-жа"]
+HINT = rf"[0-9@]|\b{TITLE}"
 #: The titles before a name, and a title of women among them.
-TITLES = rf"^((?:(?:{'|'.join(MALE + FEMALE)})\.? )*)"
+TITLES = rf"^((?:(?:{'|'.join(MALE + FEMALE + NEUTRAL + ['M'])})\.? )*)"
 OF_WOMEN = rf"^(?:\S+ )*(?:{'|'.join(FEMALE)})\.? "
 #: Capitalised words that stand for no person where they stand alone.
 COMMON = (
@@ -94,10 +106,35 @@ def parts_of(texts: DataFrame) -> DataFrame:
     return steps.select("key", parts).select("key", "part.*")
 
 
+def _groups(address: Column, side: int) -> Column:
+    """The written groups before or after the double colon of an address; without one, all are before it."""
+    return F.filter(F.split(F.coalesce(F.get(F.split(address, "::"), F.lit(side)), F.lit("")), ":"), lambda g: g != "")
+
+
+def _long_address(address: Column) -> Column:
+    """All eight groups in small letters and without leading zeros."""
+    head, tail = _groups(address, 0), _groups(address, 1)
+    missing = F.greatest(F.lit(8) - F.size(head) - F.size(tail), F.lit(0))
+    groups = F.concat(head, F.array_repeat(F.lit("0"), missing), tail)
+    return F.array_join(F.transform(groups, lambda g: F.lower(F.regexp_replace(g, "^0+(?=.)", ""))), ":")
+
+
+def _address_like(address: Column, surrogate: Column) -> Column:
+    """The groups of a long surrogate where an address has groups; groups of zeros stay as they are written."""
+    new, tail = F.split(surrogate, ":"), _groups(address, 1)
+    put = lambda g, at: F.when(g.rlike("^0+$"), g).otherwise(F.get(new, at))
+    head = F.array_join(F.transform(_groups(address, 0), put), ":")
+    end = F.array_join(F.transform(tail, lambda g, i: put(g, F.size(new) - F.size(tail) + i)), ":")
+    out = F.when(address.contains("::"), F.concat(head, F.lit("::"), end)).otherwise(head)
+    return F.when(address.rlike("[A-F]"), F.upper(out)).otherwise(out)
+
+
 def normal(entity: Column, kind: Column) -> Column:
     """What is the same for all ways to write an entity: digits (and a plus sign) of numbers, small letters of addresses."""
     written = F.regexp_replace(entity, r"[^A-Za-z0-9+]", "")
-    return F.when(kind == "email", F.lower(entity)).when(kind.isin("iban", "ssn", "card", "phone"), written).otherwise(entity)
+    return F.when(kind == "email", F.lower(entity)).when(kind.isin("iban", "ssn", "card", "phone"), written).when(
+        (kind == "ip") & entity.contains(":"), _long_address(entity)
+    ).otherwise(entity)
 
 
 def written_like(entity: Column, kind: Column, surrogate: Column) -> Column:
@@ -108,7 +145,8 @@ def written_like(entity: Column, kind: Column, surrogate: Column) -> Column:
     capital = lambda c, i: F.when(c.rlike("[A-Z]"), F.upper(F.substring(surrogate, i + 1, F.lit(1)))).otherwise(F.substring(surrogate, i + 1, F.lit(1)))
     return (
         F.when(kind == "email", F.array_join(F.transform(F.split(entity, ""), capital), ""))
-        .when(kind.isin("iban", "ssn", "card", "phone"), F.array_join(number, "")).otherwise(surrogate)
+        .when(kind.isin("iban", "ssn", "card", "phone"), F.array_join(number, ""))
+        .when((kind == "ip") & entity.contains(":"), _address_like(entity, surrogate)).otherwise(surrogate)
     )
 
 
@@ -152,6 +190,8 @@ def surrogate(entity: Column, kind: Column, key: str, attempt: Column) -> Column
     checked = F.concat(without, F.pmod(F.lit(10) - _luhn(F.concat(without, F.lit("0"))) % 10, F.lit(10)).cast("string"))
     card = F.when(_luhn(entity) % 10 == 0, checked).otherwise(like)
     octets = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (_number(digest, i, 254) + 1).cast("string")), ".")
+    group = lambda g, i: F.when(g == "0", g).otherwise(F.lower(F.hex(_number(digest, i, 61_440) + 4_096)))
+    octets = F.when(entity.contains(":"), F.array_join(F.transform(F.split(entity, ":"), group), ":")).otherwise(octets)
     prefix = F.regexp_extract(entity, rf"^(\+{CALLING}|[A-Z]{{2}})", 1)
     phone = F.concat(prefix, F.substring(like, F.length(prefix) + 1, F.length(like)))
     return (
