@@ -12,7 +12,11 @@ MALE = ["Mr", "Herr", "Señor", "Sr", "Monsieur", "Г-н"]
 FEMALE = ["Mrs", "Ms", "Miss", "Frau", "Señora", "Sra", "Madame", "Mme", "Г-жа"]
 NEUTRAL = ["Dr", "Prof"]
 #: One title and its blank; a lone M is one with its dot only, and Sr or Dr after a capitalised word is part of what is before.
-TITLE = rf"(?:(?:{'|'.join(t for t in MALE + FEMALE + NEUTRAL if t not in ('Sr', 'Dr'))})\.?|(?<!\p{{Lu}}\p{{Ll}}{{2,20}} )(?:Sr|Dr)\.?|(?<=\b(?:Herr|Frau|Prof|Prof\.) )Dr\.?|M\.) "
+TITLE = (
+    rf"(?:(?:{'|'.join(t for t in MALE + FEMALE + NEUTRAL if t not in ('Sr', 'Dr'))}"
+    # What is before is looked at only where such a title stands.
+    r"|[SD]r(?:(?<!\p{Lu}\p{Ll}{2,20} [SD]r)|(?<=\b(?:Herr|Frau|Prof|Prof\.) Dr)))\.?|M\.) "
+)
 _WORD = r"\p{Lu}(?:['’]\p{Lu})?\p{Ll}+(?:[\-'’]?\p{Lu}\p{Ll}+)*"
 _HEX = r"[0-9A-Fa-f]{1,4}"
 #: Types in the order in which they are tried at a place; each group name is used once.
