@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from viewforge.llm import lines
+from viewforge.llm.byte_pairs import decode_ids, encode_texts, written_ids
 from viewforge.llm.lines import drop_boilerplate
 from viewforge.llm.near_copies import near_duplicates
 from viewforge.llm.packing import pack_along_curve
@@ -19,6 +20,7 @@ from viewforge.llm.token_files import read_token_files, write_token_files
 from viewforge.session import scratch_path
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
 def documents(spark, sf_dir):
@@ -93,6 +95,14 @@ def op10_secrets(spark, sf_dir):
     )
 
 
+def op12_byte_pairs(spark, sf_dir):
+    encoded = encode_texts(documents(spark, sf_dir).select("doc_id", "text"), RANKS, public_tokenizers.PATTERN)
+    decoded = decode_ids(written_ids(encoded, RANKS, public_tokenizers.PATTERN), RANKS, public_tokenizers.PATTERN)
+    return decoded.select(
+        "doc_id", "n_tokens", F.sha2("written", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_quality_rules": op2_quality_rules,
@@ -104,5 +114,6 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_decontamination": op9_decontamination,
     "op10_secrets": op10_secrets,
+    "op12_byte_pairs": op12_byte_pairs,
 }
 ORACLE = {"op5_line_dedup": lines.ORACLE}
