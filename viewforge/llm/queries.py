@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from viewforge.llm import lines
+from viewforge.llm import lexical, lines
 from viewforge.llm.byte_pairs import decode_ids, encode_texts, written_ids
 from viewforge.llm.lines import drop_boilerplate
 from viewforge.llm.near_copies import near_duplicates
@@ -103,6 +103,11 @@ def op12_byte_pairs(spark, sf_dir):
     )
 
 
+def op13_lexical_search(spark, sf_dir):
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return lexical.search(documents(spark, sf_dir), items, k=10)
+
+
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_quality_rules": op2_quality_rules,
@@ -115,5 +120,6 @@ QUERIES = {
     "op9_decontamination": op9_decontamination,
     "op10_secrets": op10_secrets,
     "op12_byte_pairs": op12_byte_pairs,
+    "op13_lexical_search": op13_lexical_search,
 }
-ORACLE = {"op5_line_dedup": lines.ORACLE}
+ORACLE = {"op5_line_dedup": lines.ORACLE, "op13_lexical_search": lexical.ORACLE}
