@@ -11,6 +11,7 @@ from viewforge.llm.lines import drop_boilerplate
 from viewforge.llm.near_copies import near_duplicates
 from viewforge.llm.packing import pack_along_curve
 from viewforge.llm.postings import decontaminate
+from viewforge.llm.prefix_trie import ordered_turns, spliced_turns, trie
 from viewforge.llm.rule_ensemble import score_quality
 from viewforge.llm.rule_lists import judge_by_rules
 from viewforge.llm.secrets import scan_secrets
@@ -95,6 +96,11 @@ def op10_secrets(spark, sf_dir):
     )
 
 
+def op11_prefix_trie(spark, sf_dir):
+    turns = ordered_turns(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return trie(*spliced_turns(turns, block=20, most=4))
+
+
 def op12_byte_pairs(spark, sf_dir):
     encoded = encode_texts(documents(spark, sf_dir).select("doc_id", "text"), RANKS, public_tokenizers.PATTERN)
     decoded = decode_ids(written_ids(encoded, RANKS, public_tokenizers.PATTERN), RANKS, public_tokenizers.PATTERN)
@@ -119,6 +125,7 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_decontamination": op9_decontamination,
     "op10_secrets": op10_secrets,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_byte_pairs": op12_byte_pairs,
     "op13_lexical_search": op13_lexical_search,
 }
