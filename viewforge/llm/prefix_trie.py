@@ -589,3 +589,44 @@ def prefix_trie(
     turns = ordered_turns(conversations, conv_id, turn, role, text)
     no_ids = turns.where("false").select("conv")
     return trie(turns.selectExpr("conv", "pos + 1 AS depth", "digest", "words"), no_ids, chunk)
+
+
+#: The same nodes in SQL over ``conversations``; CRC-32 is worked out bit by bit.
+ORACLE = r"""
+WITH original AS (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) - 1 AS pos,
+         md5(concat(strlen(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, ''))) AS digest,
+         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words
+  FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (
+  SELECT DISTINCT c, c - c % 20 AS base,
+         xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT),
+                                      list_transform(string_split(CAST(c AS VARCHAR), ''), lambda s: CAST(ascii(s) AS BIGINT))),
+                         lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0],
+                                                  lambda x, y: xor(x >> 1, (x & 1) * 3988292384))), 4294967295) % 4 AS h
+  FROM original),
+sequence AS (
+  SELECT convs.c, 0 AS piece, o.pos, o.digest, o.words FROM convs JOIN original o ON o.c = base AND o.pos < h
+  UNION ALL
+  SELECT convs.c, 1, o.pos, o.digest, o.words FROM convs JOIN original o ON o.c = convs.c AND o.pos >= h),
+rebuilt AS (
+  SELECT c, row_number() OVER (PARTITION BY c ORDER BY piece, pos) AS d, digest, words FROM sequence),
+prefix AS (
+  SELECT c, d, words, string_agg(digest, '') OVER (PARTITION BY c ORDER BY d) AS path FROM rebuilt
+  UNION ALL SELECT c, 0, 0, '' FROM convs),
+lengths AS (SELECT c, max(d) AS n FROM prefix GROUP BY c),
+nodes AS (
+  SELECT path, d, min(c) AS conv_id, count(*) AS n, (count(*) - 1) * max(words) AS saved,
+         sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE d = n), '')) AS ends_sha256
+  FROM prefix JOIN lengths USING (c) GROUP BY path, d),
+children AS (
+  SELECT v.path, count(w.path) AS n_children FROM nodes v LEFT JOIN nodes w ON w.d = v.d + 1 AND left(w.path, len(v.path)) = v.path
+  GROUP BY v.path),
+below AS (
+  SELECT p.path, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum(saved) AS saved_tokens
+  FROM nodes v JOIN children USING (path) JOIN prefix p ON p.c = v.conv_id AND p.d <= v.d GROUP BY p.path)
+SELECT v.conv_id, CAST(v.d AS BIGINT) AS depth, up.conv_id AS parent_conv_id, v.n AS n_convs, n_children, n_leaves,
+       CAST(saved_tokens AS BIGINT) AS saved_tokens, v.ends_sha256
+FROM nodes v JOIN children USING (path) JOIN below USING (path)
+LEFT JOIN nodes up ON v.d > 0 AND up.path = left(v.path, 32 * (v.d - 1))
+"""

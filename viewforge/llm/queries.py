@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from viewforge.llm import lexical, lines
+from viewforge.llm import lexical, lines, prefix_trie
 from viewforge.llm.byte_pairs import decode_ids, encode_texts, written_ids
 from viewforge.llm.lines import drop_boilerplate
 from viewforge.llm.near_copies import near_duplicates
@@ -129,4 +129,8 @@ QUERIES = {
     "op12_byte_pairs": op12_byte_pairs,
     "op13_lexical_search": op13_lexical_search,
 }
-ORACLE = {"op5_line_dedup": lines.ORACLE, "op13_lexical_search": lexical.ORACLE}
+ORACLE = {
+    "op5_line_dedup": lines.ORACLE,
+    "op11_prefix_trie": prefix_trie.ORACLE,
+    "op13_lexical_search": lexical.ORACLE,
+}
