@@ -108,9 +108,41 @@ def test_closures_with_a_cycle(spark):
     assert got == {("a", "b"), ("b", "c"), ("c", "a"), ("c", "d")}
 
 
-def test_a_long_chain_is_followed_to_its_end(spark):
-    e = edges(spark, *((f"n{i}", f"n{i + 1}") for i in range(25)))
-    assert lineage.transitive_dependencies(e, ids(spark, "n0")).count() == 25
+@pytest.fixture
+def rounds(monkeypatch):
+    """Nodes found in each round of the closures that are walked."""
+    counts, kept = [], lineage._kept
+
+    def counted(df, path):
+        out, n = kept(df, path)
+        if "found-" in path:
+            counts.append(n)
+        return out, n
+
+    monkeypatch.setattr(lineage, "_kept", counted)
+    return counts
+
+
+def test_a_chain_takes_logarithmic_rounds(spark, rounds):
+    e = edges(spark, *((f"n{i}", f"n{i + 1}") for i in range(999)))
+    assert lineage.transitive_dependencies(e, ids(spark, "n0")).count() == 999
+    assert len(rounds) <= 13 and sum(rounds) == 1000  # the start and the empty round included
+
+
+def test_a_cycle_and_a_ladder_take_logarithmic_rounds(spark, rounds):
+    cycle = [(f"c{i}", f"c{(i + 1) % 200}") for i in range(200)]
+    ladder = [(f"{a}{i}", f"{b}{i + 1}") for i in range(200) for a in "lr" for b in "lr"]
+    e = edges(spark, *cycle, *ladder, ("c7", "l0"))
+    assert lineage.transitive_dependencies(e, ids(spark, "c3")).count() == 199 + 401
+    assert lineage.transitive_successors(e, ids(spark, "r200")).count() == 200 + 400
+    assert len(rounds) <= 2 * 13
+
+
+def test_a_wide_graph_needs_a_round_per_step(spark, rounds):
+    """Three ways at every step: nothing is doubled, nothing is lost."""
+    wide = [(f"{a}{i}", f"{b}{i + 1}") for i in range(6) for a in "xyz" for b in "xyz"]
+    assert lineage.transitive_dependencies(edges(spark, *wide), ids(spark, "x0")).count() == 18
+    assert len(rounds) == 8
 
 
 def test_closures_against_brute_force(spark):
@@ -124,7 +156,7 @@ def test_closures_against_brute_force(spark):
             if a == node and b not in seen:
                 seen.add(b)
                 todo.append(b)
-    got = {r.id for r in lineage.upstream(lineage.stored_edges(edges(spark, *pairs)), ids(spark, start)).collect()}
+    got = {r.id for r in lineage.upstream(edges(spark, *pairs), ids(spark, start)).collect()}
     assert got == seen
 
 

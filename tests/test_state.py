@@ -201,14 +201,39 @@ def test_random_graphs_against_brute_force(spark, mode):
         ), key
 
 
-def test_a_long_chain_settles_to_its_end(spark, monkeypatch):
-    """Each partition depends on the one before; only the first is out of date."""
-    monkeypatch.setattr(st, "COMPACT_EVERY", 3)
-    names = [f"{i:02d}" for i in range(9)]
-    state = [("v", n, "q", 0 if n == "00" else 5, True, False, False) for n in names]
-    deps = [("v", b, "v", a) for a, b in zip(names, names[1:])]
+def test_rounds_of_a_long_chain_write_only_what_they_reach(spark, tmp_path, monkeypatch):
+    """Many levels; thousands of partitions wait for the last one, some of them told by the first one already."""
+    monkeypatch.setattr(st, "scratch_path", lambda _, label: str(tmp_path / label))
+    chain = [f"{i:03d}" for i in range(40)]
+    late = [f"w{i:04d}" for i in range(3000)]
+    state = [("v", n, "q", 0 if n == "000" else 5, True, False, False) for n in chain + late]
+    deps = [("v", b, "v", a) for a, b in zip(chain, chain[1:])]
+    deps += [("v", n, "v", chain[-1]) for n in late] + [("v", n, "v", chain[0]) for n in late[:1000]]
     rows = run(spark, state, deps)
-    assert len(rows) == len(names) and all(r.recompute and r.new_ts == NOW for r in rows.values())
+    assert len(rows) == 3040 and all(r.recompute and r.new_ts == NOW for r in rows.values())
+
+    def written(n):
+        return sum(f.stat().st_size for f in (tmp_path / "levels" / f"round-{n}").glob("*.parquet"))
+
+    sizes = [written(n) for n in range(40)]
+    assert sizes[0] > 2 * max(sizes[1:39]) and sizes[39] > sizes[0] and max(sizes[1:39]) < 4000
+
+
+def test_partitions_that_wait_long_are_merged_and_found_again(spark, monkeypatch):
+    """Every partition of a chain also reports to one that waits for all of them."""
+    merged = []
+    add = st._add_run
+    monkeypatch.setattr(st, "_add_run", lambda spark, schema, waiting, *rest: (add(spark, schema, waiting, *rest), merged.append(len(waiting))))
+    names = [f"{i:02d}" for i in range(12)]
+    state = [("v", n, "q", 5, True, n == "04", False) for n in names]
+    state[4] = ("v", "04", "old", 5, True, True, False)
+    state += [("all", "x", "q", 5), ("all", "y", "q", 5), ("never", "z", "q", 5)]
+    deps = [("v", b, "v", a) for a, b in zip(names, names[1:])] + [("all", x, "v", n) for n in names for x in "xy"]
+    deps += [("never", "z", "v", "00"), ("never", "z", "unknown", "p")]
+    rows = run(spark, [(*s, *(True, False, False)[len(s) - 4 :]) for s in state], deps)
+    assert rows["v", "04"].status == "failed" and rows["v", "05"].status == "no_data"
+    assert all(rows["all", x].with_errors and rows["all", x].incomplete and not rows["all", x].recompute for x in "xy")
+    assert rows["never", "z"].status == "cyclic" and len(merged) > 5 and max(merged) <= 3
 
 
 def test_dependencies_without_state_are_added(spark):

@@ -1,90 +1,119 @@
 """Lineage graphs held as edge tables.
 
 Table edges are ``node, dep``: ``node`` is computed from ``dep``. Field edges
-have the same shape with field ids. Closures walk outwards from a start set one
-step per round; a round joins only the nodes found last, and nodes already seen
-are dropped, so cycles end.
+have the same shape with field ids. Closures walk outwards from a start set, to
+both sides in the same rounds; a round follows only the nodes found last, and nodes
+already seen are dropped, so cycles end.
+
+Long ways are shortened by path doubling: where walks of 2**k steps from a node end at
+two nodes at most, links to these are kept, and the next round joins them to walks of
+twice the length. That starts when two rounds in a row found no more than the one
+before, as wide graphs are rarely deep. Chains, ladders and cycles of any length are so covered in a
+logarithmic number of rounds; elsewhere a round is one step. Links only lead to nodes
+that can be reached anyway, so the result is that of single steps.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+from functools import reduce
+
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from viewforge.operators.joins import group_for_join
-from viewforge.session import checkpointed
+from viewforge.session import scratch_path
 
+#: The column an edge starts at and the one it leads to, seen from the start.
+WAYS = {"backward": ("node", "dep"), "forward": ("dep", "node")}
 
-# Rounds after which the found nodes are stored as one table again.
-COMPACT_EVERY = 10
 
+def _kept(df: DataFrame, path: str) -> tuple[DataFrame, int]:
+    """The rows, written, and their number."""
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), seen.get["n"]
 
-def reachable(edges: DataFrame, start: DataFrame, source: str, target: str) -> DataFrame:
-    """Every ``id`` reached from the start ids along ``source -> target``, start included.
 
-    Each round stores only the nodes it found.
-    """
-    frontier = seen = checkpointed(start.select("id").distinct())
-    rounds = 0
-    while True:
-        step = edges.join(frontier, F.col(source) == F.col("id"), "left_semi").select(F.col(target).alias("id"))
-        frontier = checkpointed(step.distinct().join(seen, "id", "left_anti"))
-        if frontier.isEmpty():
-            return seen
-        seen = seen.unionByName(frontier)
-        rounds += 1
-        if rounds % COMPACT_EVERY == 0:
-            seen = checkpointed(seen)
+def _follow(links: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Where links from the nodes lead; few nodes are sent to the links, which then are not shuffled."""
+    here = nodes.select("way", F.col("id").alias("source"))
+    return links.join(here, ["way", "source"], "left_semi").select("way", F.col("target").alias("id"))
 
 
-def stored_edges(edges: DataFrame) -> DataFrame:
-    """Distinct ``node, dep`` rows, stored because every round reads them."""
-    return checkpointed(edges.select("node", "dep").distinct())
+def _doubled(links: DataFrame) -> DataFrame:
+    """Links of twice the length, from sources with two targets at most through middles with two at most."""
+    ends = links.groupBy("way", "source").agg(F.count(F.lit(1)).alias("n"), F.min("target").alias("a"), F.max("target").alias("b"))
+    few = ends.where("n <= 2").select("way", "source", F.explode(F.array_distinct(F.array("a", "b"))).alias("target"))
+    middle = few.select("way", F.col("target").alias("source"), F.col("source").alias("start"))
+    return middle.join(few, ["way", "source"]).select("way", F.col("start").alias("source"), "target").distinct()
 
 
-def upstream(edges: DataFrame, start: DataFrame) -> DataFrame:
-    return reachable(edges, start, "node", "dep")
+def closure(edges: DataFrame, start: DataFrame, ways: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """``way, source, target`` of all edges, and ``way, id`` of everything reached from the start ids, these included."""
+    spark, base = edges.sparkSession, scratch_path(edges.sparkSession, "closure")
+    pairs = edges.select("node", "dep").distinct()
+    steps = [pairs.select(F.lit(w).alias("way"), F.col(WAYS[w][0]).alias("source"), F.col(WAYS[w][1]).alias("target")) for w in ways]
+    laid = reduce(DataFrame.unionByName, steps).hint("rebalance", F.col("way"), F.col("source")).sortWithinPartitions("way", "source")
+    links, _ = _kept(laid, f"{base}/steps")
+    levels, ids = [links], start.select("id").distinct()
+    found = reduce(DataFrame.unionByName, (ids.select(F.lit(w).alias("way"), "id") for w in ways))
+    paths: list[str] = []
+    sizes: list[int] = []
+    doubling = False
+    while True:
+        path = f"{base}/found-{len(paths)}"
+        last, n = _kept(found, path)
+        paths.append(path)
+        seen = spark.read.schema(last.schema).parquet(*paths)
+        if not n:
+            return links, seen
+        reached = [_follow(level, last) for level in levels]
+        sizes.append(n)
+        narrow = len(sizes) > 2 and sizes[-3] >= sizes[-2] >= n
+        if doubling or len(levels) == 1 and narrow:
+            longer, doubling = _kept(_doubled(levels[-1]), f"{base}/links-{len(levels)}")
+            levels.append(longer)
+            if doubling:
+                reached.append(_follow(longer, seen))
+        found = reduce(DataFrame.unionByName, reached).distinct().join(seen, ["way", "id"], "left_anti")
+
+
+def _touching(links: DataFrame, seen: DataFrame) -> DataFrame:
+    return links.join(seen.select("way", F.col("id").alias("source")), ["way", "source"], "left_semi")
 
 
-def downstream(edges: DataFrame, start: DataFrame) -> DataFrame:
-    return reachable(edges, start, "dep", "node")
+def upstream(edges: DataFrame, start: DataFrame) -> DataFrame:
+    return closure(edges, start, ["backward"])[1].select("id")
 
 
-def _touching(edges: DataFrame, nodes: DataFrame, column: str) -> DataFrame:
-    return edges.join(nodes, F.col(column) == F.col("id"), "left_semi")
+def downstream(edges: DataFrame, start: DataFrame) -> DataFrame:
+    return closure(edges, start, ["forward"])[1].select("id")
 
 
 def table_lineage(edges: DataFrame, start: DataFrame) -> DataFrame:
     """Edges on the way to and from the start tables, as ``from_table, to_table``."""
-    edges = stored_edges(edges)
-    backward = _touching(edges, upstream(edges, start), "node")
-    forward = _touching(edges, downstream(edges, start), "dep")
-    return (
-        backward.unionByName(forward)
-        .select(F.col("dep").alias("from_table"), F.col("node").alias("to_table"))
-        .distinct()
-    )
+    found = _touching(*closure(edges, start, list(WAYS)))
+    back = F.col("way") == "backward"
+    return found.select(
+        F.when(back, F.col("target")).otherwise(F.col("source")).alias("from_table"),
+        F.when(back, F.col("source")).otherwise(F.col("target")).alias("to_table"),
+    ).distinct()
 
 
 def field_lineage(edges: DataFrame, start: DataFrame) -> DataFrame:
     """``direction, from_field, to_field``; in both directions edges lead away from the start."""
-    edges = stored_edges(edges)
-    backward = _touching(edges, upstream(edges, start), "node").select(
-        F.lit("backward").alias("direction"), F.col("node").alias("from_field"), F.col("dep").alias("to_field")
-    )
-    forward = _touching(edges, downstream(edges, start), "dep").select(
-        F.lit("forward").alias("direction"), F.col("dep").alias("from_field"), F.col("node").alias("to_field")
-    )
-    return forward.unionByName(backward)
+    found = _touching(*closure(edges, start, list(WAYS)))
+    return found.select(F.col("way").alias("direction"), F.col("source").alias("from_field"), F.col("target").alias("to_field"))
 
 
 def transitive_dependencies(edges: DataFrame, start: DataFrame) -> DataFrame:
     """Everything the start depends on, without the start."""
-    return upstream(stored_edges(edges), start).join(start.select("id"), "id", "left_anti")
+    return upstream(edges, start).join(start.select("id"), "id", "left_anti")
 
 
 def transitive_successors(edges: DataFrame, start: DataFrame) -> DataFrame:
-    return downstream(stored_edges(edges), start).join(start.select("id"), "id", "left_anti")
+    return downstream(edges, start).join(start.select("id"), "id", "left_anti")
 
 
 def declared_lineage(field_edges: DataFrame, fields: DataFrame) -> DataFrame:

@@ -8,12 +8,13 @@ partitions that occur only there.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from viewforge.functions.digests import digest
-from viewforge.functions.sqltext import normalize_sql
-from viewforge.session import checkpointed
+from viewforge.functions.sqltext import with_normalized_sql
+from viewforge.operators.joins import SPREAD, group_for_join
+from viewforge.session import remove_folder, scratch_path
 
 KEY = ["view", "partition"]
 NEVER = 0
@@ -52,9 +53,8 @@ def _flag(df: DataFrame, name: str, default: bool) -> Column:
 
 def _described(state: DataFrame, current: DataFrame) -> DataFrame:
     """State joined to the checksum its view has now; a view without one counts as unchanged."""
-    return state.join(
-        current.select("view", F.col("checksum").alias("current_checksum")), "view", "left"
-    ).select(
+    now = group_for_join(current, ["view"]).agg(F.max("checksum").alias("current_checksum")).drop(SPREAD)
+    return state.join(now, "view", "left").select(
         *KEY,
         "checksum",
         F.col("ts").cast("long").alias("ts"),
@@ -80,9 +80,12 @@ def materialization(
     dependency or its view's checksum changed; a recomputed partition counts as
     ``now`` for the partitions that depend on it.
 
-    Partitions are settled one dependency level per round. A round joins only
-    the partitions settled last against the edges, folds their reports into the
-    waiting ones and checkpoints those; settled partitions are not touched again.
+    Partitions are settled one dependency level per round. They are numbered and
+    their edges laid out once by the number depended on, each with what a decision
+    about its partition needs. A round reads the edges of the partitions settled
+    last, skipping pages outside their range of numbers, adds up the reports
+    of the partitions these edges lead to, and writes only those; waiting partitions
+    that are not touched are neither read nor written.
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
@@ -97,67 +100,20 @@ def materialization(
             F.lit(False).alias("with_errors"),
             F.lit(False).alias("incomplete"),
         )
-
     if mode == "transform_only":
-        return _outcome(rows.selectExpr("*", "0L AS n_deps", *LEAF_START), now, mode)
-
-    done_once = rows.where("once AND ts > 0").select(*KEY)
-    edges = checkpointed(deps.select(*KEY, "dep_view", "dep_partition").distinct().join(done_once, KEY, "left_anti"))
-    n_deps = edges.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_deps"))
-    counted = rows.join(n_deps, KEY, "left").withColumn("n_deps", F.coalesce("n_deps", F.lit(0)))
-    nodes = checkpointed(
-        counted.where("n_deps = 0")
-        .selectExpr("*", *LEAF_START)
-        .unionByName(counted.where("n_deps > 0").selectExpr("*", *WAITING_START))
-    )
-    settled, waiting = nodes.where("n_done = n_deps"), nodes.where("n_done < n_deps")
-    finished = settled
-    rounds = 0
-    while True:
-        told = _outcome(settled, now, mode).selectExpr(
-            "view AS dep_view",
-            "partition AS dep_partition",
-            "status = 'materialized' AS any_data",
-            "CASE WHEN status = 'materialized' THEN new_ts ELSE 0 END AS freshness",
-            "status <> 'materialized' OR incomplete AS dep_incomplete",
-            "status = 'failed' OR with_errors AS dep_errors",
-        )
-        reports = edges.join(told, ["dep_view", "dep_partition"]).selectExpr(
-            *KEY, "1L AS n_done", "any_data", "freshness", "dep_incomplete", "dep_errors"
-        )
-        # Waiting partitions and reports meet in one aggregation: the reports of a
-        # partition with very many dependencies shrink to one row per task beforehand.
-        merged = (
-            waiting.unionByName(reports, allowMissingColumns=True)
-            .groupBy(*KEY)
-            .agg(
-                *(F.max(c).alias(c) for c in DESCRIPTION),
-                F.sum("n_done").alias("n_done"),
-                F.max("freshness").alias("freshness"),
-                F.bool_or("any_data").alias("any_data"),
-                F.bool_or("dep_incomplete").alias("dep_incomplete"),
-                F.bool_or("dep_errors").alias("dep_errors"),
-            )
-            .where("n_deps IS NOT NULL")
-        )
-        merged = checkpointed(merged)
-        settled, waiting = merged.where("n_done = n_deps"), merged.where("n_done < n_deps")
-        finished = finished.unionByName(settled)
-        progress = merged.agg(
-            F.count_if(F.col("n_done") < F.col("n_deps")).alias("waiting"),
-            F.count_if(F.col("n_done") == F.col("n_deps")).alias("settled"),
-        ).first()
-        if not progress.waiting or not progress.settled:
-            return _outcome(finished.unionByName(waiting), now, mode)
-        rounds += 1
-        if rounds % COMPACT_EVERY == 0:
-            finished = checkpointed(finished)
-
-
-# Rounds after which the settled partitions are stored as one table again.
-COMPACT_EVERY = 20
-
-# What a partition starts with: leaves count as fresh since time 1.
+        leaves = rows.selectExpr("*", "checksum <> current_checksum AS changed", "0L AS n_deps", *LEAF_START)
+        return _outcome(_decided(leaves, mode), now, mode)
+
+    base = scratch_path(state.sparkSession, "levels")
+    nodes, edges, waiting = _numbered(rows, deps, base)
+    settled = _settled(nodes, edges, waiting, now, mode, base)
+    verdicts = _decided(settled, mode).select("id", "due", "status", "recompute", "dep_errors", "dep_incomplete")
+    return _outcome(nodes.join(verdicts, "id", "left").withColumn("status", F.coalesce("status", F.lit("cyclic"))), now, mode)
+
+
+#: What the decision about a partition needs beside the reports of its dependencies.
+DESCRIPTION = ["ts", "changed", "has_data", "failed", "once", "n_deps"]
+#: What a partition starts with: leaves count as fresh since time 1.
 LEAF_START = [
     "0L AS n_done",
     "1L AS freshness",
@@ -165,41 +121,122 @@ LEAF_START = [
     "false AS dep_incomplete",
     "false AS dep_errors",
 ]
-WAITING_START = [
-    "0L AS n_done",
-    "0L AS freshness",
-    "false AS any_data",
-    "false AS dep_incomplete",
-    "false AS dep_errors",
-]
-DESCRIPTION = ("checksum", "ts", "current_checksum", "has_data", "failed", "once", "n_deps")
+REPORTS = ["freshness", "any_data", "dep_incomplete", "dep_errors"]
 
 
-def _outcome(nodes: DataFrame, now: int, mode: str) -> DataFrame:
-    """What becomes of partitions whose dependencies have all reported."""
-    changed = "false" if mode == "reset_checksums" else "checksum <> current_checksum"
-    dry = mode == "reset_checksums_and_timestamps"
-    always = "true" if mode == "reset_checksums" else "false"
+def _kept(df: DataFrame, path: str, *counts: Column) -> tuple[DataFrame, dict]:
+    """``df`` as a table, and figures taken while it is written."""
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("rows"), *counts).write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), seen.get
+
+
+def _numbered(rows: DataFrame, deps: DataFrame, base: str) -> tuple[DataFrame, DataFrame, int]:
+    """All partitions with a number, ``dep, id`` edges with the description of the partition ``id``, and the number that wait.
+
+    A partition that is done once and for all has no edges. A dependency without a row
+    of its own counts but never reports, so what needs it cannot settle.
+    """
+    pairs = deps.select(*KEY, "dep_view", "dep_partition").distinct()
+    n_deps = group_for_join(pairs, KEY).agg(F.count(F.lit(1)).alias("n_deps")).drop(SPREAD)
+    needed = F.when(F.col("once") & (F.col("ts") > 0), 0).otherwise(F.coalesce("n_deps", F.lit(0))).cast("long")
+    changed = F.col("checksum") != F.col("current_checksum")
+    described = rows.join(n_deps, KEY, "left").withColumns({"n_deps": needed, "changed": changed, "id": F.monotonically_increasing_id()})
+    nodes, count = _kept(described, f"{base}/nodes", F.count_if(F.col("n_deps") > 0).alias("waiting"))
+    named = nodes.select(F.col("id").alias("dep"), F.col("view").alias("dep_view"), F.col("partition").alias("dep_partition"))
+    wide = pairs.join(nodes.where("n_deps > 0").select("id", *KEY, *DESCRIPTION), KEY).join(named, ["dep_view", "dep_partition"])
+    laid = wide.select("dep", "id", *DESCRIPTION).hint("rebalance", F.col("dep")).sortWithinPartitions("dep")
+    return nodes, _kept(laid, f"{base}/edges")[0], count["waiting"]
+
+
+def _settled(nodes: DataFrame, edges: DataFrame, count: int, now: int, mode: str, base: str) -> DataFrame:
+    """Every partition whose dependencies have all reported, with the reports added up.
+
+    A round writes the touched partitions with all they were told so far. Those that
+    wait for more are looked up when they are touched again; the tables with them are
+    merged by size, like a log-structured tree, so there are only a few at any time.
+    """
+    spark = nodes.sparkSession
+    columns = ["id", *DESCRIPTION, "n_done", *REPORTS]
+    last = leaves = nodes.where("n_deps = 0").selectExpr("id", *DESCRIPTION, *LEAF_START).select(*columns)
+    schema, ready = leaves.schema, F.col("n_done") == F.col("n_deps")
+    settled_id = F.when(ready, F.col("id"))
+    figures = F.count(settled_id).alias("settled"), F.min(settled_id).alias("low"), F.max(settled_id).alias("high")
+    paths, waiting, reached, done = [], [], edges, 0
+    while True:
+        told = _decided(last, mode).selectExpr(
+            "id AS dep",
+            "status = 'materialized' AS any_data",
+            f"CASE WHEN status <> 'materialized' THEN 0 WHEN due THEN {int(now)}L ELSE ts END AS freshness",
+            "status <> 'materialized' OR dep_incomplete AS dep_incomplete",
+            "status = 'failed' OR (status = 'materialized' AND dep_errors) AS dep_errors",
+        )
+        # Map-side sums: a partition with very many dependencies gets one row per task.
+        told_of = [F.max(c).alias(c) for c in REPORTS]
+        same = [F.max(c).alias(c) for c in DESCRIPTION]
+        news = reached.join(told, "dep").groupBy("id").agg(*same, F.count(F.lit(1)).alias("n_done"), *told_of)
+        if waiting:
+            before = spark.read.schema(schema).parquet(*(p for p, _ in waiting)).where(~ready)
+            before = _newest(before.join(news.select("id"), "id", "left_semi"))
+            news = news.unionByName(before).groupBy("id").agg(*same, F.sum("n_done").alias("n_done"), *told_of)
+        path = f"{base}/round-{len(paths)}"
+        touched, found = _kept(news.select(*columns), path, *figures)
+        paths.append(path)
+        done += found["settled"]
+        if not found["settled"] or done == count:
+            return leaves.unionByName(spark.read.schema(schema).parquet(*paths).where(ready))
+        if found["rows"] > found["settled"]:
+            _add_run(spark, schema, waiting, (path, found["rows"] - found["settled"]), base)
+        last = touched.where(ready)
+        reached = edges.where(F.col("dep").between(found["low"], found["high"]))
+
+
+def _newest(rows: DataFrame) -> DataFrame:
+    """One row per partition: what is told only ever grows, so the newest row is the greatest in each column."""
+    return rows.groupBy("id").agg(*(F.max(c).alias(c) for c in (*DESCRIPTION, "n_done", *REPORTS)))
+
+
+def _add_run(spark: SparkSession, schema, waiting: list[tuple[str, int]], run: tuple[str, int], base: str) -> None:
+    """Put a table of waiting partitions beside the others and merge those that it has outgrown."""
+    waiting.append(run)
+    while len(waiting) > 1 and waiting[-2][1] <= 2 * waiting[-1][1]:
+        merged = [waiting.pop(), waiting.pop()]
+        rows = spark.read.schema(schema).parquet(*(p for p, _ in merged)).where("n_done < n_deps")
+        path = scratch_path(spark, "waiting")
+        _, count = _kept(_newest(rows).select(*schema.names), path)
+        for old, _ in merged:
+            if not old.startswith(base):
+                remove_folder(spark, old)
+        waiting.append((path, count["rows"]))
+
+
+def _decided(nodes: DataFrame, mode: str) -> DataFrame:
+    """``due``, ``status`` and ``recompute`` of partitions whose dependencies have all reported."""
+    changed = "false" if mode == "reset_checksums" else "changed"
+    real = str(mode != "reset_checksums_and_timestamps").lower()
     decided = nodes.selectExpr(
         *nodes.columns,
         "once AND ts > 0 AS done_once",
         f"NOT (once AND ts > 0) AND any_data AND (ts < freshness OR {changed}) AS due",
     )
-    status = decided.selectExpr(
+    return decided.selectExpr(
         *decided.columns,
-        f"due AND n_done = n_deps AND {str(not dry).lower()} AS recompute",
-        f"""CASE WHEN n_done < n_deps THEN 'cyclic'
-                 WHEN NOT done_once AND NOT any_data THEN 'no_data'
-                 WHEN due AND failed AND {str(not dry).lower()} THEN 'failed'
-                 WHEN due AND NOT has_data AND {str(not dry).lower()} THEN 'no_data'
+        f"due AND {real} AS recompute",
+        f"""CASE WHEN NOT done_once AND NOT any_data THEN 'no_data'
+                 WHEN due AND failed AND {real} THEN 'failed'
+                 WHEN due AND NOT has_data AND {real} THEN 'no_data'
                  ELSE 'materialized' END AS status""",
     )
-    return status.selectExpr(
+
+
+def _outcome(decided: DataFrame, now: int, mode: str) -> DataFrame:
+    """What becomes of partitions with their decisions; those without one keep what they have."""
+    always = "true" if mode == "reset_checksums" else "false"
+    return decided.selectExpr(
         *KEY,
         "status",
-        "recompute",
-        f"""CASE WHEN status = 'materialized' AND (due OR {always}) THEN current_checksum
-                 ELSE checksum END AS new_checksum""",
+        "coalesce(recompute, false) AS recompute",
+        f"CASE WHEN status = 'materialized' AND (due OR {always}) THEN current_checksum ELSE checksum END AS new_checksum",
         f"CASE WHEN status = 'materialized' AND due THEN {int(now)}L ELSE ts END AS new_ts",
         "status = 'materialized' AND dep_errors AS with_errors",
         "status = 'materialized' AND dep_incomplete AS incomplete",
@@ -294,7 +331,7 @@ def transformation_checksums(transformations: DataFrame) -> DataFrame:
     the digests of its resources count together.
     """
     given = transformations.columns
-    normalized = transformations.withColumn("sql", normalize_sql(F.col("sql")))
+    normalized = with_normalized_sql(transformations, "sql")
     texts = F.array("sql")
     if "resources" in given:
         texts = F.concat(texts, F.coalesce(F.col("resources"), F.array().cast("array<string>")))

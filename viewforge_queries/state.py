@@ -169,7 +169,7 @@ def transformation_changes(spark, sf_dir):
     stored = st.transformation_checksums(documents.select("view", stored_text.alias("sql"))).select(
         "view", F.lit("all").alias("partition"), "checksum"
     )
-    return st.transformation_changes(stored, now).select("view", "partition")
+    return st.transformation_changes(stored, now)
 
 
 MONTHLY_ORDERS = ViewDef(
@@ -236,6 +236,31 @@ QUERIES = {
     "transformation_changes": transformation_changes,
 }
 
+# Texts without comment lines, settings and needless blanks, and their digests.
+TRANSFORMATIONS_SQL = r"""
+WITH texts AS (
+  SELECT doc_id, 'SET a=b;' || chr(10) || '-- note' || chr(10) || replace(text, chr(10), chr(10) || chr(10) || '  ') AS now,
+         CASE WHEN doc_id % 2 = 0 THEN text ELSE text || ' LIMIT 1' END AS before
+  FROM documents),
+both_texts AS (SELECT doc_id, 'now' AS kind, now AS t FROM texts UNION ALL SELECT doc_id, 'before', before FROM texts),
+joined AS (
+  SELECT doc_id, kind, array_to_string(list_filter(list_transform(string_split(t, chr(10)),
+         lambda x: trim(x, ' ' || chr(9) || chr(11) || chr(12) || chr(13))), lambda x: x <> '' AND NOT starts_with(x, '--')), ' ') AS t
+  FROM both_texts),
+pieces AS (
+  SELECT doc_id, kind, regexp_extract_all(regexp_replace(t, '(?i)( |^)SET [^;]+;', '', 'g'),
+         '(?s)"[^"\\]*(?:\\.[^"\\]*)*"|''[^''\\]*(?:\\.[^''\\]*)*''|[^"''\\]+|\\.|["''\\]') AS p
+  FROM joined),
+digests AS (
+  SELECT doc_id, kind, upper(md5(trim(array_to_string(list_transform(p, lambda x:
+         CASE WHEN length(x) > 1 AND (starts_with(x, chr(34)) AND ends_with(x, chr(34)) OR starts_with(x, chr(39)) AND ends_with(x, chr(39)))
+              THEN regexp_replace(x, '[ \t\n\x0B\f\r]', ';', 'g')
+              ELSE regexp_replace(x, '[ \t\n\x0B\f\r]{2,}|[\t\n\x0B\f\r]', ' ', 'g') END), ''), ' '))) AS d
+  FROM pieces)
+SELECT 'v_' || doc_id AS view, 'all' AS partition, b.d AS checksum, n.d AS new_checksum
+FROM digests b JOIN digests n USING (doc_id) WHERE b.kind = 'before' AND n.kind = 'now' AND b.d IS DISTINCT FROM n.d
+"""
+
 # The same four levels, written out one after the other.
 STATE_SQL = f"""
 state AS (
@@ -324,5 +349,5 @@ ORACLE = {
     "schema_changes": "SELECT 't_' || c_custkey AS table_name, CASE WHEN c_mktsegment = 'MACHINERY' THEN 'dropped' "
     "WHEN c_acctbal < 0 OR c_nationkey = 3 OR c_mktsegment = 'BUILDING' THEN 'recreate' ELSE 'keep' END AS change "
     "FROM customer WHERE c_mktsegment <> 'MACHINERY' OR c_acctbal >= 0",
-    "transformation_changes": "SELECT 'v_' || doc_id AS view, 'all' AS partition FROM documents WHERE doc_id % 2 = 1",
+    "transformation_changes": TRANSFORMATIONS_SQL,
 }
