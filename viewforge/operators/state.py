@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from viewforge.functions.digests import digest
 from viewforge.functions.sqltext import with_normalized_sql
+from viewforge.operators import state_log
 from viewforge.operators.joins import SPREAD, group_for_join
 from viewforge.session import remove_folder, scratch_path
 
@@ -282,24 +283,14 @@ def commit_state(state: DataFrame, updates: DataFrame, now: int) -> DataFrame:
     )
 
 
-STATE_SCHEMA = "view string, partition string, checksum string, ts long, seq long"
-
-
 def append_state(updates: DataFrame, path: str, seq: int) -> None:
-    """Add rows to the state log. Nothing is rewritten, so a crash cannot lose state."""
-    updates.select(*KEY, "checksum", F.col("ts").cast("long"), F.lit(seq).cast("long").alias("seq")).write.mode(
-        "append"
-    ).parquet(path)
+    """Add rows to the state table under ``path``; either all of them count or none."""
+    state_log.commit(updates, path, seq)
 
 
 def read_state(spark: SparkSession, path: str) -> DataFrame:
-    """The newest row per partition of the state log."""
-    log = spark.read.schema(STATE_SCHEMA).parquet(path)
-    return (
-        log.groupBy(*KEY)
-        .agg(F.max_by(F.struct("checksum", "ts"), F.struct("seq", "ts", "checksum")).alias("latest"))
-        .select(*KEY, "latest.checksum", "latest.ts")
-    )
+    """The newest row per partition of the state table."""
+    return state_log.read(spark, path)
 
 
 # ---------------------------------------------------------------- changed declarations

@@ -13,6 +13,7 @@ from viewforge.functions.digests import digest
 from viewforge.functions.dates import month_text, year_text
 from viewforge.model import Field, ViewDef
 from viewforge.operators import state as st
+from viewforge.operators import state_log
 from viewforge.operators.partitions import select_partitions
 from viewforge.plans.refresh import partition_text, refresh_partitions
 from viewforge.session import scratch_path
@@ -172,6 +173,18 @@ def transformation_changes(spark, sf_dir):
     return st.transformation_changes(stored, now)
 
 
+def state_table(spark, sf_dir):
+    """Every partition's state in commits of falling and equal size, some of them late, read after merges."""
+    path, rows = scratch_path(spark, "state"), state_rows(spark, sf_dir)
+    key = F.length(F.concat("view", "partition"))
+    state_log.commit(rows, path, 1)
+    for part in range(4):
+        newer = rows.where(key % 5 == part).withColumns({"checksum": F.lit(f"c{part}"), "ts": F.col("ts") + 1})
+        state_log.commit(newer, path, 10 - part)
+        state_log.commit(rows.where(key % 10 == part).withColumn("checksum", F.lit("late")), path, 2)
+    return state_log.read(spark, path)
+
+
 MONTHLY_ORDERS = ViewDef(
     "MonthlyOrders",
     [Field("id", "bigint"), Field("price", "double")],
@@ -232,6 +245,7 @@ QUERIES = {
     "partition_metadata": metadata,
     "invalidate_partitions": invalidate,
     "commit_state": commit,
+    "state_table": state_table,
     "schema_changes": schema_changes,
     "transformation_changes": transformation_changes,
 }
@@ -344,6 +358,9 @@ ORACLE = {
     "CAST(CASE WHEN checksum = 'q1' THEN ts ELSE 0 END AS BIGINT) AS ts FROM state",
     "invalidate_partitions": f"WITH {STATE_SQL} SELECT view, partition, CASE WHEN NOT has_data OR once THEN '0' ELSE checksum END AS checksum, "
     "CAST(CASE WHEN NOT has_data OR once THEN 0 ELSE ts END AS BIGINT) AS ts FROM state",
+    "state_table": f"WITH {STATE_SQL}, keyed AS (SELECT *, length(view || partition) AS n FROM state) SELECT view, partition, "
+    "CASE WHEN n % 5 < 4 THEN 'c' || n % 5 WHEN n % 10 < 4 THEN 'late' ELSE checksum END AS checksum, "
+    "CAST(CASE WHEN n % 5 < 4 THEN ts + 1 ELSE ts END AS BIGINT) AS ts FROM keyed",
     "commit_state": f"WITH {STATE_SQL} SELECT view, partition, 'q1' AS checksum, "
     f"CAST(CASE WHEN checksum = 'old' THEN {NOW} ELSE ts END AS BIGINT) AS ts FROM state",
     "schema_changes": "SELECT 't_' || c_custkey AS table_name, CASE WHEN c_mktsegment = 'MACHINERY' THEN 'dropped' "
