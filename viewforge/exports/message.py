@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-import struct
+import json
 from collections.abc import Callable, Iterator, Sequence
 from typing import Protocol
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from viewforge.exports.common import BATCH_ROWS, WRITERS, batches, check_key_and_value
+from viewforge.functions.avro import encode_rows
 from viewforge.functions.digests import DEFAULT_SALT, anonymize, is_complex
 
 # Message types of primitive columns, and the topic defaults.
@@ -132,43 +135,6 @@ def json_body(columns: Sequence[str]) -> Column:
 # ---------------------------------------------------------------- binary values
 
 
-def _long(number: int) -> bytes:
-    number = (number << 1) ^ (number >> 63)
-    out = bytearray()
-    while number & ~0x7F:
-        out.append(number & 0x7F | 0x80)
-        number >>= 7
-    out.append(number)
-    return bytes(out)
-
-
-def _binary(value, schema) -> bytes:
-    """One value of a message schema in the Avro binary encoding."""
-    if isinstance(schema, list):
-        return _long(0) if value is None else _long(1) + _binary(value, schema[1])
-    kind = schema["type"] if isinstance(schema, dict) else schema
-    if kind == "string":
-        data = str(value).encode()
-        return _long(len(data)) + data
-    if kind in ("int", "long"):
-        return _long(int(value))
-    if kind == "boolean":
-        return b"\x01" if value else b"\x00"
-    if kind == "float":
-        return struct.pack("<f", value)
-    if kind == "double":
-        return struct.pack("<d", value)
-    if kind == "record":
-        return b"".join(_binary(value[f["name"]], f["type"]) for f in schema["fields"])
-    if kind == "array":
-        items = list(value)
-        body = b"".join(_binary(v, schema["items"]) for v in items)
-        return (_long(len(items)) + body if items else b"") + _long(0)
-    entries = value.items() if hasattr(value, "items") else list(value)
-    body = b"".join(_binary(k, "string") + _binary(v, schema["values"]) for k, v in entries)
-    return (_long(len(entries)) + body if len(entries) else b"") + _long(0)
-
-
 def _flattened_schema(schema: T.StructType) -> T.StructType:
     return T.StructType(
         [
@@ -181,30 +147,40 @@ def _flattened_schema(schema: T.StructType) -> T.StructType:
 
 
 def message_encode_avro(
-    df: DataFrame, key: str, name: str, private: Sequence[str] = (), salt: str = DEFAULT_SALT
+    df: DataFrame, key: str, name: str, private: Sequence[str] = (), salt: str = DEFAULT_SALT, columns_only: bool = False
 ) -> DataFrame:
-    """``key, value`` with the row in binary; batches are encoded inside the tasks."""
+    """``key, value`` with the row in binary.
+
+    By Spark's own function where its Avro module is installed; otherwise, or with
+    ``columns_only``, whole Arrow columns are encoded inside the tasks.
+    """
     check_key_and_value(df.schema, key)
     keyed = df.withColumn("_key", F.col(key).cast("string"))
     rows = message_columns(keyed, private, salt)
     columns = df.columns
     schema = message_schema(_flattened_schema(T.StructType([rows.schema[c] for c in columns])), name, private)
-    to_binary = [(f["name"], f["type"]) for f in schema["fields"]]
+    if not columns_only and has_avro_module(df.sparkSession):
+        from pyspark.sql.avro.functions import to_avro
 
-    def encode(parts: Iterator) -> Iterator:
-        import pyarrow as pa
+        return rows.select(F.col("_key").alias("key"), to_avro(F.struct(*columns), json.dumps(schema)).alias("value"))
 
-        for part in parts:
-            records = part.to_pylist()
-            values = [b"".join(_binary(r[n], t) for n, t in to_binary) for r in records]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r["_key"] for r in records], pa.string()), pa.array(values, pa.binary())],
-                names=["key", "value"],
-            )
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = encode_rows([batch.column(c) for c in columns], schema).values()
+            yield pa.RecordBatch.from_arrays([batch.column("_key"), values.cast(pa.binary())], ["key", "value"])
 
     return rows.mapInArrow(encode, "key string, value binary")
 
 
+def has_avro_module(spark: SparkSession) -> bool:
+    """Whether Spark's own Avro functions are installed."""
+    try:
+        spark._jvm.java.lang.Class.forName("org.apache.spark.sql.avro.CatalystDataToAvro")
+    except Py4JJavaError:
+        return False
+    return True
+
+
 def topic_name(database: str, table: str) -> str:
     return f"{database}_{table}"
 

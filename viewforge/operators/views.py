@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from viewforge.functions.dates import date_id, day_text, month_id, month_text, year_text
-from viewforge.model import ESCAPED_PATH_CHARACTERS, NULL_PATH_VALUE, ViewDef, escape_path_value
+from viewforge.functions.paths import path_value, value_of_path
+from viewforge.model import ViewDef, escape_path_value
 from viewforge.sources.formats import conform, read_view, write_view
 
 __all__ = [
@@ -40,24 +41,6 @@ def with_job_metadata(df: DataFrame, created_at: str, created_by: str) -> DataFr
     return df.withColumns({"created_at": F.lit(created_at), "created_by": F.lit(created_by)})
 
 
-def path_value(value: Column) -> Column:
-    """A partition value as its folder name spells it; null and empty text have a name of their own."""
-    text = value.cast("string")
-    special = "[" + re.escape(ESCAPED_PATH_CHARACTERS) + r"\x01-\x1F]"
-    escaped = F.transform(
-        F.split(text, ""),
-        lambda c: F.when(c.rlike(special), F.concat(F.lit("%"), F.lpad(F.hex(F.ascii(c)), 2, "0"))).otherwise(c),
-    )
-    named = F.when(text.rlike(special), F.array_join(escaped, "")).otherwise(text)
-    return F.when(F.coalesce(text, F.lit("")) == "", NULL_PATH_VALUE).otherwise(named)
-
-
-def value_of_path(name: Column) -> Column:
-    """The text that a folder name stands for; names with a loose percent sign stand for themselves."""
-    plain = F.try_url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))
-    return F.when(~name.isin("", NULL_PATH_VALUE), F.coalesce(plain, name))
-
-
 def _with_params(df: DataFrame, view: ViewDef, params: Mapping[str, object]) -> DataFrame:
     return df.withColumns({f.column: F.lit(params[f.column]).cast(f.data_type) for f in view.partitions})
 

@@ -6,13 +6,13 @@ import uuid
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from viewforge.model import ViewDef
 from viewforge.session import checkpointed, file_system, hadoop_path
 from viewforge.sources.formats import read_view, write_view
+from viewforge.sources.uris import open_uri
 
 
 def read_tsv(spark: SparkSession, view: ViewDef, path: str) -> DataFrame:
@@ -69,15 +69,6 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return file_system(spark, path).exists(hadoop_path(spark, path))
 
 
-def open_uri(uri: str) -> tuple[fs.FileSystem, str]:
-    """File system and path of a URI, for use inside tasks; a plain path is a mounted folder."""
-    if uri.startswith("/"):
-        return fs.LocalFileSystem(), uri
-    if uri.startswith("file:/") and not uri.startswith("file://"):
-        return fs.LocalFileSystem(), uri.removeprefix("file:")
-    return fs.FileSystem.from_uri(uri)
-
-
 def copy_file(source: str, target: str) -> int:
     """Stream one file to a temporary name, then rename: a repeated task is harmless."""
     source_fs, source_path = open_uri(source)

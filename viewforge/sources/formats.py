@@ -5,12 +5,12 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from py4j.protocol import Py4JJavaError
 from pyspark import RDD
 from pyspark.sql import Column, DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from viewforge.functions.paths import path_value, value_of_path
 from viewforge.model import (
     Avro,
     Csv,
@@ -26,6 +26,7 @@ from viewforge.model import (
     create_table_statement,
 )
 from viewforge.session import remove_folder
+from viewforge.sources import avro
 
 NULL_TEXT = "\\N"
 
@@ -142,22 +143,22 @@ LINE_VALUE = "org.apache.hadoop.io.Text"
 
 
 def _has_avro_source(spark: SparkSession) -> bool:
+    """Whether the session finds Spark's own Avro source, which is a module of its own."""
     try:
-        spark._jvm.java.lang.Class.forName("org.apache.spark.sql.avro.AvroFileFormat")
-    except Py4JJavaError:
+        sources = spark._jvm.org.apache.spark.sql.execution.datasources.DataSource
+        sources.lookupDataSource("avro", spark._jsparkSession.sessionState().conf())
+    except Exception:  # the gateway wraps what Spark throws
         return False
     return True
 
 
 def _needs_hive(spark: SparkSession, view: ViewDef) -> bool:
-    """Input/output formats with a serde, RCFile, and Avro where Spark's own Avro source is missing."""
+    """Input/output formats with a serde, and RCFile."""
     match view.storage:
         case RecordColumnarFile():
             return True
         case InOutputFormat(serde=serde):
             return serde is not None
-        case Avro():
-            return not _has_avro_source(spark)
     return False
 
 
@@ -200,6 +201,9 @@ def write_view(
     if isinstance(storage, (SequenceFile, InOutputFormat)):
         _write_hadoop_lines(rows, view, path, mode)
         return
+    if isinstance(storage, Avro) and not _has_avro_source(df.sparkSession):
+        _write_avro(rows, view, path, mode, dynamic)
+        return
 
     options: dict[str, str] = dict(view.write_options)
     options["partitionOverwriteMode"] = "dynamic" if dynamic else "static"
@@ -262,10 +266,39 @@ def read_view(spark: SparkSession, view: ViewDef, path: str) -> DataFrame:
             return _lines_frame(spark, lines).select(*decode_line(F.col("value"), view, TextFile()))
         case Avro(schema_path) if _has_avro_source(spark):
             return spark.read.format("avro").option("avroSchemaUrl", schema_path).load(path)
+        case Avro():
+            return _read_avro(spark, view, path)
     _require_hive(spark, view)
     return spark.table(view.table_name())
 
 
+FOLDER = "_folder"
+
+
+def _write_avro(rows: DataFrame, view: ViewDef, path: str, mode: str, dynamic: bool) -> None:
+    """Container files of our own source, where Spark's is not installed; partitions are folders."""
+    avro.register(rows.sparkSession)
+    options = {"recordName": view.short_name(), **view.write_options}
+    if view.partitions:
+        texts = (F.concat(F.lit(f"{c}="), path_value(F.col(c))) for c in view.partition_columns)
+        rows = rows.withColumn(FOLDER, F.concat_ws("/", *texts)).drop(*view.partition_columns).sortWithinPartitions(FOLDER)
+        options |= {"folderColumn": FOLDER, "dynamic": str(dynamic).lower()}
+    rows.write.format(avro.FORMAT).mode(mode).options(**options).save(path)
+
+
+def _read_avro(spark: SparkSession, view: ViewDef, path: str) -> DataFrame:
+    avro.register(spark)
+    if not view.partitions:
+        return spark.read.format(avro.FORMAT).schema(view.data_schema).load(path)
+    schema = T.StructType([*view.data_schema, T.StructField(FOLDER, T.StringType())])
+    rows = spark.read.format(avro.FORMAT).schema(schema).option("folderColumn", FOLDER).load(path)
+    values = [
+        value_of_path(F.regexp_extract(FOLDER, rf"(?:^|/){re.escape(f.column)}=([^/]*)", 1)).cast(f.data_type).alias(f.column)
+        for f in view.partitions
+    ]
+    return rows.select(*(F.col(f"`{f.name}`") for f in view.data_schema), *values)
+
+
 def _lines_frame(spark: SparkSession, keyed_lines: RDD) -> DataFrame:
     return spark.createDataFrame(keyed_lines.map(lambda kv: (kv[1],)), "value string", verifySchema=False)
 
@@ -295,7 +328,7 @@ def regex_columns(line: Column, view: ViewDef, pattern: str) -> list[Column]:
 
 
 def _write_hive_table(rows: DataFrame, view: ViewDef, path: str, mode: str) -> None:
-    """RCFile, Avro and custom input/output formats go through a Hive table."""
+    """RCFile and custom input/output formats go through a Hive table."""
     spark = rows.sparkSession
     _require_hive(spark, view)
     root = path.removesuffix(f"/{view.database}/{view.short_name()}")

@@ -25,11 +25,7 @@ def _rounded(df):
 
 
 def profile_lineitem(spark, sf_dir):
-    return _rounded(
-        profile.profile_table(
-            table(spark, sf_dir, "lineitem").select("l_partkey", "l_linenumber", "l_quantity", "l_returnflag", "l_shipdate")
-        )
-    )
+    return _rounded(profile.profile_table(table(spark, sf_dir, "lineitem")))
 
 
 def profile_flags(spark, sf_dir):
@@ -52,9 +48,10 @@ def profile_customer(spark, sf_dir):
 
 
 def profile_long(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").select("l_partkey", "l_linenumber", "l_returnflag")
-    long = profile.profile_long(rows, "db.lineitem")
-    return long.where(~F.col("metric").rlike("__(avg|stddev)$"))
+    """Every metric of every column; those of fractions as texts of two digits after the point."""
+    long = profile.profile_long(table(spark, sf_dir, "lineitem"), "db.lineitem")
+    fraction = F.col("metric").rlike("__(avg|stddev)$|^l_(quantity|extendedprice|discount|tax)__")
+    return long.withColumn("value", F.when(fraction, F.format_string("%.2f", F.col("value").cast("double"))).otherwise(F.col("value")))
 
 
 # ---------------------------------------------------------------- partitions of orders
@@ -454,6 +451,28 @@ def _text_metrics(column: str) -> str:
     return f"MIN({column}) AS {column}__min, MAX({column}) AS {column}__max"
 
 
+LINE_WHOLE, LINE_FRACTIONS = ["orderkey", "partkey", "suppkey", "linenumber"], ["quantity", "extendedprice", "discount", "tax"]
+LINE_TEXTS = ["returnflag", "linestatus"]
+LINE_METRICS = [
+    *(_numeric_metrics(f"l_{c}", True) for c in LINE_WHOLE),
+    *(_numeric_metrics(f"l_{c}", False) for c in LINE_FRACTIONS),
+    *(_text_metrics(f"l_{c}") for c in LINE_TEXTS),
+]
+_LONG_METRICS = [
+    ("agg_rows", "COUNT(*)::VARCHAR"),
+    *((f"l_{c}__{m}", f"{m}(l_{c})::VARCHAR") for c in LINE_WHOLE + LINE_TEXTS for m in ("min", "max")),
+    *((f"l_{c}__sum", f"sum(l_{c})::VARCHAR") for c in LINE_WHOLE),
+    *((f"l_{c}__{m}", f"printf('%.2f', {m}(l_{c})::DOUBLE)") for c in LINE_FRACTIONS for m in ("min", "max", "sum")),
+    *((f"l_{c}__avg", f"printf('%.2f', avg(l_{c}))") for c in LINE_WHOLE + LINE_FRACTIONS),
+    *((f"l_{c}__stddev", f"printf('%.2f', stddev_pop(l_{c}))") for c in LINE_WHOLE + LINE_FRACTIONS),
+]
+PROFILE_LONG_SQL = (
+    "SELECT 'db.lineitem.' || metric AS id, 'db.lineitem' AS fqdn, metric, value FROM (SELECT UNNEST(["
+    + ", ".join(f"'{name}'" for name, _ in _LONG_METRICS)
+    + "]) AS metric, UNNEST(["
+    + ", ".join(sql for _, sql in _LONG_METRICS)
+    + "]) AS value FROM lineitem) m"
+)
 PARTITIONS_SQL = (
     "(SELECT *, 'orders_' || lower(status) AS view, 'year=' || year || '/month=' || month || '/status=' || status AS partition, "
     "CASE n % 4 WHEN 0 THEN 'materialized' WHEN 1 THEN 'failed' WHEN 2 THEN 'waiting' ELSE 'transforming' END AS state, "
@@ -485,8 +504,7 @@ CATALOG_SQL = (
 )
 
 ORACLE = {
-    "profile_table": f"SELECT COUNT(*) AS agg_rows, {_numeric_metrics('l_partkey', True)}, "
-    f"{_numeric_metrics('l_linenumber', True)}, {_numeric_metrics('l_quantity', False)}, {_text_metrics('l_returnflag')} FROM lineitem",
+    "profile_table": f"SELECT COUNT(*) AS agg_rows, {', '.join(LINE_METRICS)} FROM lineitem",
     "profile_table_flags": "SELECT COUNT(*) AS agg_rows, COUNT(*) FILTER (high) AS high__true, "
     "COUNT(*) FILTER (high IS NOT TRUE) AS high__false, CAST(MIN(LEN(pieces)) AS INT) AS pieces__min, "
     f"CAST(MAX(LEN(pieces)) AS INT) AS pieces__max, {_text_metrics('event_type')} FROM (SELECT "
@@ -496,12 +514,7 @@ ORACLE = {
     "profile_table_embeddings": f"SELECT COUNT(*) AS agg_rows, {_numeric_metrics('vec_id', True)}, "
     "CAST(MIN(LEN(embedding)) AS INT) AS embedding__min, CAST(MAX(LEN(embedding)) AS INT) AS embedding__max, "
     f"{_numeric_metrics('label', True)} FROM embeddings",
-    "profile_long": "SELECT 'db.lineitem.' || metric AS id, 'db.lineitem' AS fqdn, metric, value FROM ("
-    "SELECT UNNEST(['agg_rows', 'l_partkey__min', 'l_partkey__max', 'l_partkey__sum', 'l_linenumber__min', "
-    "'l_linenumber__max', 'l_linenumber__sum', 'l_returnflag__min', 'l_returnflag__max']) AS metric, "
-    "UNNEST([COUNT(*)::VARCHAR, MIN(l_partkey)::VARCHAR, MAX(l_partkey)::VARCHAR, SUM(l_partkey)::VARCHAR, "
-    "MIN(l_linenumber)::VARCHAR, MAX(l_linenumber)::VARCHAR, SUM(l_linenumber)::VARCHAR, MIN(l_returnflag), "
-    "MAX(l_returnflag)]) AS value FROM lineitem) m",
+    "profile_long": PROFILE_LONG_SQL,
     "sample_partition": "SELECT o_orderkey, o_custkey, '1997' AS year, '05' AS month FROM orders "
     "WHERE strftime(o_orderdate, '%Y%m') = '199705' ORDER BY o_orderkey LIMIT 10",
     "partition_stats": "SELECT strftime(o_orderdate, '%Y') AS year, strftime(o_orderdate, '%m') AS month, COUNT(*) AS n_rows, "

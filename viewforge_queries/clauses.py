@@ -299,6 +299,14 @@ def _outer_join(condition):
     return query
 
 
+def right_join(spark, sf_dir):
+    with_views(spark, sf_dir, "orders", "customer")
+    return spark.sql(
+        "SELECT c.c_custkey, o.o_orderkey FROM (SELECT * FROM orders WHERE o_totalprice > 400000) o "
+        "RIGHT OUTER JOIN customer c ON c.c_custkey = o.o_custkey"
+    )
+
+
 def not_in_query(spark, sf_dir):
     """NOT IN a list and NOT IN a subquery whose column may be null."""
     customers = table(spark, sf_dir, "customer").where(~F.col("c_mktsegment").isin("MACHINERY", "FURNITURE"))
@@ -346,7 +354,8 @@ def insert(spark, sf_dir):
 
 QUERIES = {name: run_sql(entry[1], *entry[0]) for name, entry in CLAUSES.items()}
 QUERIES["q_left_join"] = _outer_join("o_orderstatus = 'P'")
-QUERIES["q_right_join"] = _outer_join("o_totalprice > 400000")
+QUERIES["q_right_join"] = right_join
+QUERIES["q_right_join_hot"] = _outer_join("o_totalprice > 400000")
 QUERIES["q_not_in"] = not_in_query
 QUERIES["q_not_in_null"] = not_in_with_null
 QUERIES["q_tablesample"] = tablesample
@@ -357,7 +366,7 @@ ORACLE["q_left_join"] = (
     "SELECT c.c_custkey, o.o_orderkey FROM customer c LEFT OUTER JOIN orders o "
     "ON c.c_custkey = o.o_custkey AND o.o_orderstatus = 'P'"
 )
-ORACLE["q_right_join"] = (
+ORACLE["q_right_join_hot"] = ORACLE["q_right_join"] = (
     "SELECT c.c_custkey, o.o_orderkey FROM orders o RIGHT OUTER JOIN customer c "
     "ON c.c_custkey = o.o_custkey AND o.o_totalprice > 400000"
 )

@@ -88,10 +88,10 @@ def jdbc_write_query(spark, sf_dir):
 
 
 def jdbc_merge_commit(spark, sf_dir):
-    """Two partitions are in the target; one of them is exported again."""
+    """A partition per status is in the target; one of them is exported again."""
     rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
     target = None
-    for status, factor in (("O", 1), ("F", 1), ("F", -1)):
+    for status, factor in (("O", 1), ("F", 1), ("P", 1), ("F", -1)):
         text = f"status = '{status}'"
         part = rows.where(F.col("o_orderstatus") == status).withColumn("o_totalprice", F.col("o_totalprice") * factor)
         staged = _exported(spark, sf_dir, scratch_path(spark, "jdbc_merge"), part, text)
@@ -167,7 +167,7 @@ def message_encode_query(spark, sf_dir):
 
 
 def message_encode_avro(spark, sf_dir):
-    encoded = message.message_encode_avro(_events(spark, sf_dir).select("id", "kind"), "id", "event")
+    encoded = message.message_encode_avro(_events(spark, sf_dir), "id", "event", columns_only=True)
     return encoded.select("key", F.hex("value").alias("value"))
 
 
@@ -224,8 +224,7 @@ def upload_files_query(spark, sf_dir):
 
 
 def warehouse_encode_query(spark, sf_dir):
-    rows = _events(spark, sf_dir).drop("numbers")
-    return warehouse.warehouse_encode(rows, "year = '2024'", private=["kind"], salt=SALT)
+    return warehouse.warehouse_encode(_events(spark, sf_dir), "year = '2024'", private=["kind"], salt=SALT)
 
 
 class RecordingWarehouse:
@@ -334,11 +333,17 @@ STRING_SQL = (
 )
 
 # Zigzag bytes of a whole number below 2**20, and a text after its length, as hexadecimal digits.
-NUMBER_HEX = (
-    "CASE WHEN id * 2 < 128 THEN printf('%02X', id * 2) "
-    "WHEN id * 2 < 16384 THEN printf('%02X%02X', (id * 2) % 128 + 128, (id * 2) // 128) "
-    "ELSE printf('%02X%02X%02X', (id * 2) % 128 + 128, ((id * 2) // 128) % 128 + 128, (id * 2) // 16384) END"
-)
+def _number_hex(n: str) -> str:
+    return (
+        f"CASE WHEN ({n}) * 2 < 128 THEN printf('%02X', ({n}) * 2) "
+        f"WHEN ({n}) * 2 < 16384 THEN printf('%02X%02X', (({n}) * 2) % 128 + 128, (({n}) * 2) // 128) "
+        f"ELSE printf('%02X%02X%02X', (({n}) * 2) % 128 + 128, ((({n}) * 2) // 128) % 128 + 128, (({n}) * 2) // 16384) END"
+    )
+
+
+def _text_hex(text: str) -> str:
+    return f"CASE WHEN {text} IS NULL THEN '00' ELSE '02' || printf('%02X', length({text}) * 2) || hex({text}) END"
+
 
 ORACLE = {
     "distributed_copy": "SELECT c_custkey, c_name, c_mktsegment FROM customer",
@@ -352,7 +357,7 @@ ORACLE = {
     "strftime(o_orderdate, '%m') AS data_month, 'source=ordersandrun=202405' AS used_filter FROM orders",
     "jdbc_write": "SELECT o_orderkey, o_orderstatus, 'status=all' AS used_filter FROM orders",
     "jdbc_merge_commit": "SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderstatus = 'F' THEN -o_totalprice ELSE o_totalprice END "
-    "AS o_totalprice, 'status=' || o_orderstatus AS used_filter FROM orders WHERE o_orderstatus IN ('O', 'F')",
+    "AS o_totalprice, 'status=' || o_orderstatus AS used_filter FROM orders",
     "kv_encode_string": STRING_SQL,
     "kv_write": STRING_SQL,
     "kv_encode_hash": f"SELECT 'map_' || id AS key, 'k=' || k || ',none=null' AS value FROM {EVENTS_SQL} e UNION ALL "
@@ -362,9 +367,9 @@ ORACLE = {
     "kv_encode_row": "SELECT 'customer_' || c_custkey AS key, 'c_custkey=' || c_custkey || ',c_name=' || "
     f"md5(c_name || '{SALT}') || ',places=[' || c_nationkey || ']' || COALESCE(',segment=' || {SEGMENT}, '') AS value FROM customer",
     "message_encode": MESSAGE_SQL.replace("{kind}", HASHED_KIND),
-    "message_encode_avro": f"SELECT CAST(id AS VARCHAR) AS key, '02' || {NUMBER_HEX} || "
-    "CASE WHEN kind IS NULL THEN '00' ELSE '02' || printf('%02X', length(kind) * 2) || hex(kind) END AS value "
-    f"FROM {EVENTS_SQL} e",
+    "message_encode_avro": f"SELECT CAST(id AS VARCHAR) AS key, '02' || {_number_hex('id')} || {_text_hex('kind')} || "
+    f"'0202026B02' || {_number_hex('k')} || '00' || '020402' || {_number_hex('k')} || '02' || {_number_hex('k + 1')} || '00' || "
+    f"'0202' || {_number_hex('user_id')} || {_text_hex('seen')} AS value FROM {EVENTS_SQL} e",
     "message_write": "SELECT 'db_customer' AS topic, CAST(c_custkey AS VARCHAR) AS key, "
     "'{\"c_custkey\":' || c_custkey || ',\"c_name\":\"' || c_name || '\"}' AS value FROM customer",
     "export_csv": "SELECT '\"' || c_custkey || '\"' || chr(9) || '\"say \"\"' || c_name || '\"\"\"' || chr(9) || '\"' || "
@@ -373,7 +378,7 @@ ORACLE = {
     "upload_files": "SELECT c_custkey, c_mktsegment FROM customer",
     "warehouse_encode": "SELECT '{\"_USED_HCAT_FILTER\":\"year = ''2024''\",\"id\":' || id || "
     f"COALESCE(',\"kind\":\"' || {HASHED_KIND} || '\"', '') || ',\"props\":\"{{\\\"k\\\":' || k || "
-    "',\\\"none\\\":null}\",\"who\":{\"user\":' || user_id || COALESCE(',\"seen\":\"' || seen || '\"', '') || '}}' AS value "
+    "',\\\"none\\\":null}\",\"numbers\":[\"[' || k || ',null]\",\"[' || (k + 1) || ']\"],\"who\":{\"user\":' || user_id || COALESCE(',\"seen\":\"' || seen || '\"', '') || '}}' AS value "
     f"FROM {EVENTS_SQL} e",
     "warehouse_write": "SELECT '{\"o_orderkey\":' || o_orderkey || ',\"o_orderstatus\":\"' || o_orderstatus || '\"}' AS value "
     "FROM orders",

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from viewforge_queries.common import table
 from viewforge.functions.dates import month_id, month_text, year_text
 from viewforge.model import (
+    Avro,
     Csv,
     Field,
     InOutputFormat,
@@ -282,6 +283,7 @@ QUERIES = {
     "fmt_orc": _round_trip(Orc(), "orc", write_options={"compression": "zlib"}),
     "fmt_json": _round_trip(Json(), "json"),
     "fmt_csv": _round_trip(Csv(separator=";", quote="'", escape="\\"), "csv"),
+    "fmt_avro": _round_trip(Avro("customers.avsc"), "avro"),
     "fmt_text_opencsv": _round_trip(Csv(separator="\t", quote='"', escape="\\"), "opencsv"),
     "fmt_text_delimited": text_delimited,
     "fmt_text_regex": text_regex,
@@ -304,7 +306,7 @@ QUERIES = {
 }
 
 ORACLE = {
-    **{f"fmt_{f}": CUSTOMER_SQL for f in ("parquet", "orc", "json", "csv", "text_opencsv", "sequence", "in_out_format")},
+    **{f"fmt_{f}": CUSTOMER_SQL for f in ("parquet", "orc", "json", "csv", "avro", "text_opencsv", "sequence", "in_out_format")},
     "fmt_text_delimited": "SELECT event_id AS id, event_type || '+e' AS kinds, CAST(props->>'$.k' AS INT) * 2 AS twice, "
     "user_id AS place_user, value AS place_value, CAST(props->>'$.k' AS INT) AS step_b, "
     "NULLIF(event_type, 'click') AS note FROM events",
