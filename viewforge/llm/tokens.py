@@ -12,8 +12,8 @@ import numpy as np
 import pyarrow as pa
 from tokenizers import Tokenizer
 
-#: Words whose ids a worker remembers; the memory starts anew beyond that.
-REMEMBERED = 120_000
+#: Words whose ids a worker remembers; beyond that, those which were not met since the last time are forgotten.
+REMEMBERED = 400_000
 #: Characters of text whose words are looked up together.
 BATCH_CHARS = 2_000_000
 
@@ -44,6 +44,7 @@ class Encoder:
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.special = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def _packed(self, ids: Sequence[int]) -> bytes:
         return np.array(ids, f"<u{self.width}").tobytes()
@@ -82,17 +83,20 @@ class Encoder:
         if not self.by_word:
             found = self.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)
             return [self._packed(e.ids) for e in found]
-        known, out, at = self.known, [], 0
+        out, at = [], 0
         while at < len(texts):
             words, size = [], 0
             while at < len(texts) and size < BATCH_CHARS:
                 text = texts[at] or ""
                 words.append(self._words(text) if text else [])
                 size, at = size + len(text), at + 1
-            self._learn(set().union(*words).difference(known))
-            out += [b"".join(map(known.__getitem__, w)) for w in words]
-            if len(known) > REMEMBERED:
-                known.clear()
+            missing = set().union(*words).difference(self.known)
+            again = missing.intersection(self.older)
+            self.known.update((word, self.older[word]) for word in again)
+            self._learn(missing.difference(again))
+            out += [b"".join(map(self.known.__getitem__, w)) for w in words]
+            if len(self.known) > REMEMBERED:
+                self.known, self.older = {}, self.known
         return out
 
 
