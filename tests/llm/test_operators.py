@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -434,3 +435,25 @@ def test_every_listed_form_is_replaced(spark):
     short, long = (got[PERSONAL.index(x)].text[4:-8] for x in PERSONAL if x.endswith("7334"))
     groups = long.split(":")
     assert short.split("::") == [f"{groups[0]}:{groups[1]}", ":".join(groups[5:])]
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["= " + "a" * 1_000_000, "=" + "0a" * 300_000, "token = '" + "x" * 1_000_000, "=" + "a-" * 300_000, "password " + " " * 500_000 + "= x"],
+)
+def test_the_lexer_takes_linear_time(text):
+    """Names, digits, signs, blanks and unclosed quotes without end: seconds for a megabyte, and spans as for short texts."""
+    start = time.process_time()
+    assert not any(s["kind"] == "named" for s in spans(text)) and time.process_time() - start < 20
+    found = spans(text + "\n--api_key=Zx81kPq0LmN4vTr7\n")
+    assert [s["name"] for s in found if s["kind"] == "named"] == ["api_key"]
+
+
+def test_words_that_come_again_are_remembered(monkeypatch):
+    """Words fall out of the memory only when a whole generation passes without them; ids never change."""
+    monkeypatch.setattr("viewforge.llm.tokens.REMEMBERED", 3)
+    monkeypatch.setattr("viewforge.llm.tokens.BATCH_CHARS", 1)
+    encoder, plain = Encoder(TOKENIZER, True), Encoder(TOKENIZER, False)
+    texts = ["the cat", "the dog", "the bird sat", "the cat again", "", None, "dog the end"]
+    assert encoder(texts) == plain(texts)
+    assert b"the" in encoder.known or b"the" in encoder.older

@@ -31,7 +31,9 @@ SPANS = T.ArrayType(
     )
 )
 #: A name, its type if declared, an assignment sign, and what follows: literals and names joined by plus signs.
-_NAME = r"[A-Za-z_][A-Za-z0-9_.\-]*"
+_NAME = r"[A-Za-z_][A-Za-z0-9_.\-]*+"
+#: A name is looked for once per run of its characters: what may follow it cannot begin inside the run.
+_RUN = r"(?<![A-Za-z0-9_.\-])[0-9.\-]*+"
 _PREFIX = r"(?:[bBfFrRuU]{1,2}|u8|[L@$])?"
 _STRING = (
     rf'{_PREFIX}(?:"{{3}}(?:[^"\\]|\\[\s\S]|"(?!""))*"{{3}}|\'{{3}}(?:[^\'\\]|\\[\s\S]|\'(?!\'\'))*\'{{3}}'
@@ -43,7 +45,7 @@ _TYPED = rf"""(?:\[\d*\]|[?!]?[ \t]*:[ \t]*(?P<type>{_TYPE})|[ \t]+(?:string|Str
 #: Unquoted values; a plus sign is part of them unless a string follows it.
 _BARE = rf"""(?:[^\s"',;(){{}}\[\]+]|\+(?![ \t]*{_PREFIX}["']))+"""
 PAIR = re.compile(
-    rf"""(?P<name>{_NAME})["'\]]*(?:{_TYPED}|[ \t]*(?::=|=>|=|:))[ \t]*(?P<value>(?:{_STRING}|{_BARE})(?:[ \t]*\+[ \t]*(?:{_STRING}|{_NAME}))*)"""
+    rf"""{_RUN}(?P<name>{_NAME})["'\]]*(?:{_TYPED}|[ \t]*(?::=|=>|=|:))[ \t]*(?P<value>(?:{_STRING}|{_BARE})(?:[ \t]*\+[ \t]*(?:{_STRING}|{_NAME}))*)"""
 )
 TERM = re.compile(rf"{_STRING}|[^\s+\"']+")
 #: Prefix, quotes and body of a string.
