@@ -17,11 +17,18 @@ TITLE = (
     # What is before is looked at only where such a title stands.
     r"|[SD]r(?:(?<!\p{Lu}\p{Ll}{2,20} [SD]r)|(?<=\b(?:Herr|Frau|Prof|Prof\.) Dr)))\.?|M\.) "
 )
-_WORD = r"\p{Lu}(?:['’]\p{Lu})?\p{Ll}+(?:[\-'’]?\p{Lu}\p{Ll}+)*"
+_WORD = r"\p{Lu}(?:['’]\p{Lu})?\p{Ll}+(?:[\-'’]?\p{Lu}\p{Ll}+)*+"
+# Titles that cannot be read as a word.
+_NO_WORD = r"(?:(?:Г-н|Г-жа)\.?|M\.) "
+# Where the part before @ can begin: once per run of its characters, behind its leading signs, and behind the match before.
+# From 512 signs on, every place behind them is tried.
+_RUN, _SIGN = r"[A-Za-z0-9._%+\-]", r"[._%+\-]"
+_START = rf"(?:(?<!{_RUN})|\G|(?<={_SIGN})(?:(?<=(?:(?<!{_RUN})|\G){_SIGN}{{1,512}})|(?<={_SIGN}{{512}})))"
 _HEX = r"[0-9A-Fa-f]{1,4}"
-#: Types in the order in which they are tried at a place; each group name is used once.
+#: Types in the order in which they are tried at a place; each group name is used once. Groups that repeat without bound
+#: are possessive: Java's matcher would recurse once per repetition and overflow on long texts.
 PATTERNS = {
-    "email": r"[A-Za-z0-9][A-Za-z0-9._%+\-]*@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)+",
+    "email": rf"{_START}[A-Za-z0-9]{_RUN}*+@[A-Za-z0-9\-]++(?:\.[A-Za-z0-9\-]++)++",
     "iban": r"\b[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){3,7}(?:[ ]?[A-Z0-9]{1,3})?\b",
     "ssn": r"\b\d{3}-\d{2}-\d{4}\b",
     # 19, 16, 15, 14 and 13 digits, then other lengths without gaps; all but 16 need the first digits of such cards.
@@ -32,14 +39,15 @@ PATTERNS = {
     rf"|(?<![\w:.])(?:(?:{_HEX}:){{7}}{_HEX}|(?=[0-9A-Fa-f:]*\d)(?:{_HEX}(?::{_HEX}){{0,6}})?::(?:{_HEX}(?::{_HEX}){{0,6}})?)(?![\w:]|\.\d)",
     "phone": r"(?:\+\d{1,3}[ .\-]?)?\(\d{2,4}\)[ .\-]?\d{3,4}[ .\-]\d{3,4}\b|\+\d{1,3}(?:[ .\-]?\d{2,4}){2,4}\b|\b\d{3}[ .\-]\d{3}[ .\-]\d{4}\b"
     r"|\b0\d{1,4}[ .\-]\d{3,4}[ .\-]\d{3,4}\b|\b0\d{1,4}[ \-/]\d{5,8}\b|\b0\d(?:[ .\-]\d{2}){4}\b",
-    "name": rf"\b(?:{TITLE})+{_WORD}(?: {_WORD})?",
+    # Titles in a row are read from the first, or from the match before; if no word follows, the last that can be one is it.
+    "name": rf"\b(?={TITLE})(?:(?<!\b{TITLE})|(?<=\G\.? ))(?:(?:{TITLE})++{_WORD}|(?:{TITLE}(?:{_NO_WORD})*+(?!{_NO_WORD})(?={TITLE}))++{_WORD})(?: {_WORD})?",
 }
 ALL = "|".join(f"(?<{n}>{p})" for n, p in PATTERNS.items())
 #: What every type needs; looked for first, because all patterns at every place of every text are slow.
 HINT = rf"[0-9@]|\b{TITLE}"
 #: The titles before a name, and a title of women among them.
-TITLES = rf"^((?:(?:{'|'.join(MALE + FEMALE + NEUTRAL + ['M'])})\.? )*)"
-OF_WOMEN = rf"^(?:\S+ )*(?:{'|'.join(FEMALE)})\.? "
+TITLES = rf"^((?:(?:{'|'.join(MALE + FEMALE + NEUTRAL + ['M'])})\.? )*+)"
+OF_WOMEN = rf"(?:^| )(?:{'|'.join(FEMALE)})\.? "
 #: Capitalised words that stand for no person where they stand alone.
 COMMON = (
     "The A An And But Or If In On At Of To For From With By He She It We You They I His Her This That There Then When Who What "
@@ -146,9 +154,12 @@ def written_like(entity: Column, kind: Column, surrogate: Column) -> Column:
     signs = F.regexp_replace(surrogate, r"\+", "")
     before = lambda i: F.length(F.regexp_replace(F.substring(entity, F.lit(1), i + 1), r"[^A-Za-z0-9]", ""))
     number = F.transform(F.split(entity, ""), lambda c, i: F.when(c.rlike("[A-Za-z0-9]"), F.substring(signs, before(i), F.lit(1))).otherwise(c))
-    capital = lambda c, i: F.when(c.rlike("[A-Z]"), F.upper(F.substring(surrogate, i + 1, F.lit(1)))).otherwise(F.substring(surrogate, i + 1, F.lit(1)))
+    # A surrogate longer than its entity has its further letters first.
+    more = F.greatest(F.length(surrogate) - F.length(entity), F.lit(0))
+    capital = lambda c, new: F.when(c.rlike("[A-Z]"), F.upper(new)).otherwise(new)
+    letters = F.zip_with(F.split(entity, ""), F.split(F.substring(surrogate, more + 1, F.length(entity)), ""), capital)
     return (
-        F.when(kind == "email", F.array_join(F.transform(F.split(entity, ""), capital), ""))
+        F.when(kind == "email", F.concat(F.substring(surrogate, F.lit(1), more), F.array_join(letters, "")))
         .when(kind.isin("iban", "ssn", "card", "phone"), F.array_join(number, ""))
         .when((kind == "ip") & entity.contains(":"), _address_like(entity, surrogate)).otherwise(surrogate)
     )
@@ -184,12 +195,16 @@ def _luhn(number: Column) -> Column:
     return F.aggregate(values, F.lit(0), lambda a, b: a + F.coalesce(b, F.lit(0)))
 
 
-def surrogate(entity: Column, kind: Column, key: str, attempt: Column) -> Column:
-    """What stands for the normal form of an entity at an attempt: the same type, script, gender and format."""
-    digest = _digest(F.concat(kind, F.lit("\x00"), entity), key, attempt)
+def surrogate(entity: Column, kind: Column, digest: Column, attempt: Column) -> Column:
+    """What stands for the normal form of an entity at an attempt: the same type, script, gender and format.
+
+    ``digest`` should be a column of its own, since it is read once per character.
+    """
     like = _like(entity, digest)
     domain = F.regexp_extract(entity, r"(\.[A-Za-z0-9\-]+)$", 1)
-    email = F.concat(F.regexp_replace(like, r"\.[A-Za-z0-9\-]+$", ""), domain)
+    # Short addresses can all be taken: further attempts put letters before them.
+    further = F.when(attempt > 2, F.translate(F.substring(digest, 249, 8), "0123456789", "ghijklmnop")).otherwise("")
+    email = F.concat(further, F.substring(like, F.lit(1), F.length(like) - F.length(domain)), domain)
     without = F.substring(like, F.lit(1), F.length(like) - 1)
     checked = F.concat(without, F.pmod(F.lit(10) - _luhn(F.concat(without, F.lit("0"))) % 10, F.lit(10)).cast("string"))
     card = F.when(_luhn(entity) % 10 == 0, checked).otherwise(like)
@@ -229,7 +244,9 @@ def surrogates(found: DataFrame, key: str) -> DataFrame:
     known = shared_table(found.select("entity", "kind").distinct(), "entities")
     done, left = None, known
     for attempt in range(64):
-        tried = left.withColumn("surrogate", surrogate(F.col("entity"), F.col("kind"), key, F.lit(attempt)))
+        digest = _digest(F.concat("kind", F.lit("\x00"), "entity"), key, F.lit(attempt))
+        tried = left.withColumn("digest", digest)
+        tried = tried.withColumn("surrogate", surrogate(F.col("entity"), F.col("kind"), F.col("digest"), F.lit(attempt)))
         winners = tried.groupBy("surrogate").agg(F.min(F.struct("entity", "kind")).alias("first")).select("surrogate", "first.*")
         winners = winners.join(known.select(F.col("entity").alias("surrogate")), "surrogate", "left_anti")
         if done is not None:
