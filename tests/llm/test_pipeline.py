@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 import duckdb
 
 import corpus_pipeline
-from tests.llm.test_operators import SF, contaminated, encoded
+from tests.llm.test_operators import LONG, SF, contaminated, encoded
 from viewforge.llm import queries
 
 
@@ -49,6 +49,32 @@ def test_stages(spark):
     assert corpus_pipeline.run(spark, SF).count() == len(pieces)
 
 
+def test_stages_on_odd_rows(spark):
+    """Null ids, texts and sources, repeated rows, a very long text, and columns named like ours, with dots and back ticks."""
+    schema = "doc_id long, text string, source string, `_key` string, `key` string, `a.b` int, `c``d` int, n_dropped string, row string, kept boolean"
+    passage = spark.read.parquet(f"{SF}/benchmark.parquet").where("size(split(text, ' ')) > 12").first().text
+    extra = ("k", "kk", 1, 2, "user", "r", None)
+    texts = [("one text of its own", "a"), (None, "a"), ("", None), (None, None), (LONG, "b"), (passage + " and more", "b"), ("twice", "a")]
+    rows = [(None if i == 3 else i, t, s, *extra) for i, (t, s) in enumerate(texts)]
+    rows.append(rows[-1])
+    docs = spark.createDataFrame(rows, schema)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        got = [tuple(r) for r in out.collect()]
+        assert out.columns == docs.columns and all(r[3:] == extra for r in got), name
+        if name in ("lines", "benchmark"):
+            want = rows if name == "lines" else [r for r in rows if r[0] != 5]
+            assert sorted(got, key=str) == sorted(want, key=str), name
+        if name == "near_copies":
+            assert [r[1] for r in got].count("twice") == 1 and LONG in [r[1] for r in got]
+        empty = stage(spark, docs.limit(0), SF)
+        assert empty.columns == docs.columns and empty.collect() == [], name
+    total = Counter()
+    for p in corpus_pipeline.pack(spark, docs, SF).collect():
+        total[p.doc_id] += p.length
+    assert set(total) == {r[0] for r in rows} and total[1] == 1 and corpus_pipeline.pack(spark, docs.limit(0), SF).collect() == []
+
+
 def test_line_sql(spark):
     connection = duckdb.connect()
     connection.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
