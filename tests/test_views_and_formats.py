@@ -42,7 +42,7 @@ from viewforge.operators.views import (
     write_suffix_tables,
 )
 from viewforge.plans.transform import scoped_settings
-from viewforge.sources.files import copy_plan, distributed_copy, distributed_copy_to_view, ingest_files
+from viewforge.sources.files import copy_plan, copy_tasks, distributed_copy, distributed_copy_to_view, ingest_files, read_tsv
 from viewforge.sources.formats import read_view, write_view
 
 PRODUCT = ViewDef(
@@ -151,6 +151,50 @@ def test_text_layout(spark, tmp_path):
     assert [r.value for r in spark.read.text(str(tmp_path / "t")).collect()] == ["1\ta:b\tx,y\t1:2,3:\\N"]
 
 
+DEEP = ViewDef(
+    "Deep",
+    [
+        Field("lists", "array<array<int>>"),
+        Field("cubes", "array<array<array<string>>>"),
+        Field("of_lists", "map<string,array<int>>"),
+        Field("of_maps", "map<string,map<string,struct<x:int,l:array<string>>>>"),
+        Field("parts", "struct<a:struct<b:int,c:array<int>>,d:string>"),
+    ],
+)
+DEEP_ROWS = [
+    ([[1, 2], [3]], [[["a", "b"], ["c"]], [["d"]]], {"k": [1, 2], "l": [3]}, {"m": {"n": (1, ["p", "q"]), "o": (None, ["r"])}}, ((1, [2, 3]), "e")),
+    ([[1, None], None], [[["x"]]], {"k": None}, {"m": None}, ((None, None), None)),
+    (None, None, None, None, None),
+]
+
+
+@pytest.mark.parametrize("storage", [TextFile(), TextFile("|", ",", ":"), TextFile("\t", ",", ":", escape="\\"), TextFile("\x04", "\x05", "\x06")], ids=str)
+def test_every_depth_has_a_terminator_of_its_own(spark, tmp_path, storage):
+    df = spark.createDataFrame(DEEP_ROWS, DEEP.schema)
+    view = DEEP.with_storage(storage)
+    write_view(df, view, str(tmp_path / "t"))
+    assert texts(read_view(spark, view, str(tmp_path / "t"))) == texts(df)
+
+
+def test_deep_layout(spark, tmp_path):
+    view = ViewDef("T", [Field("l", "array<array<int>>"), Field("m", "map<string,array<int>>")], storage=TextFile("\t", ",", ":"))
+    write_view(spark.createDataFrame([([[1, 2], [3]], {"k": [4, 5]})], view.schema), view, str(tmp_path / "t"))
+    assert [r.value for r in spark.read.text(str(tmp_path / "t")).collect()] == ["1:2,3\tk:4\x045"]
+
+
+def test_escaped_terminators_come_back(spark, tmp_path):
+    signs = ["|", ",", ":", "\n", "\\", "\\n", "n", "\x04", "\\N", "a|b\\|c\n\\\\", "", "\\\\\n|,:"]
+    fields = [Field("id", "int"), Field("s", "string"), Field("l", "array<string>"), Field("m", "map<string,string>")]
+    view = ViewDef("T", fields, storage=TextFile("|", ",", ":", escape="\\"))
+    rows = [(i, s, [s, "x", s], {f"k{s}": s}) for i, s in enumerate(signs)] + [(None, None, None, None)]
+    df = spark.createDataFrame(rows, view.schema)
+    write_view(df, view, str(tmp_path / "t"))
+    assert texts(read_view(spark, view, str(tmp_path / "t"))) == texts(df)
+    assert "ESCAPED BY" in create_table_statement(view, "/w")
+    with pytest.raises(ValueError, match="one character"):
+        TextFile("||", escape="\\")
+
+
 def test_unreadable_cells_become_null(spark, tmp_path):
     (tmp_path / "f.txt").write_text("x\tword\n5\t\\N\n7\n")
     view = ViewDef("T", [Field("n", "int"), Field("s", "string")], storage=TextFile())
@@ -287,6 +331,54 @@ def test_copying(spark, tmp_path):
     assert all(r.action == "copy" for r in rows)
 
 
+def test_single_files_patterns_and_hidden_names_are_copied(spark, tmp_path):
+    source = tmp_path / "s"
+    folder(source, a="1", _SUCCESS="", **{".h": "22", "b.file": "3", "c.file": "4"})
+    folder(source / "_sub" / "deeper", d="5")
+    distributed_copy(spark, [str(source)], str(tmp_path / "all"), max_tasks=3)
+    assert sorted(str(p.relative_to(tmp_path / "all")) for p in (tmp_path / "all").rglob("*") if p.is_file()) == sorted(
+        [".h", "_SUCCESS", "_sub/deeper/d", "a", "b.file", "c.file"]
+    )
+    distributed_copy(spark, [str(source / "a")], str(tmp_path / "one"))
+    distributed_copy(spark, [str(source / "*.file")], str(tmp_path / "some"))
+    distributed_copy(spark, [str(source / "*")], str(tmp_path / "again"))
+    distributed_copy_to_view(spark, str(source / "a"), str(tmp_path / "wh" / "view"))
+    assert read_all(tmp_path / "one") == {"a": "1"} and read_all(tmp_path / "some") == {"b.file": "3", "c.file": "4"}
+    assert read_all(tmp_path / "again")["_sub/deeper/d"] == "5" and read_all(tmp_path / "wh") == {"a": "1"}
+    with pytest.raises(FileNotFoundError):
+        distributed_copy(spark, [str(tmp_path / "none")], str(tmp_path / "t"))
+
+
+def test_several_files_for_one_target_are_refused(spark, tmp_path):
+    folder(tmp_path / "x", a="1")
+    folder(tmp_path / "y", a="2")
+    with pytest.raises(ValueError, match="one target: a"):
+        copy_plan(spark, [str(tmp_path / "x"), str(tmp_path / "y")], str(tmp_path / "t"))
+
+
+def test_copies_are_split_by_bytes(spark):
+    sizes = [(f"/s/{i:03}", f"/t/{i:03}", "copy", 90 << 30 if i == 37 else (10 << 30) // 99) for i in range(100)]
+    plan = spark.createDataFrame(sizes, "source string, target string, action string, length long").repartition(7)
+    tasks = {r.target: r.task for r in copy_tasks(plan, 20).collect()}
+    assert len(tasks) == 100 and set(tasks.values()) <= set(range(20))
+    assert [t for t in tasks.values()].count(tasks["/t/037"]) == 1
+    even = plan.withColumn("length", F.lit(1 << 30))
+    counts = copy_tasks(even, 20).groupBy("task").count().collect()
+    assert len(counts) == 20 and all(4 <= r["count"] <= 6 for r in counts)
+
+
+def test_stage_files_have_no_quotes_and_a_declared_format(spark, tmp_path):
+    folder(tmp_path / "in" / "deep", f='1\t"x\n2\ty"z"\n')
+    view = ViewDef("V", [Field("n", "int"), Field("s", "string")])
+    want = [(1, '"x'), (2, 'y"z"')]
+    assert sorted(map(tuple, read_tsv(spark, view, str(tmp_path / "in" / "deep")).collect())) == want
+    assert sorted(map(tuple, ingest_files(spark, str(tmp_path / "in"), view, str(tmp_path / "out")).collect())) == want
+    folder(tmp_path / "piped" / "deep", f="1|a,b\n")
+    listed = ViewDef("L", [Field("n", "int"), Field("l", "array<string>")], storage=TextFile("|", ",", ":"))
+    got = ingest_files(spark, str(tmp_path / "piped"), listed.with_storage(Parquet()), str(tmp_path / "lists"), source_view=listed)
+    assert got.collect() == [(1, ["a", "b"])]
+
+
 def test_copied_archives_stay_archives(spark, tmp_path):
     import gzip
 

@@ -91,12 +91,29 @@ class Csv:
 
 @dataclass(frozen=True)
 class TextFile:
-    """Delimited text; nested values use the item and map-key terminators."""
+    """Delimited text; nested values use the item and map-key terminators, deeper ones control characters of their own.
+
+    With an ``escape`` character, terminators inside text values are kept.
+    """
 
     field_terminator: str = "\t"
     item_terminator: str = "\x02"
     map_key_terminator: str = "\x03"
     line_terminator: str = "\n"
+    escape: str | None = None
+
+    def __post_init__(self) -> None:
+        if self.escape and any(len(t) != 1 or t == self.escape for t in [*self.terminators(3), self.line_terminator]):
+            raise ValueError("escaped text needs terminators of one character, other than the escape")
+
+    def terminators(self, depth: int) -> list[str]:
+        """One terminator per depth of nesting: fields, items, map keys, and then control characters not in use."""
+        given = [self.field_terminator, self.item_terminator, self.map_key_terminator]
+        taken = {*given, self.line_terminator, self.escape, "\t", "\n", "\r"}
+        free = [c for c in map(chr, range(4, 32)) if c not in taken]
+        if depth > len(given) + len(free):
+            raise ValueError(f"no terminator for {depth} levels")
+        return [*given, *free][:depth]
 
 
 @dataclass(frozen=True)
@@ -259,8 +276,9 @@ def storage_clause(storage: StorageFormat) -> str:
 
 
 def _delimited_clause(text: TextFile) -> str:
+    escaped = f"ESCAPED BY {_sql_string(text.escape)} " if text.escape else ""
     return (
-        f"ROW FORMAT DELIMITED FIELDS TERMINATED BY {_sql_string(text.field_terminator)} "
+        f"ROW FORMAT DELIMITED FIELDS TERMINATED BY {_sql_string(text.field_terminator)} {escaped}"
         f"COLLECTION ITEMS TERMINATED BY {_sql_string(text.item_terminator)} "
         f"MAP KEYS TERMINATED BY {_sql_string(text.map_key_terminator)} "
         f"LINES TERMINATED BY {_sql_string(text.line_terminator)}"

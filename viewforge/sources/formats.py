@@ -44,82 +44,108 @@ def conform(df: DataFrame, view: ViewDef) -> DataFrame:
 # ---------------------------------------------------------------- nested delimited text
 
 
-def encode_cell(value: Column, data_type: T.DataType, text: TextFile, in_list: bool = False) -> Column:
-    """Text of one value; null is ``\\N``.
+class Cells:
+    """Columns to delimited text and back, with one terminator per depth of nesting.
 
-    A struct inside a list uses the map-key terminator, any other struct the
-    item terminator.
+    The cells of a line are at depth 0. What holds several values at a depth puts that depth's terminator between
+    them; the two parts of a map entry are one level below the entries, and what they hold is another level below.
+    Null is ``\\N``. With an escape character, terminators, line ends and escapes inside texts follow an escape.
     """
-    if isinstance(data_type, T.StructType):
-        term = text.map_key_terminator if in_list else text.item_terminator
-        cells = [encode_cell(value.getField(f.name), f.dataType, text) for f in data_type]
-        body = F.concat_ws(term, *cells)
-    elif isinstance(data_type, T.ArrayType):
-        items = F.transform(value, lambda x: encode_cell(x, data_type.elementType, text, in_list=True))
-        body = F.array_join(items, text.item_terminator)
-    elif isinstance(data_type, T.MapType):
-        items = F.transform(
-            F.map_entries(value),
-            lambda e: F.concat(
-                encode_cell(e.getField("key"), data_type.keyType, text),
-                F.lit(text.map_key_terminator),
-                encode_cell(e.getField("value"), data_type.valueType, text),
-            ),
-        )
-        body = F.array_join(items, text.item_terminator)
-    else:
-        return F.coalesce(value.cast("string"), F.lit(NULL_TEXT))
-    return F.when(value.isNull(), F.lit(NULL_TEXT)).otherwise(body)
 
-
-def _split(value: Column, terminator: str, limit: int = -1) -> Column:
-    return F.split(value, re.escape(terminator), limit)
-
-
-def decode_cell(value: Column, data_type: T.DataType, text: TextFile, in_list: bool = False) -> Column:
-    """Inverse of :func:`encode_cell`; a value that does not parse becomes null."""
-    missing = value.isNull() | (value == NULL_TEXT)
-    if isinstance(data_type, T.StructType):
-        cells = _split(value, text.map_key_terminator if in_list else text.item_terminator)
-        decoded = F.struct(
-            *(decode_cell(F.get(cells, i), f.dataType, text).alias(f.name) for i, f in enumerate(data_type))
-        )
-    elif isinstance(data_type, T.ArrayType):
-        decoded = F.transform(
-            F.when(value == "", F.array().cast("array<string>")).otherwise(_split(value, text.item_terminator)),
-            lambda x: decode_cell(x, data_type.elementType, text, in_list=True),
-        )
-    elif isinstance(data_type, T.MapType):
-        entries = F.transform(
-            F.when(value == "", F.array().cast("array<string>")).otherwise(_split(value, text.item_terminator)),
-            lambda x: _split(x, text.map_key_terminator, 2),
-        )
-        decoded = F.map_from_entries(
-            F.transform(
-                entries,
-                lambda e: F.struct(
-                    decode_cell(F.get(e, 0), data_type.keyType, text).alias("key"),
-                    decode_cell(F.get(e, 1), data_type.valueType, text).alias("value"),
-                ),
-            )
-        )
-    elif isinstance(data_type, T.StringType):
-        decoded = value
-    else:
-        decoded = value.try_cast(data_type)
-    return F.when(~missing, decoded).cast(data_type)
+    def __init__(self, text: TextFile) -> None:
+        self.text, self.escape = text, text.escape
+
+    def terminator(self, depth: int) -> str:
+        return self.text.terminators(depth + 1)[depth]
+
+    # -- to text
+
+    def joined(self, values: Column, element: T.DataType, depth: int) -> Column:
+        return F.array_join(F.transform(values, lambda v: self.encoded(v, element, depth + 1)), self.terminator(depth))
+
+    def encoded(self, value: Column, kind: T.DataType, depth: int = 1) -> Column:
+        below = depth + 1
+        match kind:
+            case T.ArrayType():
+                cell = self.joined(value, kind.elementType, depth)
+            case T.StructType():
+                cell = F.concat_ws(self.terminator(depth), *(self.encoded(value[f.name], f.dataType, below) for f in kind))
+            case T.MapType():
+                parts = F.transform(
+                    F.map_entries(value),
+                    lambda e: F.concat_ws(
+                        self.terminator(below),
+                        self.encoded(e["key"], kind.keyType, below + 1),
+                        self.encoded(e["value"], kind.valueType, below + 1),
+                    ),
+                )
+                cell = F.array_join(parts, self.terminator(depth))
+            case _:
+                cell = self.escaped(value.cast("string"))
+        return F.when(value.isNull(), NULL_TEXT).otherwise(cell)
+
+    def escaped(self, value: Column) -> Column:
+        if not self.escape:
+            return value
+        ends = self.text.line_terminator
+        signs = "".join(re.escape(c) for c in [self.escape, *self.text.terminators(24)] if c != ends)
+        kept = F.regexp_replace(value, f"([{signs}])", F.lit(f"{re.escape(self.escape)}$1"))
+        return F.replace(kept, F.lit(ends), F.lit(f"{self.escape}n"))
+
+    # -- and back
+
+    def parts(self, value: Column, depth: int, limit: int = -1) -> Column:
+        term = self.terminator(depth)
+        if not self.escape:
+            return F.split(value, re.escape(term), limit)
+        mark, end = re.escape(self.escape), re.escape(term)
+        return F.regexp_extract_all(F.concat(value, F.lit(term)), F.lit(f"(?s)((?:[^{mark}{end}]++|{mark}.)*+){end}"), F.lit(1))
+
+    def items(self, value: Column, depth: int) -> Column:
+        return F.when(value == "", F.array().cast("array<string>")).otherwise(self.parts(value, depth))
+
+    def plain(self, value: Column) -> Column:
+        if not self.escape:
+            return value
+        mark = re.escape(self.escape)
+        pieces = F.regexp_extract_all(value, F.lit(f"(?s){mark}.|[^{mark}]++"), F.lit(0))
+        meant = lambda p: F.when(p == f"{self.escape}n", self.text.line_terminator).otherwise(F.substring(p, 2, 1))
+        whole = F.array_join(F.transform(pieces, lambda p: F.when(p.startswith(self.escape), meant(p)).otherwise(p)), "")
+        return F.when(value.contains(self.escape), whole).otherwise(value)
+
+    def decoded(self, value: Column, kind: T.DataType, depth: int = 1) -> Column:
+        """A value that does not parse becomes null."""
+        below = depth + 1
+        match kind:
+            case T.ArrayType():
+                out = F.transform(self.items(value, depth), lambda v: self.decoded(v, kind.elementType, below))
+            case T.StructType():
+                cells = self.parts(value, depth)
+                out = F.struct(*(self.decoded(F.get(cells, i), f.dataType, below).alias(f.name) for i, f in enumerate(kind)))
+            case T.MapType():
+
+                def entry(e: Column) -> Column:
+                    cells = self.parts(e, below, 2)
+                    key, own = (self.decoded(F.get(cells, i), k, below + 1) for i, k in enumerate((kind.keyType, kind.valueType)))
+                    return F.struct(key.alias("key"), own.alias("value"))
+
+                out = F.map_from_entries(F.transform(self.items(value, depth), entry))
+            case T.StringType():
+                out = self.plain(value)
+            case _:
+                out = self.plain(value).try_cast(kind)
+        return F.when(value.isNotNull() & (value != NULL_TEXT), out).cast(kind)
 
 
 def encode_line(view: ViewDef, text: TextFile) -> Column:
-    cells = [encode_cell(F.col(f.column), f.data_type, text) for f in view.ordered_fields]
-    return F.concat_ws(text.field_terminator, *cells)
+    cells = Cells(text)
+    return F.concat_ws(text.field_terminator, *(cells.encoded(F.col(f.column), f.data_type) for f in view.ordered_fields))
 
 
 def decode_line(line: Column, view: ViewDef, text: TextFile) -> list[Column]:
-    cells = _split(line, text.field_terminator)
-    return [
-        decode_cell(F.get(cells, i), f.data_type, text).alias(f.column) for i, f in enumerate(view.ordered_fields)
-    ]
+    cells = Cells(text)
+    parts = cells.parts(line, 0)
+    return [cells.decoded(F.get(parts, i), f.data_type).alias(f.column) for i, f in enumerate(view.ordered_fields)]
 
 
 # ---------------------------------------------------------------- readers and writers
@@ -236,23 +262,30 @@ def _partition_columns(view: ViewDef) -> list[Column]:
     return [F.col(f.column).cast(f.data_type).alias(f.column) for f in view.partitions]
 
 
-def read_view(spark: SparkSession, view: ViewDef, path: str) -> DataFrame:
-    """Read the view with its declared schema; nothing is inferred."""
+def read_view(spark: SparkSession, view: ViewDef, path: str, recursive: bool = False) -> DataFrame:
+    """Read the view with its declared schema; nothing is inferred.
+
+    ``recursive`` reads the files of all folders below, whose names then tell no partition; only file formats of Spark's
+    own take it.
+    """
     storage = view.storage
+    files = spark.read.option("recursiveFileLookup", str(recursive).lower())
+    if recursive and not isinstance(storage, (Parquet, Orc, Json, Csv, TextFile, RegexText)):
+        raise ValueError(f"{type(storage).__name__} files are not read recursively")
     match storage:
         case Parquet():
-            return spark.read.schema(view.schema).parquet(path)
+            return files.schema(view.schema).parquet(path)
         case Orc():
-            return spark.read.schema(view.schema).orc(path)
+            return files.schema(view.schema).orc(path)
         case Json():
-            return spark.read.schema(view.schema).json(path)
+            return files.schema(view.schema).json(path)
         case Csv():
-            return spark.read.schema(view.schema).options(**_csv_options(storage)).csv(path)
+            return files.schema(view.schema).options(**_csv_options(storage)).csv(path)
         case TextFile() | RegexText():
             schema = T.StructType(
                 [T.StructField("value", T.StringType()), *(f.struct_field() for f in view.partitions)]
             )
-            reader = spark.read.schema(schema)
+            reader = files.schema(schema)
             if isinstance(storage, TextFile):
                 lines = reader.option("lineSep", storage.line_terminator).format("text").load(path)
                 return lines.select(*decode_line(F.col("value"), view, storage), *_partition_columns(view))
