@@ -115,13 +115,16 @@ class RecordingDatabase:
 
 def test_database_export(spark):
     df = spark.createDataFrame([(1, "2014", ["x"]), (2, "2014", None)], "id int, year string, tags array<string>")
-    database = RecordingDatabase({"db_t", "tmp_db_t"})
-    jdbc.jdbc_export(
+    # A temporary table per filter: one of another export stays, a leftover of this one goes.
+    temporary = jdbc.temporary_table("db_t", "year = '2014'")
+    database = RecordingDatabase({"db_t", "tmp_db_t", temporary})
+    counts = jdbc.jdbc_export(
         df, "jdbc:derby:memory:x", "db", "t", database.execute, database.exists, "year = '2014'", ["id"], SALT, database.write
     )
-    assert database.statements[0] == "DROP TABLE tmp_db_t"
+    assert database.statements[0] == f"DROP TABLE {temporary}" and counts == {"success": 2, "failed": 0}
     assert database.statements[2] == "DELETE FROM db_t WHERE used_filter = 'year=2014'"
-    assert database.tables == {"db_t"}
+    assert database.tables == {"db_t", "tmp_db_t"}
+    assert len({jdbc.temporary_table("db_t", f) for f in (None, "year = '2014'", "year = '2015'")}) == 3
     rows = sorted(database.rows, key=lambda r: str(r.tags))
     assert rows[0].asDict().keys() == {"id", "data_year", "tags", "used_filter", "export_row"}
     assert len(rows[0].id) == 32 and {r.tags for r in rows} == {None, '["x"]'}
@@ -166,7 +169,8 @@ def test_key_value_write(spark, tmp_path):
     flushed = []
     df = spark.range(50).select(F.col("id").cast("string").alias("key"), F.lit("v").alias("value"))
     folder = str(tmp_path / "kv")
-    kv.kv_write(df, lambda: FileKeyValueClient(folder), writers=3, batch_rows=7, flush=lambda: flushed.append(1))
+    counts = kv.kv_write(df, lambda: FileKeyValueClient(folder), writers=3, batch_rows=7, flush=lambda: flushed.append(1))
+    assert counts == {"success": 50, "failed": 0}
     lines = [json.loads(line) for p in (tmp_path / "kv").iterdir() for line in p.read_text().splitlines()]
     puts = [x["key"] for x in lines if x["op"] == "put"]
     assert sorted(puts, key=int) == [str(i) for i in range(50)] and flushed == [1]
@@ -272,6 +276,23 @@ def test_message_write(spark, tmp_path):
 # ---------------------------------------------------------------- files
 
 
+def test_writers_count_what_they_write(spark, tmp_path):
+    """Once over the rows: a second scan would count in the accumulator again."""
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            read.add(len(batch))
+            yield batch
+
+    rows = spark.range(30).selectExpr("CAST(id AS string) AS key", "IF(id % 3 = 0, NULL, 'v') AS value").mapInPandas(seen, "key string, value string")
+    assert files.export_csv(rows, str(tmp_path / "c"), writers=2) == {"success": 30, "failed": 0} and read.value == 30
+    assert files.export_json_lines(rows, str(tmp_path / "j")) == {"success": 30, "failed": 0} and read.value == 60
+    sent = message.message_write(rows, "t", lambda: FileKeyValueClient(str(tmp_path / "m")), writers=3)
+    assert sent == {"success": 20, "failed": 10} and read.value == 90
+    assert files.export_csv(rows.limit(0), str(tmp_path / "e")) == {"success": 0, "failed": 0}
+
+
 def test_csv_files(spark, tmp_path):
     df = spark.createDataFrame([(1, ' a "b" ', None, [1])], "id int, s string, n string, l array<int>")
     files.export_csv(df, str(tmp_path / "out"), codec="none", writers=1)
@@ -388,13 +409,18 @@ class RecordingWarehouse:
 
 def test_warehouse_write(spark, tmp_path):
     client = RecordingWarehouse()
-    warehouse.warehouse_write(spark.range(12), str(tmp_path / "w"), "t$20240501", client, writers=2)
+    counts = warehouse.warehouse_write(spark.range(12), str(tmp_path / "w"), "t$20240501", client, writers=2)
+    assert counts == {"success": 12, "failed": 0}
     assert client.calls == ["drop", "create", "load", "remove"]
     assert sorted(json.loads(x)["id"] for x in client.lines) == list(range(12))
     failing = RecordingWarehouse(fails=True)
     with pytest.raises(OSError):
         warehouse.warehouse_write(spark.range(2), str(tmp_path / "v"), "t", failing)
     assert failing.calls == ["drop", "create", "load", "drop", "remove"]
+    unwritten = RecordingWarehouse()
+    with pytest.raises(Exception, match="DIVIDE_BY_ZERO"):
+        warehouse.warehouse_write(spark.range(2).selectExpr("1 div id AS x"), str(tmp_path / "u"), "t", unwritten)
+    assert unwritten.calls == ["remove"]
 
 
 def test_uploads_are_spread_without_a_number_of_writers(spark):

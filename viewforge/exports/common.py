@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 from itertools import islice
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -50,6 +50,34 @@ def export_counters(df: DataFrame, value_column: str) -> DataFrame:
     return df.agg(F.count_if(present).alias("success"), F.count_if(~present).alias("failed"))
 
 
+def observed(df: DataFrame, value_column: str | None = None) -> tuple[DataFrame, Observation]:
+    """``df`` whose next action counts its rows on the way: ``success``, and ``failed`` for those without a value.
+
+    Without a value column every row is one that can be exported. Nothing is read twice; where a stage before a
+    shuffle is repeated, rows seen again may count again, so rows are observed behind the last shuffle.
+    """
+    present = F.lit(True) if value_column is None else F.col(value_column).isNotNull()
+    seen = Observation()
+    return df.observe(seen, F.count_if(present).alias("success"), F.count_if(~present).alias("failed")), seen
+
+
+def send_all(rows: DataFrame, send: Callable[[Iterable], Iterator[list]]) -> dict[str, int]:
+    """Run ``send`` on the rows of every task and count what it yields, batch by batch, as :func:`observed` does.
+
+    Only the counts of the attempt that Spark keeps are added up.
+    """
+
+    def counted(part: Iterable) -> Iterator[tuple[int, int]]:
+        success = failed = 0
+        for batch in send(part):
+            missing = sum(r["value"] is None for r in batch)
+            success, failed = success + len(batch) - missing, failed + missing
+        yield success, failed
+
+    totals = rows.rdd.mapPartitions(counted).fold((0, 0), lambda a, b: (a[0] + b[0], a[1] + b[1]))
+    return dict(zip(("success", "failed"), totals, strict=True))
+
+
 def check_key_and_value(schema: T.StructType, key: str, value: str | None = None) -> None:
     """A key has to be primitive; a nested value may hold primitives only."""
     if is_complex(schema[key].dataType):

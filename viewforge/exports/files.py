@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from viewforge.exports.message import json_body, message_columns
+from viewforge.exports.common import observed
 from viewforge.functions.digests import DEFAULT_SALT, anonymize, complex_to_json
 from viewforge.session import checkpointed, remove_folder
 from viewforge.sources.files import list_files
@@ -34,8 +35,8 @@ def export_csv(
     private: Sequence[str] = (),
     salt: str = DEFAULT_SALT,
     writers: int | None = None,
-) -> None:
-    """Quoted delimited files; an inner quote is doubled.
+) -> dict[str, int]:
+    """Quoted delimited files; an inner quote is doubled. Returns how many rows were written.
 
     One file per partition of the frame, or ``writers`` files after a shuffle.
     """
@@ -44,10 +45,11 @@ def export_csv(
     if codec not in CODEC_ENDINGS:
         raise ValueError(f"codec has to be one of {sorted(CODEC_ENDINGS)}")
     rows = csv_encode(df, private, salt)
-    rows = rows.repartition(writers) if writers else rows
+    rows, seen = observed(rows.repartition(writers) if writers else rows)
     rows.write.mode("overwrite").options(
         sep=delimiter, header=str(header).lower(), quoteAll="true", escape='"', emptyValue="", compression=codec
     ).csv(path)
+    return seen.get
 
 
 def json_lines_encode(df: DataFrame, private: Sequence[str] = (), salt: str = DEFAULT_SALT) -> DataFrame:
@@ -61,10 +63,12 @@ def export_json_lines(
     private: Sequence[str] = (),
     salt: str = DEFAULT_SALT,
     writers: int | None = None,
-) -> None:
+) -> dict[str, int]:
+    """One JSON text per line. Returns how many rows were written."""
     rows = json_lines_encode(df, private, salt)
-    rows = rows.repartition(writers) if writers else rows
+    rows, seen = observed(rows.repartition(writers) if writers else rows)
     rows.write.mode("overwrite").option("compression", codec).text(path)
+    return seen.get
 
 
 def _spread(files: DataFrame, writers: int | None) -> DataFrame:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from viewforge.exports.common import BATCH_ROWS, WRITERS, compact_filter
+from viewforge.exports.common import BATCH_ROWS, WRITERS, compact_filter, observed
 from viewforge.functions.digests import DEFAULT_SALT, anonymize, is_complex, json_text
 from viewforge.session import remove_folder, scratch_path, stored
 
@@ -132,6 +133,12 @@ def output_table(database: str, table: str) -> str:
     return f"{database}_{table}"
 
 
+def temporary_table(target: str, filter_text: str | None) -> str:
+    """Named by the filter as well, in a few characters, since databases bound the length of names."""
+    own = "" if filter_text is None else "_" + hashlib.sha256(filter_text.encode()).hexdigest()[:12]
+    return f"tmp_{target}{own}"
+
+
 def merge_statements(
     table: str,
     temporary: str,
@@ -191,7 +198,7 @@ def jdbc_write(
     writers: int = WRITERS,
     batch_rows: int = BATCH_ROWS,
 ) -> None:
-    """Append rows to an existing table over ``writers`` connections, in batches."""
+    """Append rows to an existing table over ``writers`` connections, in batches. ``partial`` gives :func:`jdbc_export` other settings."""
     rows.repartition(writers).write.format("jdbc").mode("append").options(
         url=url, dbtable=table, batchsize=batch_rows, numPartitions=writers, **(properties or {})
     ).save()
@@ -208,23 +215,25 @@ def jdbc_export(
     private: Sequence[str] = (),
     salt: str = DEFAULT_SALT,
     write: Callable[[DataFrame, str, str], None] = jdbc_write,
-) -> None:
-    """Encode, fill a temporary table, merge. A failed export leaves only the old rows.
+) -> dict[str, int]:
+    """Encode, fill a temporary table, merge. A failed export leaves only the old rows. Returns how many rows were merged.
 
     ``execute`` runs statements in one transaction on the driver; see
-    :func:`jdbc_executor`.
+    :func:`jdbc_executor`. Every filter has a temporary table of its own, so partitions can be exported side by side.
     """
     dialect = dialect_of(url)
     target = output_table(database, table)
-    temporary = f"tmp_{target}"
+    temporary = temporary_table(target, filter_text)
     encoded = jdbc_encode(df, filter_text, private, salt)
     staging = scratch_path(df.sparkSession, "jdbc")
     try:
-        rows = numbered(encoded, staging)
+        counted, seen = observed(encoded)
+        rows = numbered(counted, staging)
         leftover = [f"DROP TABLE {temporary}"] if table_exists(temporary) else []
         execute([*leftover, create_statement(temporary, rows.schema, dialect)])
         write(rows, url, temporary)
         execute(merge_statements(target, temporary, encoded.schema, dialect, table_exists(target), filter_text))
+        return seen.get
     except Exception:
         if table_exists(temporary):
             execute([f"DROP TABLE {temporary}"])

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from viewforge.exports.common import BATCH_ROWS, WRITERS, batches, check_key_and_value
+from viewforge.exports.common import BATCH_ROWS, WRITERS, batches, check_key_and_value, send_all
 from viewforge.functions.digests import DEFAULT_SALT, anonymize, hashed, is_complex, json_text
 
 
@@ -101,8 +101,8 @@ def kv_write(
     writers: int = WRITERS,
     batch_rows: int = BATCH_ROWS,
     flush: Callable[[], None] | None = None,
-) -> None:
-    """Send ``key, value`` rows in pipelined batches.
+) -> dict[str, int]:
+    """Send ``key, value`` rows in pipelined batches; returns how many were sent with and without a value.
 
     Rows spread evenly over the writers, so a hot key does not slow one of them
     down. With ``replace`` one row of each key is sent, the one whose value is the
@@ -116,14 +116,15 @@ def kv_write(
     if flush is not None:
         flush()
 
-    def send(rows) -> None:
+    def send(rows):
         client = client_factory()
         try:
             for batch in batches(rows, batch_rows):
                 if replace:
                     client.delete([r["key"] for r in batch])
                 client.put([(r["key"], r["value"]) for r in batch])
+                yield batch
         finally:
             client.close()
 
-    encoded.repartition(writers).foreachPartition(send)
+    return send_all(encoded.repartition(writers), send)

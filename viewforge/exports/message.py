@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from viewforge.exports.common import BATCH_ROWS, WRITERS, batches, check_key_and_value
+from viewforge.exports.common import BATCH_ROWS, WRITERS, batches, check_key_and_value, observed, send_all
 from viewforge.functions.avro import encode_rows
 from viewforge.functions.digests import DEFAULT_SALT, anonymize, is_complex
 
@@ -201,26 +201,28 @@ def message_write(
     writers: int = WRITERS,
     batch_rows: int = BATCH_ROWS,
     synchronous: bool = True,
-) -> None:
+) -> dict[str, int]:
     """Send to a topic, with the Kafka connector or with an own client.
 
-    Delivery is at least once: a repeated task sends its messages again.
+    Delivery is at least once: a repeated task sends its messages again. Returns how many were sent with and without a value.
     """
     rows = encoded.repartition(writers)
     if client_factory is None:
         settings = {"topic": topic, "kafka.compression.type": COMPRESSION, **(options or {})}
+        rows, seen = observed(rows, "value")
         rows.write.format("kafka").options(**settings).save()
-        return
+        return seen.get
 
-    def send(part) -> None:
+    def send(part):
         client = client_factory()
         try:
             for batch in batches(part, batch_rows):
                 client.send(topic, [(r["key"], r["value"]) for r in batch])
                 if synchronous:
                     client.flush()
+                yield batch
             client.flush()
         finally:
             client.close()
 
-    rows.foreachPartition(send)
+    return send_all(rows, send)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from viewforge.exports.common import observed
 from viewforge.functions.digests import DEFAULT_SALT, anonymize, json_text
 
 # The filter column and the warehouse type names.
@@ -109,23 +110,27 @@ def warehouse_write(
     private: Sequence[str] = (),
     salt: str = DEFAULT_SALT,
     writers: int | None = None,
-) -> None:
-    """Store compressed JSON lines, replace the target partition by them, remove the files.
+) -> dict[str, int]:
+    """Store compressed JSON lines, replace the target partition by them, remove the files. Returns how many rows were written.
 
     One file per partition of the frame, or ``writers`` files after a shuffle. The
-    files are complete before the target is touched. An error drops what was
-    loaded, so the partition is never half filled.
+    files are complete before the target is touched, so an error until then leaves it as it is. A later error
+    drops what was loaded, so the partition is never half filled.
     """
     plain = anonymize(df, private, salt)
+    touched = False
     try:
         lines = warehouse_encode(df, filter_text, private, salt)
-        lines = lines.repartition(writers) if writers else lines
+        lines, seen = observed(lines.repartition(writers) if writers else lines)
         lines.write.mode("overwrite").option("compression", "gzip").text(location)
+        touched = True
         client.drop_partition(target)
         client.create_table(target, warehouse_schema(plain.schema))
         client.load(target, location)
+        return seen.get
     except Exception:
-        client.drop_partition(target)
+        if touched:
+            client.drop_partition(target)
         raise
     finally:
         client.remove_files(location)
