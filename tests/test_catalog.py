@@ -226,3 +226,19 @@ def test_not_in_treats_nulls_as_sql_does(spark, values, expected):
     sql = spark.sql("SELECT x FROM not_in_left WHERE x NOT IN (SELECT y FROM not_in_right)")
     got = sorted((r.x for r in not_in(df, "x", other).collect()), key=str)
     assert got == sorted((r.x for r in sql.collect()), key=str) == sorted(expected, key=str)
+
+
+def test_a_page_reads_the_ranges_that_hold_it(spark, tmp_path):
+    rows = spark.range(1_000).select(F.format_string("p%05d", F.col("id") * 7919 % 1_000).alias("partition"), F.create_map(F.lit("k"), "id").alias("m"))
+    ties = spark.range(5).select(F.lit("p00500").alias("partition"), F.create_map(F.lit("t"), "id").alias("m"))
+    rows = rows.unionByName(ties).unionByName(spark.createDataFrame([(None, None)], "partition string, m map<string,bigint>"))
+    directory = profile.PageDirectory.write(rows, str(tmp_path / "pages"), ranges=20)
+    assert len(directory.ranges) == 20 and directory.ranges[-1][2] == 1_006
+    pages = [[r.partition for r in directory.page(n, 97).collect()] for n in range(11)]
+    assert [len(p) for p in pages] == [97] * 10 + [36]
+    assert sum(pages, [])[0] is None and sum(pages, [])[1:] == sorted(r.partition for r in rows.collect() if r.partition)
+    assert directory.page(11, 97).collect() == [] and directory.page(5, 97).collect() == directory.page(5, 97).collect()
+    plan = directory.page(5, 10)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "_range" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    none = profile.PageDirectory.write(rows.limit(0), str(tmp_path / "none"), ranges=3)
+    assert none.page(0, 10).collect() == [] and none.page(0, 10).columns == ["partition", "m"]

@@ -135,3 +135,22 @@ def test_select_partitions_skips_other_folders(spark, tmp_path):
         assert selected.columns == data.columns
     both = spark.createDataFrame([("1", "2"), (None, "2")], "y string, m string")
     assert select_partitions(data, both).count() == 20
+
+
+def test_ten_million_combinations_are_built_by_many_tasks(spark):
+    letters = ",".join(f"v{i}" for i in range(100))
+    frame = expand_partitions(spark, [f"e({letters})", f"e({letters})", "ei(1,2)", "rymd(20140101-20150516)"], ["a", "b", "n", "y", "m", "d"])
+    days = 501
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    assert frame.rdd.getNumPartitions() > 1 and "from_json" not in plan and "Generate" not in plan
+    got = frame.agg(F.count(F.lit(1)), F.approx_count_distinct(F.struct("a", "b", "n", "y", "m", "d"), 0.01)).first()
+    assert got[0] == 100 * 100 * 2 * days and abs(got[1] / got[0] - 1) < 0.05
+    one = frame.where("a = 'v7' AND b = 'v9' AND n = 2").select("y", "m", "d")
+    assert one.count() == one.distinct().count() == days
+    assert one.agg(F.min(F.struct("y", "m", "d")), F.max(F.struct("y", "m", "d"))).first() == (("2014", "01", "01"), ("2015", "05", "16"))
+
+
+def test_more_combinations_than_numbers_are_refused(spark):
+    many = "e(" + ",".join(map(str, range(64))) + ")"
+    with pytest.raises(ValueError, match="more than can be numbered"):
+        expand_partitions(spark, [many] * 11, list("abcdefghijk"))

@@ -9,6 +9,7 @@ from viewforge.model import Field, ViewDef
 from viewforge.operators import lineage
 from viewforge.operators.collect import collect_map
 from viewforge.operators.joins import not_in, optional_join
+from viewforge.operators.partitions import select_partitions
 from viewforge.plans import osm, shop
 from viewforge.plans.transform import scoped_settings
 from viewforge.sources.formats import read_view, write_view
@@ -100,6 +101,12 @@ def test_optional_join(small_thresholds, spark, base):
     assert joined.exceptAll(plain).isEmpty() and plain.exceptAll(joined).isEmpty()
 
 
+def test_a_hot_wanted_partition(small_thresholds, base):
+    wanted = base.where("k < 5000").select("k")
+    rows, plan = final_plan(select_partitions(base.select("k", "text"), wanted))
+    assert rows == base.where("k < 5000").count() and "skew=true" in plan
+
+
 def test_semi_join_by_distinct_keys(small_thresholds, base):
     """The right side of a semi join sends one row per key and task."""
     base.createOrReplaceTempView("skewed")

@@ -5,12 +5,14 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 from functools import reduce
+from math import prod
 from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from viewforge.functions.dates import EARLIEST_DAY, day_range, month_range
+from viewforge.operators.joins import SPREAD, group_for_join
 
 # The notation of one parameter.
 MONTH = r"(\d{4})(0[1-9]|10|11|12)"
@@ -81,24 +83,34 @@ def expand_partitions(
 ) -> DataFrame:
     """One row per partition that the parameter patterns name.
 
-    Each pattern becomes an array literal that is exploded in turn, so the
-    product is built row by row from one row. ``names`` are the result columns;
-    ``ym`` patterns fill two of them and ``ymd`` patterns three.
+    Each pattern becomes a constant array. The combinations are numbered, and the digits of a number, one per
+    pattern and with the size of its array as base, say which values it stands for; so many tasks build the product
+    from a range. ``names`` are the result columns; ``ym`` patterns fill two of them and ``ymd`` patterns three.
     """
-    frame = spark.range(1).select()
-    left = list(names)
+    left, own, taken = list(names), [], []
     for parameter in parameters:
         choices, width = _choices(parameter, earliest)
-        taken, left = left[:width], left[width:]
-        if len(taken) < width:
+        if len(left) < width:
             raise ValueError(f"not enough column names for {parameter!r}")
-        kept = frame.columns
-        frame = frame.select(*kept, F.explode(choices).alias("_choice")).select(
-            *kept, *(F.col(f"_choice.v{i}").alias(n) for i, n in enumerate(taken))
-        )
+        own, taken, left = [*own, choices], [*taken, left[:width]], left[width:]
     if left:
         raise ValueError(f"no parameter for columns {left}")
-    return frame
+    if not own:
+        return spark.range(1).select()
+    # One row: what each pattern stands for, evaluated once and sent back as a constant.
+    arrays = spark.range(1).select(*(c.alias(f"c{i}") for i, c in enumerate(own)))
+    constants = arrays.select(*(F.struct(F.size(c).alias("n"), F.to_json(c).alias("json")) for c in arrays.columns)).first()
+    total = prod(c["n"] for c in constants)
+    if total >= 1 << 63:
+        raise ValueError(f"{total} partitions are more than can be numbered")
+    columns, below = [], total
+    for names_, field, constant in zip(taken, arrays.schema, constants, strict=True):
+        if total:
+            below //= constant["n"]
+        digit = F.expr(f"id div {max(1, below)}")
+        value = F.get(F.from_json(F.lit(constant["json"]), field.dataType), (digit % max(1, constant["n"])).cast("int"))
+        columns += [value.getField(f"v{i}").alias(n) for i, n in enumerate(names_)]
+    return spark.range(total).select(*columns)
 
 
 def select_partitions(data: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -113,7 +125,8 @@ def select_partitions(data: DataFrame, wanted: DataFrame) -> DataFrame:
     missing = reduce(or_, (F.col(n).isNull() for n in names))
     with_nulls = any(f.nullable for f in wanted.schema) and not wanted.where(missing).isEmpty()
     rows = wanted if with_nulls else wanted.where(reduce(and_, (F.col(n).cast("string") >= "" for n in names)))
-    renamed = rows.select(*(F.col(n).alias(f"_w_{n}") for n in names)).distinct()
+    renamed = rows.select(*(F.col(n).alias(f"_w_{n}") for n in names))
+    renamed = group_for_join(renamed, renamed.columns).agg(F.lit(True).alias("_wanted")).drop(SPREAD, "_wanted")
 
     def same(n: str) -> Column:
         left, right = data[n], renamed[f"_w_{n}"]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -145,6 +146,41 @@ def partition_page(partitions: DataFrame, page: int, size: int, key: str = "part
     return partitions.orderBy(key).offset(page * size).limit(size)
 
 
+RANGE = "_range"
+
+
+class PageDirectory:
+    """Rows laid out in ranges of their key, with the number of rows before each range.
+
+    A page reads the ranges that hold it and no others, whatever its number. Rows of equal keys are ordered by
+    their JSON text, nulls come first, and a page behind the last one is empty.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, key: str, schema: T.StructType) -> None:
+        self.rows, self.key = spark.read.schema(T.StructType([*schema, T.StructField(RANGE, T.IntegerType())])).parquet(path), key
+        counts = self.rows.groupBy(RANGE).agg(F.count(F.lit(1)).alias("n")).orderBy(RANGE).collect()
+        ends = list(accumulate(c["n"] for c in counts))
+        #: Number, rows before and rows up to its end of each range.
+        self.ranges = [(c[RANGE], end - c["n"], end) for c, end in zip(counts, ends, strict=True)]
+
+    @classmethod
+    def write(cls, rows: DataFrame, path: str, key: str = "partition", ranges: int | None = None) -> PageDirectory:
+        """Lay out ``rows`` under ``path`` in ``ranges`` ranges, as many as shuffle partitions unless told otherwise."""
+        spark = rows.sparkSession
+        n = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        placed = rows.repartitionByRange(n, key).withColumn(RANGE, F.spark_partition_id())
+        placed.write.partitionBy(RANGE).parquet(path)
+        return cls(spark, path, key, rows.schema)
+
+    def page(self, page: int, size: int) -> DataFrame:
+        """Page ``page`` (from 0) in key order."""
+        first = page * size
+        held = [(number, before) for number, before, end in self.ranges if before < first + size and end > first]
+        rows = self.rows.where(F.col(RANGE).isin([number for number, _ in held])).drop(RANGE)
+        ordered = rows.orderBy(F.col(self.key), F.to_json(F.struct(*rows.columns)))
+        return ordered.offset(first - held[0][1] if held else 0).limit(size)
+
+
 def partition_position(partitions: DataFrame, value: object, key: str = "partition") -> DataFrame:
     """How many keys are smaller."""
     return partitions.where(F.col(key) < F.lit(value)).agg(F.count(F.lit(1)).alias("position"))

@@ -144,6 +144,12 @@ def partition_page(spark, sf_dir):
     return profile.partition_page(_partitions(spark, sf_dir), 2, 15).select("partition", "view", "ts")
 
 
+def partition_page_directory(spark, sf_dir):
+    """A page of all orders by the directory of their ranges."""
+    directory = profile.PageDirectory.write(table(spark, sf_dir, "orders"), scratch_path(spark, "pages"), "o_orderkey", ranges=16)
+    return directory.page(20, 50)
+
+
 def partition_position(spark, sf_dir):
     return profile.partition_position(_partitions(spark, sf_dir), "year=1998/month=03/status=O")
 
@@ -411,6 +417,7 @@ QUERIES = {
     "top_tables": top_tables,
     "latest_activities": latest_activities,
     "partition_page": partition_page,
+    "partition_page_directory": partition_page_directory,
     "partition_position": partition_position,
     "status_overview": status_overview,
     "status_details": status_details,
@@ -532,6 +539,7 @@ ORACLE = {
     "latest_activities": "SELECT activity_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, event_type FROM "
     "(SELECT event_id AS activity_id, ts, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 10) e",
     "partition_page": f"SELECT partition, view, ts FROM {PARTITIONS_SQL} p ORDER BY partition LIMIT 15 OFFSET 30",
+    "partition_page_directory": "SELECT * FROM orders ORDER BY o_orderkey LIMIT 50 OFFSET 1000",
     "partition_position": f"SELECT COUNT(*) AS position FROM {PARTITIONS_SQL} p WHERE partition < 'year=1998/month=03/status=O'",
     "status_overview": f"SELECT state AS status, COUNT(*) AS n_partitions FROM {PARTITIONS_SQL} p GROUP BY state",
     "status_details": f"SELECT view, state AS status, COUNT(*) AS n_partitions, MAX(ts) AS newest FROM {PARTITIONS_SQL} p GROUP BY view, state",
