@@ -82,8 +82,7 @@ def _exported(spark, sf_dir, path, rows, filter_text):
 
 def jdbc_write_query(spark, sf_dir):
     """Encoded, numbered and stored; the repeated rows count once."""
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
-    staged = _exported(spark, sf_dir, scratch_path(spark, "jdbc_write"), rows, "status = 'all'")
+    staged = _exported(spark, sf_dir, scratch_path(spark, "jdbc_write"), table(spark, sf_dir, "orders"), "status = 'all'")
     return jdbc.merged_rows(None, staged, "status = 'all'")
 
 
@@ -355,7 +354,7 @@ ORACLE = {
     "jdbc_encode": f"SELECT o_orderkey, md5(o_custkey || '{SALT}') AS customer, "
     "'[\"' || o_orderstatus || '\",\"' || o_orderpriority || '\"]' AS marks, strftime(o_orderdate, '%Y') AS data_year, "
     "strftime(o_orderdate, '%m') AS data_month, 'source=ordersandrun=202405' AS used_filter FROM orders",
-    "jdbc_write": "SELECT o_orderkey, o_orderstatus, 'status=all' AS used_filter FROM orders",
+    "jdbc_write": "SELECT *, 'status=all' AS used_filter FROM orders",
     "jdbc_merge_commit": "SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderstatus = 'F' THEN -o_totalprice ELSE o_totalprice END "
     "AS o_totalprice, 'status=' || o_orderstatus AS used_filter FROM orders",
     "kv_encode_string": STRING_SQL,
