@@ -457,3 +457,15 @@ def test_words_that_come_again_are_remembered(monkeypatch):
     texts = ["the cat", "the dog", "the bird sat", "the cat again", "", None, "dog the end"]
     assert encoder(texts) == plain(texts)
     assert b"the" in encoder.known or b"the" in encoder.older
+
+
+def test_words_of_one_unit_are_encoded_by_the_model_alone():
+    """The whole tokenizer costs several times as much for a word; the ids are the same."""
+    letters = "abcxyzABCXYZ" + "".join(c for c in map(chr, range(0xC0, 0x100)) if c not in "×÷")
+    words = ["".join(random.choices(letters, k=random.randint(1, 9))) for _ in range(5_000)]
+    words += ["".join(random.choices("!#$%&()*+,-./:;<=>?@[]^_`{|}~", k=random.randint(1, 5))) for _ in range(500)]
+    texts = [" ".join(words[i : i + 50]) for i in range(0, len(words), 50)]
+    expected, encoder = Encoder(TOKENIZER, False)(texts), Encoder(TOKENIZER, True)
+    encoder.tokenizer = None
+    assert encoder(texts) == expected
+    assert len(encoder.known) > 3_000
