@@ -15,6 +15,7 @@ from tokenizers import Tokenizer
 
 from viewforge.llm import queries
 from viewforge.llm.components import components
+from viewforge.llm.frames import sieved
 from viewforge.llm.lines import drop_boilerplate
 from viewforge.llm.near_copies import _linked, keep_one, near_duplicates
 from viewforge.llm.packing import pack_along_curve
@@ -469,3 +470,48 @@ def test_words_of_one_unit_are_encoded_by_the_model_alone():
     encoder.tokenizer = None
     assert encoder(texts) == expected
     assert len(encoder.known) > 3_000
+
+
+def test_a_sieve_keeps_all_partners_and_few_others(spark):
+    rows = spark.range(20_000).select(F.col("id").cast("string").alias("a.key"))
+    keys = rows.where("`a.key` % 40 = 0 AND length(`a.key`) > 1")
+    kept = {r[0] for r in sieved(rows, "a.key", keys).collect()}
+    wanted = {r[0] for r in keys.collect()}
+    assert len(wanted) == 499 and wanted <= kept and len(kept) < 600
+    assert sieved(rows, "a.key", keys.limit(0)).isEmpty()
+
+
+def test_only_texts_with_candidates_are_joined(spark, monkeypatch):
+    """Texts and bands without a partner are not shuffled, so the shuffle does not outgrow the input where joins do not fit a broadcast."""
+    words = lambda i: " ".join(f"w{i}x{j}" for j in range(40))
+    docs = spark.createDataFrame([(i, words(i % 190) + (" end" if i >= 190 else "")) for i in range(200)], "doc_id long, text string")
+    passed = []
+
+    def counted(df, column, keys):
+        out = sieved(df, column, keys)
+        passed.append((column, df.count(), out.count()))
+        return out
+
+    monkeypatch.setattr("viewforge.llm.near_copies.sieved", counted)
+    classes = {tuple(r) for r in near_duplicates(docs).select("doc_id", "class_id", "class_size").collect()}
+    assert classes == {(i, i % 190, 2 if i % 190 < 10 else 1) for i in range(200)}
+    assert [p[0] for p in passed] == ["band", "key"]
+    assert passed[0][1] == 4_000 and passed[0][2] <= 450 and passed[1][1] == 200 and passed[1][2] <= 25
+
+
+def test_small_tables_have_few_files(spark, monkeypatch, tmp_path):
+    """Rounds over few rows do not write a file for each shuffle partition."""
+    numbers = iter(range(1_000))
+    monkeypatch.setattr("viewforge.llm.frames.scratch_path", lambda spark, label: str(tmp_path / f"{label}-{next(numbers)}"))
+    width, merged = "spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled"
+    old = {k: spark.conf.get(k) for k in (width, merged)}
+    docs = spark.createDataFrame([(i, f"a {i // 2} b {i // 2} c {i // 2} d") for i in range(120)], "doc_id long, text string")
+    try:
+        spark.conf.set(width, "40")
+        spark.conf.set(merged, "false")
+        assert near_duplicates(docs).where("class_size = 2").count() == 120
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    files = {p.name: len(list(p.glob("*.parquet"))) for p in tmp_path.iterdir()}
+    assert any(n.startswith("bands") for n in files) and max(files.values()) <= 8

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from viewforge.llm.components import components, sizes
-from viewforge.llm.frames import packed, quoted, ready, shared_table, text_key, unpacked
+from viewforge.llm.frames import packed, quoted, ready, shared_table, sieved, text_key, unpacked
 from viewforge.llm.words import BASE, mixed, word_blocks
 from viewforge.operators.joins import SPREAD, group_for_join
 
@@ -213,28 +213,28 @@ def _linked(rows: list[int], columns: dict, similarity: float) -> list[tuple[byt
 def _compared(known: DataFrame, dealt: DataFrame, weights, similarity: float) -> DataFrame:
     """Links between the parts that meet in a task; ``dealt`` holds ``key, family, part`` and the tasks of a text."""
     # Merged at every size, because the members grow with the corpus.
-    texts = known.select("key", "text").join(dealt.hint("merge"), "key").dropDuplicates(["key"]).select("text", "key", "family", "part", "tasks")
+    texts = sieved(known.select("key", "text"), "key", dealt).join(dealt.hint("merge"), "key").dropDuplicates(["key"]).select("text", "key", "family", "part", "tasks")
     tasks = "array<struct<task: bigint, chunk: int, asks: boolean>>"
     payload = texts.mapInArrow(_payload(weights), f"key binary, family binary, part binary, tasks {tasks}, hashes binary, weights binary")
     spread = payload.withColumn("at", F.explode("tasks")).select("*", "at.*").drop("tasks", "at")
     return spread.groupBy("task", "chunk").applyInArrow(_links(similarity), "a binary, b binary")
 
 
-def _unsettled(large: DataFrame, placed: DataFrame, found: DataFrame) -> DataFrame:
+def _unsettled(large: DataFrame, placed: DataFrame, found: DataFrame, rows: int) -> DataFrame:
     """What is left to compare in large families.
 
     Only texts in a bucket with texts of another part can have links that are not known
     yet. Of each family, those outside its largest part ask all of these, in blocks.
     """
     part = F.coalesce("root", "key").alias("part")
-    parted = shared_table(large.join(found.withColumnRenamed("node", "key"), "key", "left").select("key", "family", part), "parts")
-    held = placed.join(parted, "key")
+    parted = shared_table(large.join(found.withColumnRenamed("node", "key"), "key", "left").select("key", "family", part), "parts", rows)
+    held = sieved(placed, "key", parted).join(parted, "key")
     mixed_bands = group_for_join(held, ["band"]).agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").drop(SPREAD)
     keys = held.join(mixed_bands.select("band"), "band", "left_semi").select("key").distinct()
     counts = parted.groupBy("family", "part").agg(F.count(F.lit(1)).alias("n"))
     largest = counts.groupBy("family").agg(F.max(F.struct("n", "part"))["part"].alias("largest"))
     open_ = parted.join(keys, "key", "left_semi").join(largest, "family").select("key", "family", "part", (F.col("part") != F.col("largest")).alias("asks"))
-    open_ = shared_table(open_, "open")
+    open_ = shared_table(open_, "open", rows)
     blocks = open_.groupBy("family").agg(
         F.ceil(F.count_if("asks") / FAMILY).cast("int").alias("blocks"), F.ceil(F.count(F.lit(1)) / FAMILY).cast("int").alias("chunks")
     )
@@ -270,19 +270,22 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, id: str = "doc
     for by in (["chunk", "group"], ["chunk"]):
         parts = parts.groupBy(*by).applyInArrow(_added, "chunk int, group int, body binary")
     chunks = {r["chunk"]: r["body"] for r in parts.collect()}  # DEPTH * WIDTH counters, whatever the corpus
-    weights = spark.sparkContext.broadcast(Weights(chunks, known.count()))
+    rows = known.count()
+    weights = spark.sparkContext.broadcast(Weights(chunks, rows))
 
-    banded = shared_table(known.select("key", "text").mapInArrow(_banded(weights), "key binary, bands array<long>").dropDuplicates(["key"]), "bands")
+    banded = known.select("key", "text").mapInArrow(_banded(weights), "key binary, bands array<long>").dropDuplicates(["key"])
+    banded = shared_table(banded, "bands", rows)
     placed = banded.select("key", F.explode("bands").alias("band"))
     hubs = group_for_join(placed, ["band"]).agg(F.min("key").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").drop(SPREAD, "n")
+    hubs = shared_table(hubs, "hubs", rows)
     # All hubs of a text are linked to the smallest of them, so that a text adds one link to a family instead of one a band.
-    named = placed.join(hubs, "band").groupBy("key").agg(F.collect_set("hub").alias("hubs")).withColumn("b", F.array_min("hubs"))
+    named = sieved(placed, "band", hubs).join(hubs, "band").groupBy("key").agg(F.collect_set("hub").alias("hubs")).withColumn("b", F.array_min("hubs"))
     stars = named.select(F.explode(F.array_union("hubs", F.array("key"))).alias("a"), "b").where("a <> b").distinct()
-    families = components(shared_table(stars, "stars"))
+    families = components(shared_table(stars, "stars", rows), rows)
 
     chunks = F.ceil(F.col("size") / FAMILY).cast("int").alias("chunks")
     sized = families.join(sizes(families), "root").select(F.col("node").alias("key"), F.col("root").alias("family"), chunks)
-    members = shared_table(sized, "families")
+    members = shared_table(sized, "families", rows)
     batches = max(1, members.count() // (2 * FAMILY))
     leads = F.pmod(F.xxhash64("key", "family"), F.col("chunks") * max(1, FAMILY // LEADERS)) == 0
     own = F.array(F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int"))
@@ -290,17 +293,17 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, id: str = "doc
     several = F.transform(F.when(leads, F.expr("sequence(0, chunks - 1)")).otherwise(own), lambda chunk: _task(chunk, True))
     tasks = F.when(F.col("chunks") == 1, F.array(alone)).otherwise(several).alias("tasks")
     dealt = members.select("key", "family", F.col("key").alias("part"), tasks)
-    classes = components(shared_table(_compared(known, dealt, weights, similarity), "links"))
+    classes = components(shared_table(_compared(known, dealt, weights, similarity), "links"), rows)
     large = members.where("chunks > 1").select("key", "family")
     if not large.isEmpty():
-        again = shared_table(_compared(known, _unsettled(large, placed, classes), weights, similarity), "links")
+        again = shared_table(_compared(known, _unsettled(large, placed, classes, rows), weights, similarity), "links")
         if not again.isEmpty():
-            classes = _joined(classes, components(again))
+            classes = _joined(classes, components(again, rows))
 
     copies = group_for_join(known, ["key"]).agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")).drop(SPREAD)
     roots = classes.withColumnRenamed("node", "key")
     rooted = shared_table(
-        copies.join(roots, "key", "left").where("n > 1 OR root IS NOT NULL").withColumn("root", F.coalesce("root", "key")), "classes"
+        copies.join(roots, "key", "left").where("n > 1 OR root IS NOT NULL").withColumn("root", F.coalesce("root", "key")), "classes", rows
     )
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("first")
     whole = group_for_join(rooted, ["root"]).agg(first, F.sum("n").alias("class_size")).drop(SPREAD)
